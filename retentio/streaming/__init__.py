@@ -1,0 +1 @@
+"""retentio.streaming"""
