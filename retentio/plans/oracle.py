@@ -35,8 +35,17 @@ FROM (SELECT *, user_id*100 + (event_id*31) % 100 AS visitor FROM events) e
 )"""
 
 PLAN_DIM_CTE = """dim_plan_type AS (
-SELECT * FROM (VALUES ('Month-to-month', 1, 'Starter'), ('One year', 2, 'Growth'),
-                      ('Two year', 3, 'Enterprise')) AS t(plan_type, plan_order, plan_label)
+SELECT plan_type, CAST(plan_order AS BIGINT) AS plan_order, plan_label
+FROM (VALUES ('Month-to-month', 1, 'Starter'), ('One year', 2, 'Growth'),
+             ('Two year', 3, 'Enterprise')) AS t(plan_type, plan_order, plan_label)
+)"""
+
+# Report view of the facts: plan labels joined, half-open lifecycle stage.
+REPORT_FACTS_CTE = """f AS (
+SELECT s.*, d.plan_order, d.plan_label,
+       CASE WHEN subscription_months < 6 THEN 'New (0-6mo)'
+            WHEN subscription_months < 24 THEN 'Growing (6-24mo)' ELSE 'Mature (24mo+)' END AS lifecycle_stage
+FROM subscriptions s LEFT JOIN dim_plan_type d ON s.plan_type = d.plan_type
 )"""
 
 
@@ -131,3 +140,166 @@ SELECT grp AS test_group, landing_page, COUNT(*) AS users,
        CAST(SUM(converted) AS BIGINT) AS conversions,
        {rha("SUM(converted) * 100.0 / COUNT(*)", 2)} AS conversion_rate_pct
 FROM exposures GROUP BY grp, landing_page ORDER BY grp, landing_page""")
+
+
+def report(sql: str, *extra: str) -> str:
+    return with_ctes(sql, SUBSCRIPTIONS_CTE, PLAN_DIM_CTE, REPORT_FACTS_CTE, *extra)
+
+
+def div(a: str, b: str) -> str:
+    return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
+
+
+CARD_SELECT = f"""
+  CAST(SUM(monthly_mrr) FILTER (WHERE churned = 'No') AS DOUBLE) AS total_mrr,
+  {div("COUNT(*) FILTER (WHERE churned = 'Yes')", "COUNT(*)")} AS churn_rate,
+  {div("SUM(lifetime_value)", "COUNT(lifetime_value)")} AS avg_ltv,
+  {div("SUM(subscription_months) FILTER (WHERE churned = 'No')",
+       "COUNT(subscription_months) FILTER (WHERE churned = 'No')")} AS avg_tenure_months,
+  CAST(SUM(monthly_mrr) FILTER (WHERE churned = 'No' AND subscription_months < 6) AS DOUBLE) AS at_risk_mrr,
+  ({div("SUM(lifetime_value)", "COUNT(lifetime_value)")} / {div("SUM(monthly_mrr)", "COUNT(monthly_mrr)")}) AS ltv_mrr_ratio,
+  CAST(SUM(monthly_mrr) AS DOUBLE) AS total_mrr_all"""
+
+# --- report visuals -----------------------------------------------------------
+
+ORACLE["kpi_cards"] = report(f"SELECT {CARD_SELECT} FROM f")
+
+ORACLE["kpi_cards_sliced"] = report(f"SELECT {CARD_SELECT} FROM f WHERE plan_label IN ('Starter', 'Enterprise')")
+
+ORACLE["measure_override_by_status"] = report(f"""
+SELECT plan_label, churned,
+  CAST(SUM(mrr_active) OVER (PARTITION BY plan_label) AS DOUBLE) AS total_mrr,
+  {div("n_yes", "n")} AS churn_rate,
+  {div("ltv_s", "ltv_n")} AS avg_ltv,
+  {div("SUM(ten_s) OVER (PARTITION BY plan_label)", "SUM(ten_n) OVER (PARTITION BY plan_label)")} AS avg_tenure_months,
+  CAST(SUM(risk) OVER (PARTITION BY plan_label) AS DOUBLE) AS at_risk_mrr,
+  ({div("ltv_s", "ltv_n")} / {div("mrr_s", "mrr_n")}) AS ltv_mrr_ratio
+FROM g""", """g AS (
+SELECT plan_label, churned,
+  SUM(monthly_mrr) FILTER (WHERE churned = 'No') AS mrr_active,
+  COUNT(*) FILTER (WHERE churned = 'Yes') AS n_yes, COUNT(*) AS n,
+  SUM(lifetime_value) AS ltv_s, COUNT(lifetime_value) AS ltv_n,
+  SUM(subscription_months) FILTER (WHERE churned = 'No') AS ten_s,
+  COUNT(subscription_months) FILTER (WHERE churned = 'No') AS ten_n,
+  SUM(monthly_mrr) FILTER (WHERE churned = 'No' AND subscription_months < 6) AS risk,
+  SUM(monthly_mrr) AS mrr_s, COUNT(monthly_mrr) AS mrr_n
+FROM f GROUP BY plan_label, churned)""")
+
+ORACLE["bars_mrr_by_label"] = report("""
+SELECT d.plan_label, d.plan_order_count, m.total_mrr,
+  'Active subscriber revenue only. Churned customers are excluded from this total.' AS tooltip
+FROM (SELECT plan_label, COUNT(plan_order) AS plan_order_count FROM dim_plan_type GROUP BY plan_label) d
+LEFT JOIN (SELECT plan_label, CAST(SUM(monthly_mrr) FILTER (WHERE churned = 'No') AS DOUBLE) AS total_mrr
+           FROM f GROUP BY plan_label) m ON d.plan_label = m.plan_label
+ORDER BY total_mrr DESC NULLS LAST""")
+
+BAND_SQL = ("CASE WHEN churn_rate >= 0.3::DOUBLE AND churn_rate <= 1 THEN 'high' "
+            "WHEN churn_rate >= 0.15::DOUBLE AND churn_rate < 0.3::DOUBLE THEN 'medium' "
+            "WHEN churn_rate >= 0 AND churn_rate < 0.15::DOUBLE THEN 'low' END")
+COLOR_SQL = ("CASE band WHEN 'high' THEN '#6F1010' WHEN 'medium' THEN '#575423' "
+             "WHEN 'low' THEN '#1A4A2D' END")
+
+
+def _bars_churn(category: str) -> str:
+    return report(f"""
+SELECT {category}, churn_rate, band, {COLOR_SQL} AS color FROM (
+  SELECT {category}, churn_rate, {BAND_SQL} AS band FROM (
+    SELECT {category}, {div("COUNT(*) FILTER (WHERE churned = 'Yes')", "COUNT(*)")} AS churn_rate
+    FROM f GROUP BY {category}) x) y
+ORDER BY churn_rate DESC""")
+
+
+ORACLE["bars_churn_by_stage_bi"] = _bars_churn("lifecycle_stage")
+ORACLE["bars_churn_by_label_bi"] = _bars_churn("plan_label")
+ORACLE["bars_churn_by_payment_bi"] = _bars_churn("payment_method")
+
+ORACLE["stage_plan_matrix"] = report(f"""
+SELECT lifecycle_stage,
+  {div("COUNT(*) FILTER (WHERE plan_label = 'Starter' AND churned = 'Yes')", "COUNT(*) FILTER (WHERE plan_label = 'Starter')")} AS "Starter",
+  {div("COUNT(*) FILTER (WHERE plan_label = 'Growth' AND churned = 'Yes')", "COUNT(*) FILTER (WHERE plan_label = 'Growth')")} AS "Growth",
+  {div("COUNT(*) FILTER (WHERE plan_label = 'Enterprise' AND churned = 'Yes')", "COUNT(*) FILTER (WHERE plan_label = 'Enterprise')")} AS "Enterprise"
+FROM f GROUP BY lifecycle_stage""")
+
+ORACLE["tenure_mrr_scatter"] = subs(f"""
+SELECT subscription_months, churned, {div("SUM(monthly_mrr)", "COUNT(monthly_mrr)")} AS avg_mrr,
+       COUNT(customer_id) AS customers
+FROM subscriptions GROUP BY subscription_months, churned""")
+
+ORACLE["churn_gauge"] = report(f"""
+SELECT churn_rate, 0.0::DOUBLE AS gauge_min, 0.5::DOUBLE AS gauge_max, 0.2::DOUBLE AS target,
+  CASE WHEN churn_rate >= 0.2::DOUBLE THEN 'alert' ELSE 'ok' END AS status,
+  '% of all customers (active + churned) who have cancelled. Baseline health indicator.' AS tooltip
+FROM (SELECT {div("COUNT(*) FILTER (WHERE churned = 'Yes')", "COUNT(*)")} AS churn_rate FROM f) x""")
+
+# --- workbook tables ----------------------------------------------------------
+
+ORACLE["workbook_raw_data"] = subs("""
+SELECT customer_id, plan_type, subscription_months, CAST(monthly_mrr AS DOUBLE) AS monthly_mrr,
+       CAST(lifetime_value AS DOUBLE) AS lifetime_value, churned, payment_method,
+       CASE WHEN subscription_months < 6 THEN 'New (0-6mo)'
+            WHEN subscription_months < 24 THEN 'Growing (6-24mo)' ELSE 'Mature (24mo+)' END AS lifecycle_stage
+FROM subscriptions ORDER BY customer_id""")
+
+
+def _kpi_display(v: str, fmt: str) -> str:
+    if fmt == "$#,##0":
+        return f"'$' || format('{{:,.0f}}', {rha(v, 0)})"
+    if fmt == "0.00%":
+        return f"format('{{:,.2f}}', {rha(v + ' * 100.0', 2)}) || '%'"
+    return f"format('{{:,.1f}}', {rha(v, 1)})"
+
+
+_KPI_VALUES = [
+    ("Total MRR (Active)", "$#,##0", "CAST(active_mrr AS DOUBLE)"),
+    ("Churn Rate %", "0.00%", div("n_yes", "n")),
+    ("Avg LTV", "$#,##0", div("ltv_s", "ltv_n")),
+    ("Avg Tenure Months", "0.0", div("ten_s", "ten_n")),
+    ("At-Risk MRR", "$#,##0", "CAST(risk_mrr AS DOUBLE)"),
+    ("LTV MRR Ratio", "0.0", f"({div('ltv_s', 'ltv_n')} / {div('mrr_s', 'mrr_n')})"),
+]
+ORACLE["kpi_block"] = subs(
+    "SELECT row_order, metric, value, number_format, display FROM (\n" + "\nUNION ALL\n".join(
+        f"SELECT {i + 1} AS row_order, '{label}' AS metric, {v} AS value, '{fmt}' AS number_format, "
+        f"{_kpi_display(v, fmt)} AS display FROM a"
+        for i, (label, fmt, v) in enumerate(_KPI_VALUES)) + ") k ORDER BY row_order",
+    """a AS (SELECT
+  SUM(monthly_mrr) FILTER (WHERE churned = 'No') AS active_mrr,
+  COUNT(*) FILTER (WHERE churned = 'Yes') AS n_yes, COUNT(*) AS n,
+  SUM(lifetime_value) AS ltv_s, COUNT(lifetime_value) AS ltv_n,
+  SUM(subscription_months) FILTER (WHERE churned = 'No') AS ten_s,
+  COUNT(subscription_months) FILTER (WHERE churned = 'No') AS ten_n,
+  SUM(monthly_mrr) FILTER (WHERE churned = 'No' AND subscription_months < 6) AS risk_mrr,
+  SUM(monthly_mrr) AS mrr_s, COUNT(monthly_mrr) AS mrr_n
+FROM subscriptions)""")
+
+ORACLE["active_mrr_by_plan_label"] = subs("""
+SELECT d.plan_order, d.plan_label, CAST(a.s AS DOUBLE) AS total_mrr
+FROM (SELECT plan_type, SUM(monthly_mrr) AS s FROM subscriptions WHERE churned = 'No' GROUP BY plan_type) a
+LEFT JOIN dim_plan_type d ON a.plan_type = d.plan_type ORDER BY d.plan_order""", PLAN_DIM_CTE)
+
+ORACLE["churn_by_plan_label"] = subs(f"""
+SELECT d.plan_order, d.plan_label, a.churn_rate
+FROM (SELECT plan_type, {div("COUNT(*) FILTER (WHERE churned = 'Yes')", "COUNT(*)")} AS churn_rate
+      FROM subscriptions GROUP BY plan_type) a
+LEFT JOIN dim_plan_type d ON a.plan_type = d.plan_type ORDER BY d.plan_order""", PLAN_DIM_CTE)
+
+# LTV bins with the fixture edges 0, 200K, 400K, 600K, 1M, 2M, 3M.
+ORACLE["ltv_distribution"] = subs("""
+SELECT b.bin_order, b.ltv_range, COALESCE(c.customers, 0) AS customers
+FROM (VALUES (1, '$0-200K'), (2, '$200K-400K'), (3, '$400K-600K'), (4, '$600K-1M'),
+             (5, '$1M-2M'), (6, '$2M+')) AS b(bin_order, ltv_range)
+LEFT JOIN (SELECT bin_order, COUNT(*) AS customers FROM (
+  SELECT CASE WHEN lifetime_value >= 0 AND lifetime_value <= 200000 THEN 1
+              WHEN lifetime_value > 200000 AND lifetime_value <= 400000 THEN 2
+              WHEN lifetime_value > 400000 AND lifetime_value <= 600000 THEN 3
+              WHEN lifetime_value > 600000 AND lifetime_value <= 1000000 THEN 4
+              WHEN lifetime_value > 1000000 AND lifetime_value <= 2000000 THEN 5
+              WHEN lifetime_value > 2000000 AND lifetime_value <= 3000000 THEN 6 END AS bin_order
+  FROM subscriptions WHERE lifetime_value IS NOT NULL) x
+  WHERE bin_order IS NOT NULL GROUP BY bin_order) c ON b.bin_order = c.bin_order
+ORDER BY b.bin_order""")
+
+ORACLE["plan_dimension_usage"] = subs("""
+SELECT d.plan_type, d.plan_order, d.plan_label, COALESCE(c.customers, 0) AS customers
+FROM dim_plan_type d LEFT JOIN (SELECT plan_type, COUNT(*) AS customers FROM subscriptions GROUP BY plan_type) c
+  ON d.plan_type = c.plan_type ORDER BY d.plan_order""", PLAN_DIM_CTE)

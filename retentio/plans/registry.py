@@ -10,11 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.operators import reports
+from retentio.operators import dashboard, reports, workbook
 from retentio.plans.catalog import Catalog
 
 CatalogQuery = Callable[[Catalog], DataFrame]
 
+# Parameters of the registered queries on the test data.
+# The test data's money scale differs from the original, so the LTV bin edges
+# are a parameter (FIXTURES.md); the slicer selection is an example selection.
+FIXTURE_LTV_EDGES = (0, 200_000, 400_000, 600_000, 1_000_000, 2_000_000, 3_000_000)
+SLICER_EXAMPLE = ("Starter", "Enterprise")
+
 REGISTRY: dict[str, CatalogQuery] = {
     # query file
     "customers_by_plan": lambda c: reports.customers_by_plan(c.subscriptions()),
@@ -26,6 +32,24 @@ REGISTRY: dict[str, CatalogQuery] = {
     "high_value_churned": lambda c: reports.high_value_churned(c.subscriptions()),
     "top_churned_by_plan": lambda c: reports.top_churned_by_plan(c.subscriptions()),
     "ab_summary": lambda c: reports.ab_summary(c.exposures()),
+    # report visuals (measure catalogue)
+    "kpi_cards": lambda c: dashboard.kpi_cards(c.subscriptions()),
+    "kpi_cards_sliced": lambda c: dashboard.kpi_cards(c.subscriptions(), SLICER_EXAMPLE),
+    "measure_override_by_status": lambda c: dashboard.measure_override_by_status(c.subscriptions()),
+    "bars_mrr_by_label": lambda c: dashboard.bars_mrr_by_label(c.subscriptions()),
+    "bars_churn_by_stage_bi": lambda c: dashboard.bars_churn_by(c.subscriptions(), "lifecycle_stage"),
+    "bars_churn_by_label_bi": lambda c: dashboard.bars_churn_by(c.subscriptions(), "plan_label"),
+    "bars_churn_by_payment_bi": lambda c: dashboard.bars_churn_by(c.subscriptions(), "payment_method"),
+    "stage_plan_matrix": lambda c: dashboard.stage_plan_matrix(c.subscriptions()),
+    "tenure_mrr_scatter": lambda c: dashboard.tenure_mrr_scatter(c.subscriptions()),
+    "churn_gauge": lambda c: dashboard.churn_gauge(c.subscriptions()),
+    # workbook tables
+    "workbook_raw_data": lambda c: workbook.raw_data(c.subscriptions()),
+    "kpi_block": lambda c: workbook.kpi_block(c.subscriptions()),
+    "active_mrr_by_plan_label": lambda c: workbook.active_mrr_by_plan_label(c.subscriptions()),
+    "churn_by_plan_label": lambda c: workbook.churn_by_plan_label(c.subscriptions()),
+    "ltv_distribution": lambda c: workbook.ltv_distribution(c.subscriptions(), FIXTURE_LTV_EDGES),
+    "plan_dimension_usage": lambda c: workbook.plan_dimension_usage(c.subscriptions()),
 }
 
 FLAGSHIP = "churn_by_lifecycle"
