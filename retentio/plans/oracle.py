@@ -303,3 +303,121 @@ ORACLE["plan_dimension_usage"] = subs("""
 SELECT d.plan_type, d.plan_order, d.plan_label, COALESCE(c.customers, 0) AS customers
 FROM dim_plan_type d LEFT JOIN (SELECT plan_type, COUNT(*) AS customers FROM subscriptions GROUP BY plan_type) c
   ON d.plan_type = c.plan_type ORDER BY d.plan_order""", PLAN_DIM_CTE)
+
+# --- KPI notebook -------------------------------------------------------------
+
+ORACLE["mrr_by_plan_nb"] = subs(f"""
+SELECT plan_type, COUNT(customer_id) AS customers, CAST(SUM(monthly_mrr) AS DOUBLE) AS total_mrr,
+       {div("SUM(monthly_mrr)", "COUNT(monthly_mrr)")} AS avg_mrr
+FROM subscriptions GROUP BY plan_type ORDER BY total_mrr DESC""")
+
+
+def _churn_counts(key: str, source: str = "subscriptions") -> str:
+    return (f"SELECT {key}, CAST(SUM(CASE WHEN churned = 'Yes' THEN 1 ELSE 0 END) AS BIGINT) AS churned, "
+            f"COUNT(*) AS total, {div('SUM(CASE WHEN churned = ' + chr(39) + 'Yes' + chr(39) + ' THEN 1 ELSE 0 END)', 'COUNT(*)')} AS churn_rate "
+            f"FROM {source} GROUP BY {key}")
+
+
+ORACLE["churn_by_plan_banded"] = subs(f"""
+SELECT *, CASE WHEN churn_rate > 0.3::DOUBLE THEN 'high' WHEN churn_rate > 0.15::DOUBLE THEN 'medium' ELSE 'low' END AS risk_band
+FROM ({_churn_counts("plan_type")}) x ORDER BY churn_rate DESC""")
+
+ORACLE["churn_by_payment_banded"] = subs(f"""
+SELECT *, CASE WHEN churn_rate > 0.3::DOUBLE THEN 'high' WHEN churn_rate > 0.2::DOUBLE THEN 'medium' ELSE 'low' END AS risk_band
+FROM ({_churn_counts("payment_method")}) x ORDER BY churn_rate ASC""")
+
+ORACLE["churn_by_lifecycle_nb"] = subs(f"""
+{_churn_counts("lifecycle_stage", "staged")} ORDER BY lifecycle_stage""",
+    """staged AS (SELECT churned, CASE WHEN subscription_months > -1 AND subscription_months <= 6 THEN 'new (0-6mo)'
+                                   WHEN subscription_months > 6 AND subscription_months <= 24 THEN 'growing (7-24mo)'
+                                   WHEN subscription_months > 24 AND subscription_months <= 999 THEN 'mature (25mo+)' END AS lifecycle_stage
+              FROM subscriptions WHERE subscription_months > -1 AND subscription_months <= 999)""")
+
+TENURE_SQL = [("0-6", 1, "subscription_months >= 0 AND subscription_months <= 6"),
+              ("7-12", 2, "subscription_months > 6 AND subscription_months <= 12"),
+              ("13-18", 3, "subscription_months > 12 AND subscription_months <= 18"),
+              ("19-24", 4, "subscription_months > 18 AND subscription_months <= 24"),
+              ("25-36", 5, "subscription_months > 24 AND subscription_months <= 36"),
+              ("37-48", 6, "subscription_months > 36 AND subscription_months <= 48"),
+              ("49-60", 7, "subscription_months > 48 AND subscription_months <= 60"),
+              ("60+", 8, "subscription_months > 60 AND subscription_months <= 999")]
+BUCKETED_CTE = ("bucketed AS (SELECT plan_type, churned, CASE "
+                + " ".join(f"WHEN {c} THEN '{lab}'" for lab, _, c in TENURE_SQL) + " END AS tenure_bucket, CASE "
+                + " ".join(f"WHEN {c} THEN {o}" for _, o, c in TENURE_SQL)
+                + " END AS bucket_order FROM subscriptions WHERE subscription_months >= 0 AND subscription_months <= 999)")
+
+
+def _pct(yes: str, total: str) -> str:
+    return rhe(f"{div(yes, total)} * 100.0", 1)
+
+
+ORACLE["cohort_retention_long"] = subs(f"""
+SELECT tenure_bucket, bucket_order, plan_type, churn_pct, 100.0::DOUBLE - churn_pct AS retention_pct FROM (
+  SELECT tenure_bucket, bucket_order, plan_type,
+         {_pct("COUNT(*) FILTER (WHERE churned = 'Yes')", "COUNT(*)")} AS churn_pct
+  FROM bucketed GROUP BY tenure_bucket, bucket_order, plan_type) x
+ORDER BY bucket_order, plan_type""", BUCKETED_CTE)
+
+ORACLE["cohort_churn_matrix"] = subs("SELECT tenure_bucket, bucket_order, " + ", ".join(
+    f"""{_pct(f"COUNT(*) FILTER (WHERE plan_type = '{p}' AND churned = 'Yes')", f"COUNT(*) FILTER (WHERE plan_type = '{p}')")} AS "{p}" """
+    for p in ("Month-to-month", "One year", "Two year"))
+    + " FROM bucketed GROUP BY tenure_bucket, bucket_order ORDER BY bucket_order", BUCKETED_CTE)
+
+ORACLE["cohort_retention_matrix"] = subs("SELECT plan_type, " + ", ".join(
+    f"""100.0::DOUBLE - {_pct(f"COUNT(*) FILTER (WHERE tenure_bucket = '{lab}' AND churned = 'Yes')", f"COUNT(*) FILTER (WHERE tenure_bucket = '{lab}')")} AS "{lab}" """
+    for lab, _, _ in TENURE_SQL)
+    + " FROM bucketed GROUP BY plan_type ORDER BY plan_type", BUCKETED_CTE)
+
+ORACLE["ltv_stats_by_plan"] = subs(f"""
+SELECT plan_type,
+  {rhe("quantile_cont(CAST(lifetime_value AS DOUBLE), 0.5)", 2)} AS median,
+  {rhe(div("SUM(lifetime_value)", "COUNT(lifetime_value)"), 2)} AS mean,
+  {rhe("stddev_samp(CAST(lifetime_value AS DOUBLE))", 2)} AS std,
+  COUNT(lifetime_value) AS count
+FROM subscriptions WHERE lifetime_value IS NOT NULL GROUP BY plan_type ORDER BY plan_type""")
+
+ORACLE["ltv_histogram_by_plan"] = subs("""
+SELECT plan_type, bin, lo + (hi - lo) * (bin - 1) / 40.0 AS bin_start, lo + (hi - lo) * bin / 40.0 AS bin_end,
+       COUNT(*) AS customers
+FROM (SELECT plan_type, lo, hi, CAST(least(40, floor((v - lo) * 40.0 / (hi - lo)) + 1) AS INTEGER) AS bin
+      FROM (SELECT s.plan_type, CAST(s.lifetime_value AS DOUBLE) AS v,
+                   CASE WHEN r.mx = r.mn THEN r.mn - 0.5 ELSE r.mn END AS lo,
+                   CASE WHEN r.mx = r.mn THEN r.mx + 0.5 ELSE r.mx END AS hi
+            FROM subscriptions s JOIN (SELECT plan_type, min(CAST(lifetime_value AS DOUBLE)) AS mn,
+                                              max(CAST(lifetime_value AS DOUBLE)) AS mx
+                                       FROM subscriptions WHERE lifetime_value IS NOT NULL GROUP BY plan_type) r
+              ON s.plan_type = r.plan_type
+            WHERE s.lifetime_value IS NOT NULL) a) b
+GROUP BY plan_type, bin, lo, hi ORDER BY plan_type, bin""")
+
+ORACLE["class_balance"] = subs(f"""
+SELECT churned, customers, {div("customers", "SUM(customers) OVER ()")} AS share
+FROM (SELECT churned, COUNT(*) AS customers FROM subscriptions GROUP BY churned) x""")
+
+
+def _describe_row(c: str) -> str:
+    v = f"CAST({c} AS DOUBLE)"
+    return (f"SELECT '{c}' AS field, COUNT({c}) AS count, {rhe(div(f'SUM({c})', f'COUNT({c})'), 2)} AS mean, "
+            f"{rhe(f'stddev_samp({v})', 2)} AS std, {rhe(f'min({v})', 2)} AS min, "
+            f"{rhe(f'quantile_cont({v}, 0.25)', 2)} AS p25, {rhe(f'quantile_cont({v}, 0.5)', 2)} AS p50, "
+            f"{rhe(f'quantile_cont({v}, 0.75)', 2)} AS p75, {rhe(f'max({v})', 2)} AS max FROM subscriptions")
+
+
+ORACLE["numeric_describe"] = subs("\nUNION ALL\n".join(
+    _describe_row(c) for c in ("subscription_months", "monthly_mrr", "lifetime_value")))
+
+ORACLE["missing_counts"] = subs("SELECT column_name, n_missing FROM (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM subscriptions"
+    for c in ("customer_id", "plan_type", "payment_method", "subscription_months", "monthly_mrr",
+              "lifetime_value", "churned")) + ") x WHERE n_missing > 0")
+
+ORACLE["arm_values"] = expo("""
+SELECT DISTINCT column_name, value FROM (
+  SELECT 'grp' AS column_name, CAST(grp AS VARCHAR) AS value FROM exposures
+  UNION ALL SELECT 'landing_page', CAST(landing_page AS VARCHAR) FROM exposures
+  UNION ALL SELECT 'converted', CAST(converted AS VARCHAR) FROM exposures) x
+ORDER BY column_name, value""")
+
+ORACLE["date_range"] = expo("""
+SELECT COUNT(*) AS rows, strftime(min(ts), '%Y-%m-%d') AS start_date, strftime(max(ts), '%Y-%m-%d') AS end_date
+FROM exposures""")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.operators import dashboard, reports, workbook
+from retentio.operators import cohorts, dashboard, quality, reports, workbook
 from retentio.plans.catalog import Catalog
 
 CatalogQuery = Callable[[Catalog], DataFrame]
@@ -50,6 +50,21 @@ REGISTRY: dict[str, CatalogQuery] = {
     "churn_by_plan_label": lambda c: workbook.churn_by_plan_label(c.subscriptions()),
     "ltv_distribution": lambda c: workbook.ltv_distribution(c.subscriptions(), FIXTURE_LTV_EDGES),
     "plan_dimension_usage": lambda c: workbook.plan_dimension_usage(c.subscriptions()),
+    # KPI notebook
+    "mrr_by_plan_nb": lambda c: cohorts.mrr_by_plan_nb(c.subscriptions()),
+    "churn_by_plan_banded": lambda c: cohorts.churn_by_plan_banded(c.subscriptions()),
+    "churn_by_payment_banded": lambda c: cohorts.churn_by_payment_banded(c.subscriptions()),
+    "churn_by_lifecycle_nb": lambda c: cohorts.churn_by_lifecycle_nb(c.subscriptions()),
+    "cohort_retention_long": lambda c: cohorts.cohort_retention_long(c.subscriptions()),
+    "cohort_churn_matrix": lambda c: cohorts.cohort_churn_matrix(c.subscriptions()),
+    "cohort_retention_matrix": lambda c: cohorts.cohort_retention_matrix(c.subscriptions()),
+    "ltv_stats_by_plan": lambda c: cohorts.ltv_stats_by_plan(c.subscriptions()),
+    "ltv_histogram_by_plan": lambda c: cohorts.ltv_histogram_by_plan(c.subscriptions()),
+    "class_balance": lambda c: cohorts.class_balance(c.subscriptions()),
+    "numeric_describe": lambda c: quality.numeric_describe(c.subscriptions()),
+    "missing_counts": lambda c: quality.missing_counts(c.subscriptions()),
+    "arm_values": lambda c: quality.distinct_values(c.exposures(), ("grp", "landing_page", "converted")),
+    "date_range": lambda c: quality.date_range(c.exposures()),
 }
 
 FLAGSHIP = "churn_by_lifecycle"
