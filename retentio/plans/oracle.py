@@ -421,3 +421,156 @@ ORDER BY column_name, value""")
 ORACLE["date_range"] = expo("""
 SELECT COUNT(*) AS rows, strftime(min(ts), '%Y-%m-%d') AS start_date, strftime(max(ts), '%Y-%m-%d') AS end_date
 FROM exposures""")
+
+# --- experiment notebook ------------------------------------------------------
+
+import math  # noqa: E402
+from statistics import NormalDist  # noqa: E402
+
+
+def dbl(x: float) -> str:
+    """An exact double literal (parsed from its shortest text)."""
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+ALIGNED_SQL = "((grp = 'control' AND landing_page = 'old_page') OR (grp = 'treatment' AND landing_page = 'new_page'))"
+MISALIGNED_SQL = "((grp = 'control' AND landing_page = 'new_page') OR (grp = 'treatment' AND landing_page = 'old_page'))"
+CLEANED_CTE = f"""cleaned AS (
+SELECT user_id, ts, event_id, grp, landing_page, converted FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM exposures WHERE {ALIGNED_SQL}) x WHERE rn = 1)"""
+ARMS_CTE = """arms AS (
+SELECT n_ctrl, conv_ctrl, n_treat, conv_treat,
+       CAST(conv_ctrl AS DOUBLE) / CAST(n_ctrl AS DOUBLE) AS p_ctrl,
+       CAST(conv_treat AS DOUBLE) / CAST(n_treat AS DOUBLE) AS p_treat
+FROM (SELECT COUNT(*) FILTER (WHERE grp = 'control') AS n_ctrl,
+             CAST(SUM(converted) FILTER (WHERE grp = 'control') AS BIGINT) AS conv_ctrl,
+             COUNT(*) FILTER (WHERE grp = 'treatment') AS n_treat,
+             CAST(SUM(converted) FILTER (WHERE grp = 'treatment') AS BIGINT) AS conv_treat
+      FROM cleaned) c)"""
+
+ORACLE["ab_group_rates"] = expo(f"""
+SELECT grp, landing_page, COUNT(user_id) AS users, CAST(SUM(converted) AS BIGINT) AS conversions,
+       {rha(div("SUM(converted)", "COUNT(user_id)"), 4)} AS rate
+FROM exposures GROUP BY grp, landing_page ORDER BY grp, landing_page""")
+
+ORACLE["split_check"] = expo("""
+SELECT grp, n, share, CASE WHEN abs(share - 0.5) < 0.01 THEN 'OK' ELSE 'WARNING — not 50/50!' END AS status
+FROM (SELECT grp, n, CAST(n AS DOUBLE) / CAST(SUM(n) OVER () AS DOUBLE) AS share
+      FROM (SELECT grp, COUNT(*) AS n FROM exposures GROUP BY grp) a) b ORDER BY grp""")
+
+ORACLE["contamination_check"] = expo("""
+SELECT users, contaminated_users,
+  CASE WHEN contaminated_users > 0 THEN 'ACTION: These users should be removed before analysis.'
+       ELSE 'Status: OK — no cross-group contamination' END AS status
+FROM (SELECT COUNT(*) AS users, COUNT(*) FILTER (WHERE both_arms) AS contaminated_users
+      FROM (SELECT user_id, min(grp) <> max(grp) AS both_arms FROM exposures
+            WHERE grp IS NOT NULL GROUP BY user_id) u) x""")
+
+ORACLE["alignment_crosstab"] = expo("""
+SELECT grp, COUNT(*) FILTER (WHERE landing_page = 'new_page') AS new_page,
+       COUNT(*) FILTER (WHERE landing_page = 'old_page') AS old_page
+FROM exposures WHERE grp IS NOT NULL AND landing_page IS NOT NULL GROUP BY grp ORDER BY grp""")
+
+ORACLE["misaligned_summary"] = expo(f"""
+SELECT misaligned_rows, total_rows, {div("misaligned_rows", "total_rows")} AS share
+FROM (SELECT COUNT(*) FILTER (WHERE {MISALIGNED_SQL}) AS misaligned_rows, COUNT(*) AS total_rows FROM exposures) x""")
+
+ORACLE["misaligned_breakdown"] = expo(f"""
+SELECT grp, landing_page, COUNT(*) AS n FROM exposures WHERE {MISALIGNED_SQL}
+GROUP BY grp, landing_page ORDER BY grp, landing_page""")
+
+ORACLE["ab_clean_counts"] = expo("""
+SELECT b.rows_before, a.rows_after, b.rows_before - a.rows_after AS removed
+FROM (SELECT COUNT(*) AS rows_before FROM exposures) b, (SELECT COUNT(*) AS rows_after FROM cleaned) a""",
+    CLEANED_CTE)
+
+ORACLE["ab_clean_summary"] = expo(f"""
+SELECT grp, COUNT(converted) AS n, CAST(SUM(converted) AS BIGINT) AS conversions,
+       {rha(div("SUM(converted)", "COUNT(converted)"), 4)} AS rate
+FROM cleaned GROUP BY grp ORDER BY grp""", CLEANED_CTE)
+
+_ALPHA, _POWER, _MDE, _CI = 0.05, 0.80, 0.02, 0.95
+_ZA = NormalDist().inv_cdf(1 - _ALPHA / 2)
+_ZB = NormalDist().inv_cdf(_POWER)
+_ZC = NormalDist().inv_cdf(1 - (1 - _CI) / 2)
+_K = 2.0 * (_ZA + _ZB) * (_ZA + _ZB)
+_M = _MDE * _MDE
+_SQRT2 = math.sqrt(2.0)
+_ERFC = "((1.0 / (1.0 + {p} * x)) * ({a1} + (1.0 / (1.0 + {p} * x)) * ({a2} + (1.0 / (1.0 + {p} * x)) * ({a3} + (1.0 / (1.0 + {p} * x)) * ({a4} + (1.0 / (1.0 + {p} * x)) * {a5})))) * exp(-(x * x)))"
+
+
+def _erfc(x: str) -> str:
+    t = f"(1.0 / (1.0 + {dbl(0.3275911)} * ({x})))"
+    a1, a2, a3, a4, a5 = (dbl(v) for v in (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429))
+    return f"({t} * ({a1} + {t} * ({a2} + {t} * ({a3} + {t} * ({a4} + {t} * {a5})))) * exp(-(({x}) * ({x}))))"
+
+
+STATS_CTE = f"""st AS (
+SELECT *,
+  (p_treat - p_ctrl) * 100.0 AS lift_pp,
+  (p_treat / p_ctrl - 1.0) * 100.0 AS relative_change_pct,
+  ceil({dbl(_K)} * p_ctrl * (1.0 - p_ctrl) / {dbl(_M)}) AS n_req,
+  (p_treat - p_ctrl) / sqrt(pool * (1.0 - pool) * (1.0 / CAST(n_treat AS DOUBLE) + 1.0 / CAST(n_ctrl AS DOUBLE))) AS z,
+  2.0 * asin(sqrt(p_treat)) - 2.0 * asin(sqrt(p_ctrl)) AS h,
+  greatest(0.0, p_ctrl - {dbl(_ZC)} * sqrt(p_ctrl * (1.0 - p_ctrl) / CAST(n_ctrl AS DOUBLE))) AS ci_ctrl_low,
+  least(1.0, p_ctrl + {dbl(_ZC)} * sqrt(p_ctrl * (1.0 - p_ctrl) / CAST(n_ctrl AS DOUBLE))) AS ci_ctrl_high,
+  greatest(0.0, p_treat - {dbl(_ZC)} * sqrt(p_treat * (1.0 - p_treat) / CAST(n_treat AS DOUBLE))) AS ci_treat_low,
+  least(1.0, p_treat + {dbl(_ZC)} * sqrt(p_treat * (1.0 - p_treat) / CAST(n_treat AS DOUBLE))) AS ci_treat_high,
+  (p_treat - p_ctrl) - {dbl(_ZC)} * sqrt(p_ctrl * (1.0 - p_ctrl) / CAST(n_ctrl AS DOUBLE) + p_treat * (1.0 - p_treat) / CAST(n_treat AS DOUBLE)) AS ci_diff_low,
+  (p_treat - p_ctrl) + {dbl(_ZC)} * sqrt(p_ctrl * (1.0 - p_ctrl) / CAST(n_ctrl AS DOUBLE) + p_treat * (1.0 - p_treat) / CAST(n_treat AS DOUBLE)) AS ci_diff_high,
+  10000.0 * p_ctrl AS conversions_ctrl_month,
+  10000.0 * p_treat AS conversions_treat_month,
+  10000.0 * p_treat - 10000.0 * p_ctrl AS delta_conversions_month,
+  (10000.0 * p_treat - 10000.0 * p_ctrl) * 65.0 AS delta_mrr_month
+FROM (SELECT *, (CAST(conv_treat AS DOUBLE) + CAST(conv_ctrl AS DOUBLE)) / (CAST(n_treat AS DOUBLE) + CAST(n_ctrl AS DOUBLE)) AS pool
+      FROM arms) a),
+st2 AS (SELECT *, {_erfc(f"abs(z) / {dbl(_SQRT2)}")} AS pv FROM st)"""
+
+_H_LABEL = ("CASE WHEN abs(h) < 0.2 THEN 'negligible' WHEN abs(h) < 0.5 THEN 'small' "
+            "WHEN abs(h) < 0.8 THEN 'medium' ELSE 'large' END")
+_VERDICT = "CASE WHEN pv >= 0.05 OR p_treat < p_ctrl THEN 'DO NOT ROLL OUT' ELSE 'ROLL OUT' END"
+
+ORACLE["ab_test_stats"] = expo(f"""
+SELECT n_ctrl, conv_ctrl, {rha("p_ctrl", 6)} AS p_ctrl, n_treat, conv_treat, {rha("p_treat", 6)} AS p_treat,
+  {rha("lift_pp", 6)} AS lift_pp, {rha("relative_change_pct", 6)} AS relative_change_pct,
+  CAST(n_req AS BIGINT) AS n_required, n_ctrl >= n_req AS powered,
+  {rha("CAST(n_ctrl AS DOUBLE) / n_req", 6)} AS power_ratio,
+  {rha("z", 6)} AS z_stat, {rha("pv", 4)} AS p_value, pv < 0.05 AS significant,
+  {rha("h", 6)} AS cohen_h, {_H_LABEL} AS effect_size,
+  {rha("ci_ctrl_low", 6)} AS ci_ctrl_low, {rha("ci_ctrl_high", 6)} AS ci_ctrl_high,
+  {rha("ci_treat_low", 6)} AS ci_treat_low, {rha("ci_treat_high", 6)} AS ci_treat_high,
+  {rha("ci_diff_low", 6)} AS ci_diff_low, {rha("ci_diff_high", 6)} AS ci_diff_high,
+  {rha("conversions_ctrl_month", 6)} AS conversions_ctrl_month,
+  {rha("conversions_treat_month", 6)} AS conversions_treat_month,
+  {rha("delta_conversions_month", 6)} AS delta_conversions_month,
+  {rha("delta_mrr_month", 6)} AS delta_mrr_month,
+  {_VERDICT} AS verdict
+FROM st2""", CLEANED_CTE, ARMS_CTE, STATS_CTE)
+
+
+def _signed(x: str, d: int) -> str:
+    r = rha(x, d)
+    return f"(CASE WHEN {r} >= 0 THEN '+' ELSE '' END || format('{{:,.{d}f}}', {r}))"
+
+
+def _rate_text(p: str, conv: str, n: str) -> str:
+    return (f"format('{{:,.2f}}', {rha(p + ' * 100.0', 2)}) || '% (' || format('{{:,}}', {conv}) "
+            f"|| ' / ' || format('{{:,}}', {n}) || ' users)'")
+
+
+_REPORT_LINES = [
+    ("Experiment", "'New onboarding landing page vs. old page'"),
+    ("Control rate", _rate_text("p_ctrl", "conv_ctrl", "n_ctrl")),
+    ("Treatment rate", _rate_text("p_treat", "conv_treat", "n_treat")),
+    ("Difference", f"{_signed('lift_pp', 3)} || ' pp  (95% CI: [' || {_signed('ci_diff_low * 100.0', 2)} "
+                   f"|| ', ' || {_signed('ci_diff_high * 100.0', 2)} || '] pp)'"),
+    ("P-value", f"format('{{:,.4f}}', {rha('pv', 4)}) || '  (threshold: 0.05)'"),
+    ("Statistical sig.", "CASE WHEN pv < 0.05 THEN 'Yes' ELSE 'No — cannot conclude a real difference exists' END"),
+    ("Effect size", f"'Cohen''s h = ' || format('{{:,.4f}}', {rha('h', 4)}) || ' (' || {_H_LABEL} || ')'"),
+    ("MRR impact", f"'$' || {_signed('delta_mrr_month', 0)} || '/month at 10,000 visitors'"),
+    ("VERDICT", _VERDICT),
+]
+ORACLE["ab_report_rows"] = expo("\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS row_order, '{label}' AS label, {v} AS value FROM st2"
+    for i, (label, v) in enumerate(_REPORT_LINES)), CLEANED_CTE, ARMS_CTE, STATS_CTE)

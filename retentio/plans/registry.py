@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.operators import cohorts, dashboard, quality, reports, workbook
+from retentio.operators import cohorts, dashboard, experiment, quality, reports, workbook
 from retentio.plans.catalog import Catalog
 
 CatalogQuery = Callable[[Catalog], DataFrame]
@@ -65,6 +65,17 @@ REGISTRY: dict[str, CatalogQuery] = {
     "missing_counts": lambda c: quality.missing_counts(c.subscriptions()),
     "arm_values": lambda c: quality.distinct_values(c.exposures(), ("grp", "landing_page", "converted")),
     "date_range": lambda c: quality.date_range(c.exposures()),
+    # experiment notebook
+    "ab_group_rates": lambda c: experiment.group_rates(c.exposures()),
+    "split_check": lambda c: experiment.split_check(c.exposures()),
+    "contamination_check": lambda c: experiment.contamination_check(c.exposures()),
+    "alignment_crosstab": lambda c: experiment.alignment_crosstab(c.exposures()),
+    "misaligned_summary": lambda c: experiment.misaligned_summary(c.exposures()),
+    "misaligned_breakdown": lambda c: experiment.misaligned_breakdown(c.exposures()),
+    "ab_clean_counts": lambda c: experiment.clean_counts(c.exposures()),
+    "ab_clean_summary": lambda c: experiment.clean_summary(c.exposures()),
+    "ab_test_stats": lambda c: experiment.experiment_stats(c.exposures()),
+    "ab_report_rows": lambda c: experiment.report_rows(c.exposures()),
 }
 
 FLAGSHIP = "churn_by_lifecycle"
