@@ -574,3 +574,53 @@ _REPORT_LINES = [
 ORACLE["ab_report_rows"] = expo("\nUNION ALL\n".join(
     f"SELECT {i + 1} AS row_order, '{label}' AS label, {v} AS value FROM st2"
     for i, (label, v) in enumerate(_REPORT_LINES)), CLEANED_CTE, ARMS_CTE, STATS_CTE)
+
+# --- load path and checks -----------------------------------------------------
+
+ORACLE["load_roundtrip_customers"] = subs("""
+SELECT customer_id, plan_type, payment_method, subscription_months, CAST(monthly_mrr AS DOUBLE) AS monthly_mrr,
+       CAST(lifetime_value AS DOUBLE) AS lifetime_value, churned FROM subscriptions""")
+
+ORACLE["load_roundtrip_customers_renamed"] = subs("""
+SELECT customer_id, plan_type, payment_method, subscription_months, CAST(monthly_mrr AS DOUBLE) AS monthly_mrr,
+       CAST(lifetime_value AS DOUBLE) AS lifetime_value, churned,
+       CASE WHEN churned = 'Yes' THEN 1 ELSE 0 END AS churned_flag,
+       CASE WHEN subscription_months > -1 AND subscription_months <= 6 THEN 'new (0-6mo)'
+            WHEN subscription_months > 6 AND subscription_months <= 24 THEN 'growing (7-24mo)'
+            WHEN subscription_months > 24 AND subscription_months <= 999 THEN 'mature (25mo+)' END AS lifecycle_stage
+FROM subscriptions""")
+
+ORACLE["load_roundtrip_exposures"] = expo("SELECT user_id, ts, grp, landing_page, converted FROM exposures")
+
+ORACLE["pk_check"] = subs("""
+SELECT rows, distinct_keys, duplicate_keys, null_keys,
+       CASE WHEN duplicate_keys = 0 AND null_keys = 0 THEN 'OK' ELSE 'KEY VIOLATION' END AS status
+FROM (SELECT CAST(SUM(n) AS BIGINT) AS rows, COUNT(customer_id) AS distinct_keys,
+             COUNT(*) FILTER (WHERE n > 1) AS duplicate_keys,
+             CAST(COALESCE(SUM(n) FILTER (WHERE customer_id IS NULL), 0) AS BIGINT) AS null_keys
+      FROM (SELECT customer_id, COUNT(*) AS n FROM subscriptions GROUP BY customer_id) k) x""")
+
+ORACLE["duplicate_customer_ids"] = subs("""
+SELECT customer_id, COUNT(*) AS n FROM subscriptions GROUP BY customer_id HAVING COUNT(*) > 1
+ORDER BY n DESC, customer_id""")
+
+ORACLE["row_count_gate"] = with_ctes("""
+SELECT table_name, expected_rows, lines,
+       CASE WHEN expected_rows IS NULL OR abs(lines - expected_rows) < 10 THEN 'OK' ELSE 'UNEXPECTED COUNT' END AS status
+FROM (SELECT 'subscriptions' AS table_name, (SELECT COUNT(*) FROM customer) AS expected_rows,
+             COUNT(*) + 1 AS lines FROM subscriptions
+      UNION ALL
+      SELECT 'exposures', (SELECT COUNT(*) FROM events), COUNT(*) + 1 FROM exposures) g""",
+    SUBSCRIPTIONS_CTE, EXPOSURES_CTE)
+
+ORACLE["load_verification_customers"] = subs(f"""
+SELECT COUNT(*) AS customers, COUNT(*) FILTER (WHERE churned = 'No') AS active,
+       COUNT(*) FILTER (WHERE churned = 'Yes') AS churned,
+       {rha(div("COUNT(*) FILTER (WHERE churned = 'Yes')", "COUNT(*)") + " * 100.0", 1)} AS churn_pct,
+       {rha(div("SUM(monthly_mrr)", "COUNT(monthly_mrr)"), 2)} AS avg_mrr,
+       CAST(ROUND(SUM(monthly_mrr), 0) AS DOUBLE) AS total_mrr
+FROM subscriptions""")
+
+ORACLE["load_verification_ab"] = expo(f"""
+SELECT grp, COUNT(*) AS users, {rha(div("SUM(converted)", "COUNT(converted)"), 4)} AS conversion_rate
+FROM exposures GROUP BY grp ORDER BY grp""")

@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.operators import cohorts, dashboard, experiment, quality, reports, workbook
+from retentio.operators import cohorts, dashboard, drivers, experiment, quality, reports, workbook
+from retentio.plans import loading
 from retentio.plans.catalog import Catalog
 
 CatalogQuery = Callable[[Catalog], DataFrame]
@@ -76,6 +77,17 @@ REGISTRY: dict[str, CatalogQuery] = {
     "ab_clean_summary": lambda c: experiment.clean_summary(c.exposures()),
     "ab_test_stats": lambda c: experiment.experiment_stats(c.exposures()),
     "ab_report_rows": lambda c: experiment.report_rows(c.exposures()),
+    # load path and load checks
+    "load_roundtrip_customers": loading.roundtrip_customers,
+    "load_roundtrip_customers_renamed": loading.roundtrip_customers_renamed,
+    "load_roundtrip_exposures": loading.roundtrip_exposures,
+    "pk_check": loading.pk_check,
+    "duplicate_customer_ids": loading.duplicate_customer_ids,
+    "row_count_gate": loading.row_count_gate,
+    "load_verification_customers": loading.verify_customers,
+    "load_verification_ab": loading.verify_exposures,
+    # churn drivers (model; no SQL oracle)
+    "churn_drivers": lambda c: drivers.churn_drivers(c.subscriptions()),
 }
 
 FLAGSHIP = "churn_by_lifecycle"

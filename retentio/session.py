@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 # size checked by Spark) and splits skewed shuffle partitions.
 BASE_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
