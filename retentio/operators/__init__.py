@@ -1 +1 @@
-"""retentio.operators"""
+"""Analytical operators (pure DataFrame -> DataFrame functions)."""

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentio.functions.expr import (
     LTV_EDGES_REFERENCE, cut_ordinal, lifecycle_stage, ltv_bin_labels, mean_of, money_double,
     rate, round_half_away,
 )
-from retentio.sources.literals import plan_dimension, with_plan_labels
+from retentio.sources.literals import literal_table, plan_dimension, with_plan_labels
 
 # KPI block labels and their number formats, in sheet order.
 KPI_ROWS = (
@@ -101,13 +102,15 @@ def ltv_distribution(subs: DataFrame, edges: Sequence[float] = LTV_EDGES_REFEREN
     the last edge and a null LTV are not counted)."""
     labels = ltv_bin_labels(edges)
     spark = subs.sparkSession
-    bins = spark.createDataFrame([(i + 1, lab) for i, lab in enumerate(labels)],
-                                 "bin_order int, ltv_range string")
+    bins = literal_table(spark, [(i + 1, lab) for i, lab in enumerate(labels)],
+                         T.StructType([T.StructField("bin_order", T.IntegerType()),
+                                       T.StructField("ltv_range", T.StringType())]))
     counts = (subs.where(F.col("lifetime_value").isNotNull())
               .select(cut_ordinal("lifetime_value", edges, include_lowest=True).alias("bin_order"))
               .where(F.col("bin_order").isNotNull())
               .groupBy("bin_order").agg(F.count(F.lit(1)).alias("customers")))
-    return (bins.join(counts, "bin_order", "left")
+    # counts has at most one row per bin (keys are bin numbers): broadcast-safe.
+    return (bins.join(F.broadcast(counts), "bin_order", "left")
             .select("bin_order", "ltv_range", F.coalesce("customers", F.lit(0)).alias("customers"))
             .orderBy("bin_order"))
 

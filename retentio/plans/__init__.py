@@ -1 +1 @@
-"""retentio.plans"""
+"""Catalog of inputs, query registry, DuckDB oracle SQL and batch runner."""

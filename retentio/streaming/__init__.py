@@ -1 +1,7 @@
-"""retentio.streaming"""
+"""Structured Streaming: the idempotent table load as an exactly-once file stream.
+
+The reference has no streaming analytics (all inputs are bounded snapshots);
+only its skip-if-loaded load step has a streaming form here.
+"""
+
+from retentio.streaming.ingest import ingest_files  # noqa: F401

@@ -1,0 +1,43 @@
+"""Idempotent incremental load on Structured Streaming.
+
+The reference's loader skips a table that already has rows, so re-running a
+load never duplicates data. The streaming form of that contract: a file source
+with a checkpoint in the shared folder and an ``availableNow`` trigger loads
+every source file exactly once — a re-run picks up only files that arrived
+since, and a restarted (or executor-lost) run resumes from the checkpoint.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from retentio.session import shared_dir
+
+
+def ingest_files(spark: SparkSession, source_dir: str, schema: T.StructType, target_dir: str,
+                 checkpoint_dir: str | None = None, fmt: str = "csv",
+                 options: dict | None = None, transform=None) -> int:
+    """Load new files from ``source_dir`` into the parquet table ``target_dir``.
+
+    ``transform`` (DataFrame -> DataFrame) is applied to the stream before the
+    sink. Returns the number of rows written in this run.
+    """
+    checkpoint_dir = checkpoint_dir or f"{shared_dir(spark).rstrip('/')}/ingest-checkpoint"
+    reader = spark.readStream.schema(schema).format(fmt)
+    for k, v in (options or {}).items():
+        reader = reader.option(k, v)
+    stream: DataFrame = reader.load(source_dir)
+    if transform is not None:
+        stream = transform(stream)
+    query = (stream.writeStream.format("parquet")
+             .option("checkpointLocation", checkpoint_dir)
+             .option("path", target_dir)
+             .trigger(availableNow=True)
+             .start())
+    query.awaitTermination()
+    written = 0
+    for progress in query.recentProgress:
+        written += int(progress.get("numInputRows", 0) if isinstance(progress, dict)
+                       else progress.numInputRows)
+    return written
