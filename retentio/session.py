@@ -48,15 +48,26 @@ def get_session(master: str | None = None, app_name: str = "retentio",
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir``. Only when the session has none (local runs,
-    tests) a fresh local folder is created and registered, so a cluster never ends
-    up writing to a machine-local temporary folder.
+    Read from ``spark.checkpoint.dir`` (or a checkpoint folder already set on the
+    context). Only when the session has none (local runs, tests) a fresh local
+    folder is registered with ``setCheckpointDir``, so a cluster never ends up
+    writing to a machine-local temporary folder. The setting itself is never
+    changed at run time (Spark rejects that for core settings).
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        try:
+            conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001 - not visible as a session setting
+            conf_dir = None
+    if not conf_dir:
+        conf_dir = sc.getCheckpointDir()
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="retentio-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+        sc.setCheckpointDir(conf_dir)
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
@@ -64,6 +75,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared folder (never reused, never cleared)."""
     base = shared_dir(spark)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
+    if "://" not in path or path.startswith("file:"):
+        os.makedirs(os.path.dirname(path.removeprefix("file:")), exist_ok=True)
     return path
