@@ -17,6 +17,7 @@ from retentio.functions.expr import (
     money_double, rate, risk_band, round_half_even, tenure_bucket, tenure_bucket_order, yes_flag,
 )
 from retentio.operators.stats import exact_percentiles
+from retentio.operators.common import order_aggregated
 from retentio.schemas import PLAN_DIMENSION
 
 PLAN_TYPES = tuple(p for p, _, _ in PLAN_DIMENSION)
@@ -35,14 +36,14 @@ def churn_by_plan_banded(subs: DataFrame) -> DataFrame:
     """Churn by plan, highest first, with the notebook's risk band (> 0.30, > 0.15)."""
     return (_churn_counts(subs, "plan_type")
             .withColumn("risk_band", risk_band("churn_rate", PLAN_BAND_THRESHOLDS))
-            .orderBy(F.desc("churn_rate")))
+            .transform(order_aggregated, F.desc("churn_rate")))
 
 
 def churn_by_payment_banded(subs: DataFrame) -> DataFrame:
     """Churn by payment method, lowest first, band thresholds > 0.30, > 0.20."""
     return (_churn_counts(subs, "payment_method")
             .withColumn("risk_band", risk_band("churn_rate", PAYMENT_BAND_THRESHOLDS))
-            .orderBy(F.asc("churn_rate")))
+            .transform(order_aggregated, F.asc("churn_rate")))
 
 
 def churn_by_lifecycle_nb(subs: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def churn_by_lifecycle_nb(subs: DataFrame) -> DataFrame:
     outside the bins has no stage and is left out."""
     staged = subs.withColumn("lifecycle_stage", lifecycle_stage("subscription_months", "notebook"))
     return (_churn_counts(staged.where(F.col("lifecycle_stage").isNotNull()), "lifecycle_stage")
-            .orderBy("lifecycle_stage"))
+            .transform(order_aggregated, "lifecycle_stage"))
 
 
 def mrr_by_plan_nb(subs: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def mrr_by_plan_nb(subs: DataFrame) -> DataFrame:
                  F.sum("monthly_mrr").alias("_s"), F.count("monthly_mrr").alias("_n"))
             .select("plan_type", "customers", money_double("_s").alias("total_mrr"),
                     mean_of(F.col("_s"), F.col("_n")).alias("avg_mrr"))
-            .orderBy(F.desc("total_mrr")))
+            .transform(order_aggregated, F.desc("total_mrr")))
 
 
 def _bucketed(subs: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def cohort_retention_long(subs: DataFrame) -> DataFrame:
     return (_bucketed(subs).groupBy("tenure_bucket", "bucket_order", "plan_type")
             .agg(_churn_pct(F.count_if(F.col("churned") == "Yes"), F.count(F.lit(1))).alias("churn_pct"))
             .withColumn("retention_pct", F.lit(100.0) - F.col("churn_pct"))
-            .orderBy("bucket_order", "plan_type"))
+            .transform(order_aggregated, "bucket_order", "plan_type"))
 
 
 def cohort_churn_matrix(subs: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def cohort_churn_matrix(subs: DataFrame) -> DataFrame:
         p = F.col("plan_type") == plan
         cells.append(_churn_pct(F.count_if(p & (F.col("churned") == "Yes")), F.count_if(p)).alias(plan))
     return (_bucketed(subs).groupBy("tenure_bucket", "bucket_order").agg(*cells)
-            .orderBy("bucket_order"))
+            .transform(order_aggregated, "bucket_order"))
 
 
 def cohort_retention_matrix(subs: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def cohort_retention_matrix(subs: DataFrame) -> DataFrame:
         b = F.col("tenure_bucket") == label
         churn = _churn_pct(F.count_if(b & (F.col("churned") == "Yes")), F.count_if(b))
         cells.append((F.lit(100.0) - churn).alias(label))
-    return _bucketed(subs).groupBy("plan_type").agg(*cells).orderBy("plan_type")
+    return _bucketed(subs).groupBy("plan_type").agg(*cells).transform(order_aggregated, "plan_type")
 
 
 def ltv_stats_by_plan(subs: DataFrame, method: str = "exact") -> DataFrame:
@@ -117,7 +118,7 @@ def ltv_stats_by_plan(subs: DataFrame, method: str = "exact") -> DataFrame:
                     round_half_even(mean_of(F.col("_s"), F.col("count")), 2).alias("mean"),
                     round_half_even(F.col("_sd"), 2).alias("std"),
                     "count")
-            .orderBy("plan_type"))
+            .transform(order_aggregated, "plan_type"))
 
 
 def ltv_histogram_by_plan(subs: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -140,7 +141,7 @@ def ltv_histogram_by_plan(subs: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFr
                     (F.col("lo") + width * (F.col("bin") - 1) / F.lit(float(bins))).alias("bin_start"),
                     (F.col("lo") + width * F.col("bin") / F.lit(float(bins))).alias("bin_end"),
                     "customers")
-            .orderBy("plan_type", "bin"))
+            .transform(order_aggregated, "plan_type", "bin"))
 
 
 def class_balance(subs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from retentio.functions.expr import (
 )
 from retentio.operators.measures import CARD_MEASURES, MEASURES, measure_query
 from retentio.schemas import PLAN_DIMENSION
+from retentio.operators.common import order_aggregated
 from retentio.sources.literals import plan_dimension, with_plan_labels
 
 # Gauge scale, target and alert rule of the churn gauge.
@@ -58,7 +59,7 @@ def bars_mrr_by_label(subs: DataFrame) -> DataFrame:
            .agg(F.count("plan_order").alias("plan_order_count")))
     return (dim.join(m, "plan_label", "left")
             .withColumn("tooltip", F.lit(MEASURES["total_mrr"].tooltip))
-            .orderBy(F.desc_nulls_last("total_mrr")))
+            .transform(order_aggregated, F.desc_nulls_last("total_mrr")))
 
 
 def bars_churn_by(subs: DataFrame, category: str) -> DataFrame:
@@ -68,7 +69,7 @@ def bars_churn_by(subs: DataFrame, category: str) -> DataFrame:
     band = risk_band("churn_rate", REPORT_BAND_THRESHOLDS, inclusive=True)
     return (m.withColumn("band", band)
             .withColumn("color", _band_color(F.col("band")))
-            .orderBy(F.desc("churn_rate")))
+            .transform(order_aggregated, F.desc("churn_rate")))
 
 
 def stage_plan_matrix(subs: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ verdict) is a column expression on that row — nothing is collected.
 
 Scale notes:
 * "first row per user" is ``min(struct(ts, event_id, ...))`` grouped by user —
-  a hash aggregate with map-side combine, so a user with a third of all rows
-  is reduced to one row per task before the shuffle (a row_number window would
-  sort that user's rows in one task);
+  an aggregate with a map-side partial step (sort-based, as the struct buffer
+  is not hash-aggregable), so a user with a third of all rows is reduced to one
+  row per task before the shuffle (a row_number window would sort all of that
+  user's rows in one task);
 * users in both arms: ``min(grp) <> max(grp)`` per user (partial aggregate,
   no distinct expansion), then a global count.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.functions.expr import effect_size_label, rate, round_half_away
+from retentio.operators.common import order_aggregated
 from retentio.functions.stats import normal_quantile, two_sided_p
 
 CONTROL, TREATMENT = "control", "treatment"
@@ -80,7 +82,7 @@ def split_check(expo: DataFrame, params: ExperimentParams = ExperimentParams())
     return (counts.withColumn("share", share)
             .withColumn("status", F.when(F.abs(F.col("share") - 0.5) < params.split_tolerance, SPLIT_OK)
                         .otherwise(SPLIT_WARNING))
-            .orderBy("grp"))
+            .transform(order_aggregated, "grp"))
 
 
 def contamination_check(expo: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def alignment_crosstab(expo: DataFrame) -> DataFrame:
     return (expo.where(F.col("grp").isNotNull() & F.col("landing_page").isNotNull())
             .groupBy("grp").pivot("landing_page", [NEW_PAGE, OLD_PAGE]).count()
             .na.fill(0, [NEW_PAGE, OLD_PAGE])
-            .orderBy("grp"))
+            .transform(order_aggregated, "grp"))
 
 
 def misaligned_summary(expo: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def misaligned_summary(expo: DataFrame) -> DataFrame:
 def misaligned_breakdown(expo: DataFrame) -> DataFrame:
     """Misaligned rows per (arm, page)."""
     return (expo.where(misaligned()).groupBy("grp", "landing_page")
-            .agg(F.count(F.lit(1)).alias("n")).orderBy("grp", "landing_page"))
+            .agg(F.count(F.lit(1)).alias("n")).transform(order_aggregated, "grp", "landing_page"))
 
 
 def group_rates(expo: DataFrame) -> DataFrame:
@@ -119,7 +121,7 @@ def group_rates(expo: DataFrame) -> DataFrame:
     return (expo.groupBy("grp", "landing_page")
             .agg(F.count("user_id").alias("users"), F.sum("converted").cast("long").alias("conversions"))
             .withColumn("rate", round_half_away(rate(F.col("conversions"), F.col("users")), 4))
-            .orderBy("grp", "landing_page"))
+            .transform(order_aggregated, "grp", "landing_page"))
 
 
 # ---------------------------------------------------------------------------
@@ -154,7 +156,7 @@ def clean_summary(expo: DataFrame) -> DataFrame:
     return (clean_exposures(expo).groupBy("grp")
             .agg(F.count("converted").alias("n"), F.sum("converted").cast("long").alias("conversions"))
             .withColumn("rate", round_half_away(rate(F.col("conversions"), F.col("n")), 4))
-            .orderBy("grp"))
+            .transform(order_aggregated, "grp"))
 
 
 # ---------------------------------------------------------------------------

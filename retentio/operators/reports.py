@@ -17,15 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.functions.expr import lifecycle_stage, mean_of, money_double, rate, round_half_away
+from retentio.operators.common import order_aggregated
 
 YES = "Yes"
 
 
+
 def customers_by_plan(subs: DataFrame) -> DataFrame:
     """Q1: customers per plan, largest first."""
     return (subs.groupBy("plan_type")
             .agg(F.count(F.lit(1)).alias("customer_count"))
-            .orderBy(F.desc("customer_count")))
+            .transform(order_aggregated, F.desc("customer_count")))
 
 
 def mrr_by_plan_all(subs: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def mrr_by_plan_all(subs: DataFrame) -> DataFrame:
             .select("plan_type", "customers",
                     money_double(F.round(F.col("_sum"), 0)).alias("total_mrr"),
                     round_half_away(mean_of(F.col("_sum"), F.col("_n")), 2).alias("avg_mrr_per_customer"))
-            .orderBy(F.desc("total_mrr")))
+            .transform(order_aggregated, F.desc("total_mrr")))
 
 
 def newest_customers(subs: DataFrame, max_months: int = 6, limit: int = 20) -> DataFrame:
@@ -73,7 +75,7 @@ def churn_by_lifecycle(subs: DataFrame) -> DataFrame:
                  F.count_if(F.col("churned") == YES).alias("churned_count"))
             .withColumn("churn_rate_pct",
                         round_half_away(F.col("churned_count") * F.lit(100.0) / F.col("customers"), 1))
-            .orderBy(F.desc("churn_rate_pct")))
+            .transform(order_aggregated, F.desc("churn_rate_pct")))
 
 
 def _avg_ltv_scalar(subs: DataFrame):
@@ -95,7 +97,7 @@ def ltv_by_lifecycle_vs_overall(subs: DataFrame) -> DataFrame:
                     round_half_away(avg_ltv, 2).alias("avg_ltv"),
                     round_half_away(overall, 2).alias("overall_avg_ltv"),
                     round_half_away(avg_ltv - overall, 2).alias("delta_vs_overall"))
-            .orderBy(F.desc("avg_ltv")))
+            .transform(order_aggregated, F.desc("avg_ltv")))
 
 
 def high_value_churned(subs: DataFrame, limit: int = 25) -> DataFrame:
@@ -128,4 +130,4 @@ def ab_summary(expo: DataFrame) -> DataFrame:
                  F.sum("converted").cast("long").alias("conversions"))
             .withColumn("conversion_rate_pct",
                         round_half_away(rate(F.col("conversions") * F.lit(100.0), F.col("users")), 2))
-            .orderBy("test_group", "landing_page"))
+            .transform(order_aggregated, "test_group", "landing_page"))

@@ -91,11 +91,16 @@ def _distributed(base: DataFrame, by: list[str], probs: list[float]) -> DataFram
               .where((F.col("_r") >= F.col("_before") + F.col("_upto") - F.col("_c"))
                      & (F.col("_r") < F.col("_before") + F.col("_upto")))
               .select(*key, "_pi", "_side", "_h", "_v"))
-    per_prob = (picked.groupBy(*key, "_pi")
-                .agg(F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_lo"),
-                     F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_hi"),
-                     F.first("_h").alias("_h")))
-    frac = F.col("_h") - F.floor(F.col("_h"))
-    per_prob = per_prob.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac)
-    cols = [F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(_name(p)) for i, p in enumerate(probs)]
-    return per_prob.groupBy(*key).agg(*cols) if key else per_prob.agg(*cols)
+    # One aggregation per group: the two neighbouring values of every target rank.
+    parts = []
+    for i, _ in enumerate(probs):
+        at = F.col("_pi") == i
+        parts += [F.max(F.when(at & (F.col("_side") == "lo"), F.col("_v"))).alias(f"_lo{i}"),
+                  F.max(F.when(at & (F.col("_side") == "hi"), F.col("_v"))).alias(f"_hi{i}"),
+                  F.max(F.when(at, F.col("_h"))).alias(f"_h{i}")]
+    ends = picked.groupBy(*key).agg(*parts) if key else picked.agg(*parts)
+    out = []
+    for i, p in enumerate(probs):
+        lo, hi, h = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_h{i}")
+        out.append((lo + (hi - lo) * (h - F.floor(h))).alias(_name(p)))
+    return ends.select(*key, *out)

@@ -12,6 +12,7 @@ from retentio.functions.expr import (
     LTV_EDGES_REFERENCE, cut_ordinal, lifecycle_stage, ltv_bin_labels, mean_of, money_double,
     rate, round_half_away,
 )
+from retentio.operators.common import order_aggregated
 from retentio.sources.literals import literal_table, plan_dimension, with_plan_labels
 
 # KPI block labels and their number formats, in sheet order.
@@ -86,14 +87,14 @@ def active_mrr_by_plan_label(subs: DataFrame) -> DataFrame:
            .agg(F.sum("monthly_mrr").alias("_s")))
     return (with_plan_labels(agg)
             .select("plan_order", "plan_label", money_double("_s").alias("total_mrr"))
-            .orderBy("plan_order"))
+            .transform(order_aggregated, "plan_order"))
 
 
 def churn_by_plan_label(subs: DataFrame) -> DataFrame:
     """Chart table: churn rate per plan, labelled, in plan order."""
     agg = (subs.groupBy("plan_type")
            .agg(rate(F.count_if(F.col("churned") == "Yes"), F.count(F.lit(1))).alias("churn_rate")))
-    return with_plan_labels(agg).select("plan_order", "plan_label", "churn_rate").orderBy("plan_order")
+    return with_plan_labels(agg).select("plan_order", "plan_label", "churn_rate").transform(order_aggregated, "plan_order")
 
 
 def ltv_distribution(subs: DataFrame, edges: Sequence[float] = LTV_EDGES_REFERENCE) -> DataFrame:
@@ -112,7 +113,7 @@ def ltv_distribution(subs: DataFrame, edges: Sequence[float] = LTV_EDGES_REFEREN
     # counts has at most one row per bin (keys are bin numbers): broadcast-safe.
     return (bins.join(F.broadcast(counts), "bin_order", "left")
             .select("bin_order", "ltv_range", F.coalesce("customers", F.lit(0)).alias("customers"))
-            .orderBy("bin_order"))
+            .transform(order_aggregated, "bin_order"))
 
 
 def plan_dimension_usage(subs: DataFrame) -> DataFrame:
@@ -122,4 +123,4 @@ def plan_dimension_usage(subs: DataFrame) -> DataFrame:
     return (plan_dimension(subs.sparkSession).join(counts, "plan_type", "left")
             .select("plan_type", "plan_order", "plan_label",
                     F.coalesce("customers", F.lit(0)).alias("customers"))
-            .orderBy("plan_order"))
+            .transform(order_aggregated, "plan_order"))

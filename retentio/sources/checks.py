@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentio.functions.expr import mean_of, rate, round_half_away
+from retentio.operators.common import order_aggregated
 
 # Row-count gate rule (tolerance in lines) and its status texts.
 GATE_TOLERANCE = 10
 GATE_OK, GATE_BAD = "OK", "UNEXPECTED COUNT"
 
 
+
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, with their count."""
     return (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -75,4 +77,4 @@ def verify_exposures(expo: DataFrame) -> DataFrame:
     return (expo.groupBy("grp")
             .agg(F.count(F.lit(1)).alias("users"), F.sum("converted").alias("_c"), F.count("converted").alias("_n"))
             .select("grp", "users", round_half_away(mean_of(F.col("_c"), F.col("_n")), 4).alias("conversion_rate"))
-            .orderBy("grp"))
+            .transform(order_aggregated, "grp"))
