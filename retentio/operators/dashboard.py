@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from retentio.functions.expr import (
     BAND_LABELS, REPORT_BAND_COLORS, REPORT_BAND_THRESHOLDS, lifecycle_stage, mean_of, rate,
-    risk_band,
+    risk_band, round_half_away,
 )
 from retentio.operators.measures import CARD_MEASURES, MEASURES, measure_query
 from retentio.schemas import PLAN_DIMENSION
@@ -95,6 +95,33 @@ def tenure_mrr_scatter(subs: DataFrame) -> DataFrame:
                     mean_of(F.col("_s"), F.col("_n")).alias("avg_mrr"), "customers"))
 
 
+def format_measure(value: F.Column, format_string: str) -> F.Column:
+    """Display text of a measure value for the report's format strings (the value
+    is rounded half away from zero first, so the text never depends on a tie rule)."""
+    if format_string == '"$" #,##0':
+        return F.concat(F.lit("$"), F.format_number(round_half_away(value, 0), 0))
+    if format_string == "0.00%":
+        return F.concat(F.format_number(round_half_away(value * 100.0, 2), 2), F.lit("%"))
+    if format_string == '0.0 "mths"':
+        return F.concat(F.format_number(round_half_away(value, 1), 1), F.lit(" mths"))
+    if format_string == "0.0":
+        return F.format_number(round_half_away(value, 1), 1)
+    raise ValueError(format_string)
+
+
+def kpi_cards_display(subs: DataFrame) -> DataFrame:
+    """The six KPI cards as rows: label, value, formatted text and tooltip text
+    (one aggregation pass, then an unpivot of the single row)."""
+    cards = kpi_cards(subs)
+    rows = F.array(*[
+        F.struct(F.lit(i + 1).alias("card_order"), F.lit(MEASURES[m].label).alias("measure"),
+                 F.col(m).alias("value"),
+                 format_measure(F.col(m), MEASURES[m].format_string).alias("display"),
+                 F.lit(MEASURES[m].tooltip).alias("tooltip"))
+        for i, m in enumerate(CARD_MEASURES)])
+    return cards.select(F.inline(rows))
+
+
 def churn_gauge(subs: DataFrame) -> DataFrame:
     """Churn Rate % on a 0-0.5 gauge with target 0.20; alert when >= target."""
     m = measure_query(report_facts(subs), ["churn_rate"])

@@ -497,7 +497,6 @@ _ZC = NormalDist().inv_cdf(1 - (1 - _CI) / 2)
 _K = 2.0 * (_ZA + _ZB) * (_ZA + _ZB)
 _M = _MDE * _MDE
 _SQRT2 = math.sqrt(2.0)
-_ERFC = "((1.0 / (1.0 + {p} * x)) * ({a1} + (1.0 / (1.0 + {p} * x)) * ({a2} + (1.0 / (1.0 + {p} * x)) * ({a3} + (1.0 / (1.0 + {p} * x)) * ({a4} + (1.0 / (1.0 + {p} * x)) * {a5})))) * exp(-(x * x)))"
 
 
 def _erfc(x: str) -> str:
@@ -624,3 +623,22 @@ FROM subscriptions""")
 ORACLE["load_verification_ab"] = expo(f"""
 SELECT grp, COUNT(*) AS users, {rha(div("SUM(converted)", "COUNT(converted)"), 4)} AS conversion_rate
 FROM exposures GROUP BY grp ORDER BY grp""")
+
+_CARD_TEXT = [
+    ("total_mrr", "Total MRR", lambda v: f"'$' || format('{{:,.0f}}', {rha(v, 0)})",
+     "Active subscriber revenue only. Churned customers are excluded from this total."),
+    ("churn_rate", "Churn Rate %", lambda v: f"format('{{:,.2f}}', {rha(v + ' * 100.0', 2)}) || '%'",
+     "% of all customers (active + churned) who have cancelled. Baseline health indicator."),
+    ("avg_ltv", "Avg LTV", lambda v: f"'$' || format('{{:,.0f}}', {rha(v, 0)})",
+     "Average lifetime revenue per customer across all records, including churned. Reflects full revenue capture."),
+    ("avg_tenure_months", "Avg Tenure Months", lambda v: f"format('{{:,.1f}}', {rha(v, 1)}) || ' mths'",
+     "Average months subscribed, active customers only. Higher = stronger retention."),
+    ("at_risk_mrr", "At-Risk MRR", lambda v: f"'$' || format('{{:,.0f}}', {rha(v, 0)})",
+     "Revenue from subscribers in their first 6 months — the highest churn-risk window. Monitor closely."),
+    ("ltv_mrr_ratio", "LTV MRR Ratio", lambda v: f"format('{{:,.1f}}', {rha(v, 1)})",
+     "Avg LTV ÷ Avg MRR. Indicates how many months of revenue the typical customer generates. ~35x = healthy for SaaS."),
+]
+ORACLE["kpi_cards_display"] = report("\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS card_order, '{label}' AS measure, {col} AS value, {fmt(col)} AS display, "
+    f"'{tip}' AS tooltip FROM cards"
+    for i, (col, label, fmt, tip) in enumerate(_CARD_TEXT)), f"cards AS (SELECT {CARD_SELECT} FROM f)")

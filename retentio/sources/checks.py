@@ -78,3 +78,20 @@ def verify_exposures(expo: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("users"), F.sum("converted").alias("_c"), F.count("converted").alias("_n"))
             .select("grp", "users", round_half_away(mean_of(F.col("_c"), F.col("_n")), 4).alias("conversion_rate"))
             .transform(order_aggregated, "grp"))
+
+
+def file_line_gate(spark, files: Mapping[str, str],
+                   expected: Mapping[str, int | None] | None = None) -> DataFrame:
+    """Row-count gate on source files: lines of each file (header included)
+    against the expected row count (default: the original files' counts).
+    One line-count job per file."""
+    from retentio.schemas import EXPECTED_SOURCE_ROWS
+    exp = dict(EXPECTED_SOURCE_ROWS if expected is None else expected)
+    parts = [spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"))
+             .select(F.lit(name).alias("file_name"), F.lit(exp.get(name)).cast("long").alias("expected_rows"),
+                     "lines")
+             for name, path in files.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("status", gate_status(F.col("lines"), F.col("expected_rows")))

@@ -124,3 +124,12 @@ def test_streaming_ingest_is_exactly_once(spark, tmp_dir):
                                  "3,2017-01-02 00:00:01,treatment,new_page,0"])
     assert ingest_files(spark, src, AB_TEST_SCHEMA, out, ck, options=opts) == 2
     assert spark.read.parquet(out).agg(F.count("*")).collect()[0][0] == 3
+
+
+def test_file_line_gate_counts_header_line(spark, tmp_dir):
+    _write_text(f"{tmp_dir}/f1.csv", ["h"] + [str(i) for i in range(100)])        # 101 lines
+    _write_text(f"{tmp_dir}/f2.csv", ["h"] + [str(i) for i in range(89)])         # 90 lines
+    got = {r.file_name: (r.lines, r.status) for r in checks.file_line_gate(
+        spark, {"f1.csv": f"{tmp_dir}/f1.csv", "f2.csv": f"{tmp_dir}/f2.csv", "f3.csv": f"{tmp_dir}/f1.csv"},
+        {"f1.csv": 100, "f2.csv": 100}).collect()}
+    assert got == {"f1.csv": (101, "OK"), "f2.csv": (90, "UNEXPECTED COUNT"), "f3.csv": (101, "OK")}
