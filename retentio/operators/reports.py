@@ -87,16 +87,17 @@ def _avg_ltv_scalar(subs: DataFrame):
 
 def ltv_by_lifecycle_vs_overall(subs: DataFrame) -> DataFrame:
     """Q6: average LTV per stage against the overall average; the delta is
-    rounded after the subtraction."""
-    overall = _avg_ltv_scalar(subs)
+    rounded after the subtraction. The overall average is a scalar subquery,
+    bound to a column once."""
     staged = subs.where(F.col("lifetime_value").isNotNull())
-    avg_ltv = mean_of(F.col("_sum"), F.col("customers"))
     return (staged.groupBy(lifecycle_stage("subscription_months", "closed").alias("stage"))
             .agg(F.count(F.lit(1)).alias("customers"), F.sum("lifetime_value").alias("_sum"))
+            .select("stage", "customers", mean_of(F.col("_sum"), F.col("customers")).alias("_avg"),
+                    _avg_ltv_scalar(subs).alias("_overall"))
             .select("stage", "customers",
-                    round_half_away(avg_ltv, 2).alias("avg_ltv"),
-                    round_half_away(overall, 2).alias("overall_avg_ltv"),
-                    round_half_away(avg_ltv - overall, 2).alias("delta_vs_overall"))
+                    round_half_away(F.col("_avg"), 2).alias("avg_ltv"),
+                    round_half_away(F.col("_overall"), 2).alias("overall_avg_ltv"),
+                    round_half_away(F.col("_avg") - F.col("_overall"), 2).alias("delta_vs_overall"))
             .transform(order_aggregated, F.desc("avg_ltv")))
 
 
