@@ -99,3 +99,11 @@ def test_snake_case_rule():
     assert [to_snake(c) for c in ["PaymentMethod", "InternetService", "StreamingTV", "SeniorCitizen",
                                   "gender", "customer_id"]] == [
         "payment_method", "internet_service", "streaming_tv", "senior_citizen", "gender", "customer_id"]
+
+
+def test_scale_conf_sizes_partitions():
+    from retentio.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4, executor_cores_total=8000)
+    n = int(c["spark.sql.shuffle.partitions"])
+    assert n % 8000 == 0 and 100 * 1024 ** 4 / n <= 256 * 1024 ** 2
+    assert scale_conf(10 ** 6)["spark.sql.shuffle.partitions"] == "200"
