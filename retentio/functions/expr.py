@@ -45,16 +45,35 @@ SNAKE_PATTERN = r"(?<=[a-z])(?=[A-Z])"
 
 
 def col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return F.expr(c) if isinstance(c, str) else c
 
 
+def sql_str(v: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_num(v: float) -> str:
+    """A Spark SQL numeric literal: integers stay integral, other values are doubles."""
+    if isinstance(v, int):
+        return str(v)
+    return f"{float(v)!r}D"
+
+
+# Every helper takes either SQL expression text (``str``: a column name or any
+# expression; the whole result is built with ONE ``F.expr`` call, parsed in the
+# JVM) or a ``Column``. Double literals in expression text carry a ``D``
+# suffix so arithmetic stays in DOUBLE (a bare ``100.0`` is a DECIMAL in Spark SQL).
+
 # ---------------------------------------------------------------------------
 # Flags and stages
 # ---------------------------------------------------------------------------
 
 def yes_flag(c: str | Column) -> Column:
     """'Yes' -> 1, anything else -> 0 (P5)."""
-    return (col(c) == F.lit("Yes")).cast("int")
+    if isinstance(c, str):
+        return F.expr(f"CAST(({c}) = 'Yes' AS INT)")
+    return (c == F.lit("Yes")).cast("int")
 
 
 def lifecycle_stage(months: str | Column = "subscription_months", rule: str = "closed",
@@ -65,17 +84,30 @@ def lifecycle_stage(months: str | Column = "subscription_months", rule: str = "c
     ``rule="half_open"``: <  6, <  24 (workbook and report)
     ``rule="notebook"`` : right-closed bins (-1, 6], (6, 24], (24, 999]; outside -> null
     """
-    m = col(months)
     lo, hi = STAGE_BOUNDS
-    if rule == "closed":
-        a, b, c = labels or STAGE_LABELS_SQL
-        return F.when(m <= lo, a).when(m <= hi, b).otherwise(c)
-    if rule == "half_open":
-        a, b, c = labels or STAGE_LABELS_REPORT
-        return F.when(m < lo, a).when(m < hi, b).otherwise(c)
     if rule == "notebook":
-        return cut(m, STAGE_NOTEBOOK_EDGES, labels or STAGE_LABELS_NOTEBOOK)
-    raise ValueError(f"unknown stage rule {rule!r}")
+        return cut(months, STAGE_NOTEBOOK_EDGES, labels or STAGE_LABELS_NOTEBOOK)
+    if rule not in ("closed", "half_open"):
+        raise ValueError(f"unknown stage rule {rule!r}")
+    op = "<=" if rule == "closed" else "<"
+    a, b, c = labels or (STAGE_LABELS_SQL if rule == "closed" else STAGE_LABELS_REPORT)
+    if isinstance(months, str):
+        m = f"({months})"
+        return F.expr(f"CASE WHEN {m} {op} {lo} THEN {sql_str(a)} WHEN {m} {op} {hi} THEN {sql_str(b)} "
+                      f"ELSE {sql_str(c)} END")
+    if rule == "closed":
+        return F.when(months <= lo, a).when(months <= hi, b).otherwise(c)
+    return F.when(months < lo, a).when(months < hi, b).otherwise(c)
+
+
+def _cut_sql(x: str, edges: Sequence[float], outs: Sequence[str], include_lowest: bool) -> str:
+    v = f"({x})"
+    whens = []
+    for i, out in enumerate(outs):
+        lo, hi = sql_num(edges[i]), sql_num(edges[i + 1])
+        low_op = ">=" if i == 0 and include_lowest else ">"
+        whens.append(f"WHEN {v} {low_op} {lo} AND {v} <= {hi} THEN {out}")
+    return "CASE " + " ".join(whens) + " END"
 
 
 def cut(x: str | Column, edges: Sequence[float], labels: Sequence[str],
@@ -86,19 +118,20 @@ def cut(x: str | Column, edges: Sequence[float], labels: Sequence[str],
     """
     if len(labels) != len(edges) - 1:
         raise ValueError("need one label per bin")
-    v = col(x)
+    if isinstance(x, str):
+        return F.expr(_cut_sql(x, edges, [sql_str(lab) for lab in labels], include_lowest))
     expr = None
     for i, label in enumerate(labels):
         lo, hi = edges[i], edges[i + 1]
-        cond = (v > lo) & (v <= hi)
-        if i == 0 and include_lowest:
-            cond = (v >= lo) & (v <= hi)
+        cond = (x >= lo) & (x <= hi) if i == 0 and include_lowest else (x > lo) & (x <= hi)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return expr
 
 
 def cut_ordinal(x: str | Column, edges: Sequence[float], include_lowest: bool = False) -> Column:
-    """1-based bin number for the same bins as :func:`cut` (null outside)."""
+    """1-based bin number (INT) for the same bins as :func:`cut` (null outside)."""
+    if isinstance(x, str):
+        return F.expr(_cut_sql(x, edges, [str(i + 1) for i in range(len(edges) - 1)], include_lowest))
     return cut(x, edges, [str(i + 1) for i in range(len(edges) - 1)], include_lowest).cast("int")
 
 
@@ -132,19 +165,30 @@ def risk_band(rate: str | Column, thresholds: Sequence[float] = PLAN_BAND_THRESH
 
     ``inclusive=True`` uses >= (report rules, which also bound the rate to [0, 1]).
     """
-    r = col(rate)
     hi, mid = thresholds
     high, medium, low = labels
+    if isinstance(rate, str):
+        r, h, m = f"({rate})", f"{float(hi)!r}D", f"{float(mid)!r}D"
+        if inclusive:
+            return F.expr(f"CASE WHEN {r} >= {h} AND {r} <= 1 THEN {sql_str(high)} "
+                          f"WHEN {r} >= {m} AND {r} < {h} THEN {sql_str(medium)} "
+                          f"WHEN {r} >= 0 AND {r} < {m} THEN {sql_str(low)} END")
+        return F.expr(f"CASE WHEN {r} > {h} THEN {sql_str(high)} WHEN {r} > {m} THEN {sql_str(medium)} "
+                      f"ELSE {sql_str(low)} END")
     if inclusive:
-        return (F.when((r >= hi) & (r <= 1), high)
-                .when((r >= mid) & (r < hi), medium)
-                .when((r >= 0) & (r < mid), low))
-    return F.when(r > hi, high).when(r > mid, medium).otherwise(low)
+        return (F.when((rate >= hi) & (rate <= 1), high)
+                .when((rate >= mid) & (rate < hi), medium)
+                .when((rate >= 0) & (rate < mid), low))
+    return F.when(rate > hi, high).when(rate > mid, medium).otherwise(low)
 
 
 def effect_size_label(h: str | Column) -> Column:
     """Cohen's h magnitude label on |h|: <0.2 negligible, <0.5 small, <0.8 medium."""
-    a = F.abs(col(h))
+    if isinstance(h, str):
+        a = f"abs({h})"
+        return F.expr(f"CASE WHEN {a} < 0.2D THEN 'negligible' WHEN {a} < 0.5D THEN 'small' "
+                      f"WHEN {a} < 0.8D THEN 'medium' ELSE 'large' END")
+    a = F.abs(h)
     return (F.when(a < 0.2, "negligible").when(a < 0.5, "small")
             .when(a < 0.8, "medium").otherwise("large"))
 
@@ -153,6 +197,13 @@ def effect_size_label(h: str | Column) -> Column:
 # Arithmetic
 # ---------------------------------------------------------------------------
 
+def round_half_away_sql(x: str, digits: int) -> str:
+    v = f"CAST(({x}) AS DOUBLE)"
+    s = f"{float(10 ** digits)!r}D"
+    return (f"CASE WHEN {v} < 0 THEN -FLOOR(-{v} * {s} + 0.5D) / {s} "
+            f"ELSE FLOOR({v} * {s} + 0.5D) / {s} END")
+
+
 def round_half_away(x: str | Column, digits: int) -> Column:
     """Round a double half away from zero (SQL ``ROUND(numeric, d)`` semantics).
 
@@ -160,7 +211,9 @@ def round_half_away(x: str | Column, digits: int) -> Column:
     operations; Spark's own ``round`` on doubles rounds the shortest decimal text
     instead and can differ at near-ties.
     """
-    v = col(x).cast("double")
+    if isinstance(x, str):
+        return F.expr(round_half_away_sql(x, digits))
+    v = x.cast("double")
     s = float(10 ** digits)
     return (F.when(v < 0, -F.floor(-v * s + 0.5) / s)
             .otherwise(F.floor(v * s + 0.5) / s))
@@ -169,22 +222,30 @@ def round_half_away(x: str | Column, digits: int) -> Column:
 def round_half_even(x: str | Column, digits: int) -> Column:
     """numpy/pandas ``round(d)``: rint(x * 10^d) / 10^d."""
     s = float(10 ** digits)
-    return F.rint(col(x).cast("double") * s) / s
+    if isinstance(x, str):
+        return F.expr(f"rint(CAST(({x}) AS DOUBLE) * {s!r}D) / {s!r}D")
+    return F.rint(x.cast("double") * s) / s
 
 
 def money_double(x: str | Column) -> Column:
     """Decimal money -> double, done last so sums stay exact."""
-    return col(x).cast("double")
+    return F.expr(f"CAST(({x}) AS DOUBLE)") if isinstance(x, str) else x.cast("double")
+
+
+def mean_sql(sum_expr: str, count_expr: str) -> str:
+    return f"try_divide(CAST(({sum_expr}) AS DOUBLE), CAST(({count_expr}) AS DOUBLE))"
 
 
-def mean_of(sum_col: Column, count_col: Column) -> Column:
+def mean_of(sum_col: str | Column, count_col: str | Column) -> Column:
     """Mean from an exact (decimal or integral) sum and a count, as double."""
-    return F.try_divide(sum_col.cast("double"), count_col.cast("double"))
+    if isinstance(sum_col, str) and isinstance(count_col, str):
+        return F.expr(mean_sql(sum_col, count_col))
+    return F.try_divide(col(sum_col).cast("double"), col(count_col).cast("double"))
 
 
-def rate(numerator: Column, denominator: Column) -> Column:
+def rate(numerator: str | Column, denominator: str | Column) -> Column:
     """Safe ratio: null (blank) instead of an error when the denominator is 0."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    return mean_of(numerator, denominator)
 
 
 def to_snake(name: str) -> str:
@@ -194,5 +255,6 @@ def to_snake(name: str) -> str:
 
 def blank_to_null(c: str | Column) -> Column:
     """Whitespace-only text -> null (S4)."""
-    v = col(c)
-    return F.when(F.trim(v) != "", v)
+    if isinstance(c, str):
+        return F.expr(f"CASE WHEN trim({c}) != '' THEN {c} END")
+    return F.when(F.trim(c) != "", c)

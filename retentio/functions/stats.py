@@ -45,3 +45,12 @@ def erfc_python(x: float) -> float:
     a1, a2, a3, a4, a5 = ERFC_A
     y = t * (a1 + t * (a2 + t * (a3 + t * (a4 + t * a5)))) * math.exp(-ax * ax)
     return y if x >= 0 else 2.0 - y
+
+
+def two_sided_p_sql(z: str) -> str:
+    """SQL text of :func:`two_sided_p` (same operations, same order)."""
+    x = f"(abs({z}) / {math.sqrt(2.0)!r}D)"
+    t = f"(1.0D / (1.0D + {ERFC_P!r}D * {x}))"
+    a1, a2, a3, a4, a5 = (f"{a!r}D" for a in ERFC_A)
+    poly = f"({t} * ({a1} + {t} * ({a2} + {t} * ({a3} + {t} * ({a4} + {t} * {a5})))))"
+    return f"({poly} * exp(-({x} * {x})))"

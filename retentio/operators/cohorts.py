@@ -9,12 +9,12 @@ aggregate proves small).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentio.functions.expr import (
-    PAYMENT_BAND_THRESHOLDS, PLAN_BAND_THRESHOLDS, TENURE_LABELS, lifecycle_stage, mean_of,
-    money_double, rate, risk_band, round_half_even, tenure_bucket, tenure_bucket_order, yes_flag,
+    PAYMENT_BAND_THRESHOLDS, PLAN_BAND_THRESHOLDS, TENURE_LABELS, lifecycle_stage, mean_of, mean_sql,
+    money_double, rate, risk_band, round_half_even, sql_str, tenure_bucket, tenure_bucket_order,
 )
 from retentio.operators.stats import exact_percentiles
 from retentio.operators.common import order_aggregated
@@ -27,9 +27,9 @@ HISTOGRAM_BINS = 40
 def _churn_counts(df: DataFrame, key: str | Column) -> DataFrame:
     """churned (sum of flags), total (count) and churn_rate (mean) per key."""
     return (df.groupBy(key)
-            .agg(F.sum(yes_flag("churned")).cast("long").alias("churned"),
+            .agg(F.expr("CAST(sum(CAST(churned = 'Yes' AS INT)) AS BIGINT)").alias("churned"),
                  F.count(F.lit(1)).alias("total"))
-            .withColumn("churn_rate", rate(F.col("churned"), F.col("total"))))
+            .withColumn("churn_rate", rate("churned", "total")))
 
 
 def churn_by_plan_banded(subs: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def mrr_by_plan_nb(subs: DataFrame) -> DataFrame:
             .agg(F.count("customer_id").alias("customers"),
                  F.sum("monthly_mrr").alias("_s"), F.count("monthly_mrr").alias("_n"))
             .select("plan_type", "customers", money_double("_s").alias("total_mrr"),
-                    mean_of(F.col("_s"), F.col("_n")).alias("avg_mrr"))
+                    mean_of("_s", "_n").alias("avg_mrr"))
             .transform(order_aggregated, F.desc("total_mrr")))
 
 
@@ -71,17 +71,18 @@ def _bucketed(subs: DataFrame) -> DataFrame:
             .where(F.col("tenure_bucket").isNotNull()))
 
 
-def _churn_pct(yes: Column, total: Column) -> Column:
-    """round(100 * mean(flag), 1) with numpy rounding; null for an empty cell."""
-    return round_half_even(rate(yes, total) * F.lit(100.0), 1)
+def _churn_pct(yes: str, total: str) -> Column:
+    """round(100 * mean(flag), 1) with numpy rounding; null for an empty cell
+    (``yes`` / ``total`` are aggregate expressions)."""
+    return round_half_even(f"{mean_sql(yes, total)} * 100.0D", 1)
 
 
 def cohort_retention_long(subs: DataFrame) -> DataFrame:
     """Tenure bucket x plan (observed cells only): churn % and retention
     (100 minus the already rounded churn %)."""
     return (_bucketed(subs).groupBy("tenure_bucket", "bucket_order", "plan_type")
-            .agg(_churn_pct(F.count_if(F.col("churned") == "Yes"), F.count(F.lit(1))).alias("churn_pct"))
-            .withColumn("retention_pct", F.lit(100.0) - F.col("churn_pct"))
+            .agg(_churn_pct("count_if(churned = 'Yes')", "count(1)").alias("churn_pct"))
+            .withColumn("retention_pct", F.expr("100.0D - churn_pct"))
             .transform(order_aggregated, "bucket_order", "plan_type"))
 
 
@@ -89,8 +90,8 @@ def cohort_churn_matrix(subs: DataFrame) -> DataFrame:
     """Churn % matrix: one row per tenure bucket, one column per plan type."""
     cells = []
     for plan in PLAN_TYPES:
-        p = F.col("plan_type") == plan
-        cells.append(_churn_pct(F.count_if(p & (F.col("churned") == "Yes")), F.count_if(p)).alias(plan))
+        p = f"plan_type = {sql_str(plan)}"
+        cells.append(_churn_pct(f"count_if({p} AND churned = 'Yes')", f"count_if({p})").alias(plan))
     return (_bucketed(subs).groupBy("tenure_bucket", "bucket_order").agg(*cells)
             .transform(order_aggregated, "bucket_order"))
 
@@ -99,8 +100,8 @@ def cohort_retention_matrix(subs: DataFrame) -> DataFrame:
     """Retention % heat map (transposed): one row per plan, one column per bucket."""
     cells = []
     for label in TENURE_LABELS:
-        b = F.col("tenure_bucket") == label
-        churn = _churn_pct(F.count_if(b & (F.col("churned") == "Yes")), F.count_if(b))
+        b = f"tenure_bucket = {sql_str(label)}"
+        churn = _churn_pct(f"count_if({b} AND churned = 'Yes')", f"count_if({b})")
         cells.append((F.lit(100.0) - churn).alias(label))
     return _bucketed(subs).groupBy("plan_type").agg(*cells).transform(order_aggregated, "plan_type")
 
@@ -114,9 +115,9 @@ def ltv_stats_by_plan(subs: DataFrame, method: str = "exact") -> DataFrame:
     med = exact_percentiles(ltv, "lifetime_value", ["plan_type"], [0.5], method=method)
     return (moments.join(med, "plan_type", "left")
             .select("plan_type",
-                    round_half_even(F.col("p50"), 2).alias("median"),
-                    round_half_even(mean_of(F.col("_s"), F.col("count")), 2).alias("mean"),
-                    round_half_even(F.col("_sd"), 2).alias("std"),
+                    round_half_even("p50", 2).alias("median"),
+                    round_half_even(mean_sql("_s", "count"), 2).alias("mean"),
+                    round_half_even("_sd", 2).alias("std"),
                     "count")
             .transform(order_aggregated, "plan_type"))
 
@@ -125,22 +126,20 @@ def ltv_histogram_by_plan(subs: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFr
     """Equal-width histogram of LTV per plan over that plan's own min-max range,
     last bin closed (a plan whose values are all equal uses min-0.5 .. max+0.5).
     Non-empty bins only."""
-    v = F.col("lifetime_value").cast("double")
-    ltv = subs.where(F.col("lifetime_value").isNotNull()).select("plan_type", v.alias("v"))
+    ltv = (subs.where(F.col("lifetime_value").isNotNull())
+           .select("plan_type", F.expr("CAST(lifetime_value AS DOUBLE)").alias("v")))
     rng = (ltv.groupBy("plan_type").agg(F.min("v").alias("_mn"), F.max("v").alias("_mx"))
-           .select("plan_type",
-                   F.when(F.col("_mx") == F.col("_mn"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
-                   F.when(F.col("_mx") == F.col("_mn"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi")))
-    width = F.col("hi") - F.col("lo")
-    binned = ltv.join(rng, "plan_type").select(
-        "plan_type", "lo", "hi",
-        F.least(F.lit(bins).cast("long"),
-                F.floor((F.col("v") - F.col("lo")) * F.lit(float(bins)) / width) + 1).cast("int").alias("bin"))
+           .selectExpr("plan_type",
+                       "CASE WHEN _mx = _mn THEN _mn - 0.5D ELSE _mn END AS lo",
+                       "CASE WHEN _mx = _mn THEN _mx + 0.5D ELSE _mx END AS hi"))
+    nb = f"{float(bins)!r}D"
+    binned = ltv.join(rng, "plan_type").selectExpr(
+        "plan_type", "lo", "hi", f"CAST(least(CAST({bins} AS BIGINT), FLOOR((v - lo) * {nb} / (hi - lo)) + 1) AS INT) AS bin")
     return (binned.groupBy("plan_type", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("customers"))
-            .select("plan_type", "bin",
-                    (F.col("lo") + width * (F.col("bin") - 1) / F.lit(float(bins))).alias("bin_start"),
-                    (F.col("lo") + width * F.col("bin") / F.lit(float(bins))).alias("bin_end"),
-                    "customers")
+            .selectExpr("plan_type", "bin",
+                        f"lo + (hi - lo) * (bin - 1) / {nb} AS bin_start",
+                        f"lo + (hi - lo) * bin / {nb} AS bin_end",
+                        "customers")
             .transform(order_aggregated, "plan_type", "bin"))
 
 
@@ -148,4 +147,4 @@ def class_balance(subs: DataFrame) -> DataFrame:
     """Active vs churned counts and their share of all customers."""
     counts = subs.groupBy("churned").agg(F.count(F.lit(1)).alias("customers"))
     # Share over the 2 aggregated rows (a window over groups, not over customers).
-    return counts.withColumn("share", rate(F.col("customers"), F.sum("customers").over(Window.partitionBy())))
+    return counts.withColumn("share", rate("customers", "sum(customers) OVER ()"))

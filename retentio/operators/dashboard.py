@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentio.functions.expr import (
-    BAND_LABELS, REPORT_BAND_COLORS, REPORT_BAND_THRESHOLDS, lifecycle_stage, mean_of, rate,
-    risk_band, round_half_away,
+    BAND_LABELS, REPORT_BAND_COLORS, REPORT_BAND_THRESHOLDS, lifecycle_stage, mean_of, mean_sql,
+    risk_band, round_half_away_sql, sql_str,
 )
 from retentio.operators.measures import CARD_MEASURES, MEASURES, measure_query
 from retentio.schemas import PLAN_DIMENSION
@@ -45,10 +45,9 @@ def measure_override_by_status(subs: DataFrame) -> DataFrame:
     return measure_query(report_facts(subs), CARD_MEASURES, ("plan_label", "churned"))
 
 
-def _band_color(band: F.Column) -> F.Column:
-    high, medium, low = BAND_LABELS
-    c_high, c_medium, c_low = REPORT_BAND_COLORS
-    return F.when(band == high, c_high).when(band == medium, c_medium).when(band == low, c_low)
+def _band_color(band: str) -> F.Column:
+    cases = " ".join(f"WHEN {sql_str(b)} THEN {sql_str(c)}" for b, c in zip(BAND_LABELS, REPORT_BAND_COLORS))
+    return F.expr(f"CASE {band} {cases} END")
 
 
 def bars_mrr_by_label(subs: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ def bars_churn_by(subs: DataFrame, category: str) -> DataFrame:
     m = measure_query(report_facts(subs), ["churn_rate"], (category,))
     band = risk_band("churn_rate", REPORT_BAND_THRESHOLDS, inclusive=True)
     return (m.withColumn("band", band)
-            .withColumn("color", _band_color(F.col("band")))
+            .withColumn("color", _band_color("band"))
             .transform(order_aggregated, F.desc("churn_rate")))
 
 
@@ -79,9 +78,9 @@ def stage_plan_matrix(subs: DataFrame) -> DataFrame:
     f = report_facts(subs)
     cells = []
     for _, _, label in PLAN_DIMENSION:
-        in_plan = F.col("plan_label") == label
-        cells.append(rate(F.count_if(in_plan & (F.col("churned") == "Yes")),
-                          F.count_if(in_plan)).alias(label))
+        in_plan = f"plan_label = {sql_str(label)}"
+        cells.append(F.expr(mean_sql(f"count_if({in_plan} AND churned = 'Yes')", f"count_if({in_plan})"))
+                     .alias(label))
     return f.groupBy("lifecycle_stage").agg(*cells)
 
 
@@ -92,20 +91,21 @@ def tenure_mrr_scatter(subs: DataFrame) -> DataFrame:
             .agg(F.sum("monthly_mrr").alias("_s"), F.count("monthly_mrr").alias("_n"),
                  F.count("customer_id").alias("customers"))
             .select("subscription_months", "churned",
-                    mean_of(F.col("_s"), F.col("_n")).alias("avg_mrr"), "customers"))
+                    mean_of("_s", "_n").alias("avg_mrr"), "customers"))
 
 
-def format_measure(value: F.Column, format_string: str) -> F.Column:
-    """Display text of a measure value for the report's format strings (the value
-    is rounded half away from zero first, so the text never depends on a tie rule)."""
+def format_measure_sql(value: str, format_string: str) -> str:
+    """Display text (SQL) of a measure value for the report's format strings (the
+    value is rounded half away from zero first, so the text never depends on a tie
+    rule)."""
     if format_string == '"$" #,##0':
-        return F.concat(F.lit("$"), F.format_number(round_half_away(value, 0), 0))
+        return f"concat('$', format_number({round_half_away_sql(value, 0)}, 0))"
     if format_string == "0.00%":
-        return F.concat(F.format_number(round_half_away(value * 100.0, 2), 2), F.lit("%"))
+        return f"concat(format_number({round_half_away_sql(value + ' * 100.0D', 2)}, 2), '%')"
     if format_string == '0.0 "mths"':
-        return F.concat(F.format_number(round_half_away(value, 1), 1), F.lit(" mths"))
+        return f"concat(format_number({round_half_away_sql(value, 1)}, 1), ' mths')"
     if format_string == "0.0":
-        return F.format_number(round_half_away(value, 1), 1)
+        return f"format_number({round_half_away_sql(value, 1)}, 1)"
     raise ValueError(format_string)
 
 
@@ -113,13 +113,12 @@ def kpi_cards_display(subs: DataFrame) -> DataFrame:
     """The six KPI cards as rows: label, value, formatted text and tooltip text
     (one aggregation pass, then an unpivot of the single row)."""
     cards = kpi_cards(subs)
-    rows = F.array(*[
-        F.struct(F.lit(i + 1).alias("card_order"), F.lit(MEASURES[m].label).alias("measure"),
-                 F.col(m).alias("value"),
-                 format_measure(F.col(m), MEASURES[m].format_string).alias("display"),
-                 F.lit(MEASURES[m].tooltip).alias("tooltip"))
+    rows = ", ".join([
+        f"struct({i + 1} AS card_order, {sql_str(MEASURES[m].label)} AS measure, {m} AS value, "
+        f"{format_measure_sql(m, MEASURES[m].format_string)} AS display, "
+        f"{sql_str(MEASURES[m].tooltip)} AS tooltip)"
         for i, m in enumerate(CARD_MEASURES)])
-    return cards.select(F.inline(rows))
+    return cards.selectExpr(f"inline(array({rows}))")
 
 
 def churn_gauge(subs: DataFrame) -> DataFrame:

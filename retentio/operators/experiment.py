@@ -19,12 +19,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.functions.expr import effect_size_label, rate, round_half_away
+from retentio.functions.expr import mean_sql, rate, round_half_away, round_half_away_sql, sql_num, sql_str
+from retentio.functions.stats import normal_quantile, two_sided_p_sql
 from retentio.operators.common import order_aggregated
-from retentio.functions.stats import normal_quantile, two_sided_p
 
 CONTROL, TREATMENT = "control", "treatment"
 OLD_PAGE, NEW_PAGE = "old_page", "new_page"
@@ -36,6 +36,7 @@ CONTAMINATION_OK = "Status: OK — no cross-group contamination"
 ROLL_OUT, DO_NOT_ROLL_OUT = "ROLL OUT", "DO NOT ROLL OUT"
 EXPERIMENT_NAME = "New onboarding landing page vs. old page"
 NOT_SIGNIFICANT = "No — cannot conclude a real difference exists"
+EFFECT_PREFIX = "Cohen's h = "
 
 
 @dataclass(frozen=True)
@@ -61,14 +62,18 @@ class ExperimentParams:
         return normal_quantile(1 - (1 - self.ci_level) / 2)
 
 
-def aligned(grp: str = "grp", page: str = "landing_page") -> Column:
-    g, p = F.col(grp), F.col(page)
-    return ((g == CONTROL) & (p == OLD_PAGE)) | ((g == TREATMENT) & (p == NEW_PAGE))
+ALIGNED = (f"((grp = {sql_str(CONTROL)} AND landing_page = {sql_str(OLD_PAGE)}) OR "
+           f"(grp = {sql_str(TREATMENT)} AND landing_page = {sql_str(NEW_PAGE)}))")
+MISALIGNED = (f"((grp = {sql_str(CONTROL)} AND landing_page = {sql_str(NEW_PAGE)}) OR "
+              f"(grp = {sql_str(TREATMENT)} AND landing_page = {sql_str(OLD_PAGE)}))")
 
 
-def misaligned(grp: str = "grp", page: str = "landing_page") -> Column:
-    g, p = F.col(grp), F.col(page)
-    return ((g == CONTROL) & (p == NEW_PAGE)) | ((g == TREATMENT) & (p == OLD_PAGE))
+def aligned() -> Column:
+    return F.expr(ALIGNED)
+
+
+def misaligned() -> Column:
+    return F.expr(MISALIGNED)
 
 
 # ---------------------------------------------------------------------------
@@ -78,10 +83,10 @@ def misaligned(grp: str = "grp", page: str = "landing_page") -> Column:
 def split_check(expo: DataFrame, params: ExperimentParams = ExperimentParams()) -> DataFrame:
     """Rows and share per arm; OK when the share is within tolerance of 50 %."""
     counts = expo.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    share = rate(F.col("n"), F.sum("n").over(Window.partitionBy()))  # over the arm rows only
-    return (counts.withColumn("share", share)
-            .withColumn("status", F.when(F.abs(F.col("share") - 0.5) < params.split_tolerance, SPLIT_OK)
-                        .otherwise(SPLIT_WARNING))
+    # share over the arm rows (a window over the aggregated rows only)
+    return (counts.withColumn("share", rate("n", "sum(n) OVER ()"))
+            .withColumn("status", F.expr(f"CASE WHEN abs(share - 0.5D) < {sql_num(params.split_tolerance)} "
+                                         f"THEN {sql_str(SPLIT_OK)} ELSE {sql_str(SPLIT_WARNING)} END"))
             .transform(order_aggregated, "grp"))
 
 
@@ -105,14 +110,14 @@ def alignment_crosstab(expo: DataFrame) -> DataFrame:
 
 def misaligned_summary(expo: DataFrame) -> DataFrame:
     """Misaligned rows, all rows and their share, in one pass."""
-    return (expo.agg(F.count_if(misaligned()).alias("misaligned_rows"),
+    return (expo.agg(F.expr(f"count_if({MISALIGNED})").alias("misaligned_rows"),
                      F.count(F.lit(1)).alias("total_rows"))
-            .withColumn("share", rate(F.col("misaligned_rows"), F.col("total_rows"))))
+            .withColumn("share", rate("misaligned_rows", "total_rows")))
 
 
 def misaligned_breakdown(expo: DataFrame) -> DataFrame:
     """Misaligned rows per (arm, page)."""
-    return (expo.where(misaligned()).groupBy("grp", "landing_page")
+    return (expo.where(MISALIGNED).groupBy("grp", "landing_page")
             .agg(F.count(F.lit(1)).alias("n")).transform(order_aggregated, "grp", "landing_page"))
 
 
@@ -120,7 +125,7 @@ def group_rates(expo: DataFrame) -> DataFrame:
     """Per (arm, page): rows, conversions and conversion rate (4 dp)."""
     return (expo.groupBy("grp", "landing_page")
             .agg(F.count("user_id").alias("users"), F.sum("converted").cast("long").alias("conversions"))
-            .withColumn("rate", round_half_away(rate(F.col("conversions"), F.col("users")), 4))
+            .withColumn("rate", round_half_away(mean_sql("conversions", "users"), 4))
             .transform(order_aggregated, "grp", "landing_page"))
 
 
@@ -134,7 +139,7 @@ def clean_exposures(expo: DataFrame, drop_contaminated: bool = False) -> DataFra
     ``drop_contaminated=True`` also removes users seen in both arms (the
     analysis recommends it; the original cleaning step does not do it).
     """
-    rows = expo.where(aligned())
+    rows = expo.where(ALIGNED)
     if drop_contaminated:
         both = (expo.where(F.col("grp").isNotNull()).groupBy("user_id")
                 .agg((F.min("grp") != F.max("grp")).alias("both")).where("both"))
@@ -155,7 +160,7 @@ def clean_summary(expo: DataFrame) -> DataFrame:
     """Cleaned rows per arm: count, conversions, mean (4 dp)."""
     return (clean_exposures(expo).groupBy("grp")
             .agg(F.count("converted").alias("n"), F.sum("converted").cast("long").alias("conversions"))
-            .withColumn("rate", round_half_away(rate(F.col("conversions"), F.col("n")), 4))
+            .withColumn("rate", round_half_away(mean_sql("conversions", "n"), 4))
             .transform(order_aggregated, "grp"))
 
 
@@ -165,119 +170,124 @@ def clean_summary(expo: DataFrame) -> DataFrame:
 
 def arm_stats(cleaned: DataFrame) -> DataFrame:
     """One row: n, conversions and rate per arm (conditional aggregates, one pass)."""
-    c, t = F.col("grp") == CONTROL, F.col("grp") == TREATMENT
-    conv = F.col("converted")
-    return (cleaned.agg(F.count_if(c).alias("n_ctrl"), F.sum(F.when(c, conv)).cast("long").alias("conv_ctrl"),
-                        F.count_if(t).alias("n_treat"), F.sum(F.when(t, conv)).cast("long").alias("conv_treat"))
-            .withColumn("p_ctrl", rate(F.col("conv_ctrl"), F.col("n_ctrl")))
-            .withColumn("p_treat", rate(F.col("conv_treat"), F.col("n_treat"))))
-
-
-def _stats_columns(params: ExperimentParams) -> dict[str, Column]:
-    nc, nt = F.col("n_ctrl").cast("double"), F.col("n_treat").cast("double")
-    cc, ct = F.col("conv_ctrl").cast("double"), F.col("conv_treat").cast("double")
-    pc, pt = F.col("p_ctrl"), F.col("p_treat")
-    diff = pt - pc
-    # Power: required n per arm at the control rate.
+    c, t = f"grp = {sql_str(CONTROL)}", f"grp = {sql_str(TREATMENT)}"
+    return (cleaned.agg(F.expr(f"count_if({c})").alias("n_ctrl"),
+                        F.expr(f"CAST(sum(CASE WHEN {c} THEN converted END) AS BIGINT)").alias("conv_ctrl"),
+                        F.expr(f"count_if({t})").alias("n_treat"),
+                        F.expr(f"CAST(sum(CASE WHEN {t} THEN converted END) AS BIGINT)").alias("conv_treat"))
+            .withColumns({"p_ctrl": rate("conv_ctrl", "n_ctrl"), "p_treat": rate("conv_treat", "n_treat")}))
+
+
+def _stats_sql(params: ExperimentParams) -> dict[str, str]:
+    """Every statistic as SQL over the one-row arm summary (doubles throughout)."""
+    nc, nt = "CAST(n_ctrl AS DOUBLE)", "CAST(n_treat AS DOUBLE)"
+    cc, ct = "CAST(conv_ctrl AS DOUBLE)", "CAST(conv_treat AS DOUBLE)"
+    pc, pt = "p_ctrl", "p_treat"
+    diff = f"({pt} - {pc})"
     zz = params.z_alpha + params.z_power
-    n_req = F.ceil(F.lit(2.0 * zz * zz) * pc * (F.lit(1.0) - pc) / F.lit(params.mde * params.mde))
+    # Power: required n per arm at the control rate.
+    n_req = f"CEIL({sql_num(2.0 * zz * zz)} * {pc} * (1.0D - {pc}) / {sql_num(params.mde * params.mde)})"
     # Two-proportion z-test, pooled variance, treatment minus control.
-    pool = (ct + cc) / (nt + nc)
-    se_pool = F.sqrt(pool * (F.lit(1.0) - pool) * (F.lit(1.0) / nt + F.lit(1.0) / nc))
-    z = diff / se_pool
-    p_value = two_sided_p(z)
-    # Effect size and intervals.
-    h = F.lit(2.0) * F.asin(F.sqrt(pt)) - F.lit(2.0) * F.asin(F.sqrt(pc))
-    zc = F.lit(params.z_ci)
-    half = lambda p, n: zc * F.sqrt(p * (F.lit(1.0) - p) / n)
-    se_diff = F.sqrt(pc * (F.lit(1.0) - pc) / nc + pt * (F.lit(1.0) - pt) / nt)
-    conv_c_m = F.lit(float(params.monthly_visitors)) * pc
-    conv_t_m = F.lit(float(params.monthly_visitors)) * pt
+    pool = f"(({ct} + {cc}) / ({nt} + {nc}))"
+    z = f"({diff} / sqrt({pool} * (1.0D - {pool}) * (1.0D / {nt} + 1.0D / {nc})))"
+    zc = sql_num(params.z_ci)
+
+    def half(p: str, n: str) -> str:
+        return f"({zc} * sqrt({p} * (1.0D - {p}) / {n}))"
+
+    se_diff = f"sqrt({pc} * (1.0D - {pc}) / {nc} + {pt} * (1.0D - {pt}) / {nt})"
+    visitors = sql_num(float(params.monthly_visitors))
+    conv_c_m, conv_t_m = f"({visitors} * {pc})", f"({visitors} * {pt})"
     return {
-        "lift_pp": diff * F.lit(100.0),
-        "relative_change_pct": (pt / pc - F.lit(1.0)) * F.lit(100.0),
+        "lift_pp": f"{diff} * 100.0D",
+        "relative_change_pct": f"({pt} / {pc} - 1.0D) * 100.0D",
         "n_required": n_req,
         "z_stat": z,
-        "p_value": p_value,
-        "cohen_h": h,
-        "ci_ctrl_low": F.greatest(F.lit(0.0), pc - half(pc, nc)),
-        "ci_ctrl_high": F.least(F.lit(1.0), pc + half(pc, nc)),
-        "ci_treat_low": F.greatest(F.lit(0.0), pt - half(pt, nt)),
-        "ci_treat_high": F.least(F.lit(1.0), pt + half(pt, nt)),
-        "ci_diff_low": diff - zc * se_diff,
-        "ci_diff_high": diff + zc * se_diff,
+        "p_value": two_sided_p_sql(z),
+        "cohen_h": f"2.0D * asin(sqrt({pt})) - 2.0D * asin(sqrt({pc}))",
+        "ci_ctrl_low": f"greatest(0.0D, {pc} - {half(pc, nc)})",
+        "ci_ctrl_high": f"least(1.0D, {pc} + {half(pc, nc)})",
+        "ci_treat_low": f"greatest(0.0D, {pt} - {half(pt, nt)})",
+        "ci_treat_high": f"least(1.0D, {pt} + {half(pt, nt)})",
+        "ci_diff_low": f"{diff} - {zc} * {se_diff}",
+        "ci_diff_high": f"{diff} + {zc} * {se_diff}",
         "conversions_ctrl_month": conv_c_m,
         "conversions_treat_month": conv_t_m,
-        "delta_conversions_month": conv_t_m - conv_c_m,
-        "delta_mrr_month": (conv_t_m - conv_c_m) * F.lit(params.avg_deal_value),
+        "delta_conversions_month": f"{conv_t_m} - {conv_c_m}",
+        "delta_mrr_month": f"({conv_t_m} - {conv_c_m}) * {sql_num(float(params.avg_deal_value))}",
     }
 
 
 REPORT_DIGITS = 6
+_ROUNDED = ("ci_ctrl_low", "ci_ctrl_high", "ci_treat_low", "ci_treat_high", "ci_diff_low", "ci_diff_high",
+            "conversions_ctrl_month", "conversions_treat_month", "delta_conversions_month", "delta_mrr_month")
+_EFFECT_LABEL = ("CASE WHEN abs(_cohen_h) < 0.2D THEN 'negligible' WHEN abs(_cohen_h) < 0.5D THEN 'small' "
+                 "WHEN abs(_cohen_h) < 0.8D THEN 'medium' ELSE 'large' END")
+
+
+def _with_stats(expo: DataFrame, params: ExperimentParams, drop_contaminated: bool) -> DataFrame:
+    arms = arm_stats(clean_exposures(expo, drop_contaminated))
+    return arms.selectExpr("*", *[f"{v} AS _{k}" for k, v in _stats_sql(params).items()])
+
+
+def _verdict_sql(params: ExperimentParams) -> str:
+    return (f"CASE WHEN _p_value >= {sql_num(params.alpha)} OR p_treat < p_ctrl "
+            f"THEN {sql_str(DO_NOT_ROLL_OUT)} ELSE {sql_str(ROLL_OUT)} END")
 
 
 def experiment_stats(expo: DataFrame, params: ExperimentParams = ExperimentParams(),
                      drop_contaminated: bool = False) -> DataFrame:
     """One row with the arm counts and every test statistic. Reported doubles
     are rounded to 6 dp (the p-value to 4 dp); decisions use unrounded values."""
-    arms = arm_stats(clean_exposures(expo, drop_contaminated))
-    cols = _stats_columns(params)
-    raw = arms.select("*", *[v.alias("_" + k) for k, v in cols.items()])
-    r = lambda name, d=REPORT_DIGITS: round_half_away(F.col(name), d)
-    return raw.select(
-        "n_ctrl", "conv_ctrl", r("p_ctrl").alias("p_ctrl"),
-        "n_treat", "conv_treat", r("p_treat").alias("p_treat"),
-        r("_lift_pp").alias("lift_pp"), r("_relative_change_pct").alias("relative_change_pct"),
-        F.col("_n_required").cast("long").alias("n_required"),
-        (F.col("n_ctrl") >= F.col("_n_required")).alias("powered"),
-        round_half_away(F.try_divide(F.col("n_ctrl").cast("double"), F.col("_n_required").cast("double")),
-                        REPORT_DIGITS).alias("power_ratio"),
-        r("_z_stat").alias("z_stat"), r("_p_value", 4).alias("p_value"),
-        (F.col("_p_value") < params.alpha).alias("significant"),
-        r("_cohen_h").alias("cohen_h"), effect_size_label(F.col("_cohen_h")).alias("effect_size"),
-        *[r("_" + k).alias(k) for k in ("ci_ctrl_low", "ci_ctrl_high", "ci_treat_low", "ci_treat_high",
-                                         "ci_diff_low", "ci_diff_high", "conversions_ctrl_month",
-                                         "conversions_treat_month", "delta_conversions_month",
-                                         "delta_mrr_month")],
-        F.when((F.col("_p_value") >= params.alpha) | (F.col("p_treat") < F.col("p_ctrl")), DO_NOT_ROLL_OUT)
-        .otherwise(ROLL_OUT).alias("verdict"),
+    def r(name: str, d: int = REPORT_DIGITS) -> str:
+        return round_half_away_sql(name, d)
+
+    return _with_stats(expo, params, drop_contaminated).selectExpr(
+        "n_ctrl", "conv_ctrl", f"{r('p_ctrl')} AS p_ctrl",
+        "n_treat", "conv_treat", f"{r('p_treat')} AS p_treat",
+        f"{r('_lift_pp')} AS lift_pp", f"{r('_relative_change_pct')} AS relative_change_pct",
+        "CAST(_n_required AS BIGINT) AS n_required",
+        "n_ctrl >= _n_required AS powered",
+        f"{r(mean_sql('n_ctrl', '_n_required'))} AS power_ratio",
+        f"{r('_z_stat')} AS z_stat", f"{r('_p_value', 4)} AS p_value",
+        f"_p_value < {sql_num(params.alpha)} AS significant",
+        f"{r('_cohen_h')} AS cohen_h", f"{_EFFECT_LABEL} AS effect_size",
+        *[f"{r('_' + k)} AS {k}" for k in _ROUNDED],
+        f"{_verdict_sql(params)} AS verdict",
     )
 
 
-def _signed(x: Column, digits: int) -> Column:
+def _signed_sql(x: str, digits: int) -> str:
     """'+1.234' / '-1.234' text of a value rounded half away from zero."""
-    v = round_half_away(x, digits)
-    return F.concat(F.when(v >= 0, F.lit("+")).otherwise(F.lit("")), F.format_number(v, digits))
+    v = round_half_away_sql(x, digits)
+    return f"concat(CASE WHEN {v} >= 0 THEN '+' ELSE '' END, format_number({v}, {digits}))"
 
 
 def report_rows(expo: DataFrame, params: ExperimentParams = ExperimentParams()) -> DataFrame:
     """The nine-line experiment summary as (row_order, label, value) text rows."""
-    arms = arm_stats(clean_exposures(expo))
-    cols = _stats_columns(params)
-    s = arms.select("*", *[v.alias(k) for k, v in cols.items()])
-    pct = lambda p: F.concat(F.format_number(round_half_away(p * 100.0, 2), 2), F.lit("%"))
-    rate_text = lambda p, conv, n: F.concat(
-        pct(F.col(p)), F.lit(" ("), F.format_number(F.col(conv), 0), F.lit(" / "),
-        F.format_number(F.col(n), 0), F.lit(" users)"))
-    significant = F.col("p_value") < params.alpha
-    verdict = (F.when((F.col("p_value") >= params.alpha) | (F.col("p_treat") < F.col("p_ctrl")), DO_NOT_ROLL_OUT)
-               .otherwise(ROLL_OUT))
+    def pct(p: str) -> str:
+        return f"concat(format_number({round_half_away_sql(p + ' * 100.0D', 2)}, 2), '%')"
+
+    def rate_text(p: str, conv: str, n: str) -> str:
+        return f"concat({pct(p)}, ' (', format_number({conv}, 0), ' / ', format_number({n}, 0), ' users)')"
+
     lines = [
-        ("Experiment", F.lit(EXPERIMENT_NAME)),
+        ("Experiment", sql_str(EXPERIMENT_NAME)),
         ("Control rate", rate_text("p_ctrl", "conv_ctrl", "n_ctrl")),
         ("Treatment rate", rate_text("p_treat", "conv_treat", "n_treat")),
-        ("Difference", F.concat(_signed(F.col("lift_pp"), 3), F.lit(" pp  (95% CI: ["),
-                                _signed(F.col("ci_diff_low") * 100.0, 2), F.lit(", "),
-                                _signed(F.col("ci_diff_high") * 100.0, 2), F.lit("] pp)"))),
-        ("P-value", F.concat(F.format_number(round_half_away(F.col("p_value"), 4), 4),
-                             F.lit(f"  (threshold: {params.alpha:g})"))),
-        ("Statistical sig.", F.when(significant, "Yes").otherwise(NOT_SIGNIFICANT)),
-        ("Effect size", F.concat(F.lit("Cohen's h = "), F.format_number(round_half_away(F.col("cohen_h"), 4), 4),
-                                 F.lit(" ("), effect_size_label(F.col("cohen_h")), F.lit(")"))),
-        ("MRR impact", F.concat(F.lit("$"), _signed(F.col("delta_mrr_month"), 0),
-                                F.lit(f"/month at {params.monthly_visitors:,} visitors"))),
-        ("VERDICT", verdict),
+        ("Difference", f"concat({_signed_sql('_lift_pp', 3)}, ' pp  (95% CI: [', "
+                       f"{_signed_sql('_ci_diff_low * 100.0D', 2)}, ', ', "
+                       f"{_signed_sql('_ci_diff_high * 100.0D', 2)}, '] pp)')"),
+        ("P-value", f"concat(format_number({round_half_away_sql('_p_value', 4)}, 4), "
+                    f"{sql_str(f'  (threshold: {params.alpha:g})')})"),
+        ("Statistical sig.", f"CASE WHEN _p_value < {sql_num(params.alpha)} THEN 'Yes' "
+                             f"ELSE {sql_str(NOT_SIGNIFICANT)} END"),
+        ("Effect size", f"concat({sql_str(EFFECT_PREFIX)}, "
+                        f"format_number({round_half_away_sql('_cohen_h', 4)}, 4), ' (', {_EFFECT_LABEL}, ')')"),
+        ("MRR impact", f"concat('$', {_signed_sql('_delta_mrr_month', 0)}, "
+                       f"{sql_str(f'/month at {params.monthly_visitors:,} visitors')})"),
+        ("VERDICT", _verdict_sql(params)),
     ]
-    rows = F.array(*[F.struct(F.lit(i + 1).alias("row_order"), F.lit(k).alias("label"), v.alias("value"))
-                     for i, (k, v) in enumerate(lines)])
-    return s.select(F.inline(rows))
+    rows = ", ".join(f"struct({i + 1} AS row_order, {sql_str(k)} AS label, {v} AS value)"
+                     for i, (k, v) in enumerate(lines))
+    return _with_stats(expo, params, False).selectExpr(f"inline(array({rows}))")

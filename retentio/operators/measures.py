@@ -4,7 +4,7 @@ A measure is a small set of additive *parts* (conditional sums and counts) and a
 final expression over them. ``measure_query`` evaluates any list of measures
 grouped by any columns, in ONE aggregation pass over the fact rows:
 
-* a part's own condition is a conditional aggregate (``sum(when(..))``);
+* a part's own condition is a conditional aggregate (``sum(CASE WHEN ..)``);
 * slicer filters on columns that no part overrides are applied as an ordinary
   ``where`` (so they reach the scan as pushed filters);
 * a part that *replaces* the outer filter on some columns (the report's
@@ -19,17 +19,17 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.functions.expr import mean_of, rate
+from retentio.functions.expr import mean_sql, sql_str
 
 
 @dataclass(frozen=True)
 class Part:
     kind: str                                   # "sum" | "count"
     value: str | None = None                    # column; None counts rows
-    where: Callable[[], Column] | None = None   # row condition of the part
+    where: str | None = None                    # row condition of the part (SQL)
     overrides: tuple[str, ...] = ()             # columns whose outer filters it replaces
 
 
@@ -38,7 +38,7 @@ class Measure:
     name: str
     label: str
     parts: Mapping[str, Part]
-    final: Callable[[Mapping[str, Column]], Column]
+    final: Callable[[Mapping[str, str]], str]   # SQL over the parts' column names
     format_string: str
     tooltip: str | None = None
     folder: str | None = None
@@ -46,16 +46,9 @@ class Measure:
     overrides: tuple[str, ...] = field(default=())
 
 
-def _active() -> Column:
-    return F.col("churned") == "No"
-
-
-def _churned() -> Column:
-    return F.col("churned") == "Yes"
-
-
-def _active_early() -> Column:
-    return (F.col("subscription_months") < 6) & (F.col("churned") == "No")
+ACTIVE = "churned = 'No'"
+CHURNED = "churned = 'Yes'"
+ACTIVE_EARLY = "subscription_months < 6 AND churned = 'No'"
 
 
 # ---------------------------------------------------------------------------
@@ -63,45 +56,45 @@ def _active_early() -> Column:
 # ---------------------------------------------------------------------------
 TOTAL_MRR = Measure(
     "total_mrr", "Total MRR",
-    {"s": Part("sum", "monthly_mrr", _active, ("churned",))},
-    lambda p: p["s"].cast("double"), '"$" #,##0',
+    {"s": Part("sum", "monthly_mrr", ACTIVE, ("churned",))},
+    lambda p: f"CAST({p['s']} AS DOUBLE)", '"$" #,##0',
     "Active subscriber revenue only. Churned customers are excluded from this total.")
 CHURN_RATE = Measure(
     "churn_rate", "Churn Rate %",
-    {"yes": Part("count", None, _churned), "all": Part("count")},
-    lambda p: rate(p["yes"], p["all"]), "0.00%",
+    {"yes": Part("count", None, CHURNED), "all": Part("count")},
+    lambda p: mean_sql(p["yes"], p["all"]), "0.00%",
     "% of all customers (active + churned) who have cancelled. Baseline health indicator.",
     "Core KPIs")
 AVG_LTV = Measure(
     "avg_ltv", "Avg LTV",
     {"s": Part("sum", "lifetime_value"), "n": Part("count", "lifetime_value")},
-    lambda p: mean_of(p["s"], p["n"]), '"$" #,##0',
+    lambda p: mean_sql(p["s"], p["n"]), '"$" #,##0',
     "Average lifetime revenue per customer across all records, including churned. "
     "Reflects full revenue capture.", "Core KPIs")
 AVG_TENURE = Measure(
     "avg_tenure_months", "Avg Tenure Months",
-    {"s": Part("sum", "subscription_months", _active, ("churned",)),
-     "n": Part("count", "subscription_months", _active, ("churned",))},
-    lambda p: mean_of(p["s"], p["n"]), '0.0 "mths"',
+    {"s": Part("sum", "subscription_months", ACTIVE, ("churned",)),
+     "n": Part("count", "subscription_months", ACTIVE, ("churned",))},
+    lambda p: mean_sql(p["s"], p["n"]), '0.0 "mths"',
     "Average months subscribed, active customers only. Higher = stronger retention.",
     "Core KPIs")
 AT_RISK_MRR = Measure(
     "at_risk_mrr", "At-Risk MRR",
-    {"s": Part("sum", "monthly_mrr", _active_early, ("subscription_months", "churned"))},
-    lambda p: p["s"].cast("double"), '"$" #,##0',
+    {"s": Part("sum", "monthly_mrr", ACTIVE_EARLY, ("subscription_months", "churned"))},
+    lambda p: f"CAST({p['s']} AS DOUBLE)", '"$" #,##0',
     "Revenue from subscribers in their first 6 months — the highest churn-risk window. "
     "Monitor closely.", "Risk")
 LTV_MRR_RATIO = Measure(
     "ltv_mrr_ratio", "LTV MRR Ratio",
     {"ls": Part("sum", "lifetime_value"), "ln": Part("count", "lifetime_value"),
      "ms": Part("sum", "monthly_mrr"), "mn": Part("count", "monthly_mrr")},
-    lambda p: F.try_divide(mean_of(p["ls"], p["ln"]), mean_of(p["ms"], p["mn"])), "0.0",
+    lambda p: f"try_divide({mean_sql(p['ls'], p['ln'])}, {mean_sql(p['ms'], p['mn'])})", "0.0",
     "Avg LTV ÷ Avg MRR. Indicates how many months of revenue the typical customer generates. "
     "~35x = healthy for SaaS.", "Efficiency")
 TOTAL_MRR_ALL = Measure(
     "total_mrr_all", "Total MRR All Customers",
     {"s": Part("sum", "monthly_mrr")},
-    lambda p: p["s"].cast("double"), r"\$#,0.###############;(\$#,0.###############);\$#,0.###############",
+    lambda p: f"CAST({p['s']} AS DOUBLE)", r"\$#,0.###############;(\$#,0.###############);\$#,0.###############",
     hidden=True)
 
 MEASURES: dict[str, Measure] = {m.name: m for m in
@@ -111,23 +104,24 @@ CARD_MEASURES = ("total_mrr", "churn_rate", "avg_ltv", "avg_tenure_months", "at_
                  "ltv_mrr_ratio")
 
 
-def _part_agg(p: Part, cond: Column | None) -> Column:
+def _part_agg(p: Part, cond: str | None) -> str:
     if p.kind == "sum":
-        v = F.col(p.value)
-        return F.sum(F.when(cond, v) if cond is not None else v)
+        return f"sum(CASE WHEN {cond} THEN {p.value} END)" if cond else f"sum({p.value})"
     if p.kind == "count":
         if p.value is None:
-            return F.count_if(cond) if cond is not None else F.count(F.lit(1))
-        v = F.col(p.value)
-        return F.count(F.when(cond, v) if cond is not None else v)
+            return f"count_if({cond})" if cond else "count(1)"
+        return f"count(CASE WHEN {cond} THEN {p.value} END)" if cond else f"count({p.value})"
     raise ValueError(p.kind)
 
 
-def _and(conds: Sequence[Column]) -> Column | None:
-    out = None
-    for c in conds:
-        out = c if out is None else (out & c)
-    return out
+def _and(conds: Sequence[str]) -> str | None:
+    conds = [c for c in conds if c]
+    return " AND ".join(f"({c})" for c in conds) if conds else None
+
+
+def _in_list(column: str, values: Sequence) -> str:
+    items = ", ".join(sql_str(v) if isinstance(v, str) else repr(v) for v in values)
+    return f"`{column}` IN ({items})"
 
 
 def measure_query(facts: DataFrame, measures: Sequence[str | Measure], by: Sequence[str] = (),
@@ -142,34 +136,37 @@ def measure_query(facts: DataFrame, measures: Sequence[str | Measure], by: Seque
     by = list(by)
     overridden = {c for m in ms for p in m.parts.values() for c in p.overrides}
     # Filters no part overrides go to a plain where (pushed down to the scan).
-    pre = [F.col(c).isin(list(v)) for c, v in slicer.items() if c not in overridden]
-    embedded = {c: F.col(c).isin(list(v)) for c, v in slicer.items() if c in overridden}
+    pre = [_in_list(c, v) for c, v in slicer.items() if c not in overridden]
+    embedded = {c: _in_list(c, v) for c, v in slicer.items() if c in overridden}
     df = facts.where(_and(pre)) if pre else facts
 
-    aggs, later = [], []
+    aggs, coarser = [], {}
     for m in ms:
         for pname, p in m.parts.items():
             alias = f"_{m.name}__{pname}"
-            conds = [p.where()] if p.where else []
-            conds += [e for c, e in embedded.items() if c not in p.overrides]
-            aggs.append(_part_agg(p, _and(conds)).alias(alias))
+            cond = _and([p.where] + [e for c, e in embedded.items() if c not in p.overrides])
+            aggs.append(F.expr(_part_agg(p, cond)).alias(alias))
             keep = [b for b in by if b not in p.overrides]
             if len(keep) < len(by):
-                later.append((alias, keep))
-    if embedded:
-        aggs.append(F.count_if(_and(list(embedded.values()))).alias("_rows"))
-    else:
-        aggs.append(F.count(F.lit(1)).alias("_rows"))
-
+                coarser[alias] = keep
+    rows = f"count_if({_and(list(embedded.values()))})" if embedded else "count(1)"
+    aggs.append(F.expr(rows).alias("_rows"))
     agg = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    for alias, keep in later:
-        # Coarser grain for parts that replace a grouping column's filter: a window
-        # over the aggregated groups (small), not over the fact rows.
-        agg = agg.withColumn(alias, F.sum(alias).over(Window.partitionBy(*keep)))
-    agg = agg.where(F.col("_rows") > 0)
 
-    outs = [F.col(b) for b in by]
+    # Coarser grain for parts that replace a grouping column's filter: a window
+    # over the aggregated groups (small), not over the fact rows.
+    def part_sql(alias: str) -> str:
+        if alias not in coarser:
+            return alias
+        keys = ", ".join(f"`{k}`" for k in coarser[alias])
+        return f"sum({alias}) OVER (PARTITION BY {keys})" if keys else f"sum({alias}) OVER ()"
+
+    if coarser:
+        agg = agg.select(*[F.col(f"`{b}`") for b in by], "_rows",
+                         *[F.expr(part_sql(f"_{m.name}__{pn}")).alias(f"_{m.name}__{pn}")
+                           for m in ms for pn in m.parts])
+    outs = [F.col(f"`{b}`") for b in by]
     for m in ms:
-        parts = {pname: F.col(f"_{m.name}__{pname}") for pname in m.parts}
-        outs.append(m.final(parts).alias(m.name))
-    return agg.select(*outs)
+        parts = {pname: f"_{m.name}__{pname}" for pname in m.parts}
+        outs.append(F.expr(m.final(parts)).alias(m.name))
+    return agg.where("_rows > 0").select(*outs)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.functions.expr import round_half_even
+from retentio.functions.expr import mean_sql, round_half_even, sql_str
 from retentio.operators.stats import exact_percentiles
 
 DESCRIBE_COLUMNS = ("subscription_months", "monthly_mrr", "lifetime_value")
@@ -25,45 +25,36 @@ def numeric_describe(df: DataFrame, columns: Sequence[str] = DESCRIBE_COLUMNS,
     rounded to 2 dp (numpy rounding); one row per column."""
     aggs = []
     for c in columns:
-        v = F.col(c).cast("double")
-        aggs += [F.count(c).alias(f"{c}__count"), F.sum(c).alias(f"{c}__sum"),
-                 F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"),
-                 F.max(v).alias(f"{c}__max")]
+        v = f"CAST({c} AS DOUBLE)"
+        aggs += [F.expr(f"count({c})").alias(f"{c}__count"), F.expr(f"sum({c})").alias(f"{c}__sum"),
+                 F.expr(f"stddev_samp({v})").alias(f"{c}__std"), F.expr(f"min({v})").alias(f"{c}__min"),
+                 F.expr(f"max({v})").alias(f"{c}__max")]
     moments = df.agg(*aggs)
     # Quartiles of all columns from one long (column, value) frame, grouped by column.
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in columns])))
+    long = df.selectExpr("inline(array(" + ", ".join(
+        f"struct({sql_str(c)} AS field, CAST({c} AS DOUBLE) AS value)" for c in columns) + "))")
     quart = exact_percentiles(long, "value", ["field"], QUARTILES, method=method)
-
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("field"),
-                 F.col(f"{c}__count").alias("count"),
-                 F.try_divide(F.col(f"{c}__sum").cast("double"), F.col(f"{c}__count").cast("double")).alias("mean"),
-                 F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),
-                 F.col(f"{c}__max").alias("max"))
-        for c in columns])
-    stats = moments.select(F.inline(rows))
-    r = lambda name: round_half_even(F.col(name), 2).alias(name)
+    stats = moments.selectExpr("inline(array(" + ", ".join(
+        f"struct({sql_str(c)} AS field, {c}__count AS count, "
+        f"{mean_sql(c + '__sum', c + '__count')} AS mean, {c}__std AS std, {c}__min AS min, {c}__max AS max)"
+        for c in columns) + "))")
+    r = lambda name: round_half_even(name, 2).alias(name)
     return (stats.join(quart, "field", "left")
-            .select("field", "count", r("mean"), r("std"), r("min"),
-                    round_half_even(F.col("p25"), 2).alias("p25"),
-                    round_half_even(F.col("p50"), 2).alias("p50"),
-                    round_half_even(F.col("p75"), 2).alias("p75"), r("max")))
+            .select("field", "count", r("mean"), r("std"), r("min"), r("p25"), r("p50"), r("p75"), r("max")))
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Null count per column, keeping only columns with at least one null."""
     cols = list(columns or df.columns)
-    counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_missing")) for c in cols])
-    return counted.select(F.inline(rows)).where(F.col("n_missing") > 0)
+    counted = df.agg(*[F.expr(f"count_if(`{c}` IS NULL)").alias(c) for c in cols])
+    rows = ", ".join(f"struct({sql_str(c)} AS column_name, `{c}` AS n_missing)" for c in cols)
+    return counted.selectExpr(f"inline(array({rows}))").where("n_missing > 0")
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values of several columns in one pass: (column_name, value)."""
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-                     for c in columns])
-    return df.select(F.inline(rows)).distinct().orderBy("column_name", "value")
+    rows = ", ".join(f"struct({sql_str(c)} AS column_name, CAST(`{c}` AS STRING) AS value)" for c in columns)
+    return df.selectExpr(f"inline(array({rows}))").distinct().orderBy("column_name", "value")
 
 
 def date_range(df: DataFrame, ts: str = "ts") -> DataFrame:

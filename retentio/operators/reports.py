@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentio.functions.expr import lifecycle_stage, mean_of, money_double, rate, round_half_away
+from retentio.functions.expr import lifecycle_stage, mean_of, mean_sql, money_double, round_half_away
 from retentio.operators.common import order_aggregated
 
 YES = "Yes"
@@ -37,8 +37,8 @@ def mrr_by_plan_all(subs: DataFrame) -> DataFrame:
                  F.sum("monthly_mrr").alias("_sum"),
                  F.count("monthly_mrr").alias("_n"))
             .select("plan_type", "customers",
-                    money_double(F.round(F.col("_sum"), 0)).alias("total_mrr"),
-                    round_half_away(mean_of(F.col("_sum"), F.col("_n")), 2).alias("avg_mrr_per_customer"))
+                    money_double("round(_sum, 0)").alias("total_mrr"),
+                    round_half_away(mean_sql("_sum", "_n"), 2).alias("avg_mrr_per_customer"))
             .transform(order_aggregated, F.desc("total_mrr")))
 
 
@@ -72,16 +72,15 @@ def churn_by_lifecycle(subs: DataFrame) -> DataFrame:
     """Q5 (flagship): customers, churned count and churn % (1 dp) per lifecycle stage."""
     return (subs.groupBy(lifecycle_stage("subscription_months", "closed").alias("lifecycle_stage"))
             .agg(F.count(F.lit(1)).alias("customers"),
-                 F.count_if(F.col("churned") == YES).alias("churned_count"))
-            .withColumn("churn_rate_pct",
-                        round_half_away(F.col("churned_count") * F.lit(100.0) / F.col("customers"), 1))
+                 F.expr("count_if(churned = 'Yes')").alias("churned_count"))
+            .withColumn("churn_rate_pct", round_half_away("churned_count * 100.0D / customers", 1))
             .transform(order_aggregated, F.desc("churn_rate_pct")))
 
 
 def _avg_ltv_scalar(subs: DataFrame):
     """Overall average LTV over non-null rows, as a scalar subquery column."""
     return (subs.where(F.col("lifetime_value").isNotNull())
-            .select(mean_of(F.sum("lifetime_value"), F.count("lifetime_value")))
+            .select(mean_of("sum(lifetime_value)", "count(lifetime_value)"))
             .scalar())
 
 
@@ -92,12 +91,12 @@ def ltv_by_lifecycle_vs_overall(subs: DataFrame) -> DataFrame:
     staged = subs.where(F.col("lifetime_value").isNotNull())
     return (staged.groupBy(lifecycle_stage("subscription_months", "closed").alias("stage"))
             .agg(F.count(F.lit(1)).alias("customers"), F.sum("lifetime_value").alias("_sum"))
-            .select("stage", "customers", mean_of(F.col("_sum"), F.col("customers")).alias("_avg"),
+            .select("stage", "customers", mean_of("_sum", "customers").alias("_avg"),
                     _avg_ltv_scalar(subs).alias("_overall"))
             .select("stage", "customers",
-                    round_half_away(F.col("_avg"), 2).alias("avg_ltv"),
-                    round_half_away(F.col("_overall"), 2).alias("overall_avg_ltv"),
-                    round_half_away(F.col("_avg") - F.col("_overall"), 2).alias("delta_vs_overall"))
+                    round_half_away("_avg", 2).alias("avg_ltv"),
+                    round_half_away("_overall", 2).alias("overall_avg_ltv"),
+                    round_half_away("_avg - _overall", 2).alias("delta_vs_overall"))
             .transform(order_aggregated, F.desc("avg_ltv")))
 
 
@@ -129,6 +128,5 @@ def ab_summary(expo: DataFrame) -> DataFrame:
     return (expo.groupBy(F.col("grp").alias("test_group"), "landing_page")
             .agg(F.count(F.lit(1)).alias("users"),
                  F.sum("converted").cast("long").alias("conversions"))
-            .withColumn("conversion_rate_pct",
-                        round_half_away(rate(F.col("conversions") * F.lit(100.0), F.col("users")), 2))
+            .withColumn("conversion_rate_pct", round_half_away(mean_sql("conversions * 100.0D", "users"), 2))
             .transform(order_aggregated, "test_group", "landing_page"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,56 +51,50 @@ def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: Seque
     return out.select(*by, *[F.col("_q")[i].alias(_name(p)) for i, p in enumerate(probs)])
 
 
-def _bucket(v):
+def _bucket_sql(v: str) -> str:
     """Monotone log-scale bucket of a value (~1.1% relative width): a pure function
     of the value, so no per-group range has to be joined back."""
-    k = F.lit(float(BUCKETS_PER_DOUBLING))
-    return (F.when(v >= 0, F.floor(F.log2(v + 1.0) * k))
-            .otherwise(-F.floor(F.log2(1.0 - v) * k) - 1)).cast("long")
+    k = f"{float(BUCKETS_PER_DOUBLING)!r}D"
+    return (f"CAST(CASE WHEN {v} >= 0 THEN FLOOR(log2({v} + 1.0D) * {k}) "
+            f"ELSE -FLOOR(log2(1.0D - {v}) * {k}) - 1 END AS BIGINT)")
 
 
 def _distributed(base: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
     key = list(by)
+    part = f"PARTITION BY {', '.join(f'`{k}`' for k in key)}" if key else ""
     freq = base.groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    tagged = freq.withColumn("_b", _bucket(F.col("_v")))
+    tagged = freq.withColumn("_b", F.expr(_bucket_sql("_v")))
 
     # Running counts over buckets (a few thousand rows per group at most).
-    bcount = tagged.groupBy(*key, "_b").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*key).orderBy("_b")
-    bcount = (bcount.withColumn("_before", F.sum("_bc").over(wb) - F.col("_bc"))
-              .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*key))))
+    bcount = (tagged.groupBy(*key, "_b").agg(F.sum("_c").alias("_bc"))
+              .withColumns({"_before": F.expr(f"sum(_bc) OVER ({part} ORDER BY _b) - _bc"),
+                            "_n": F.expr(f"sum(_bc) OVER ({part})")}))
 
     # Target ranks (0-based) per probability: floor and ceil of (n-1)*p.
     targets = []
     for i, p in enumerate(probs):
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        for side, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            targets.append(F.struct(F.lit(i).alias("_pi"), F.lit(side).alias("_side"),
-                                    r.cast("long").alias("_r"), h.alias("_h")))
-    tg = (bcount.select(*key, "_b", "_bc", "_before", F.explode(F.array(*targets)).alias("_t"))
-          .select(*key, "_b", "_before", "_t.*")
-          .where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_bc"))))
+        h = f"CAST(_n - 1 AS DOUBLE) * {float(p)!r}D"
+        for side, fn in (("lo", "FLOOR"), ("hi", "CEIL")):
+            targets.append(f"struct({i} AS _pi, '{side}' AS _side, CAST({fn}({h}) AS BIGINT) AS _r, {h} AS _h)")
+    tg = (bcount.selectExpr(*key, "_b", "_bc", "_before", f"explode(array({', '.join(targets)})) AS _t")
+          .selectExpr(*key, "_b", "_before", "_t.*")
+          .where("_r >= _before AND _r < _before + _bc"))
 
     # Rank only the values inside the target buckets (at most groups x probs x 2
     # buckets); the window is per (group, bucket), never a whole group.
     hot = tg.select(*key, "_b").distinct()
     inside = tagged.join(hot, key + ["_b"], "left_semi")
-    wv = Window.partitionBy(*key, "_b").orderBy("_v")
-    ranked = inside.withColumn("_upto", F.sum("_c").over(wv))
+    part_b = f"PARTITION BY {', '.join([f'`{k}`' for k in key] + ['_b'])}"
+    ranked = inside.withColumn("_upto", F.expr(f"sum(_c) OVER ({part_b} ORDER BY _v)"))
     picked = (ranked.join(tg, key + ["_b"])
-              .where((F.col("_r") >= F.col("_before") + F.col("_upto") - F.col("_c"))
-                     & (F.col("_r") < F.col("_before") + F.col("_upto")))
+              .where("_r >= _before + _upto - _c AND _r < _before + _upto")
               .select(*key, "_pi", "_side", "_h", "_v"))
     # One aggregation per group: the two neighbouring values of every target rank.
     parts = []
     for i, _ in enumerate(probs):
-        at = F.col("_pi") == i
-        parts += [F.max(F.when(at & (F.col("_side") == "lo"), F.col("_v"))).alias(f"_lo{i}"),
-                  F.max(F.when(at & (F.col("_side") == "hi"), F.col("_v"))).alias(f"_hi{i}"),
-                  F.max(F.when(at, F.col("_h"))).alias(f"_h{i}")]
+        parts += [F.expr(f"max(CASE WHEN _pi = {i} AND _side = 'lo' THEN _v END)").alias(f"_lo{i}"),
+                  F.expr(f"max(CASE WHEN _pi = {i} AND _side = 'hi' THEN _v END)").alias(f"_hi{i}"),
+                  F.expr(f"max(CASE WHEN _pi = {i} THEN _h END)").alias(f"_h{i}")]
     ends = picked.groupBy(*key).agg(*parts) if key else picked.agg(*parts)
-    out = []
-    for i, p in enumerate(probs):
-        lo, hi, h = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_h{i}")
-        out.append((lo + (hi - lo) * (h - F.floor(h))).alias(_name(p)))
-    return ends.select(*key, *out)
+    return ends.selectExpr(*[f"`{k}`" for k in key], *[
+        f"_lo{i} + (_hi{i} - _lo{i}) * (_h{i} - FLOOR(_h{i})) AS {_name(p)}" for i, p in enumerate(probs)])

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentio.functions.expr import (
-    LTV_EDGES_REFERENCE, cut_ordinal, lifecycle_stage, ltv_bin_labels, mean_of, money_double,
-    rate, round_half_away,
+    LTV_EDGES_REFERENCE, cut_ordinal, lifecycle_stage, ltv_bin_labels, mean_sql, money_double,
+    round_half_away_sql, sql_str,
 )
 from retentio.operators.common import order_aggregated
 from retentio.sources.literals import literal_table, plan_dimension, with_plan_labels
@@ -37,47 +37,43 @@ def raw_data(subs: DataFrame) -> DataFrame:
             .orderBy("customer_id"))
 
 
-def format_value(value: F.Column, number_format: str) -> F.Column:
-    """Display text for the three number formats of the KPI block (the value is
-    rounded half away from zero first, so the text never depends on a tie rule)."""
+def format_value_sql(value: str, number_format: str) -> str:
+    """Display text (SQL) for the three number formats of the KPI block (the value
+    is rounded half away from zero first, so the text never depends on a tie rule)."""
     if number_format == "$#,##0":
-        return F.concat(F.lit("$"), F.format_number(round_half_away(value, 0), 0))
+        return f"concat('$', format_number({round_half_away_sql(value, 0)}, 0))"
     if number_format == "0.00%":
-        return F.concat(F.format_number(round_half_away(value * 100.0, 2), 2), F.lit("%"))
+        return f"concat(format_number({round_half_away_sql(f'({value}) * 100.0D', 2)}, 2), '%')"
     if number_format == "0.0":
-        return F.format_number(round_half_away(value, 1), 1)
+        return f"format_number({round_half_away_sql(value, 1)}, 1)"
     raise ValueError(number_format)
 
 
 def kpi_block(subs: DataFrame) -> DataFrame:
     """The six KPIs from one aggregation pass, unpivoted to (metric, value) rows."""
-    active = F.col("churned") == "No"
-    early = active & (F.col("subscription_months") < 6)
-    a = subs.agg(
-        F.sum(F.when(active, F.col("monthly_mrr"))).alias("active_mrr"),
-        F.count_if(F.col("churned") == "Yes").alias("n_yes"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum("lifetime_value").alias("ltv_s"), F.count("lifetime_value").alias("ltv_n"),
-        F.sum(F.when(active, F.col("subscription_months"))).alias("ten_s"),
-        F.count(F.when(active, F.col("subscription_months"))).alias("ten_n"),
-        F.sum(F.when(early, F.col("monthly_mrr"))).alias("risk_mrr"),
-        F.sum("monthly_mrr").alias("mrr_s"), F.count("monthly_mrr").alias("mrr_n"),
-    )
+    a = subs.agg(*[F.expr(e).alias(n) for n, e in (
+        ("active_mrr", "sum(CASE WHEN churned = 'No' THEN monthly_mrr END)"),
+        ("n_yes", "count_if(churned = 'Yes')"),
+        ("n", "count(1)"),
+        ("ltv_s", "sum(lifetime_value)"), ("ltv_n", "count(lifetime_value)"),
+        ("ten_s", "sum(CASE WHEN churned = 'No' THEN subscription_months END)"),
+        ("ten_n", "count(CASE WHEN churned = 'No' THEN subscription_months END)"),
+        ("risk_mrr", "sum(CASE WHEN churned = 'No' AND subscription_months < 6 THEN monthly_mrr END)"),
+        ("mrr_s", "sum(monthly_mrr)"), ("mrr_n", "count(monthly_mrr)"),
+    )])
     values = [
-        money_double("active_mrr"),
-        rate(F.col("n_yes"), F.col("n")),
-        mean_of(F.col("ltv_s"), F.col("ltv_n")),
-        mean_of(F.col("ten_s"), F.col("ten_n")),
-        money_double("risk_mrr"),
-        F.try_divide(mean_of(F.col("ltv_s"), F.col("ltv_n")), mean_of(F.col("mrr_s"), F.col("mrr_n"))),
+        "CAST(active_mrr AS DOUBLE)",
+        mean_sql("n_yes", "n"),
+        mean_sql("ltv_s", "ltv_n"),
+        mean_sql("ten_s", "ten_n"),
+        "CAST(risk_mrr AS DOUBLE)",
+        f"try_divide({mean_sql('ltv_s', 'ltv_n')}, {mean_sql('mrr_s', 'mrr_n')})",
     ]
-    rows = F.array(*[
-        F.struct(F.lit(i + 1).alias("row_order"), F.lit(label).alias("metric"),
-                 v.alias("value"), F.lit(fmt).alias("number_format"),
-                 format_value(v, fmt).alias("display"))
-        for i, ((label, fmt), v) in enumerate(zip(KPI_ROWS, values))
-    ])
-    return a.select(F.inline(rows))
+    rows = ", ".join(
+        f"struct({i + 1} AS row_order, {sql_str(label)} AS metric, {v} AS value, "
+        f"{sql_str(fmt)} AS number_format, {format_value_sql(v, fmt)} AS display)"
+        for i, ((label, fmt), v) in enumerate(zip(KPI_ROWS, values)))
+    return a.selectExpr(f"inline(array({rows}))")
 
 
 def active_mrr_by_plan_label(subs: DataFrame) -> DataFrame:
@@ -93,7 +89,7 @@ def active_mrr_by_plan_label(subs: DataFrame) -> DataFrame:
 def churn_by_plan_label(subs: DataFrame) -> DataFrame:
     """Chart table: churn rate per plan, labelled, in plan order."""
     agg = (subs.groupBy("plan_type")
-           .agg(rate(F.count_if(F.col("churned") == "Yes"), F.count(F.lit(1))).alias("churn_rate")))
+           .agg(F.expr(mean_sql("count_if(churned = 'Yes')", "count(1)")).alias("churn_rate")))
     return with_plan_labels(agg).select("plan_order", "plan_label", "churn_rate").transform(order_aggregated, "plan_order")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.functions.expr import mean_of, rate, round_half_away
+from retentio.functions.expr import mean_sql, round_half_away
 from retentio.operators.common import order_aggregated
 
 # Row-count gate rule (tolerance in lines) and its status texts.
@@ -63,20 +63,20 @@ def row_count_gate(tables: Mapping[str, DataFrame], expected: Mapping[str, Colum
 def verify_customers(subs: DataFrame) -> DataFrame:
     """Post-load verification of the customer table, one pass."""
     return (subs.agg(F.count(F.lit(1)).alias("customers"),
-                     F.count_if(F.col("churned") == "No").alias("active"),
-                     F.count_if(F.col("churned") == "Yes").alias("churned"),
+                     F.expr("count_if(churned = 'No')").alias("active"),
+                     F.expr("count_if(churned = 'Yes')").alias("churned"),
                      F.sum("monthly_mrr").alias("_s"), F.count("monthly_mrr").alias("_n"))
             .select("customers", "active", "churned",
-                    round_half_away(rate(F.col("churned"), F.col("customers")) * 100.0, 1).alias("churn_pct"),
-                    round_half_away(mean_of(F.col("_s"), F.col("_n")), 2).alias("avg_mrr"),
-                    F.round(F.col("_s"), 0).cast("double").alias("total_mrr")))
+                    round_half_away(f"{mean_sql('churned', 'customers')} * 100.0D", 1).alias("churn_pct"),
+                    round_half_away(mean_sql("_s", "_n"), 2).alias("avg_mrr"),
+                    F.expr("CAST(round(_s, 0) AS DOUBLE)").alias("total_mrr")))
 
 
 def verify_exposures(expo: DataFrame) -> DataFrame:
     """Post-load verification of the experiment table: rows and conversion per arm."""
     return (expo.groupBy("grp")
             .agg(F.count(F.lit(1)).alias("users"), F.sum("converted").alias("_c"), F.count("converted").alias("_n"))
-            .select("grp", "users", round_half_away(mean_of(F.col("_c"), F.col("_n")), 4).alias("conversion_rate"))
+            .select("grp", "users", round_half_away(mean_sql("_c", "_n"), 4).alias("conversion_rate"))
             .transform(order_aggregated, "grp"))
 
 

@@ -11,7 +11,9 @@ from retentio.plans.registry import FIXTURE_LTV_EDGES
 
 @pytest.fixture(scope="module")
 def subs01(spark):
-    return Catalog(spark, SF01).subscriptions().cache()
+    df = Catalog(spark, SF01).subscriptions().cache()
+    yield df
+    df.unpersist()
 
 
 def test_fixture_facts_sf001(spark):
