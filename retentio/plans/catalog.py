@@ -20,23 +20,37 @@ RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lin
 
 
 class Catalog:
+    """Input tables of one session. Each table's DataFrame is built once per
+    catalog and reused by every query (one file listing / footer read per table,
+    which matters on object stores with many files)."""
+
     def __init__(self, spark: SparkSession, sf_dir: str, loaded_dir: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.loaded_dir = loaded_dir.rstrip("/") if loaded_dir else None
+        self._frames: dict[str, DataFrame] = {}
+
+    def _read(self, key: str, path: str) -> DataFrame:
+        if key not in self._frames:
+            self._frames[key] = self.spark.read.parquet(path)
+        return self._frames[key]
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read(f"raw:{name}", f"{self.sf_dir}/{name}.parquet")
 
     def subscriptions(self) -> DataFrame:
         if self.loaded_dir:
-            return self.spark.read.parquet(f"{self.loaded_dir}/subscriptions")
-        return adapters.subscriptions(self.raw("customer"), self.raw("orders"))
+            return self._read("subscriptions", f"{self.loaded_dir}/subscriptions")
+        if "subscriptions" not in self._frames:
+            self._frames["subscriptions"] = adapters.subscriptions(self.raw("customer"), self.raw("orders"))
+        return self._frames["subscriptions"]
 
     def exposures(self) -> DataFrame:
         if self.loaded_dir:
-            return self.spark.read.parquet(f"{self.loaded_dir}/exposures")
-        return adapters.exposures(self.raw("events"))
+            return self._read("exposures", f"{self.loaded_dir}/exposures")
+        if "exposures" not in self._frames:
+            self._frames["exposures"] = adapters.exposures(self.raw("events"))
+        return self._frames["exposures"]
 
     def load(self, target_dir: str) -> "Catalog":
         """Write both derived tables once (skipped when already present) and
