@@ -6,13 +6,13 @@ statistic (power, pooled z-test, p-value, Cohen's h, intervals, revenue impact,
 verdict) is a column expression on that row — nothing is collected.
 
 Scale notes:
-* "first row per user" is ``min(struct(ts, event_id, ...))`` grouped by user —
-  an aggregate with a map-side partial step (sort-based, as the struct buffer
-  is not hash-aggregable), so a user with a third of all rows is reduced to one
-  row per task before the shuffle (a row_number window would sort all of that
-  user's rows in one task);
-* users in both arms: ``min(grp) <> max(grp)`` per user (partial aggregate,
-  no distinct expansion), then a global count.
+* "first row per user" is ``min_by(..., key)`` grouped by user over one
+  DECIMAL ordering key of (ts, event_id) — a hash aggregate with a map-side
+  partial step, so a user with a third of all rows is reduced to one row per
+  task before the shuffle (a row_number window would sort all of that user's
+  rows in one task);
+* users in both arms: distinct arms per user (hash aggregates keyed by
+  (user, arm) then user, both partial), then a global count.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from retentio.operators.common import order_aggregated
 
 CONTROL, TREATMENT = "control", "treatment"
 OLD_PAGE, NEW_PAGE = "old_page", "new_page"
+# Ordering key of "first row per user": (ts, event_id) packed into one DECIMAL(38,0).
+EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+KEY_SHIFT = "CAST(100000000000000000000 AS DECIMAL(38,0))"   # 1e20 > event_id + offset
+EVENT_OFFSET = "CAST(9223372036854775808 AS DECIMAL(38,0))"  # 2^63: negative ids stay ordered
 
 # Check messages, verdicts and report texts.
 SPLIT_OK, SPLIT_WARNING = "OK", "WARNING — not 50/50!"
@@ -80,6 +84,14 @@ def misaligned() -> Column:
 # Sanity checks (on the raw rows)
 # ---------------------------------------------------------------------------
 
+def _arms_per_user(expo: DataFrame) -> DataFrame:
+    """Distinct arms per user. A distinct count plans as hash aggregates keyed by
+    (user, arm) then user, each with a map-side partial step, so a user holding
+    a third of all rows still leaves at most one row per arm per task."""
+    return (expo.where("grp IS NOT NULL").groupBy("user_id")
+            .agg(F.count_distinct("grp").alias("arms")))
+
+
 def split_check(expo: DataFrame, params: ExperimentParams = ExperimentParams()) -> DataFrame:
     """Rows and share per arm; OK when the share is within tolerance of 50 %."""
     counts = expo.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
@@ -92,19 +104,19 @@ def split_check(expo: DataFrame, params: ExperimentParams = ExperimentParams())
 
 def contamination_check(expo: DataFrame) -> DataFrame:
     """Users seen in more than one arm."""
-    per_user = (expo.where(F.col("grp").isNotNull()).groupBy("user_id")
-                .agg((F.min("grp") != F.max("grp")).alias("both")))
+    per_user = _arms_per_user(expo)
     return (per_user.agg(F.count(F.lit(1)).alias("users"),
-                         F.count_if(F.col("both")).alias("contaminated_users"))
+                         F.expr("count_if(arms > 1)").alias("contaminated_users"))
             .withColumn("status", F.when(F.col("contaminated_users") > 0, CONTAMINATION_ACTION)
                         .otherwise(CONTAMINATION_OK)))
 
 
 def alignment_crosstab(expo: DataFrame) -> DataFrame:
-    """Arm x page row counts, 0 for an empty cell (pivot on a fixed value list)."""
-    return (expo.where(F.col("grp").isNotNull() & F.col("landing_page").isNotNull())
-            .groupBy("grp").pivot("landing_page", [NEW_PAGE, OLD_PAGE]).count()
-            .na.fill(0, [NEW_PAGE, OLD_PAGE])
+    """Arm x page row counts, 0 for an empty cell: a pivot over the fixed page
+    list written as conditional counts (one aggregation, one shuffle)."""
+    return (expo.where("grp IS NOT NULL AND landing_page IS NOT NULL")
+            .groupBy("grp")
+            .agg(*[F.expr(f"count_if(landing_page = {sql_str(p)})").alias(p) for p in (NEW_PAGE, OLD_PAGE)])
             .transform(order_aggregated, "grp"))
 
 
@@ -141,11 +153,25 @@ def clean_exposures(expo: DataFrame, drop_contaminated: bool = False) -> DataFra
     """
     rows = expo.where(ALIGNED)
     if drop_contaminated:
-        both = (expo.where(F.col("grp").isNotNull()).groupBy("user_id")
-                .agg((F.min("grp") != F.max("grp")).alias("both")).where("both"))
-        rows = rows.join(both.select("user_id"), "user_id", "left_anti")
-    first = F.min(F.struct("ts", "event_id", "grp", "landing_page", "converted")).alias("f")
-    return rows.groupBy("user_id").agg(first).select("user_id", "f.*")
+        both = _arms_per_user(expo).where("arms > 1").select("user_id")
+        rows = rows.join(both, "user_id", "left_anti")
+    # One DECIMAL(38,0) ordering key per row: microseconds since 1970 (time-zone
+    # free on TIMESTAMP_NTZ), then event_id. With fixed-width payloads (after the
+    # alignment filter the arm is one bit), every buffer is hash-aggregable, so
+    # the first row per user is a hash aggregate with map-side combine.
+    key = (f"CAST(timestampdiff(MICROSECOND, {EPOCH_NTZ}, ts) AS DECIMAL(38,0)) * {KEY_SHIFT} "
+           f"+ (CAST(event_id AS DECIMAL(38,0)) + {EVENT_OFFSET})")
+    first = (rows.withColumn("_k", F.expr(key))
+             .groupBy("user_id")
+             .agg(F.min("ts").alias("ts"),
+                  F.expr("min_by(event_id, _k)").alias("event_id"),
+                  F.expr(f"min_by(CAST(grp = {sql_str(TREATMENT)} AS INT), _k)").alias("_arm"),
+                  F.expr("min_by(converted, _k)").alias("converted")))
+    return first.selectExpr(
+        "user_id", "ts", "event_id",
+        f"CASE _arm WHEN 1 THEN {sql_str(TREATMENT)} ELSE {sql_str(CONTROL)} END AS grp",
+        f"CASE _arm WHEN 1 THEN {sql_str(NEW_PAGE)} ELSE {sql_str(OLD_PAGE)} END AS landing_page",
+        "converted")
 
 
 def clean_counts(expo: DataFrame) -> DataFrame:

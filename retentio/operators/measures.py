@@ -129,7 +129,8 @@ def measure_query(facts: DataFrame, measures: Sequence[str | Measure], by: Seque
     """Evaluate ``measures`` per group of ``by`` under ``slicer`` (column -> allowed values).
 
     Output: the ``by`` columns, then one column per measure (named ``measure.name``).
-    Groups are those with at least one row passing every slicer filter.
+    Groups are those with at least one row passing every slicer filter; without
+    ``by`` there is always exactly one row.
     """
     ms = [MEASURES[m] if isinstance(m, str) else m for m in measures]
     slicer = dict(slicer or {})
@@ -169,4 +170,6 @@ def measure_query(facts: DataFrame, measures: Sequence[str | Measure], by: Seque
     for m in ms:
         parts = {pname: f"_{m.name}__{pname}" for pname in m.parts}
         outs.append(F.expr(m.final(parts)).alias(m.name))
-    return agg.where("_rows > 0").select(*outs)
+    # Groups without a row passing the slicer are hidden; an ungrouped query (a
+    # card) always returns its one row, blank when nothing matches.
+    return (agg.where("_rows > 0") if by else agg).select(*outs)

@@ -78,3 +78,10 @@ def test_measure_query_plan_has_one_fact_scan(spark, facts):
     assert plan.count("Scan parquet") <= 2  # customer + orders, each once
     assert "ExistingRDD" not in plan and "BroadcastHashJoin" in plan
     assert pd is not None
+
+
+def test_card_with_empty_slicer_is_one_blank_row(spark, facts):
+    rows = measure_query(facts, ["total_mrr", "churn_rate", "avg_ltv"], (), {"plan_label": ["NoSuchPlan"]}).collect()
+    assert len(rows) == 1 and rows[0].total_mrr is None and rows[0].churn_rate is None
+    grouped = measure_query(facts, ["churn_rate"], ("plan_label",), {"plan_label": ["NoSuchPlan"]}).collect()
+    assert grouped == []
