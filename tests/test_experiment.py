@@ -106,3 +106,26 @@ def test_report_rows(spark):
                                        "Statistical sig.", "Effect size", "MRR impact", "VERDICT"]
     assert rows[1].value.endswith("users)") and "%" in rows[1].value
     assert rows[8].value in (X.ROLL_OUT, X.DO_NOT_ROLL_OUT)
+
+
+def test_hot_user_first_row_matches_brute_force(spark):
+    import random
+
+    import pandas as pd
+    rnd = random.Random(3)
+    rows = []
+    for e in range(3000):
+        user = 7 if e % 3 == 0 else rnd.randrange(1, 400)          # user 7 holds a third of all rows
+        grp = rnd.choice(["control", "treatment"])
+        page = {"control": "old_page", "treatment": "new_page"}[grp] if rnd.random() > 0.05 else \
+            {"control": "new_page", "treatment": "old_page"}[grp]
+        rows.append((user, rnd.randrange(0, 500), e, grp, page, rnd.randrange(0, 2)))
+    e = _expo(spark, rows)
+    got = {r.user_id: (r.event_id, r.grp, r.converted) for r in X.clean_exposures(e).collect()}
+    pdf = pd.DataFrame(rows, columns=["user_id", "m", "event_id", "grp", "landing_page", "converted"])
+    ok = ((pdf.grp == "control") & (pdf.landing_page == "old_page")) | \
+         ((pdf.grp == "treatment") & (pdf.landing_page == "new_page"))
+    first = pdf[ok].sort_values(["user_id", "m", "event_id"]).groupby("user_id").head(1)
+    assert got == {r.user_id: (r.event_id, r.grp, r.converted) for r in first.itertuples()}
+    plan = X.clean_exposures(e)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortAggregate" not in plan and "partial_min_by" in plan
