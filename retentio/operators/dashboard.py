@@ -15,7 +15,7 @@ from retentio.functions.expr import (
     BAND_LABELS, REPORT_BAND_COLORS, REPORT_BAND_THRESHOLDS, lifecycle_stage, mean_of, mean_sql,
     risk_band, round_half_away_sql, sql_str,
 )
-from retentio.operators.measures import CARD_MEASURES, MEASURES, measure_query
+from retentio.operators.measures import CARD_MEASURES, IMPLICIT_SUMS, MEASURES, measure_query
 from retentio.schemas import PLAN_DIMENSION
 from retentio.operators.common import order_aggregated
 from retentio.sources.literals import plan_dimension, with_plan_labels
@@ -45,6 +45,12 @@ def measure_override_by_status(subs: DataFrame) -> DataFrame:
     return measure_query(report_facts(subs), CARD_MEASURES, ("plan_label", "churned"))
 
 
+def implicit_sums_by_label(subs: DataFrame) -> DataFrame:
+    """The model's default summarization (SUM) of its numeric columns per plan label."""
+    return (measure_query(report_facts(subs), IMPLICIT_SUMS, ("plan_label",))
+            .transform(order_aggregated, "plan_label"))
+
+
 def _band_color(band: str) -> F.Column:
     cases = " ".join(f"WHEN {sql_str(b)} THEN {sql_str(c)}" for b, c in zip(BAND_LABELS, REPORT_BAND_COLORS))
     return F.expr(f"CASE {band} {cases} END")

@@ -97,9 +97,23 @@ TOTAL_MRR_ALL = Measure(
     lambda p: f"CAST({p['s']} AS DOUBLE)", r"\$#,0.###############;(\$#,0.###############);\$#,0.###############",
     hidden=True)
 
+# Implicit measures: a numeric column dropped into a visual is summed
+# (the model's default summarization of these columns is SUM).
+SUM_SUBSCRIPTION_MONTHS = Measure(
+    "sum_subscription_months", "Sum of subscription_months",
+    {"s": Part("sum", "subscription_months")}, lambda p: f"CAST({p['s']} AS BIGINT)", "0", hidden=True)
+SUM_MONTHLY_MRR = Measure(
+    "sum_monthly_mrr", "Sum of monthly_mrr",
+    {"s": Part("sum", "monthly_mrr")}, lambda p: f"CAST({p['s']} AS DOUBLE)", '"$" #,##0', hidden=True)
+SUM_LIFETIME_VALUE = Measure(
+    "sum_lifetime_value", "Sum of lifetime_value",
+    {"s": Part("sum", "lifetime_value")}, lambda p: f"CAST({p['s']} AS DOUBLE)", '"$" #,##0', hidden=True)
+
 MEASURES: dict[str, Measure] = {m.name: m for m in
                                 (TOTAL_MRR, CHURN_RATE, AVG_LTV, AVG_TENURE, AT_RISK_MRR,
-                                 LTV_MRR_RATIO, TOTAL_MRR_ALL)}
+                                 LTV_MRR_RATIO, TOTAL_MRR_ALL, SUM_SUBSCRIPTION_MONTHS,
+                                 SUM_MONTHLY_MRR, SUM_LIFETIME_VALUE)}
+IMPLICIT_SUMS = ("sum_subscription_months", "sum_monthly_mrr", "sum_lifetime_value")
 CARD_MEASURES = ("total_mrr", "churn_rate", "avg_ltv", "avg_tenure_months", "at_risk_mrr",
                  "ltv_mrr_ratio")
 

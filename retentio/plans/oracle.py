@@ -642,3 +642,8 @@ ORACLE["kpi_cards_display"] = report("\nUNION ALL\n".join(
     f"SELECT {i + 1} AS card_order, '{label}' AS measure, {col} AS value, {fmt(col)} AS display, "
     f"'{tip}' AS tooltip FROM cards"
     for i, (col, label, fmt, tip) in enumerate(_CARD_TEXT)), f"cards AS (SELECT {CARD_SELECT} FROM f)")
+
+ORACLE["implicit_sums_by_label"] = report("""
+SELECT plan_label, CAST(SUM(subscription_months) AS BIGINT) AS sum_subscription_months,
+       CAST(SUM(monthly_mrr) AS DOUBLE) AS sum_monthly_mrr, CAST(SUM(lifetime_value) AS DOUBLE) AS sum_lifetime_value
+FROM f GROUP BY plan_label ORDER BY plan_label""")

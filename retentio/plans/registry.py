@@ -37,6 +37,7 @@ REGISTRY: dict[str, CatalogQuery] = {
     "kpi_cards": lambda c: dashboard.kpi_cards(c.subscriptions()),
     "kpi_cards_sliced": lambda c: dashboard.kpi_cards(c.subscriptions(), SLICER_EXAMPLE),
     "kpi_cards_display": lambda c: dashboard.kpi_cards_display(c.subscriptions()),
+    "implicit_sums_by_label": lambda c: dashboard.implicit_sums_by_label(c.subscriptions()),
     "measure_override_by_status": lambda c: dashboard.measure_override_by_status(c.subscriptions()),
     "bars_mrr_by_label": lambda c: dashboard.bars_mrr_by_label(c.subscriptions()),
     "bars_churn_by_stage_bi": lambda c: dashboard.bars_churn_by(c.subscriptions(), "lifecycle_stage"),

@@ -65,7 +65,7 @@ def _brute(pdf, names, by, slicer):
 
 def _final(name, parts):
     div = lambda a, b: None if a is None or b in (None, 0) else a / b
-    if name in ("total_mrr", "at_risk_mrr", "total_mrr_all"):
+    if name in ("total_mrr", "at_risk_mrr", "total_mrr_all") or name.startswith("sum_"):
         return parts["s"]
     if name == "churn_rate":
         return div(parts["yes"], parts["all"])
