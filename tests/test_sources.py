@@ -133,3 +133,15 @@ def test_file_line_gate_counts_header_line(spark, tmp_dir):
         spark, {"f1.csv": f"{tmp_dir}/f1.csv", "f2.csv": f"{tmp_dir}/f2.csv", "f3.csv": f"{tmp_dir}/f1.csv"},
         {"f1.csv": 100, "f2.csv": 100}).collect()}
     assert got == {"f1.csv": (101, "OK"), "f2.csv": (90, "UNEXPECTED COUNT"), "f3.csv": (101, "OK")}
+
+
+def test_command_line_run_and_report(spark, tmp_dir, capsys):
+    from retentio.__main__ import main
+    assert main(["run", SF001, f"{tmp_dir}/out", "--only", "customers_by_plan,duplicate_customer_ids",
+                 "--load", f"{tmp_dir}/loaded"]) == 0
+    out = capsys.readouterr().out
+    assert "written" in out and "empty" in out
+    assert spark.read.option("header", True).csv(f"{tmp_dir}/out/customers_by_plan").count() == 3
+    assert main(["report", SF001, f"{tmp_dir}/report", "--ltv-edges",
+                 "0,200000,400000,600000,1000000,2000000,3000000"]) == 0
+    assert spark.read.parquet(f"{tmp_dir}/report/ltv_distribution").count() == 6
