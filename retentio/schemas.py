@@ -120,4 +120,4 @@ DATA_DICTIONARY_SCHEMA = T.StructType([
 ])
 
 # Expected source row counts of the original files (download gate).
-EXPECTED_SOURCE_ROWS = {"telco_churn.csv": 7043, "ab_test.csv": 294478}
+EXPECTED_SOURCE_ROWS = {"customers": 7043, "ab_test": 294478}

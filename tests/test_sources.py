@@ -26,19 +26,19 @@ def _customer_line(cid, tenure, mrr, total, churn, contract="Month-to-month"):
 
 
 def test_customer_csv_positional_blank_and_bad_text(spark, tmp_dir):
-    path = f"{tmp_dir}/telco/part.csv"
+    path = f"{tmp_dir}/customer_src/part.csv"
     _write_text(path, ["whatever,the,header,says"] + [
         _customer_line("A1", "0", "20.05", " ", "No"),
         _customer_line("A2", "12", "70.10", "841.20", "Yes"),
         _customer_line("A3", "3", "30.00", "abc", "No"),
     ])
-    df = csv_io.read_customers_csv(spark, f"{tmp_dir}/telco")
+    df = csv_io.read_customers_csv(spark, f"{tmp_dir}/customer_src")
     got = {r.customer_id: (r.subscription_months, r.monthly_mrr, r.lifetime_value, r.churned)
            for r in df.collect()}
     assert float(got["A2"][1]) == 70.10 and float(got["A2"][2]) == 841.20
     assert got["A1"][2] is None and got["A3"][2] is None and got["A1"][0] == 0
     assert df.schema["monthly_mrr"].dataType.simpleString() == "decimal(8,2)"
-    nb = csv_io.read_customers_renamed(spark, f"{tmp_dir}/telco")
+    nb = csv_io.read_customers_renamed(spark, f"{tmp_dir}/customer_src")
     assert "streaming_tv" in nb.columns and "payment_method" in nb.columns and "senior_citizen" in nb.columns
     r = {x.customer_id: x for x in nb.collect()}
     assert r["A2"].churned_flag == 1 and r["A1"].lifetime_value is None
