@@ -52,7 +52,8 @@ FROM subscriptions s LEFT JOIN dim_plan_type d ON s.plan_type = d.plan_type
 def rha(e: str, d: int) -> str:
     """Half-away-from-zero rounding of a double expression to d decimals."""
     s = f"{10 ** d}.0"
-    return (f"(CASE WHEN ({e}) < 0 THEN -floor(-({e}) * {s} + 0.5) / {s} "
+    # "+ 0.0" turns a negative zero into 0.0 (Spark's integral FLOOR never gives -0.0)
+    return (f"(CASE WHEN ({e}) < 0 THEN -floor(-({e}) * {s} + 0.5) / {s} + 0.0 "
             f"ELSE floor(({e}) * {s} + 0.5) / {s} END)")
 
 
@@ -589,7 +590,8 @@ SELECT customer_id, plan_type, payment_method, subscription_months, CAST(monthly
             WHEN subscription_months > 24 AND subscription_months <= 999 THEN 'mature (25mo+)' END AS lifecycle_stage
 FROM subscriptions""")
 
-ORACLE["load_roundtrip_exposures"] = expo("SELECT user_id, ts, grp, landing_page, converted FROM exposures")
+ORACLE["load_roundtrip_exposures"] = expo(
+    "SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, grp, landing_page, converted FROM exposures")
 
 ORACLE["pk_check"] = subs("""
 SELECT rows, distinct_keys, duplicate_keys, null_keys,
