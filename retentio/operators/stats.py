@@ -9,9 +9,9 @@ that stay distributed when one group holds most of the rows.
    a pure function of the value); per (group, bucket) counts are small (a few
    thousand rows per group), and a running count over them locates the bucket
    that holds each target rank;
-3. only the (group, value, count) rows of those target buckets (a semi-join
-   with at most groups x probabilities x 2 keys) are ranked with a window per
-   (group, bucket), so no task ever sorts a whole group.
+3. only the (group, value, count) rows of those target buckets (a join with
+   at most groups x probabilities x 2 target rows) are ranked with a window per
+   (group, bucket, target), so no task ever sorts a whole group.
 
 ``method="builtin"`` uses Spark's ``percentile`` (its per-group state holds one
 entry per distinct value); ``method="approx"`` uses ``percentile_approx``.
@@ -80,13 +80,13 @@ def _distributed(base: DataFrame, by: list[str], probs: list[float]) -> DataFram
           .selectExpr(*key, "_b", "_before", "_t.*")
           .where("_r >= _before AND _r < _before + _bc"))
 
-    # Rank only the values inside the target buckets (at most groups x probs x 2
-    # buckets); the window is per (group, bucket), never a whole group.
-    hot = tg.select(*key, "_b").distinct()
-    inside = tagged.join(hot, key + ["_b"], "left_semi")
-    part_b = f"PARTITION BY {', '.join([f'`{k}`' for k in key] + ['_b'])}"
-    ranked = inside.withColumn("_upto", F.expr(f"sum(_c) OVER ({part_b} ORDER BY _v)"))
-    picked = (ranked.join(tg, key + ["_b"])
+    # Rank only the values inside the target buckets: joining with the targets
+    # keeps those buckets (each at most once per target, <= 2 x probs copies),
+    # and the running count is a window per (group, bucket, target) — never a
+    # whole group. The window reuses the join's partitioning on (group, bucket).
+    part_t = f"PARTITION BY {', '.join([f'`{k}`' for k in key] + ['_b', '_pi', '_side'])}"
+    picked = (tagged.join(tg, key + ["_b"])
+              .withColumn("_upto", F.expr(f"sum(_c) OVER ({part_t} ORDER BY _v)"))
               .where("_r >= _before + _upto - _c AND _r < _before + _upto")
               .select(*key, "_pi", "_side", "_h", "_v"))
     # One aggregation per group: the two neighbouring values of every target rank.
