@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentio.functions.expr import yes_flag
+from retentio.sources.literals import literal_table
 
 # Features of the customer table that the test data can provide, in the
 # reference's feature order.
@@ -36,11 +38,17 @@ def churn_drivers(subs: DataFrame, features: Sequence[str] = DRIVER_FEATURES, ma
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     tree = DecisionTreeClassifier(maxDepth=max_depth, seed=seed, impurity="gini",
                                   labelCol="label", featuresCol="features")
-    model = Pipeline(stages=[assembler, tree]).fit(coded)
-    importances = model.stages[-1].featureImportances.toArray().tolist()
+    # The tree reads its input once per level: keep the (narrow) training rows
+    # for the fit (memory, spilling to disk; lost blocks are recomputed).
+    train = assembler.transform(coded).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = tree.fit(train)
+    finally:
+        train.unpersist()
+    importances = model.featureImportances.toArray().tolist()
     rows = sorted(zip(features, importances), key=lambda r: (-r[1], r[0]))
     if top is not None:
         rows = rows[:top]
-    spark = subs.sparkSession
-    return spark.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
-                                 "feature string, importance double, rank int")
+    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType()),
+                           T.StructField("rank", T.IntegerType())])
+    return literal_table(subs.sparkSession, [(f, float(v), i + 1) for i, (f, v) in enumerate(rows)], schema)
