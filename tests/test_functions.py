@@ -107,3 +107,43 @@ def test_scale_conf_sizes_partitions():
     n = int(c["spark.sql.shuffle.partitions"])
     assert n % 8000 == 0 and 100 * 1024 ** 4 / n <= 256 * 1024 ** 2
     assert scale_conf(10 ** 6)["spark.sql.shuffle.partitions"] == "200"
+
+
+class _Conf:
+    def __init__(self, value):
+        self.value = value
+
+    def get(self, key, default=None):
+        return self.value if key == "spark.checkpoint.dir" else default
+
+
+class _Context:
+    def __init__(self, conf_value, ckpt=None):
+        self._conf, self.ckpt = _Conf(conf_value), ckpt
+
+    def getConf(self):
+        return self._conf
+
+    def getCheckpointDir(self):
+        return self.ckpt
+
+    def setCheckpointDir(self, d):
+        self.ckpt = d
+
+
+class _Session:
+    def __init__(self, conf_value, ckpt=None):
+        self.sparkContext = _Context(conf_value, ckpt)
+        self.conf = _Conf(conf_value)
+
+
+def test_shared_dir_reads_setting_and_falls_back_only_when_unset():
+    from retentio.session import shared_dir
+    s = _Session("hdfs://cluster/shared/ckpt")
+    assert shared_dir(s) == "hdfs://cluster/shared/ckpt"
+    assert s.sparkContext.ckpt == "hdfs://cluster/shared/ckpt"
+    s = _Session(None, ckpt="s3a://bucket/ckpt/uuid")
+    assert shared_dir(s) == "s3a://bucket/ckpt/uuid"
+    s = _Session(None)
+    local = shared_dir(s)
+    assert local.startswith("/") and s.sparkContext.ckpt == local
