@@ -5,13 +5,16 @@ that stay distributed when one group holds most of the rows.
 
 1. ``freq``: rows collapse to (group, value, count) — a partially aggregated
    shuffle keyed by group AND value, so a hot group spreads over many tasks;
-2. each value falls in a fixed log-scale bucket (64 per doubling of |value|,
-   a pure function of the value); per (group, bucket) counts are small (a few
-   thousand rows per group), and a running count over them locates the bucket
-   that holds each target rank;
-3. only the (group, value, count) rows of those target buckets (a join with
-   at most groups x probabilities x 2 target rows) are ranked with a window per
-   (group, bucket, target), so no task ever sorts a whole group.
+2. each value falls in a fixed log-scale coarse bucket (64 per doubling of
+   |value|, a pure function of the value); per (group, bucket) counts are small
+   (a few thousand rows per group), and a running count over them locates the
+   coarse bucket that holds each target rank;
+3. inside those target buckets (a join with at most groups x probabilities x 2
+   target rows) the same is repeated on a 65536-times finer log grid — at most
+   65536 fine buckets per target — to find the fine bucket of each rank;
+4. only the values of the target fine buckets (~1.7e-7 relative width) are
+   ranked, with a window per (group, target, fine bucket), so no task ever
+   sorts a whole group or a whole coarse bucket.
 
 ``method="builtin"`` uses Spark's ``percentile`` (its per-group state holds one
 entry per distinct value); ``method="approx"`` uses ``percentile_approx``.
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-BUCKETS_PER_DOUBLING = 64
+BUCKETS_PER_DOUBLING = 64      # coarse buckets: ~1.1 % wide
+FINE_SPLIT = 65536             # fine buckets per coarse bucket: ~1.7e-7 relative width
 
 
 def _name(p: float) -> str:
@@ -51,43 +55,57 @@ def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: Seque
     return out.select(*by, *[F.col("_q")[i].alias(_name(p)) for i, p in enumerate(probs)])
 
 
-def _bucket_sql(v: str) -> str:
-    """Monotone log-scale bucket of a value (~1.1% relative width): a pure function
-    of the value, so no per-group range has to be joined back."""
-    k = f"{float(BUCKETS_PER_DOUBLING)!r}D"
+def _bucket_sql(v: str, per_doubling: int) -> str:
+    """Monotone log-scale bucket of a value: a pure function of the value, so no
+    per-group range has to be joined back."""
+    k = f"{float(per_doubling)!r}D"
     return (f"CAST(CASE WHEN {v} >= 0 THEN FLOOR(log2({v} + 1.0D) * {k}) "
             f"ELSE -FLOOR(log2(1.0D - {v}) * {k}) - 1 END AS BIGINT)")
 
 
 def _distributed(base: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
     key = list(by)
-    part = f"PARTITION BY {', '.join(f'`{k}`' for k in key)}" if key else ""
+    keys = [f"`{k}`" for k in key]
+
+    def over(*cols: str, order: str | None = None) -> str:
+        part = f"PARTITION BY {', '.join(keys + list(cols))}" if keys or cols else ""
+        return f"OVER ({part}{' ORDER BY ' + order if order else ''})"
+
     freq = base.groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    tagged = freq.withColumn("_b", F.expr(_bucket_sql("_v")))
+    tagged = freq.withColumns({"_b": F.expr(_bucket_sql("_v", BUCKETS_PER_DOUBLING)),
+                               "_f": F.expr(_bucket_sql("_v", BUCKETS_PER_DOUBLING * FINE_SPLIT))})
 
-    # Running counts over buckets (a few thousand rows per group at most).
+    # Level 1: running counts over coarse buckets (a few thousand rows per group).
     bcount = (tagged.groupBy(*key, "_b").agg(F.sum("_c").alias("_bc"))
-              .withColumns({"_before": F.expr(f"sum(_bc) OVER ({part} ORDER BY _b) - _bc"),
-                            "_n": F.expr(f"sum(_bc) OVER ({part})")}))
+              .withColumns({"_before": F.expr(f"sum(_bc) {over(order='_b')} - _bc"),
+                            "_n": F.expr(f"sum(_bc) {over()}")}))
 
-    # Target ranks (0-based) per probability: floor and ceil of (n-1)*p.
+    # Target ranks (0-based) per probability: floor and ceil of (n-1)*p, and the
+    # coarse bucket that holds each.
     targets = []
     for i, p in enumerate(probs):
         h = f"CAST(_n - 1 AS DOUBLE) * {float(p)!r}D"
         for side, fn in (("lo", "FLOOR"), ("hi", "CEIL")):
             targets.append(f"struct({i} AS _pi, '{side}' AS _side, CAST({fn}({h}) AS BIGINT) AS _r, {h} AS _h)")
-    tg = (bcount.selectExpr(*key, "_b", "_bc", "_before", f"explode(array({', '.join(targets)})) AS _t")
-          .selectExpr(*key, "_b", "_before", "_t.*")
+    tg = (bcount.selectExpr(*keys, "_b", "_bc", "_before", f"explode(array({', '.join(targets)})) AS _t")
+          .selectExpr(*keys, "_b", "_before", "_t.*")
           .where("_r >= _before AND _r < _before + _bc"))
 
-    # Rank only the values inside the target buckets: joining with the targets
-    # keeps those buckets (each at most once per target, <= 2 x probs copies),
-    # and the running count is a window per (group, bucket, target) — never a
-    # whole group. The window reuses the join's partitioning on (group, bucket).
-    part_t = f"PARTITION BY {', '.join([f'`{k}`' for k in key] + ['_b', '_pi', '_side'])}"
-    picked = (tagged.join(tg, key + ["_b"])
-              .withColumn("_upto", F.expr(f"sum(_c) OVER ({part_t} ORDER BY _v)"))
-              .where("_r >= _before + _upto - _c AND _r < _before + _upto")
+    # Level 2: the rows of each target coarse bucket (joined once per target,
+    # <= 2 x probs copies), counted per fine bucket (at most FINE_SPLIT per
+    # coarse bucket); running counts locate the fine bucket of each target rank.
+    inner = tagged.join(tg, key + ["_b"])
+    fine = (inner.groupBy(*key, "_b", "_pi", "_side", "_f")
+            .agg(F.sum("_c").alias("_fc"), F.max("_before").alias("_before"), F.max("_r").alias("_r"))
+            .withColumn("_before2", F.expr(f"_before + sum(_fc) {over('_b', '_pi', '_side', order='_f')} - _fc"))
+            .where("_r >= _before2 AND _r < _before2 + _fc")
+            .select(*key, "_b", "_pi", "_side", "_f", "_before2"))
+
+    # Rank only the values of the target fine buckets: a window per (group,
+    # target, fine bucket), never a whole group or a whole coarse bucket.
+    picked = (inner.join(fine, key + ["_b", "_pi", "_side", "_f"])
+              .withColumn("_upto", F.expr(f"sum(_c) {over('_b', '_pi', '_side', '_f', order='_v')}"))
+              .where("_r >= _before2 + _upto - _c AND _r < _before2 + _upto")
               .select(*key, "_pi", "_side", "_h", "_v"))
     # One aggregation per group: the two neighbouring values of every target rank.
     parts = []
@@ -96,5 +114,5 @@ def _distributed(base: DataFrame, by: list[str], probs: list[float]) -> DataFram
                   F.expr(f"max(CASE WHEN _pi = {i} AND _side = 'hi' THEN _v END)").alias(f"_hi{i}"),
                   F.expr(f"max(CASE WHEN _pi = {i} THEN _h END)").alias(f"_h{i}")]
     ends = picked.groupBy(*key).agg(*parts) if key else picked.agg(*parts)
-    return ends.selectExpr(*[f"`{k}`" for k in key], *[
+    return ends.selectExpr(*keys, *[
         f"_lo{i} + (_hi{i} - _lo{i}) * (_h{i} - FLOOR(_h{i})) AS {_name(p)}" for i, p in enumerate(probs)])

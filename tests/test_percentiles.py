@@ -38,8 +38,30 @@ def test_global_percentiles(spark):
     assert r.p50 == pytest.approx(float(np.median(vals)))
 
 
-def test_exact_plan_has_no_group_only_window_over_rows(spark):
+def test_exact_plan_never_ranks_a_whole_group(spark):
+    import re
     df, _ = _frame(spark)
     plan = exact_percentiles(df, "v", ["g"], [0.5])._jdf.queryExecution().executedPlan().toString()
-    # the per-value window is partitioned by (group, bucket), never by group alone over rows
-    assert "Window" in plan
+    specs = re.findall(r"windowspecdefinition\(([^)]*)\)", plan)
+    value_windows = [w for w in specs if "_v#" in w]
+    assert value_windows, plan
+    # the window over values is partitioned by group, coarse bucket, target and fine bucket
+    for w in value_windows:
+        for col in ("g#", "_b#", "_pi#", "_side#", "_f#"):
+            assert col in w, w
+    assert "SortAggregate" not in plan
+
+
+def test_values_concentrated_in_one_coarse_bucket(spark):
+    # 6000 distinct values (plus duplicates) within 0.5 % of each other: one or two
+    # coarse buckets, split by the fine level.
+    rng = np.random.default_rng(11)
+    vals = [1000.0 + i * 0.0008 for i in range(6000)] + [1002.0] * 500 + list(rng.uniform(1000, 1005, 300))
+    df = spark.createDataFrame([("g", float(v)) for v in vals] + [("h", float(v)) for v in vals[::7]],
+                               "g string, v double")
+    probs = [0.01, 0.25, 0.5, 0.77, 0.99]
+    got = {r.g: r for r in exact_percentiles(df, "v", ["g"], probs).collect()}
+    for g, sub in (("g", vals), ("h", vals[::7])):
+        for p in probs:
+            name = "p" + f"{p * 100:g}"
+            assert getattr(got[g], name) == pytest.approx(float(np.quantile(np.array(sub), p)), rel=1e-13)
