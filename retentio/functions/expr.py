@@ -204,6 +204,22 @@ def round_half_away_sql(x: str, digits: int) -> str:
             f"ELSE FLOOR({v} * {s} + 0.5D) / {s} END")
 
 
+def round_ratio_sql(num: str, den: str, digits: int) -> str:
+    """num / den rounded half away from zero to ``digits`` decimals, computed
+    exactly on integers (SQL ``ROUND`` of an exact numeric ratio): ``num`` and
+    ``den`` are integral expressions (BIGINT or DECIMAL(38,0)), ``den`` > 0.
+    Returns a DOUBLE; a zero or null denominator gives null."""
+    s = 10 ** digits
+    d = f"NULLIF(({den}), 0)"
+    return (f"(CAST(CASE WHEN ({num}) < 0 THEN -((2 * -({num}) * {s} + {d}) div (2 * {d})) "
+            f"ELSE (2 * ({num}) * {s} + {d}) div (2 * {d}) END AS DOUBLE) / {float(s)!r}D)")
+
+
+def cents(x: str, scale: int = 2) -> str:
+    """An exact decimal (e.g. a money sum) as an integral DECIMAL(38,0) of its smallest unit."""
+    return f"CAST(({x}) * {10 ** scale} AS DECIMAL(38,0))"
+
+
 def round_half_away(x: str | Column, digits: int) -> Column:
     """Round a double half away from zero (SQL ``ROUND(numeric, d)`` semantics).
 

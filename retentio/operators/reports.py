@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentio.functions.expr import lifecycle_stage, mean_of, mean_sql, money_double, round_half_away
+from retentio.functions.expr import cents, lifecycle_stage, money_double, round_ratio_sql
 from retentio.operators.common import order_aggregated
 
 YES = "Yes"
@@ -38,7 +38,7 @@ def mrr_by_plan_all(subs: DataFrame) -> DataFrame:
                  F.count("monthly_mrr").alias("_n"))
             .select("plan_type", "customers",
                     money_double("round(_sum, 0)").alias("total_mrr"),
-                    round_half_away(mean_sql("_sum", "_n"), 2).alias("avg_mrr_per_customer"))
+                    F.expr(round_ratio_sql(cents("_sum"), "_n * 100", 2)).alias("avg_mrr_per_customer"))
             .transform(order_aggregated, F.desc("total_mrr")))
 
 
@@ -73,30 +73,32 @@ def churn_by_lifecycle(subs: DataFrame) -> DataFrame:
     return (subs.groupBy(lifecycle_stage("subscription_months", "closed").alias("lifecycle_stage"))
             .agg(F.count(F.lit(1)).alias("customers"),
                  F.expr("count_if(churned = 'Yes')").alias("churned_count"))
-            .withColumn("churn_rate_pct", round_half_away("churned_count * 100.0D / customers", 1))
+            .withColumn("churn_rate_pct", F.expr(round_ratio_sql("churned_count * 100", "customers", 1)))
             .transform(order_aggregated, F.desc("churn_rate_pct")))
 
 
-def _avg_ltv_scalar(subs: DataFrame):
-    """Overall average LTV over non-null rows, as a scalar subquery column."""
-    return (subs.where(F.col("lifetime_value").isNotNull())
-            .select(mean_of("sum(lifetime_value)", "count(lifetime_value)"))
-            .scalar())
+def _ltv_totals_scalars(subs: DataFrame):
+    """Overall LTV sum (in cents) and count over non-null rows, as scalar subqueries."""
+    totals = subs.where(F.col("lifetime_value").isNotNull())
+    return (totals.select(F.expr(cents("sum(lifetime_value)"))).scalar(),
+            totals.select(F.count("lifetime_value")).scalar())
 
 
 def ltv_by_lifecycle_vs_overall(subs: DataFrame) -> DataFrame:
     """Q6: average LTV per stage against the overall average; the delta is
-    rounded after the subtraction. The overall average is a scalar subquery,
-    bound to a column once."""
+    rounded after the subtraction. Everything is rounded exactly from integer
+    cents: the delta S/n - T/m is the ratio (S*m - T*n) / (n*m). The overall
+    sum and count are scalar subqueries, bound to columns once."""
+    total_cents, total_n = _ltv_totals_scalars(subs)
     staged = subs.where(F.col("lifetime_value").isNotNull())
     return (staged.groupBy(lifecycle_stage("subscription_months", "closed").alias("stage"))
-            .agg(F.count(F.lit(1)).alias("customers"), F.sum("lifetime_value").alias("_sum"))
-            .select("stage", "customers", mean_of("_sum", "customers").alias("_avg"),
-                    _avg_ltv_scalar(subs).alias("_overall"))
+            .agg(F.count(F.lit(1)).alias("customers"), F.expr(cents("sum(lifetime_value)")).alias("_s"))
+            .select("stage", "customers", "_s", total_cents.alias("_t"), total_n.alias("_m"))
             .select("stage", "customers",
-                    round_half_away("_avg", 2).alias("avg_ltv"),
-                    round_half_away("_overall", 2).alias("overall_avg_ltv"),
-                    round_half_away("_avg - _overall", 2).alias("delta_vs_overall"))
+                    F.expr(round_ratio_sql("_s", "customers * 100", 2)).alias("avg_ltv"),
+                    F.expr(round_ratio_sql("_t", "_m * 100", 2)).alias("overall_avg_ltv"),
+                    F.expr(round_ratio_sql("_s * _m - _t * customers", "customers * _m * 100", 2))
+                    .alias("delta_vs_overall"))
             .transform(order_aggregated, F.desc("avg_ltv")))
 
 
@@ -128,5 +130,5 @@ def ab_summary(expo: DataFrame) -> DataFrame:
     return (expo.groupBy(F.col("grp").alias("test_group"), "landing_page")
             .agg(F.count(F.lit(1)).alias("users"),
                  F.sum("converted").cast("long").alias("conversions"))
-            .withColumn("conversion_rate_pct", round_half_away(mean_sql("conversions * 100.0D", "users"), 2))
+            .withColumn("conversion_rate_pct", F.expr(round_ratio_sql("conversions * 100", "users", 2)))
             .transform(order_aggregated, "test_group", "landing_page"))

@@ -63,6 +63,14 @@ def rhe(e: str, d: int) -> str:
     return f"(round_even(CAST({e} AS DOUBLE) * {s}, 0) / {s})"
 
 
+def rratio(num: str, den: str, d: int) -> str:
+    """Exact half-away-from-zero rounding of num / den (integers) to d decimals."""
+    s = 10 ** d
+    dd = f"NULLIF(({den}), 0)"
+    return (f"(CAST(CASE WHEN ({num}) < 0 THEN -((2 * -({num}) * {s} + {dd}) // (2 * {dd})) "
+            f"ELSE (2 * ({num}) * {s} + {dd}) // (2 * {dd}) END AS DOUBLE) / {s}.0)")
+
+
 def with_ctes(sql: str, *ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + sql
 
@@ -89,7 +97,7 @@ GROUP BY plan_type ORDER BY customer_count DESC""")
 ORACLE["mrr_by_plan_all"] = subs(f"""
 SELECT plan_type, COUNT(*) AS customers,
        CAST(ROUND(SUM(monthly_mrr), 0) AS DOUBLE) AS total_mrr,
-       {rha("CAST(SUM(monthly_mrr) AS DOUBLE) / COUNT(monthly_mrr)", 2)} AS avg_mrr_per_customer
+       {rratio("CAST(SUM(monthly_mrr) * 100 AS HUGEINT)", "COUNT(monthly_mrr) * 100", 2)} AS avg_mrr_per_customer
 FROM subscriptions GROUP BY plan_type ORDER BY total_mrr DESC""")
 
 ORACLE["newest_customers"] = subs("""
@@ -105,20 +113,20 @@ FROM subscriptions ORDER BY subscription_months""")
 ORACLE["churn_by_lifecycle"] = subs(f"""
 SELECT lifecycle_stage, COUNT(*) AS customers,
        CAST(SUM(CASE WHEN churned = 'Yes' THEN 1 ELSE 0 END) AS BIGINT) AS churned_count,
-       {rha("SUM(CASE WHEN churned = 'Yes' THEN 1 ELSE 0 END) * 100.0 / COUNT(*)", 1)} AS churn_rate_pct
+       {rratio("SUM(CASE WHEN churned = 'Yes' THEN 1 ELSE 0 END) * 100", "COUNT(*)", 1)} AS churn_rate_pct
 FROM (SELECT {STAGE_CLOSED} AS lifecycle_stage, churned FROM subscriptions) s
 GROUP BY lifecycle_stage ORDER BY churn_rate_pct DESC""")
 
 ORACLE["ltv_by_lifecycle_vs_overall"] = subs(f"""
 SELECT l.stage, COUNT(*) AS customers,
-       {rha("CAST(SUM(l.lifetime_value) AS DOUBLE) / COUNT(*)", 2)} AS avg_ltv,
-       {rha("o.avg_ltv_all", 2)} AS overall_avg_ltv,
-       {rha("CAST(SUM(l.lifetime_value) AS DOUBLE) / COUNT(*) - o.avg_ltv_all", 2)} AS delta_vs_overall
+       {rratio("CAST(SUM(l.lifetime_value) * 100 AS HUGEINT)", "COUNT(*) * 100", 2)} AS avg_ltv,
+       {rratio("o.t", "o.m * 100", 2)} AS overall_avg_ltv,
+       {rratio("CAST(SUM(l.lifetime_value) * 100 AS HUGEINT) * o.m - o.t * COUNT(*)", "COUNT(*) * o.m * 100", 2)} AS delta_vs_overall
 FROM lifecycle l CROSS JOIN overall_avg o
-GROUP BY l.stage, o.avg_ltv_all ORDER BY avg_ltv DESC""",
+GROUP BY l.stage, o.t, o.m ORDER BY avg_ltv DESC""",
     f"""lifecycle AS (SELECT customer_id, lifetime_value, {STAGE_CLOSED} AS stage
                   FROM subscriptions WHERE lifetime_value IS NOT NULL)""",
-    """overall_avg AS (SELECT CAST(SUM(lifetime_value) AS DOUBLE) / COUNT(lifetime_value) AS avg_ltv_all
+    """overall_avg AS (SELECT CAST(SUM(lifetime_value) * 100 AS HUGEINT) AS t, COUNT(lifetime_value) AS m
                     FROM subscriptions WHERE lifetime_value IS NOT NULL)""")
 
 ORACLE["high_value_churned"] = subs("""
@@ -139,7 +147,7 @@ FROM ranked WHERE mrr_rank_within_plan <= 5 ORDER BY plan_type, mrr_rank_within_
 ORACLE["ab_summary"] = expo(f"""
 SELECT grp AS test_group, landing_page, COUNT(*) AS users,
        CAST(SUM(converted) AS BIGINT) AS conversions,
-       {rha("SUM(converted) * 100.0 / COUNT(*)", 2)} AS conversion_rate_pct
+       {rratio("SUM(converted) * 100", "COUNT(*)", 2)} AS conversion_rate_pct
 FROM exposures GROUP BY grp, landing_page ORDER BY grp, landing_page""")
 
 

@@ -147,3 +147,20 @@ def test_shared_dir_reads_setting_and_falls_back_only_when_unset():
     s = _Session(None)
     local = shared_dir(s)
     assert local.startswith("/") and s.sparkContext.ckpt == local
+
+
+def test_round_ratio_is_exact_half_away_from_zero(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from retentio.functions.expr import round_ratio_sql
+    # (num, den): exact ties that a double gets wrong (12.345 = 2469/200), negatives, zero denominator
+    pairs = [(2469, 200), (-2469, 200), (1, 8), (-1, 8), (1005, 1000), (7, 3), (-7, 3), (0, 5), (5, 0),
+             (123456789012345, 1000), (1, 40), (3, 20)]
+    df = spark.createDataFrame(pairs, "n long, d long")
+    got = [r[0] for r in df.select(F.expr(round_ratio_sql("n", "d", 2))).collect()]
+    for (n, d), g in zip(pairs, got):
+        if d == 0:
+            assert g is None
+        else:
+            exp = float((Decimal(n) / Decimal(d)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+            assert g == exp, (n, d, g, exp)
