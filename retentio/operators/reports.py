@@ -8,7 +8,9 @@ Plan notes (checked with ``explain``):
 * RANK() <= 5 becomes a partial ``WindowGroupLimit`` before the shuffle, so only
   the per-task top ranks of each plan are exchanged;
 * the overall averages are uncorrelated scalar subqueries, computed once and
-  broadcast as a literal (no cross join).
+  broadcast as a literal (no cross join);
+* means and percentages are rounded like SQL ``ROUND(numeric)``: exact integer
+  ratios (money in cents) rounded half away from zero.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from retentio.operators.common import order_aggregated
 YES = "Yes"
 
 
-
 def customers_by_plan(subs: DataFrame) -> DataFrame:
     """Q1: customers per plan, largest first."""
     return (subs.groupBy("plan_type")

@@ -56,3 +56,18 @@ def test_ltv_distribution_dense_and_out_of_range(spark):
     out = [(r.ltv_range, r.customers) for r in workbook.ltv_distribution(_rows(spark)).collect()]
     # 0, 20, 100, 300, 500 -> $0-500; 500.01 -> $500-1K; 10000 -> $5K+; 10000.01 dropped; null dropped
     assert out == [("$0-500", 5), ("$500-1K", 1), ("$1K-2K", 0), ("$2K-3K", 0), ("$3K-5K", 0), ("$5K+", 1)]
+
+
+def test_histogram_zero_width_plan_uses_numpy_range(spark):
+    import numpy as np
+
+    from retentio.operators import cohorts
+    rows = [(f"c{i}", "One year", "x", 3, 10, 250, "No") for i in range(5)] + \
+           [(f"d{i}", "Two year", "x", 3, 10, v, "No") for i, v in enumerate([0, 10, 25, 40, 40, 100])]
+    hist = {(r.plan_type, r.bin): r.customers for r in cohorts.ltv_histogram_by_plan(make_subs(spark, rows)).collect()}
+    # all values equal: numpy uses (v - 0.5, v + 0.5), the value falls into the middle bin (21 of 40)
+    counts, _ = np.histogram([250.0] * 5, bins=40)
+    assert hist[("One year", int(np.argmax(counts)) + 1)] == 5 and int(np.argmax(counts)) + 1 == 21
+    counts, _ = np.histogram([0, 10, 25, 40, 40, 100], bins=40)
+    assert {b: c for (p, b), c in hist.items() if p == "Two year"} == {
+        i + 1: int(c) for i, c in enumerate(counts) if c}
