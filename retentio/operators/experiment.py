@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.functions.expr import mean_sql, rate, round_half_away, round_half_away_sql, sql_num, sql_str
+from retentio.functions.expr import mean_sql, rate, round_half_away_sql, round_half_even, sql_num, sql_str
 from retentio.functions.stats import normal_quantile, two_sided_p_sql
 from retentio.operators.common import order_aggregated
 
@@ -134,10 +134,10 @@ def misaligned_breakdown(expo: DataFrame) -> DataFrame:
 
 
 def group_rates(expo: DataFrame) -> DataFrame:
-    """Per (arm, page): rows, conversions and conversion rate (4 dp)."""
+    """Per (arm, page): rows, conversions and conversion rate (4 dp, numpy rounding)."""
     return (expo.groupBy("grp", "landing_page")
             .agg(F.count("user_id").alias("users"), F.sum("converted").cast("long").alias("conversions"))
-            .withColumn("rate", round_half_away(mean_sql("conversions", "users"), 4))
+            .withColumn("rate", round_half_even(mean_sql("conversions", "users"), 4))
             .transform(order_aggregated, "grp", "landing_page"))
 
 
@@ -183,10 +183,10 @@ def clean_counts(expo: DataFrame) -> DataFrame:
 
 
 def clean_summary(expo: DataFrame) -> DataFrame:
-    """Cleaned rows per arm: count, conversions, mean (4 dp)."""
+    """Cleaned rows per arm: count, conversions, mean (4 dp, numpy rounding)."""
     return (clean_exposures(expo).groupBy("grp")
             .agg(F.count("converted").alias("n"), F.sum("converted").cast("long").alias("conversions"))
-            .withColumn("rate", round_half_away(mean_sql("conversions", "n"), 4))
+            .withColumn("rate", round_half_even(mean_sql("conversions", "n"), 4))
             .transform(order_aggregated, "grp"))
 
 

@@ -460,7 +460,7 @@ FROM (SELECT COUNT(*) FILTER (WHERE grp = 'control') AS n_ctrl,
 
 ORACLE["ab_group_rates"] = expo(f"""
 SELECT grp, landing_page, COUNT(user_id) AS users, CAST(SUM(converted) AS BIGINT) AS conversions,
-       {rha(div("SUM(converted)", "COUNT(user_id)"), 4)} AS rate
+       {rhe(div("SUM(converted)", "COUNT(user_id)"), 4)} AS rate
 FROM exposures GROUP BY grp, landing_page ORDER BY grp, landing_page""")
 
 ORACLE["split_check"] = expo("""
@@ -496,7 +496,7 @@ FROM (SELECT COUNT(*) AS rows_before FROM exposures) b, (SELECT COUNT(*) AS rows
 
 ORACLE["ab_clean_summary"] = expo(f"""
 SELECT grp, COUNT(converted) AS n, CAST(SUM(converted) AS BIGINT) AS conversions,
-       {rha(div("SUM(converted)", "COUNT(converted)"), 4)} AS rate
+       {rhe(div("SUM(converted)", "COUNT(converted)"), 4)} AS rate
 FROM cleaned GROUP BY grp ORDER BY grp""", CLEANED_CTE)
 
 _ALPHA, _POWER, _MDE, _CI = 0.05, 0.80, 0.02, 0.95
