@@ -104,9 +104,12 @@ def ltv_by_lifecycle_vs_overall(subs: DataFrame) -> DataFrame:
 
 
 def high_value_churned(subs: DataFrame, limit: int = 25) -> DataFrame:
-    """Q7: churned customers paying above the overall average MRR (scalar subquery)."""
-    avg_mrr = subs.select(F.avg("monthly_mrr")).scalar()
-    return (subs.where((F.col("churned") == YES) & (F.col("monthly_mrr") > avg_mrr))
+    """Q7: churned customers paying above the overall average MRR. The average is
+    compared exactly: mrr > S/n  <=>  mrr * n > S, with the sum S and count n of
+    the overall MRR as scalar subqueries (decimal arithmetic, no rounded mean)."""
+    total = subs.select(F.sum("monthly_mrr")).scalar()
+    n = subs.select(F.count("monthly_mrr")).scalar()
+    return (subs.where((F.col("churned") == YES) & (F.col("monthly_mrr") * n > total))
             .select("customer_id", "plan_type", "subscription_months",
                     money_double("monthly_mrr").alias("monthly_mrr"),
                     money_double("lifetime_value").alias("lifetime_value"))

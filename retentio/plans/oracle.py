@@ -133,7 +133,8 @@ ORACLE["high_value_churned"] = subs("""
 SELECT customer_id, plan_type, subscription_months, CAST(monthly_mrr AS DOUBLE) AS monthly_mrr,
        CAST(lifetime_value AS DOUBLE) AS lifetime_value
 FROM subscriptions
-WHERE churned = 'Yes' AND monthly_mrr > (SELECT AVG(monthly_mrr) FROM subscriptions)
+WHERE churned = 'Yes'
+  AND monthly_mrr * (SELECT COUNT(monthly_mrr) FROM subscriptions) > (SELECT SUM(monthly_mrr) FROM subscriptions)
 ORDER BY monthly_mrr DESC, customer_id LIMIT 25""")
 
 ORACLE["top_churned_by_plan"] = subs("""
