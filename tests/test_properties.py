@@ -118,3 +118,39 @@ def test_exact_percentiles_equal_numpy(spark, values, hot, probs):
         for p in probs:
             name = "p" + f"{p * 100:g}"
             assert getattr(got[g], name) == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
+
+
+@SETTINGS
+@given(edges=st.lists(st.integers(-50, 1000), min_size=2, max_size=7, unique=True).map(sorted),
+       values=st.lists(st.one_of(st.none(), st.integers(-100, 1100)), min_size=1, max_size=60),
+       include_lowest=st.booleans())
+def test_cut_equals_pandas_cut(spark, edges, values, include_lowest):
+    from pyspark.sql import functions as F
+
+    from retentio.functions.expr import cut, cut_ordinal
+    labels = [f"b{i}" for i in range(len(edges) - 1)]
+    df = spark.createDataFrame([(v,) for v in values], "x int")
+    got = df.select(cut("x", edges, labels, include_lowest).alias("l"),
+                    cut_ordinal("x", edges, include_lowest).alias("o"),
+                    cut(F.col("x"), edges, labels, include_lowest).alias("lc")).collect()
+    exp = pd.cut(pd.Series(values, dtype="float64"), bins=edges, labels=labels, include_lowest=include_lowest)
+    for r, e in zip(got, exp):
+        e = None if pd.isna(e) else str(e)
+        assert r.l == e and r.lc == e
+        assert r.o == (None if e is None else labels.index(e) + 1)
+
+
+@SETTINGS
+@given(pairs=st.lists(st.tuples(st.integers(-10 ** 15, 10 ** 15), st.integers(1, 10 ** 6)), min_size=1, max_size=30),
+       digits=st.integers(0, 4))
+def test_round_ratio_equals_decimal(spark, pairs, digits):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from pyspark.sql import functions as F
+
+    from retentio.functions.expr import round_ratio_sql
+    df = spark.createDataFrame(pairs, "n long, d long")
+    got = [r[0] for r in df.select(F.expr(round_ratio_sql("n", "d", digits))).collect()]
+    q = Decimal(1).scaleb(-digits)
+    for (n, d), g in zip(pairs, got):
+        assert g == float((Decimal(n) / Decimal(d)).quantize(q, rounding=ROUND_HALF_UP))
