@@ -38,7 +38,15 @@ def _name(p: float) -> str:
 
 
 def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
-                      method: str = "exact", accuracy: int = 100_000) -> DataFrame:
+                      method: str = "exact", accuracy: int = 100_000, few_groups: bool = True) -> DataFrame:
+    """Percentiles of ``value`` per group of ``by`` (linear interpolation).
+
+    ``few_groups=True`` declares that ``by`` is a low-cardinality dimension (or
+    empty): the table of target buckets — at most groups x 2 x len(probs) rows —
+    is then broadcast, so the (group, value, count) rows are filtered map-side
+    instead of being shuffled a second time. With ``few_groups=False`` the
+    planner / AQE decides from sizes at run time.
+    """
     by = list(by)
     v = F.col(value).cast("double")
     base = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
@@ -47,7 +55,7 @@ def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: Seque
     elif method == "approx":
         agg = F.percentile_approx("_v", list(probs), accuracy)
     elif method == "exact":
-        return _distributed(base, by, list(probs))
+        return _distributed(base, by, list(probs), few_groups)
     else:
         raise ValueError(method)
     grouped = base.groupBy(*by) if by else base.groupBy()
@@ -63,7 +71,7 @@ def _bucket_sql(v: str, per_doubling: int) -> str:
             f"ELSE -FLOOR(log2(1.0D - {v}) * {k}) - 1 END AS BIGINT)")
 
 
-def _distributed(base: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+def _distributed(base: DataFrame, by: list[str], probs: list[float], few_groups: bool) -> DataFrame:
     key = list(by)
     keys = [f"`{k}`" for k in key]
 
@@ -94,7 +102,7 @@ def _distributed(base: DataFrame, by: list[str], probs: list[float]) -> DataFram
     # Level 2: the rows of each target coarse bucket (joined once per target,
     # <= 2 x probs copies), counted per fine bucket (at most FINE_SPLIT per
     # coarse bucket); running counts locate the fine bucket of each target rank.
-    inner = tagged.join(tg, key + ["_b"])
+    inner = tagged.join(F.broadcast(tg) if few_groups else tg, key + ["_b"])
     fine = (inner.groupBy(*key, "_b", "_pi", "_side", "_f")
             .agg(F.sum("_c").alias("_fc"), F.max("_before").alias("_before"), F.max("_r").alias("_r"))
             .withColumn("_before2", F.expr(f"_before + sum(_fc) {over('_b', '_pi', '_side', order='_f')} - _fc"))
