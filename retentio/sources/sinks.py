@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -21,11 +22,20 @@ def load_once(df: DataFrame, path: str) -> None:
 
 def write_result_csv(df: DataFrame, path: str) -> bool:
     """Write a query result as CSV with a header; nothing is written for an empty
-    result. Returns whether anything was written. (``isEmpty`` is a limit-1 job.)"""
-    if df.isEmpty():
-        return False
-    df.write.mode("overwrite").option("header", True).csv(path)
-    return True
+    result. Returns whether anything was written.
+
+    The emptiness check and the write are two actions; the result is persisted
+    (memory, spilling to disk) between them so the query runs once — the
+    partitions the check computes are reused by the write.
+    """
+    result = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if result.isEmpty():
+            return False
+        result.write.mode("overwrite").option("header", True).csv(path)
+        return True
+    finally:
+        result.unpersist()
 
 
 def write_report_tables(subs: DataFrame, out_dir: str, ltv_edges=workbook.LTV_EDGES_REFERENCE) -> list[str]:
