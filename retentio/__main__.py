@@ -2,12 +2,14 @@
 
     python -m retentio list
     python -m retentio run    <sf_dir> <out_dir> [--only a,b] [--load <dir>]
-    python -m retentio report <sf_dir> <out_dir> [--ltv-edges 0,500,...]
+    python -m retentio report <sf_dir> <out_dir> [--ltv-edges 0,500,...] [--load <dir>]
 
 ``run`` writes one CSV folder per query (nothing for an empty result) and
 prints one status line per query; a failing query does not stop the batch.
-``--load`` derives the two analytical tables once into <dir> and runs every
-report against them. ``report`` writes the workbook's sheets as parquet tables.
+``--load`` derives the two analytical tables once into <dir> (use a folder
+every executor can read) and runs every report / sheet against them, instead of
+re-deriving them from the raw tables for each one. ``report`` writes the
+workbook's sheets as parquet tables.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     rep.add_argument("sf_dir")
     rep.add_argument("out_dir")
     rep.add_argument("--ltv-edges", default=",".join(str(e) for e in LTV_EDGES_REFERENCE))
+    rep.add_argument("--load", default=None)
     args = ap.parse_args(argv)
 
     if args.cmd == "list":
@@ -52,7 +55,10 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{r.status:8s} {r.seconds:7.2f}s  {r.name}" + (f"  {r.error}" if r.error else ""))
         return 1 if any(r.status == "error" for r in results) else 0
     edges = tuple(float(x) if "." in x else int(x) for x in args.ltv_edges.split(","))
-    for name in write_report_tables(Catalog(spark, args.sf_dir).subscriptions(), args.out_dir, edges):
+    cat = Catalog(spark, args.sf_dir)
+    if args.load:
+        cat = cat.load(args.load)
+    for name in write_report_tables(cat.subscriptions(), args.out_dir, edges):
         print(f"written  {args.out_dir.rstrip('/')}/{name}")
     return 0
 

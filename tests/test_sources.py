@@ -143,5 +143,5 @@ def test_command_line_run_and_report(spark, tmp_dir, capsys):
     assert "written" in out and "empty" in out
     assert spark.read.option("header", True).csv(f"{tmp_dir}/out/customers_by_plan").count() == 3
     assert main(["report", SF001, f"{tmp_dir}/report", "--ltv-edges",
-                 "0,200000,400000,600000,1000000,2000000,3000000"]) == 0
+                 "0,200000,400000,600000,1000000,2000000,3000000", "--load", f"{tmp_dir}/loaded"]) == 0
     assert spark.read.parquet(f"{tmp_dir}/report/ltv_distribution").count() == 6
