@@ -34,7 +34,13 @@ def report_facts(subs: DataFrame) -> DataFrame:
 def kpi_cards(subs: DataFrame, plan_labels: Sequence[str] | None = None) -> DataFrame:
     """The six KPI cards plus the hidden all-customer MRR, one row; optionally
     under the plan-label slicer (filter on the dimension, propagated to the fact)."""
-    slicer = {"plan_label": list(plan_labels)} if plan_labels else None
+    slicer = None
+    if plan_labels:
+        slicer = {"plan_label": list(plan_labels)}
+        # The dimension is a fixed table, so the label filter maps to plan types
+        # without reading data; filtering the fact on them lets the scan skip data.
+        types = [t for t, _, label in PLAN_DIMENSION if label in set(plan_labels)]
+        subs = subs.where(F.col("plan_type").isin(types))
     return measure_query(report_facts(subs), list(CARD_MEASURES) + ["total_mrr_all"], (), slicer)
 
 

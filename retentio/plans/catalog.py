@@ -56,7 +56,10 @@ class Catalog:
         """Write both derived tables once (skipped when already present) and
         return a catalog that reads them."""
         target_dir = target_dir.rstrip("/")
-        for name, df in (("subscriptions", self.subscriptions()), ("exposures", self.exposures())):
+        # Rows are clustered by plan inside each written file (a per-task sort, no
+        # shuffle), so a plan filter can skip parquet row groups by their statistics.
+        subs = self.subscriptions().sortWithinPartitions("plan_type")
+        for name, df in (("subscriptions", subs), ("exposures", self.exposures())):
             path = f"{target_dir}/{name}"
             if "://" in path or not os.path.exists(os.path.join(path, "_SUCCESS")):
                 df.write.mode("ignore").parquet(path)

@@ -57,3 +57,8 @@ def test_filter_pushed_to_scan(cat):
     text = _plan(REGISTRY["newest_customers"](cat))
     assert "PushedFilters: [IsNotNull(subscription_months), LessThanOrEqual(subscription_months,6)]" in text \
         or "LessThanOrEqual(subscription_months,6)" in text
+
+
+def test_slicer_reaches_the_fact_scan(cat):
+    text = _plan(REGISTRY["kpi_cards_sliced"](cat))
+    assert "In(plan_type, [Month-to-month,Two year])" in text
