@@ -48,13 +48,14 @@ def read_customers_renamed(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).schema(_all_strings(CUSTOMER_CSV_HEADER)).csv(path)
     renamed = raw.withColumnsRenamed(CUSTOMER_RENAMES)
     snake = renamed.toDF(*[to_snake(c) for c in renamed.columns])
-    return (snake
-            .withColumn("senior_citizen", F.col("senior_citizen").try_cast("int"))
-            .withColumn("subscription_months", F.col("subscription_months").try_cast("int"))
-            .withColumn("monthly_mrr", F.col("monthly_mrr").try_cast("double"))
-            .withColumn("lifetime_value", F.trim("lifetime_value").try_cast("double"))
-            .withColumn("churned_flag", yes_flag("churned"))
-            .withColumn("lifecycle_stage", lifecycle_stage("subscription_months", "notebook")))
+    typed = snake.withColumns({
+        "senior_citizen": F.col("senior_citizen").try_cast("int"),
+        "subscription_months": F.col("subscription_months").try_cast("int"),
+        "monthly_mrr": F.col("monthly_mrr").try_cast("double"),
+        "lifetime_value": F.trim("lifetime_value").try_cast("double"),
+        "churned_flag": yes_flag("churned"),
+    })
+    return typed.withColumn("lifecycle_stage", lifecycle_stage("subscription_months", "notebook"))
 
 
 def read_ab_csv(spark: SparkSession, path: str) -> DataFrame:
