@@ -8,8 +8,6 @@ deployment: load once, run many reports).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from retentio.sources import adapters
@@ -53,14 +51,27 @@ class Catalog:
         return self._frames["exposures"]
 
     def load(self, target_dir: str) -> "Catalog":
-        """Write both derived tables once (skipped when already present) and
-        return a catalog that reads them."""
+        """Write both derived tables once and return a catalog that reads them.
+
+        A table whose folder holds a completed write (``_SUCCESS``) is kept, so a
+        re-run does not load twice; a folder left by an interrupted write is
+        overwritten. ``target_dir`` should be a folder every executor can read.
+        """
         target_dir = target_dir.rstrip("/")
         # Rows are clustered by plan inside each written file (a per-task sort, no
         # shuffle), so a plan filter can skip parquet row groups by their statistics.
         subs = self.subscriptions().sortWithinPartitions("plan_type")
         for name, df in (("subscriptions", subs), ("exposures", self.exposures())):
             path = f"{target_dir}/{name}"
-            if "://" in path or not os.path.exists(os.path.join(path, "_SUCCESS")):
-                df.write.mode("ignore").parquet(path)
+            if not _write_completed(self.spark, path):
+                df.write.mode("overwrite").parquet(path)
         return Catalog(self.spark, self.sf_dir, target_dir)
+
+
+def _write_completed(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark write to ``path`` finished (its ``_SUCCESS`` marker exists),
+    through the Hadoop file system of the path's scheme."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(marker))

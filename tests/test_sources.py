@@ -145,3 +145,15 @@ def test_command_line_run_and_report(spark, tmp_dir, capsys):
     assert main(["report", SF001, f"{tmp_dir}/report", "--ltv-edges",
                  "0,200000,400000,600000,1000000,2000000,3000000", "--load", f"{tmp_dir}/loaded"]) == 0
     assert spark.read.parquet(f"{tmp_dir}/report/ltv_distribution").count() == 6
+
+
+def test_load_repairs_interrupted_write_and_keeps_completed_one(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/subscriptions")            # an interrupted write: no _SUCCESS marker
+    with open(f"{tmp_dir}/subscriptions/part-junk.parquet", "w") as f:
+        f.write("not parquet")
+    cat = Catalog(spark, SF001).load(tmp_dir)
+    assert cat.subscriptions().count() == 150
+    assert not os.path.exists(f"{tmp_dir}/subscriptions/part-junk.parquet")
+    stamp = os.path.getmtime(f"{tmp_dir}/subscriptions/_SUCCESS")
+    Catalog(spark, SF001).load(tmp_dir)
+    assert os.path.getmtime(f"{tmp_dir}/subscriptions/_SUCCESS") == stamp
