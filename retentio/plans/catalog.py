@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from retentio.sources import adapters
+from retentio.sources.sinks import write_completed
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
               "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -63,15 +64,7 @@ class Catalog:
         subs = self.subscriptions().sortWithinPartitions("plan_type")
         for name, df in (("subscriptions", subs), ("exposures", self.exposures())):
             path = f"{target_dir}/{name}"
-            if not _write_completed(self.spark, path):
+            if not write_completed(self.spark, path):
                 df.write.mode("overwrite").parquet(path)
         return Catalog(self.spark, self.sf_dir, target_dir)
 
-
-def _write_completed(spark: SparkSession, path: str) -> bool:
-    """Whether a Spark write to ``path`` finished (its ``_SUCCESS`` marker exists),
-    through the Hadoop file system of the path's scheme."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(marker))

@@ -15,9 +15,23 @@ def create_table_if_not_exists(spark: SparkSession, name: str, schema: T.StructT
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet LOCATION '{path}'")
 
 
-def load_once(df: DataFrame, path: str) -> None:
-    """Idempotent load: writes nothing when data already exists at ``path``."""
-    df.write.mode("ignore").parquet(path)
+def write_completed(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark write to ``path`` finished (its ``_SUCCESS`` marker exists),
+    checked through the Hadoop file system of the path's scheme."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(marker))
+
+
+def load_once(df: DataFrame, path: str) -> bool:
+    """Idempotent load: nothing is written when a completed load exists at
+    ``path``; a folder left by an interrupted load is overwritten. Returns
+    whether it wrote."""
+    if write_completed(df.sparkSession, path):
+        return False
+    df.write.mode("overwrite").parquet(path)
+    return True
 
 
 def write_result_csv(df: DataFrame, path: str) -> bool:

@@ -77,8 +77,8 @@ def test_csv_sink_skips_empty_and_load_once(spark, tmp_dir):
     assert not os.path.exists(f"{tmp_dir}/empty")
     assert sinks.write_result_csv(spark.range(3), f"{tmp_dir}/three") is True
     assert spark.read.option("header", True).csv(f"{tmp_dir}/three").count() == 3
-    sinks.load_once(spark.range(3), f"{tmp_dir}/t")
-    sinks.load_once(spark.range(10), f"{tmp_dir}/t")  # skipped: data already there
+    assert sinks.load_once(spark.range(3), f"{tmp_dir}/t") is True
+    assert sinks.load_once(spark.range(10), f"{tmp_dir}/t") is False  # skipped: data already there
     assert spark.read.parquet(f"{tmp_dir}/t").count() == 3
 
 
