@@ -65,3 +65,13 @@ def test_values_concentrated_in_one_coarse_bucket(spark):
         for p in probs:
             name = "p" + f"{p * 100:g}"
             assert getattr(got[g], name) == pytest.approx(float(np.quantile(np.array(sub), p)), rel=1e-13)
+
+
+def test_approx_method_within_rank_error(spark):
+    df, rows = _frame(spark)
+    got = {r.g: r for r in exact_percentiles(df, "v", ["g"], [0.5], method="approx", accuracy=10_000).collect()}
+    for g in ("hot", "wide", "neg"):
+        vals = np.sort(np.array([v for gg, v in rows if gg == g and v is not None]))
+        # the approximate median's rank is within n / accuracy of the true median rank
+        rank = np.searchsorted(vals, got[g].p50)
+        assert abs(rank - len(vals) / 2) <= len(vals) / 10_000 + 2 or vals[len(vals) // 2] == got[g].p50
