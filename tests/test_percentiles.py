@@ -75,3 +75,11 @@ def test_approx_method_within_rank_error(spark):
         # the approximate median's rank is within n / accuracy of the true median rank
         rank = np.searchsorted(vals, got[g].p50)
         assert abs(rank - len(vals) / 2) <= len(vals) / 10_000 + 2 or vals[len(vals) // 2] == got[g].p50
+
+
+def test_exact_without_broadcast_hint_matches(spark):
+    df, rows = _frame(spark)
+    probs = [0.1, 0.5, 0.9]
+    a = {r.g: r for r in exact_percentiles(df, "v", ["g"], probs, few_groups=False).collect()}
+    b = {r.g: r for r in exact_percentiles(df, "v", ["g"], probs).collect()}
+    assert a == b
