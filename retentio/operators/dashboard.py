@@ -24,11 +24,18 @@ from retentio.sources.literals import plan_dimension, with_plan_labels
 GAUGE_MIN, GAUGE_MAX, GAUGE_TARGET = 0.0, 0.5, 0.2
 
 
+# Fixed value: the report's currency type is a fixed decimal with 4 places.
+CURRENCY = "decimal(19,4)"
+
+
 def report_facts(subs: DataFrame) -> DataFrame:
-    """Fact rows as the report sees them: plan labels and the calculated
-    ``lifecycle_stage`` column (half-open rule)."""
+    """Fact rows as the report sees them: money retyped to the report's currency
+    type at import, plan labels joined, and the calculated ``lifecycle_stage``
+    column (half-open rule)."""
     return (with_plan_labels(subs)
-            .withColumn("lifecycle_stage", lifecycle_stage("subscription_months", "half_open")))
+            .withColumns({"monthly_mrr": F.col("monthly_mrr").cast(CURRENCY),
+                          "lifetime_value": F.col("lifetime_value").cast(CURRENCY),
+                          "lifecycle_stage": lifecycle_stage("subscription_months", "half_open")}))
 
 
 def kpi_cards(subs: DataFrame, plan_labels: Sequence[str] | None = None) -> DataFrame:
