@@ -48,11 +48,21 @@ def test_every_query_has_an_oracle_or_is_a_model():
     assert missing == {"churn_drivers"}
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    got = QUERIES[name](spark, SF01).toPandas()
-    exp = duck.sql(ORACLE[name]).df()
+    sdf = QUERIES[name](spark, SF01)
+    got = sdf.toPandas()
+    rel = duck.sql(ORACLE[name])
+    exp = rel.df()
     assert sorted(got.columns) == sorted(exp.columns)
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    assert spark_types == duck_types
     assert len(got) == len(exp)
     assert _rows(got) == _rows(exp)
 
