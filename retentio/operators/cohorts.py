@@ -2,9 +2,8 @@
 
 Rounding follows the notebook (numpy: half to even) via ``round_half_even``.
 All pivots use a fixed value list as conditional aggregates in one pass; the
-per-plan histogram needs the plan's min/max first, which is one small aggregate
-joined back (Spark turns that join into a broadcast at run time once the
-aggregate proves small).
+per-plan histogram needs the plan's min/max first: one small aggregate (a row
+per plan type) broadcast back to the rows.
 """
 
 from __future__ import annotations
@@ -133,7 +132,9 @@ def ltv_histogram_by_plan(subs: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFr
                        "CASE WHEN _mx = _mn THEN _mn - 0.5D ELSE _mn END AS lo",
                        "CASE WHEN _mx = _mn THEN _mx + 0.5D ELSE _mx END AS hi"))
     nb = f"{float(bins)!r}D"
-    binned = ltv.join(rng, "plan_type").selectExpr(
+    # rng has one row per plan type (a dimension of a handful of values): broadcast
+    # it, so the LTV rows are binned map-side instead of being shuffled by plan.
+    binned = ltv.join(F.broadcast(rng), "plan_type").selectExpr(
         "plan_type", "lo", "hi", f"CAST(least(CAST({bins} AS BIGINT), FLOOR((v - lo) * {nb} / (hi - lo)) + 1) AS INT) AS bin")
     return (binned.groupBy("plan_type", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("customers"))
             .selectExpr("plan_type", "bin",
