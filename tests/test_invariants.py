@@ -74,3 +74,20 @@ def test_churn_drivers_importances(spark, subs01):
     assert [r.rank for r in rows] == [1, 2, 3, 4]
     assert sum(r.importance for r in rows) == pytest.approx(1.0)
     assert rows[0].importance >= rows[-1].importance
+
+
+def test_more_fixture_facts(spark, subs01):
+    s001 = Catalog(spark, SF001).subscriptions()
+    assert [r.customers for r in workbook.ltv_distribution(s001, FIXTURE_LTV_EDGES).collect()] == [15, 20, 22, 38, 45, 5]
+    assert s001.where("lifetime_value IS NULL").count() == 5
+    for df, n in ((s001, 20), (subs01, 198)):
+        assert df.where("churned = 'No' AND subscription_months < 6").count() == n
+        assert df.agg(F.max("subscription_months")).collect()[0][0] == 78
+    plans = {r.plan_type: (r.total, r.churned) for r in cohorts.churn_by_plan_banded(s001).collect()}
+    assert plans == {"Month-to-month": (74, 14), "One year": (53, 12), "Two year": (23, 6)}
+    plans = {r.plan_type: (r.total, r.churned) for r in cohorts.churn_by_plan_banded(subs01).collect()}
+    assert plans == {"Month-to-month": (605, 134), "One year": (597, 124), "Two year": (298, 64)}
+    e01 = Catalog(spark, SF01).exposures()
+    assert e01.count() == 10000 and e01.select("user_id").distinct().count() == 7344
+    assert experiment.misaligned_summary(e01).collect()[0].misaligned_rows == 150
+    assert experiment.contamination_check(e01).collect()[0].contaminated_users == 61
