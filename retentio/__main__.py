@@ -1,11 +1,12 @@
 """Command line: run the registered reports or write the workbook tables.
 
     python -m retentio list
-    python -m retentio run    <sf_dir> <out_dir> [--only a,b] [--load <dir>]
+    python -m retentio run    <sf_dir> <out_dir> [--only a,b] [--load <dir>] [--show N]
     python -m retentio report <sf_dir> <out_dir> [--ltv-edges 0,500,...] [--load <dir>]
 
 ``run`` writes one CSV folder per query (nothing for an empty result) and
-prints one status line per query; a failing query does not stop the batch.
+prints one status line per query (``--show N``: and its first N rows); a
+failing query does not stop the batch.
 ``--load`` derives the two analytical tables once into <dir> (use a folder
 every executor can read) and runs every report / sheet against them, instead of
 re-deriving them from the raw tables for each one. ``report`` writes the
@@ -34,6 +35,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("out_dir")
     run.add_argument("--only", default=None)
     run.add_argument("--load", default=None)
+    run.add_argument("--show", type=int, default=0)
     rep = sub.add_parser("report")
     rep.add_argument("sf_dir")
     rep.add_argument("out_dir")
@@ -50,9 +52,13 @@ def main(argv: list[str] | None = None) -> int:
         if args.load:
             cat = cat.load(args.load)
         names = args.only.split(",") if args.only else None
-        results = run_all(spark, args.sf_dir, args.out_dir, names, catalog=cat)
+        results = run_all(spark, args.sf_dir, args.out_dir, names, catalog=cat, preview=args.show)
         for r in results:
             print(f"{r.status:8s} {r.seconds:7.2f}s  {r.name}" + (f"  {r.error}" if r.error else ""))
+            if r.preview:
+                print("    " + "  ".join(r.columns))
+                for row in r.preview:
+                    print("    " + "  ".join(str(v) for v in row))
         return 1 if any(r.status == "error" for r in results) else 0
     edges = tuple(float(x) if "." in x else int(x) for x in args.ltv_edges.split(","))
     cat = Catalog(spark, args.sf_dir)

@@ -34,20 +34,20 @@ def load_once(df: DataFrame, path: str) -> bool:
     return True
 
 
-def write_result_csv(df: DataFrame, path: str) -> bool:
+def write_result_csv(df: DataFrame, path: str, preview: int = 0) -> tuple[bool, list]:
     """Write a query result as CSV with a header; nothing is written for an empty
-    result. Returns whether anything was written.
+    result. Returns (whether anything was written, the first ``preview`` rows).
 
-    The emptiness check and the write are two actions; the result is persisted
-    (memory, spilling to disk) between them so the query runs once — the
-    partitions the check computes are reused by the write.
+    The emptiness check, the write and the preview are separate actions; the
+    result is persisted (memory, spilling to disk) meanwhile so the query runs
+    once — partitions computed by one action are reused by the next.
     """
     result = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if result.isEmpty():
-            return False
+            return False, []
         result.write.mode("overwrite").option("header", True).csv(path)
-        return True
+        return True, (result.take(preview) if preview else [])
     finally:
         result.unpersist()
 

@@ -73,9 +73,10 @@ def test_row_count_gate_tolerance(spark):
 
 
 def test_csv_sink_skips_empty_and_load_once(spark, tmp_dir):
-    assert sinks.write_result_csv(spark.range(0), f"{tmp_dir}/empty") is False
+    assert sinks.write_result_csv(spark.range(0), f"{tmp_dir}/empty") == (False, [])
     assert not os.path.exists(f"{tmp_dir}/empty")
-    assert sinks.write_result_csv(spark.range(3), f"{tmp_dir}/three") is True
+    wrote, rows = sinks.write_result_csv(spark.range(3), f"{tmp_dir}/three", preview=2)
+    assert wrote is True and [r.id for r in rows] == [0, 1]
     assert spark.read.option("header", True).csv(f"{tmp_dir}/three").count() == 3
     assert sinks.load_once(spark.range(3), f"{tmp_dir}/t") is True
     assert sinks.load_once(spark.range(10), f"{tmp_dir}/t") is False  # skipped: data already there
@@ -138,9 +139,9 @@ def test_file_line_gate_counts_header_line(spark, tmp_dir):
 def test_command_line_run_and_report(spark, tmp_dir, capsys):
     from retentio.__main__ import main
     assert main(["run", SF001, f"{tmp_dir}/out", "--only", "customers_by_plan,duplicate_customer_ids",
-                 "--load", f"{tmp_dir}/loaded"]) == 0
+                 "--load", f"{tmp_dir}/loaded", "--show", "20"]) == 0
     out = capsys.readouterr().out
-    assert "written" in out and "empty" in out
+    assert "written" in out and "empty" in out and "plan_type  customer_count" in out
     assert spark.read.option("header", True).csv(f"{tmp_dir}/out/customers_by_plan").count() == 3
     assert main(["report", SF001, f"{tmp_dir}/report", "--ltv-edges",
                  "0,200000,400000,600000,1000000,2000000,3000000", "--load", f"{tmp_dir}/loaded"]) == 0
