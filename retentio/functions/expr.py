@@ -207,12 +207,15 @@ def round_half_away_sql(x: str, digits: int) -> str:
 def round_ratio_sql(num: str, den: str, digits: int) -> str:
     """num / den rounded half away from zero to ``digits`` decimals, computed
     exactly on integers (SQL ``ROUND`` of an exact numeric ratio): ``num`` and
-    ``den`` are integral expressions (BIGINT or DECIMAL(38,0)), ``den`` > 0.
-    Returns a DOUBLE; a zero or null denominator gives null."""
+    ``den`` are integral expressions, ``den`` > 0; the arithmetic runs in
+    DECIMAL(38,0), so it cannot overflow for realistic sums. Returns a DOUBLE
+    (the exact result's nearest double while |num/den| * 10^digits < 2^53); a
+    zero or null denominator gives null."""
     s = 10 ** digits
-    d = f"NULLIF(({den}), 0)"
-    return (f"(CAST(CASE WHEN ({num}) < 0 THEN -((2 * -({num}) * {s} + {d}) div (2 * {d})) "
-            f"ELSE (2 * ({num}) * {s} + {d}) div (2 * {d}) END AS DOUBLE) / {float(s)!r}D)")
+    n = f"CAST(({num}) AS DECIMAL(38,0))"
+    d = f"NULLIF(CAST(({den}) AS DECIMAL(38,0)), 0)"
+    return (f"(CAST(CASE WHEN {n} < 0 THEN -((2 * -{n} * {s} + {d}) div (2 * {d})) "
+            f"ELSE (2 * {n} * {s} + {d}) div (2 * {d}) END AS DOUBLE) / {float(s)!r}D)")
 
 
 def cents(x: str, scale: int = 2) -> str:

@@ -164,3 +164,11 @@ def test_round_ratio_is_exact_half_away_from_zero(spark):
         else:
             exp = float((Decimal(n) / Decimal(d)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
             assert g == exp, (n, d, g, exp)
+
+
+def test_round_ratio_does_not_overflow_on_large_sums(spark):
+    from retentio.functions.expr import round_ratio_sql
+    # 2 * n * 10^4 exceeds BIGINT; the DECIMAL(38,0) arithmetic does not overflow
+    df = spark.createDataFrame([(461_168_601_842_739, 1_000_000)], "n long, d long")
+    got = df.select(F.expr(round_ratio_sql("n", "d", 4))).collect()[0][0]
+    assert got == 461168601.8427
