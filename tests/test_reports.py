@@ -71,3 +71,29 @@ def test_histogram_zero_width_plan_uses_numpy_range(spark):
     counts, _ = np.histogram([0, 10, 25, 40, 40, 100], bins=40)
     assert {b: c for (p, b), c in hist.items() if p == "Two year"} == {
         i + 1: int(c) for i, c in enumerate(counts) if c}
+
+
+def test_reports_come_back_in_their_order(spark):
+    from conftest import SF01
+    from retentio.plans.registry import queries
+    q = queries()
+
+    def rows(name):
+        return q[name](spark, SF01).collect()
+
+    counts = [r.customer_count for r in rows("customers_by_plan")]
+    assert counts == sorted(counts, reverse=True)
+    rates = [r.churn_rate_pct for r in rows("churn_by_lifecycle")]
+    assert rates == sorted(rates, reverse=True)
+    keys = [(r.test_group, r.landing_page) for r in rows("ab_summary")]
+    assert keys == sorted(keys)
+    ranked = [(r.plan_type, r.mrr_rank_within_plan) for r in rows("top_churned_by_plan")]
+    assert ranked == sorted(ranked)
+    months = [r.subscription_months for r in rows("lifecycle_stage_rows")]
+    assert months == sorted(months)
+    order = [r.plan_order for r in rows("active_mrr_by_plan_label")]
+    assert order == sorted(order)
+    buckets = [r.bucket_order for r in rows("cohort_churn_matrix")]
+    assert buckets == sorted(buckets)
+    newest = [(r.subscription_months, -r.monthly_mrr, r.customer_id) for r in rows("newest_customers")]
+    assert newest == sorted(newest)
