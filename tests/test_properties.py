@@ -155,3 +155,29 @@ def test_round_ratio_equals_decimal(spark, pairs, digits):
     # |n/d| * 10^digits stays below 2^53, where the DOUBLE result is exact
     for (n, d), g in zip(pairs, got):
         assert g == float((Decimal(n) / Decimal(d)).quantize(q, rounding=ROUND_HALF_UP))
+
+
+exposure = st.tuples(st.integers(1, 6), st.integers(0, 30), st.integers(-5, 10 ** 6),
+                     st.sampled_from(["control", "treatment", None]),
+                     st.sampled_from(["old_page", "new_page", None]), st.integers(0, 1))
+
+
+@SETTINGS
+@given(rows=st.lists(exposure, min_size=1, max_size=50, unique_by=lambda r: r[2]))
+def test_clean_exposures_equals_brute_force(spark, rows):
+    import datetime as dt
+
+    from retentio.operators.experiment import clean_exposures
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(u, t0 + dt.timedelta(seconds=s), e, g, p, c) for u, s, e, g, p, c in rows]
+    df = spark.createDataFrame(data, "user_id long, ts timestamp_ntz, event_id long, grp string, "
+                                     "landing_page string, converted int")
+    got = {r.user_id: (r.ts, r.event_id, r.grp, r.landing_page, r.converted)
+           for r in clean_exposures(df).collect()}
+    pdf = pd.DataFrame(data, columns=["user_id", "ts", "event_id", "grp", "landing_page", "converted"])
+    ok = (((pdf.grp == "control") & (pdf.landing_page == "old_page"))
+          | ((pdf.grp == "treatment") & (pdf.landing_page == "new_page")))
+    first = pdf[ok].sort_values(["user_id", "ts", "event_id"]).groupby("user_id").head(1)
+    exp = {r.user_id: (r.ts.to_pydatetime(), r.event_id, r.grp, r.landing_page, r.converted)
+           for r in first.itertuples()}
+    assert got == exp
