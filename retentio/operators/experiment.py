@@ -215,7 +215,8 @@ def _stats_sql(params: ExperimentParams) -> dict[str, str]:
     n_req = f"CEIL({sql_num(2.0 * zz * zz)} * {pc} * (1.0D - {pc}) / {sql_num(params.mde * params.mde)})"
     # Two-proportion z-test, pooled variance, treatment minus control.
     pool = f"(({ct} + {cc}) / ({nt} + {nc}))"
-    z = f"({diff} / sqrt({pool} * (1.0D - {pool}) * (1.0D / {nt} + 1.0D / {nc})))"
+    # null (not an error) when the pooled variance is 0 (no or only conversions)
+    z = f"try_divide({diff}, sqrt({pool} * (1.0D - {pool}) * (1.0D / {nt} + 1.0D / {nc})))"
     zc = sql_num(params.z_ci)
 
     def half(p: str, n: str) -> str:
@@ -226,7 +227,7 @@ def _stats_sql(params: ExperimentParams) -> dict[str, str]:
     conv_c_m, conv_t_m = f"({visitors} * {pc})", f"({visitors} * {pt})"
     return {
         "lift_pp": f"{diff} * 100.0D",
-        "relative_change_pct": f"({pt} / {pc} - 1.0D) * 100.0D",
+        "relative_change_pct": f"(try_divide({pt}, {pc}) - 1.0D) * 100.0D",
         "n_required": n_req,
         "z_stat": z,
         "p_value": two_sided_p_sql(z),

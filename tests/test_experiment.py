@@ -129,3 +129,11 @@ def test_hot_user_first_row_matches_brute_force(spark):
     assert got == {r.user_id: (r.event_id, r.grp, r.converted) for r in first.itertuples()}
     plan = X.clean_exposures(e)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortAggregate" not in plan and "partial_min_by" in plan
+
+
+def test_no_conversions_gives_null_test_not_error(spark):
+    rows = [(1, 0, 1, "control", "old_page", 0), (2, 0, 2, "treatment", "new_page", 0)]
+    r = X.experiment_stats(_expo(spark, rows)).collect()[0]
+    assert r.z_stat is None and r.p_value is None and r.relative_change_pct is None
+    assert r.significant is None and r.verdict == X.ROLL_OUT      # a NaN p-value is not >= alpha
+    assert len(X.report_rows(_expo(spark, rows)).collect()) == 9

@@ -181,3 +181,37 @@ def test_clean_exposures_equals_brute_force(spark, rows):
     exp = {r.user_id: (r.ts.to_pydatetime(), r.event_id, r.grp, r.landing_page, r.converted)
            for r in first.itertuples()}
     assert got == exp
+
+
+@SETTINGS
+@given(arms=st.lists(st.tuples(st.integers(1, 10 ** 6), st.integers(1, 10 ** 6), st.floats(0.0, 1.0),
+                               st.floats(0.0, 1.0)), min_size=1, max_size=10))
+def test_experiment_statistics_equal_python_formulas(spark, arms):
+    import math
+
+    from retentio.operators.experiment import ExperimentParams, _stats_sql
+    rows = [(nc, int(round(fc * nc)), nt, int(round(ft * nt))) for nc, nt, fc, ft in arms]
+    df = spark.createDataFrame(rows, "n_ctrl long, conv_ctrl long, n_treat long, conv_treat long") \
+        .selectExpr("*", "conv_ctrl / n_ctrl AS p_ctrl", "conv_treat / n_treat AS p_treat")
+    params = ExperimentParams()
+    stats = _stats_sql(params)
+    got = df.selectExpr(*[f"{v} AS {k}" for k, v in stats.items()]).collect()
+    za, zb, zc = params.z_alpha, params.z_power, params.z_ci
+    for (nc, cc, nt, ct), g in zip(rows, got):
+        pc, pt = cc / nc, ct / nt
+        assert g.n_required == math.ceil(2 * (za + zb) ** 2 * pc * (1 - pc) / params.mde ** 2) \
+            or abs(2 * (za + zb) ** 2 * pc * (1 - pc) / params.mde ** 2 % 1) < 1e-9
+        pool = (ct + cc) / (nt + nc)
+        var = pool * (1 - pool) * (1 / nt + 1 / nc)
+        if var == 0:
+            assert g.z_stat is None and g.p_value is None
+            continue
+        z = (pt - pc) / math.sqrt(var)
+        assert g.z_stat == pytest.approx(z, rel=1e-9, abs=1e-12)
+        assert g.p_value == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=2e-7)
+        assert g.cohen_h == pytest.approx(2 * math.asin(math.sqrt(pt)) - 2 * math.asin(math.sqrt(pc)), abs=1e-12)
+        se = math.sqrt(pc * (1 - pc) / nc + pt * (1 - pt) / nt)
+        assert g.ci_diff_low == pytest.approx((pt - pc) - zc * se, abs=1e-12)
+        assert g.ci_ctrl_low == pytest.approx(max(0.0, pc - zc * math.sqrt(pc * (1 - pc) / nc)), abs=1e-12)
+        assert g.ci_treat_high == pytest.approx(min(1.0, pt + zc * math.sqrt(pt * (1 - pt) / nt)), abs=1e-12)
+        assert g.delta_mrr_month == pytest.approx((10000 * pt - 10000 * pc) * 65.0, abs=1e-9)
