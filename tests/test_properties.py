@@ -215,3 +215,15 @@ def test_experiment_statistics_equal_python_formulas(spark, arms):
         assert g.ci_ctrl_low == pytest.approx(max(0.0, pc - zc * math.sqrt(pc * (1 - pc) / nc)), abs=1e-12)
         assert g.ci_treat_high == pytest.approx(min(1.0, pt + zc * math.sqrt(pt * (1 - pt) / nt)), abs=1e-12)
         assert g.delta_mrr_month == pytest.approx((10000 * pt - 10000 * pc) * 65.0, abs=1e-9)
+
+
+@SETTINGS
+@given(vals=st.lists(st.one_of(st.integers(0, 40), st.integers(0, 400).map(lambda v: v / 4),
+                               st.integers(0, 10 ** 6).map(lambda v: v / 100)), min_size=1, max_size=60))
+def test_histogram_equals_numpy(spark, vals):
+    from conftest import make_subs
+    from retentio.operators.cohorts import ltv_histogram_by_plan
+    rows = [(f"c{i}", "One year", "x", 1, 1, v, "No") for i, v in enumerate(vals)]
+    got = {r.bin: r.customers for r in ltv_histogram_by_plan(make_subs(spark, rows)).collect()}
+    counts, _ = np.histogram(np.array([float(v) for v in vals]), bins=40)
+    assert got == {i + 1: int(c) for i, c in enumerate(counts) if c}
