@@ -227,3 +227,26 @@ def test_histogram_equals_numpy(spark, vals):
     got = {r.bin: r.customers for r in ltv_histogram_by_plan(make_subs(spark, rows)).collect()}
     counts, _ = np.histogram(np.array([float(v) for v in vals]), bins=40)
     assert got == {i + 1: int(c) for i, c in enumerate(counts) if c}
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 80), st.integers(0, 10 ** 6).map(lambda c: c / 100),
+                               st.one_of(st.none(), st.integers(0, 10 ** 8).map(lambda c: c / 100))),
+                     min_size=2, max_size=50))
+def test_describe_equals_pandas(spark, rows):
+    from conftest import make_subs
+    from retentio.operators.quality import numeric_describe
+    subs = make_subs(spark, [(f"c{i}", "One year", "x", m, mrr, ltv, "No") for i, (m, mrr, ltv) in enumerate(rows)])
+    got = {r.field: r for r in numeric_describe(subs).collect()}
+    pdf = pd.DataFrame(rows, columns=["subscription_months", "monthly_mrr", "lifetime_value"]).astype(float)
+    desc = pdf.describe().round(2)
+    for field in pdf.columns:
+        exp, r = desc[field], got[field]
+        assert r["count"] == int(exp["count"])
+        if r["count"] == 0:
+            continue
+        for ours, theirs in ((r.mean, exp["mean"]), (r.min, exp["min"]), (r.max, exp["max"]),
+                             (r.p25, exp["25%"]), (r.p50, exp["50%"]), (r.p75, exp["75%"])):
+            assert abs(ours - theirs) <= 0.0100001, (field, ours, theirs)
+        if r["count"] > 1:
+            assert abs(r.std - exp["std"]) <= 0.0100001, (field, r.std, exp["std"])
