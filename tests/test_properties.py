@@ -250,3 +250,24 @@ def test_describe_equals_pandas(spark, rows):
             assert abs(ours - theirs) <= 0.0100001, (field, ours, theirs)
         if r["count"] > 1:
             assert abs(r.std - exp["std"]) <= 0.0100001, (field, r.std, exp["std"])
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from(["Month-to-month", "One year", "Two year"]),
+                               st.integers(0, 1100), st.sampled_from(["Yes", "No"])), min_size=1, max_size=80))
+def test_cohort_matrix_equals_pandas(spark, rows):
+    from conftest import make_subs
+    from retentio.functions.expr import TENURE_EDGES, TENURE_LABELS
+    from retentio.operators.cohorts import cohort_churn_matrix
+    subs = make_subs(spark, [(f"c{i}", p, "x", m, 1, 1, ch) for i, (p, m, ch) in enumerate(rows)])
+    got = {r.tenure_bucket: r.asDict() for r in cohort_churn_matrix(subs).collect()}
+    pdf = pd.DataFrame(rows, columns=["plan_type", "m", "churned"])
+    pdf["flag"] = (pdf.churned == "Yes").astype(int)
+    pdf["bucket"] = pd.cut(pdf.m, bins=list(TENURE_EDGES), labels=list(TENURE_LABELS), include_lowest=True)
+    exp = pdf.groupby(["bucket", "plan_type"], observed=True)["flag"].mean().unstack("plan_type").mul(100).round(1)
+    assert set(got) == {str(b) for b in exp.index}
+    for b in exp.index:
+        for plan in ("Month-to-month", "One year", "Two year"):
+            e = exp.loc[b, plan] if plan in exp.columns else float("nan")
+            g = got[str(b)][plan]
+            assert (g is None and pd.isna(e)) or g == e, (b, plan, g, e)
