@@ -12,7 +12,7 @@ from retentio.operators.stats import exact_percentiles
 LABELS = ["Starter", "Growth", "Enterprise"]
 PAYMENTS = ["Bank transfer", "Credit card"]
 
-row = st.tuples(st.sampled_from(LABELS), st.sampled_from(["Yes", "No"]), st.sampled_from(PAYMENTS),
+row = st.tuples(st.sampled_from(LABELS + [None]), st.sampled_from(["Yes", "No"]), st.sampled_from(PAYMENTS),
                 st.integers(0, 30), st.integers(0, 50_000).map(lambda c: c / 100),
                 st.one_of(st.none(), st.integers(0, 900_000).map(lambda c: c / 100)))
 
@@ -41,7 +41,7 @@ def _brute(pdf, names, by, slicer):
     filt = pd.Series(True, index=pdf.index)
     for c, vals in slicer.items():
         filt &= pdf[c].isin(vals)
-    groups = pdf[filt].groupby(list(by)).size().index.tolist() if by else [()]
+    groups = pdf[filt].groupby(list(by), dropna=False).size().index.tolist() if by else [()]
     out = {}
     for g in groups:
         g = g if isinstance(g, tuple) else (g,)
@@ -53,7 +53,7 @@ def _brute(pdf, names, by, slicer):
                 mask = _where_mask(name, pname, pdf)
                 for c, v in zip(by, g):
                     if c not in p.overrides:
-                        mask &= pdf[c] == v
+                        mask &= pdf[c].isna() if pd.isna(v) else (pdf[c] == v)
                 for c, vals in slicer.items():
                     if c not in p.overrides:
                         mask &= pdf[c].isin(vals)
@@ -91,7 +91,7 @@ def test_measure_query_equals_brute_force(spark, rows, by, slicer):
                                "subscription_months long, monthly_mrr double, lifetime_value double")
     names = list(MEASURES)
     got = {tuple(r[c] for c in by): r for r in measure_query(df, names, by, slicer).collect()}
-    exp = _brute(pdf, names, by, slicer)
+    exp = {tuple(None if pd.isna(v) else v for v in g): parts for g, parts in _brute(pdf, names, by, slicer).items()}
     assert set(got) == set(exp)
     for g, parts in exp.items():
         for name in names:
