@@ -271,3 +271,22 @@ def test_cohort_matrix_equals_pandas(spark, rows):
             e = exp.loc[b, plan] if plan in exp.columns else float("nan")
             g = got[str(b)][plan]
             assert (g is None and pd.isna(e)) or g == e, (b, plan, g, e)
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from(["Month-to-month", "One year", "Two year"]),
+                               st.one_of(st.none(), st.integers(0, 10 ** 8).map(lambda c: c / 100))),
+                     min_size=1, max_size=60))
+def test_ltv_stats_equal_pandas(spark, rows):
+    from conftest import make_subs
+    from retentio.operators.cohorts import ltv_stats_by_plan
+    subs = make_subs(spark, [(f"c{i}", p, "x", 1, 1, v, "No") for i, (p, v) in enumerate(rows)])
+    got = {r.plan_type: r for r in ltv_stats_by_plan(subs).collect()}
+    pdf = pd.DataFrame(rows, columns=["plan_type", "ltv"]).dropna()
+    exp = pdf.groupby("plan_type")["ltv"].agg(["median", "mean", "std", "count"]).round(2)
+    assert set(got) == set(exp.index)
+    for plan, e in exp.iterrows():
+        r = got[plan]
+        assert r["count"] == int(e["count"])
+        assert abs(r.median - e["median"]) <= 0.0100001 and abs(r.mean - e["mean"]) <= 0.0100001
+        assert (r.std is None and pd.isna(e["std"])) or abs(r.std - e["std"]) <= 0.0100001
