@@ -158,3 +158,13 @@ def test_load_repairs_interrupted_write_and_keeps_completed_one(spark, tmp_dir):
     stamp = os.path.getmtime(f"{tmp_dir}/subscriptions/_SUCCESS")
     Catalog(spark, SF001).load(tmp_dir)
     assert os.path.getmtime(f"{tmp_dir}/subscriptions/_SUCCESS") == stamp
+
+
+def test_batch_run_of_every_registered_query(spark, tmp_dir):
+    from retentio.plans.registry import REGISTRY
+    cat = Catalog(spark, SF001).load(f"{tmp_dir}/loaded")
+    results = {r.name: r for r in run_all(spark, SF001, f"{tmp_dir}/all", catalog=cat)}
+    assert set(results) == set(REGISTRY)
+    errors = {n: r.error for n, r in results.items() if r.status == "error"}
+    assert errors == {}
+    assert {n for n, r in results.items() if r.status == "empty"} == {"duplicate_customer_ids"}
