@@ -6,11 +6,11 @@ statistic (power, pooled z-test, p-value, Cohen's h, intervals, revenue impact,
 verdict) is a column expression on that row — nothing is collected.
 
 Scale notes:
-* "first row per user" is ``min_by(..., key)`` grouped by user over one
-  DECIMAL ordering key of (ts, event_id) — a hash aggregate with a map-side
-  partial step, so a user with a third of all rows is reduced to one row per
-  task before the shuffle (a row_number window would sort all of that user's
-  rows in one task);
+* "first row per user" is ``min(key)`` grouped by user over one DECIMAL key
+  of (ts, event_id, arm) (plus ``min_by`` for the outcome) — a hash aggregate
+  with a map-side partial step, so a user with a third of all rows is reduced
+  to one row per task before the shuffle (a row_number window would sort all
+  of that user's rows in one task);
 * users in both arms: distinct arms per user (hash aggregates keyed by
   (user, arm) then user, both partial), then a global count.
 """
@@ -30,7 +30,7 @@ CONTROL, TREATMENT = "control", "treatment"
 OLD_PAGE, NEW_PAGE = "old_page", "new_page"
 # Ordering key of "first row per user": (ts, event_id) packed into one DECIMAL(38,0).
 EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
-KEY_SHIFT = "CAST(100000000000000000000 AS DECIMAL(38,0))"   # 1e20 > event_id + offset
+KEY_SHIFT = "CAST(1000000000000000000000 AS DECIMAL(38,0))"  # 1e21 > (event_id + offset) * 10 + arm
 EVENT_OFFSET = "CAST(9223372036854775808 AS DECIMAL(38,0))"  # 2^63: negative ids stay ordered
 
 # Check messages, verdicts and report texts.
@@ -156,21 +156,26 @@ def clean_exposures(expo: DataFrame, drop_contaminated: bool = False) -> DataFra
         both = _arms_per_user(expo).where("arms > 1").select("user_id")
         rows = rows.join(both, "user_id", "left_anti")
     # One DECIMAL(38,0) ordering key per row: microseconds since 1970 (time-zone
-    # free on TIMESTAMP_NTZ), then event_id. With fixed-width payloads (after the
-    # alignment filter the arm is one bit), every buffer is hash-aggregable, so
-    # the first row per user is a hash aggregate with map-side combine.
+    # free on TIMESTAMP_NTZ), then event_id, then the arm (one digit: after the
+    # alignment filter the arm is one bit). min(key) is the first row and already
+    # carries its event id and arm; only `converted` needs a min_by. All buffers
+    # are fixed-width, so this is a hash aggregate with map-side combine, and its
+    # shuffle carries one key instead of one per column.
     key = (f"CAST(timestampdiff(MICROSECOND, {EPOCH_NTZ}, ts) AS DECIMAL(38,0)) * {KEY_SHIFT} "
-           f"+ (CAST(event_id AS DECIMAL(38,0)) + {EVENT_OFFSET})")
+           f"+ (CAST(event_id AS DECIMAL(38,0)) + {EVENT_OFFSET}) * 10 "
+           f"+ CAST(grp = {sql_str(TREATMENT)} AS INT)")
     first = (rows.withColumn("_k", F.expr(key))
              .groupBy("user_id")
-             .agg(F.min("ts").alias("ts"),
-                  F.expr("min_by(event_id, _k)").alias("event_id"),
-                  F.expr(f"min_by(CAST(grp = {sql_str(TREATMENT)} AS INT), _k)").alias("_arm"),
+             .agg(F.min("ts").alias("ts"), F.min("_k").alias("_k"),
                   F.expr("min_by(converted, _k)").alias("converted")))
+    # low part of the key = (event_id + 2^63) * 10 + arm (pmod keeps it right for
+    # keys before 1970, which are negative)
+    low = f"pmod(_k, {KEY_SHIFT})"
     return first.selectExpr(
-        "user_id", "ts", "event_id",
-        f"CASE _arm WHEN 1 THEN {sql_str(TREATMENT)} ELSE {sql_str(CONTROL)} END AS grp",
-        f"CASE _arm WHEN 1 THEN {sql_str(NEW_PAGE)} ELSE {sql_str(OLD_PAGE)} END AS landing_page",
+        "user_id", "ts",
+        f"CAST(({low} - pmod({low}, 10)) / 10 - {EVENT_OFFSET} AS BIGINT) AS event_id",
+        f"CASE pmod({low}, 10) WHEN 1 THEN {sql_str(TREATMENT)} ELSE {sql_str(CONTROL)} END AS grp",
+        f"CASE pmod({low}, 10) WHEN 1 THEN {sql_str(NEW_PAGE)} ELSE {sql_str(OLD_PAGE)} END AS landing_page",
         "converted")
 
 

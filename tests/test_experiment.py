@@ -137,3 +137,16 @@ def test_no_conversions_gives_null_test_not_error(spark):
     assert r.z_stat is None and r.p_value is None and r.relative_change_pct is None
     assert r.significant is None and r.verdict == X.ROLL_OUT      # a NaN p-value is not >= alpha
     assert len(X.report_rows(_expo(spark, rows)).collect()) == 9
+
+
+def test_first_row_key_before_1970_and_negative_ids(spark):
+    old = dt.datetime(1960, 5, 1, 12, 0, 0, 123456)
+    rows = [(9, old + dt.timedelta(seconds=5), -7, "treatment", "new_page", 1),
+            (9, old, -2, "treatment", "new_page", 0),
+            (9, old, -3, "treatment", "new_page", 1),           # same ts, smaller id -> first
+            (8, old, 2 ** 62, "control", "old_page", 1)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long, grp string, "
+                                     "landing_page string, converted int")
+    got = {r.user_id: (r.ts, r.event_id, r.grp, r.landing_page, r.converted)
+           for r in X.clean_exposures(df).collect()}
+    assert got == {9: (old, -3, "treatment", "new_page", 1), 8: (old, 2 ** 62, "control", "old_page", 1)}
