@@ -290,3 +290,29 @@ def test_ltv_stats_equal_pandas(spark, rows):
         assert r["count"] == int(e["count"])
         assert abs(r.median - e["median"]) <= 0.0100001 and abs(r.mean - e["mean"]) <= 0.0100001
         assert (r.std is None and pd.isna(e["std"])) or abs(r.std - e["std"]) <= 0.0100001
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 80), st.integers(1, 10 ** 6).map(lambda c: c / 100),
+                               st.one_of(st.none(), st.integers(0, 10 ** 8).map(lambda c: c / 100)),
+                               st.sampled_from(["Yes", "No"])), min_size=1, max_size=60))
+def test_kpi_block_equals_pandas(spark, rows):
+    from conftest import make_subs
+    from retentio.operators.workbook import kpi_block
+    subs = make_subs(spark, [(f"c{i}", "One year", "x", m, mrr, ltv, ch) for i, (m, mrr, ltv, ch) in enumerate(rows)])
+    got = {r.metric: r.value for r in kpi_block(subs).collect()}
+    df = pd.DataFrame(rows, columns=["m", "mrr", "ltv", "churned"])
+    active = df[df.churned == "No"]
+    exp = {
+        "Total MRR (Active)": active.mrr.sum() if len(active) else None,
+        "Churn Rate %": (df.churned == "Yes").sum() / len(df),
+        "Avg LTV": df.ltv.mean(),
+        "Avg Tenure Months": active.m.mean() if len(active) else None,
+        "At-Risk MRR": active[active.m < 6].mrr.sum() if (active.m < 6).any() else None,
+        "LTV MRR Ratio": df.ltv.mean() / df.mrr.mean(),
+    }
+    for k, e in exp.items():
+        if e is None or pd.isna(e):
+            assert got[k] is None, (k, got[k])
+        else:
+            assert got[k] == pytest.approx(e, rel=1e-9), (k, got[k], e)
