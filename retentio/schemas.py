@@ -32,11 +32,6 @@ CUSTOMERS_SCHEMA = T.StructType([
     T.StructField("churned", T.StringType()),
 ])
 
-# The seven columns every analytical operator needs (the others are carried only
-# by the CSV load path).
-SUBSCRIPTION_COLUMNS = ["customer_id", "plan_type", "payment_method", "subscription_months",
-                        "monthly_mrr", "lifetime_value", "churned"]
-
 # ab_test fact table.
 AB_TEST_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()),
