@@ -64,3 +64,9 @@ def test_filter_pushed_to_scan(cat):
 def test_slicer_reaches_the_fact_scan(cat):
     text = _plan(REGISTRY["kpi_cards_sliced"](cat))
     assert "In(plan_type, [Month-to-month,Two year])" in text
+
+
+def test_full_sort_splits_hot_sort_values(cat):
+    # the tie key lets range partitioning split a tenure value held by many rows
+    text = _plan(REGISTRY["lifecycle_stage_rows"](cat))
+    assert re.search(r"rangepartitioning\(subscription_months#\d+ ASC NULLS FIRST, customer_id#\d+ ASC", text), text
