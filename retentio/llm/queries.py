@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import op2_syncmers, op5_mixing, op6_urls, op9_packing, op10_warc
+from retentio.llm import op1_licenses, op2_syncmers, op3_jaccard, op4_topk, op5_mixing, op6_urls, op7_language, op8_toxicity, op9_packing, op10_warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,11 +14,18 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": lambda s, d: op1_licenses.op1_query(_t(s, d, "documents")),
     "op2_syncmers": lambda s, d: op2_syncmers.op2_query(_t(s, d, "documents")),
+    "op3_jaccard": lambda s, d: op3_jaccard.op3_query(_t(s, d, "documents")),
+    "op4_topk": lambda s, d: op4_topk.op4_query(_t(s, d, "embeddings")),
     "op5_mixing": lambda s, d: op5_mixing.op5_query(_t(s, d, "documents"), _t(s, d, "labels")),
     "op6_urls": lambda s, d: op6_urls.op6_query(s, _t(s, d, "pages")),
+    "op7_language": lambda s, d: op7_language.op7_query(_t(s, d, "documents")),
+    "op8_toxicity": lambda s, d: op8_toxicity.op8_query(_t(s, d, "documents"), _t(s, d, "labels")),
     "op9_packing": lambda s, d: op9_packing.op9_query(_t(s, d, "documents")),
     "op10_warc": lambda s, d: op10_warc.op10_query(_t(s, d, "pages")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_topk": op4_topk.ORACLE_SQL,
+}
