@@ -107,7 +107,7 @@ def with_grams(df: DataFrame, text: str, out: str = "grams") -> DataFrame:
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, paragraph, line) of every non-blank line of every whole text."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_t")).where("_t is not null")
-    rows = rows.select("doc_id", F.xxhash64("_t").alias("text_hash"), F.posexplode(F.split("_t", "\\r?\\n")).alias("paragraph", "line"))
+    rows = rows.select("doc_id", F.xxhash64("_t").alias("text_hash"), F.posexplode_outer(F.split("_t", "\\r?\\n")).alias("paragraph", "line"))
     return rows.where(F.trim("line") != "")
 
 
@@ -140,7 +140,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES, doc_id: str = "doc_id", t
     labelled = labelled.select(at[F.col("family")].alias("label"), "grams")
     bag = CountVectorizerModel.from_vocabulary([str(g) for g in known], "grams", "features", minTF=1.0)
     bag.setBinary(True)
-    points = bag.transform(labelled).withColumn("_held", F.pmod(F.xxhash64("label", "grams"), F.lit(3)) == 0).select("label", "features", "_held").cache()
+    points = bag.transform(labelled).withColumn("_held", F.pmod(F.xxhash64("label", "grams"), F.lit(3)) == 0).select("label", "features", "_held").coalesce(1).cache()
     how = LogisticRegression(family="multinomial", maxIter=60, regParam=2e-4, standardization=False)
     raw = how.fit(points.where("not _held")).transform(points.where("_held")).select("label", vector_to_array("rawPrediction").alias("raw"))
 
@@ -160,17 +160,17 @@ def train(docs: DataFrame, negatives: int = NEGATIVES, doc_id: str = "doc_id", t
 
 
 def scan(docs: DataFrame, model: LicenceModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, paragraph, family, probability, overlap, confirmed, line) of every paragraph that is
-    not ``none``; a family that the calibrated probability does not carry is ``unknown``."""
+    """(doc_id, text_hash, paragraph, family, probability, overlap, confirmed) of every paragraph that
+    is not ``none``; a family that the calibrated probability does not carry is ``unknown``."""
     key = ["doc_id", "text_hash", "paragraph"]
-    grams = with_grams(paragraphs(docs, doc_id, text), "line").select(*key, "line", F.explode("grams").alias("gram"))
+    # outer: for a plain explode Spark infers a filter on the array and computes it once more below
+    grams = with_grams(paragraphs(docs, doc_id, text), "line").select(*key, F.explode_outer("grams").alias("gram"))
     held = grams.join(F.broadcast(model.weights.select("gram")), "gram").groupBy(*key).agg(
-        F.collect_set("gram").alias("grams"), F.first("line").alias("line"))
+        F.collect_set("gram").alias("grams"))
     k = len(model.classes)
     zeros = F.array(*[F.lit(0.0)] * k)
-    sums = (held.select(*key, "line", "grams", F.explode("grams").alias("gram")).join(F.broadcast(model.weights), "gram")
-            .groupBy(*key).agg(F.first("line").alias("line"), F.first("grams").alias("grams"),
-                               *[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)]))
+    sums = (held.select(*key, "grams", F.explode("grams").alias("gram")).join(F.broadcast(model.weights), "gram")
+            .groupBy(*key).agg(F.first("grams").alias("grams"), *[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)]))
     logits = F.array(*[(F.col(f"_s{i}") + F.lit(b)) / model.temperature for i, b in enumerate(model.bias)])
     sums = sums.withColumn("_z", logits).withColumn("_top", F.array_max("_z"))
     best = F.array_position("_z", F.col("_top")).cast("int")
@@ -186,10 +186,17 @@ def scan(docs: DataFrame, model: LicenceModel, doc_id: str = "doc_id", text: str
     overlap = F.coalesce("h.overlap", F.lit(0.0))
     sure = F.col("s.probability") >= SURE
     family = F.when(sure, F.col("s.family")).otherwise(F.lit(UNKNOWN))
-    return out.select("s.doc_id", F.col("s.paragraph").cast("int").alias("paragraph"), family.alias("family"),
+    return out.select("s.doc_id", "s.text_hash", F.col("s.paragraph").cast("int").alias("paragraph"), family.alias("family"),
                       F.round("s.probability", 4).alias("probability"), F.round(overlap, 4).alias("overlap"),
-                      (sure & (F.col("s.family") != UNKNOWN) & (overlap >= CONFIRM)).alias("confirmed"), "s.line")
+                      (sure & (F.col("s.family") != UNKNOWN) & (overlap >= CONFIRM)).alias("confirmed"))
+
+
+def with_lines(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The found paragraphs with their text."""
+    lines = paragraphs(docs, doc_id, text).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h", "paragraph": "_p"}).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("paragraph") == F.col("_p"))
+    return found.join(lines, same).drop("_d", "_h", "_p")
 
 
 def op1_query(docs: DataFrame) -> DataFrame:
-    return scan(docs, train(docs))
+    return scan(docs, train(docs)).drop("text_hash")
