@@ -79,22 +79,21 @@ def with_next(texts: DataFrame, k: int = K, s: int = S) -> DataFrame:
     rows = with_anchors(dealt, "text", "anchors", k, s)
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     w = Window.partitionBy("_slice").orderBy(*order)
-    me = F.struct("text", "anchors")
-    inside = rows.withColumn("_next", F.lead(me).over(w))
+    # plain columns: a struct made for the window would be shuffled beside them
+    inside = rows.withColumns({"_text": F.lead("text").over(w), "_anchors": F.lead("anchors").over(w)})
     # slice numbers only: a row per slice (bounded by the number of slices)
     seq = Window.orderBy(F.col("_slice").desc())
     heads = dealt.select("_slice").distinct()
     follow = heads.select(F.col("_slice").alias("_of"), F.coalesce(F.lead("_slice").over(seq), F.max("_slice").over(
         Window.partitionBy())).alias("_follow"))
+    # a row per slice, as many as the bounds that the driver holds: bounded, so broadcast
     keys = dealt.groupBy(F.col("_slice").alias("_follow")).agg(
         F.max("doc_id").alias("_id"))  # null only in the slice of null ids
-    firsts = (texts.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")))
+    firsts = (texts.join(F.broadcast(keys), F.col("doc_id").eqNullSafe(F.col("_id")))
               .groupBy("_follow").agg(F.min("text").alias("text")))
-    edge = with_anchors(follow.join(firsts, "_follow"), "text", "anchors", k, s).select("_of", me.alias("_first"))
-    return (inside.join(edge, F.col("_next").isNull() & (F.col("_slice") == F.col("_of")), "left")
-            .withColumn("_next", F.coalesce("_next", "_first"))
-            .select("doc_id", "text", "anchors", F.col("_next.text").alias("next_text"),
-                    F.col("_next.anchors").alias("next_anchors")))
+    edge = with_anchors(follow.join(firsts, "_follow"), "text", "anchors", k, s).select("_of", F.col("text").alias("_t"), F.col("anchors").alias("_a"))
+    return (inside.join(edge, F.col("_text").isNull() & (F.col("_slice") == F.col("_of")), "left")
+            .select("doc_id", "text", "anchors", F.coalesce("_text", "_t").alias("next_text"), F.coalesce("_anchors", "_a").alias("next_anchors")))
 
 
 def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,10 +16,12 @@ agree in at least m - H segments.
   penalty for sets that run out of spare segments).
 
 Equal sets are one class, and the join is between classes. In a bucket of equal signatures
-every class is first compared with the smallest one (a star, never all pairs); the links so far
-give components; only classes of a bucket that are still in different components are then
-compared with each other. So no link between components is lost, and a large group of near
-copies costs its size, not the square.
+every class is first compared with one centre (a star, never all pairs): the class whose
+signatures are the most frequent, which in a group of near copies is the text they derive from.
+The links so far give components; only classes of a bucket that are still in different
+components are then compared with each other, each pair once (at its smallest common signature)
+and only if it has the m - H common segments that a link implies. So no link between components
+is lost, and a large group of near copies costs its size, not the square.
 
 Defined results: null texts and texts without words have the empty set and no link; a text with
 fewer than n words has one element, its whole word sequence; repeated rows are linked through
@@ -42,7 +44,7 @@ from retentio.llm.common import ascii_lower, saved, words
 from retentio.llm.op6_urls import components
 
 BAND_RATIO = 1.5
-SPARE = 1.1           # segments of the exact form over what the pigeonhole needs
+SPARE = 1.5           # segments of the exact form over what the pigeonhole needs
 SHORT_COST = 1000.0   # signatures that a set without spare segments is counted as
 
 
@@ -103,8 +105,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def signatures(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
     """The signatures of a set (the lowest bit tells odd from even bands) and, for its own band and
-    the one below, how many frequent signatures it may leave out (-1: no such band)."""
-    out, spare = [], [-1, -1]
+    the one below, how many frequent signatures it may leave out (-1: no such band) and how
+    many empty segments it has not signed."""
+    out, spare = [], [-1, -1, 0, 0]
     tokens = tokens.astype(np.int64).view(np.uint64)
     value = _mix(tokens)
     for role, (b, h) in enumerate(bands.roles(len(tokens))):
@@ -121,7 +124,8 @@ def signatures(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]
             empty = int((size == 0).sum())
             free = m - 1 - h
             sig = _mix(total ^ salt)
-            sig = sig if empty > free else sig[size > 0]
+            if empty <= free:
+                sig, spare[role + 2] = sig[size > 0], empty
             spare[role] = max(0, free - empty)
         out.append((sig & ~np.uint64(1)) | np.uint64(b & 1))
     return np.unique(np.concatenate(out)).view(np.int64), spare
@@ -141,48 +145,47 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: s
         for b in batches:
             sigs, spares = [], []
             for g in b["grams"]:
-                s, f = signatures(np.asarray(g), bands) if len(g) else (np.zeros(0, np.int64), [-1, -1])
+                s, f = signatures(np.asarray(g), bands) if len(g) else (np.zeros(0, np.int64), [-1, -1, 0, 0])
                 sigs.append(s)
                 spares.append(f)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "n": b["n"], "node": b["node"],
-                                "check": b["check"], "own_spare": [f[0] for f in spares], "low_spare": [f[1] for f in spares], "sigs": sigs})
+                                "check": b["check"], "own_spare": [f[0] for f in spares], "low_spare": [f[1] for f in spares],
+                                "own_empty": [f[2] for f in spares], "low_empty": [f[3] for f in spares], "sigs": sigs})
 
     sets = saved(sets.mapInPandas(sign, "doc_id long, text_hash long, n long, node long, check long, own_spare int, low_spare int, "
-                                        "sigs array<bigint>"), "sets")
+                                        "own_empty int, low_empty int, sigs array<bigint>"), "sets")
     classes = saved(sets.where("n > 0").groupBy("node").agg(
         F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("doc_id").alias("first"), F.max("n").alias("n"),
-        F.max("own_spare").alias("own_spare"), F.max("low_spare").alias("low_spare")), "classes")
+        *[F.max(c).alias(c) for c in ("own_spare", "low_spare", "own_empty", "low_empty")]), "classes")
     if not classes.where("c0 <> c1").isEmpty():
         raise RuntimeError("two different n-gram sets share a 64-bit hash")
     # buckets with more than one class; a hot bucket is sorted, not held
     entries = sets.select("node", F.explode("sigs").alias("sig"))
     bucket = Window.partitionBy("sig")
     shared = entries.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket), "often": F.count("*").over(bucket)})
-    shared = shared.where("lo <> hi").select("sig", "node", "lo", "often").distinct()
+    shared = saved(shared.where("lo <> hi").select("sig", "node", "often").distinct(), "shared")
     # which of its bands a signature belongs to: the lowest bit is the band's
     lows = F.array(*[F.lit(x) for x in bands.lo])
     band = F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1
-    shared = shared.join(classes.select("node", "n", "own_spare", "low_spare"), "node")
-    shared = shared.withColumn("_own", F.col("sig").bitwiseAND(F.lit(1)) == band % 2)
+    kept = shared.join(classes.select("node", "n", "own_spare", "low_spare"), "node")
+    kept = kept.withColumn("_own", F.col("sig").bitwiseAND(F.lit(1)) == band % 2)
     order = Window.partitionBy("node", "_own").orderBy(F.col("often").desc(), "sig")
-    shared = shared.withColumn("_rank", F.row_number().over(order)).where(
+    kept = kept.withColumns({"_rank": F.row_number().over(order), "weight": F.sum("often").over(Window.partitionBy("node"))}).where(
         F.col("_rank") > F.when(F.col("_own"), F.col("own_spare")).otherwise(F.col("low_spare")))
-    shared = saved(shared.select("sig", "node", "lo", "n"), "shared")
-    # first each class against the smallest of its bucket
-    star = shared.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    grams = saved(_grams_of(docs, sets, classes, shared, n, doc_id, text), "grams")
+    kept = saved(kept.select("sig", "node", "weight"), "kept")
+    # first each class against the centre of its bucket
+    centre = kept.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("c"), F.count("*").alias("f")).where("f > 1")
+    star = (kept.join(centre.select("sig", F.col("c.node").alias("a")), "sig").where("node <> a")
+            .select("a", F.col("node").alias("b")).distinct())
+    grams = saved(_grams_of(docs, sets, kept, n, doc_id, text), "grams")
     links = saved(verified(star, grams, percent), "links")
     label = components(links)
     # then the classes of a bucket that are in different components
-    placed = shared.select("sig", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = kept.select("sig", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = Window.partitionBy("sig")
     placed = saved(placed.withColumns({"c0": F.min("component").over(spread), "c1": F.max("component").over(spread)})
                    .where("c0 <> c1").drop("c0", "c1"), "placed")
-    left, right = placed.alias("l"), placed.alias("r")
-    more = (left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
-                      & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent))
-            .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
-    extra = saved(verified(more, grams, percent), "extra")
+    extra = saved(verified(_across(placed, kept, shared, classes.withColumn("band", band), bands), grams, percent), "extra")
     if not extra.isEmpty():
         label = components(links.unionByName(extra))
     named = label.join(classes.select("node", "first"), "node")
@@ -194,7 +197,27 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: s
                       F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _grams_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, shared: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+def _across(placed: DataFrame, kept: DataFrame, shared: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b): classes of a bucket in different components that have as many common segments as a
+    link implies, each pair at its smallest common signature only."""
+    nodes = placed.select("node").distinct()
+    lists = lambda t, c: t.join(nodes, "node").groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias(c))
+    info = lists(kept, "k").join(lists(shared, "s"), "node").join(classes.select("node", "n", "band", "own_empty", "low_empty"), "node")
+    full = placed.join(info, "node")
+    x, y = full.alias("x"), full.alias("y")
+    low = F.least("x.band", "y.band")
+    m = F.get(F.array(*[F.lit(v) for v in bands.m]), low)
+    differ = F.floor((100 - bands.p) * (F.col("x.n") + F.col("y.n")) / (100 + bands.p))
+    empty = F.least(*[F.when(F.col(f"{t}.band") == low, F.col(f"{t}.own_empty")).otherwise(F.col(f"{t}.low_empty")) for t in "xy"])
+    need = F.when(F.get(F.array(*[F.lit(v) for v in bands.deletes]), low), F.lit(1)).otherwise(m - differ - empty)
+    common = F.size(F.filter(F.array_intersect("x.s", "y.s"), lambda v: v.bitwiseAND(F.lit(1)) == low % 2))
+    cond = ((F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+            & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * bands.p)
+            & (F.array_min(F.array_intersect("x.k", "y.k")) == F.col("x.sig")) & (common >= need))
+    return x.join(y, cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _grams_of(docs: DataFrame, sets: DataFrame, shared: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
     """(node, grams) of the classes that share a bucket: the sets again, of one text a class."""
     wanted = shared.select("node").distinct()
     one = sets.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("_k"))
