@@ -244,7 +244,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     wordless = F.size(words(F.col("text"))) == 0
     kept = rows.where(~wordless).join(first, (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    again = Window.partitionBy("_hash", "doc_id").orderBy(*[F.col(c) for c in docs.columns if c in ("source", "lang")], F.lit(0))
+    again = Window.partitionBy("_hash", "doc_id").orderBy(F.lit(0))  # rows that differ in neither: any of them
     kept = kept.withColumn("_n", F.row_number().over(again)).where("_n = 1")
     return kept.select(*docs.columns).unionByName(rows.where(wordless).select(*docs.columns))
 

@@ -94,11 +94,12 @@ def mixed(rows: DataFrame, quality: Column | None = None, weights=WEIGHTS, share
 
 def mix_documents(docs: DataFrame, quality: Column | None = None, **how) -> DataFrame:
     """The mix itself: each document's row repeated for every copy taken, whole documents only.
-    A document without words costs nothing and is kept once."""
-    rows = mixed(sized(docs), quality, split_last=False, **how)
+    A document without words costs nothing and is kept once. All columns but the text come back;
+    pass the row along in a column of its own to get it whole."""
+    rows = mixed(sized(docs).drop("text"), quality, split_last=False, **how)
     copies = F.when(F.col("_size") == 0, 1).otherwise(F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0))
     return (rows.withColumn("_copies", copies.cast("int")).where("_copies > 0")
-            .withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+            .withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[c for c in docs.columns if c != "text"]))
 
 
 def op5_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -96,8 +96,9 @@ class WordIds:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         for t in texts:
-            # lower case first saves cache entries; not where lower() could depend on context
-            if t.isascii() or not ("Σ" in t or "İ" in t):
+            # lower case first saves cache entries; not where lower() could depend on context or
+            # turn a chunk into the name of a special token
+            if not ("Σ" in t or "İ" in t or "<|" in t):
                 t = t.lower()
             chunks = t.replace("\n", " ").split(" ")
             chunked.append(chunks)

@@ -11,29 +11,33 @@ from retentio.llm.common import saved
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def boxed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The row as one column and the columns a stage reads: no other name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *needed)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity vote calls toxic go; learned from every label."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     index = op8_toxicity.learn(docs, labels)
-    return op8_toxicity.with_toxicity(docs, index, score="_score", evidence="_evidence").where(
-        F.col("_score") < op8_toxicity.THRESHOLD).select(*docs.columns)
+    return op8_toxicity.with_toxicity(boxed(docs, "text"), index).where(F.col("score") < op8_toxicity.THRESHOLD).select("_row.*")
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those whose best language has less than half of the score, go."""
     model = op7_language.learn(docs)
-    return op7_language.with_language(docs, model, out="_lang", score="_score").where(
-        (F.col("_lang") != "und") & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return op7_language.with_language(boxed(docs, "text"), model).where(
+        (F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("_row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
-    return op3_jaccard.keep_one(docs, 5, 80)
+    return op3_jaccard.keep_one(boxed(docs, "doc_id", "text"), 5, 80).select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for every copy that the mix takes."""
-    return op5_mixing.mix_documents(docs).select(*docs.columns)
+    return op5_mixing.mix_documents(boxed(docs, "doc_id", "text", "source")).select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
