@@ -19,9 +19,10 @@ Equal sets are one class, and the join is between classes. In a bucket of equal
 every class is first compared with one centre (a star, never all pairs): the class whose
 signatures are the most frequent, which in a group of near copies is the text they derive from.
 The links so far give components; only classes of a bucket that are still in different
-components are then compared with each other, each pair once (at its smallest common signature)
-and only if it has the m - H common segments that a link implies. So no link between components
-is lost, and a large group of near copies costs its size, not the square.
+components are then compared with each other, each pair at its smallest common signature where that is among
+the FIRST smallest of both, and only if it can have the m - H common segments that a link
+implies (counted on 16-bit forms of the signatures, which never count too few). So no link between components is lost, and a large group of near
+copies costs its size, not the square.
 
 Defined results: null texts and texts without words have the empty set and no link; a text with
 fewer than n words has one element, its whole word sequence; repeated rows are linked through
@@ -44,7 +45,8 @@ from retentio.llm.common import ascii_lower, saved, words
 from retentio.llm.op6_urls import components
 
 BAND_RATIO = 1.5
-SPARE = 1.5           # segments of the exact form over what the pigeonhole needs
+SPARE = 2.0           # segments of the exact form over what the pigeonhole needs
+FIRST = 8             # smallest signatures that a class carries to have a pair made once
 SHORT_COST = 1000.0   # signatures that a set without spare segments is counted as
 
 
@@ -103,14 +105,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
-    """The signatures of a set (the lowest bit tells odd from even bands) and, for its own band and
-    the one below, how many frequent signatures it may leave out (-1: no such band) and how
-    many empty segments it has not signed."""
-    out, spare = [], [-1, -1, 0, 0]
+def signatures(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set (the lowest bit tells odd from even bands) and with each of them how
+    many frequent signatures of its band the set may leave out."""
+    out, spare = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     tokens = tokens.astype(np.int64).view(np.uint64)
     value = _mix(tokens)
-    for role, (b, h) in enumerate(bands.roles(len(tokens))):
+    for b, h in bands.roles(len(tokens)) if len(tokens) else ():
         m = bands.m[b]
         seg = (tokens % np.uint64(m)).astype(np.int64)
         total = np.zeros(m, np.uint64)
@@ -118,61 +119,50 @@ def signatures(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]
         salt = _mix((np.arange(m, dtype=np.uint64) << np.uint64(20)) + np.uint64(b + 1))
         if bands.deletes[b]:
             sig = np.concatenate([_mix(total ^ salt), _mix((total[seg] - value) ^ salt[seg])])
-            spare[role] = 0
+            free = 0
         else:
             size = np.bincount(seg, minlength=m)
             empty = int((size == 0).sum())
-            free = m - 1 - h
             sig = _mix(total ^ salt)
-            if empty <= free:
-                sig, spare[role + 2] = sig[size > 0], empty
-            spare[role] = max(0, free - empty)
-        out.append((sig & ~np.uint64(1)) | np.uint64(b & 1))
-    return np.unique(np.concatenate(out)).view(np.int64), spare
+            if empty <= m - 1 - h:
+                sig = sig[size > 0]
+            free = max(0, m - 1 - h - empty)
+        sig = np.unique((sig & ~np.uint64(1)) | np.uint64(b & 1))
+        out.append(sig)
+        spare.append(np.full(len(sig), free, np.int32))
+    return np.concatenate(out).view(np.int64), np.concatenate(spare)
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, class_id, component_id) of every row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = with_shingles(rows, n, F.col("text"), "grams").select(
-        "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), F.col("grams"),
-        F.size("grams").cast("long").alias("n"), F.xxhash64("grams").alias("node"), F.xxhash64(F.lit("second"), "grams").alias("check"))
-    # the longest text bounds the largest set; words are at least two characters with their gap
-    longest = rows.agg(F.max(F.char_length("text"))).first()[0] or 0
-    bands = Bands(percent, max(1, longest))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sigs, spares = [], []
-            for g in b["grams"]:
-                s, f = signatures(np.asarray(g), bands) if len(g) else (np.zeros(0, np.int64), [-1, -1, 0, 0])
-                sigs.append(s)
-                spares.append(f)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "n": b["n"], "node": b["node"],
-                                "check": b["check"], "own_spare": [f[0] for f in spares], "low_spare": [f[1] for f in spares],
-                                "own_empty": [f[2] for f in spares], "low_empty": [f[3] for f in spares], "sigs": sigs})
-
-    sets = saved(sets.mapInPandas(sign, "doc_id long, text_hash long, n long, node long, check long, own_spare int, low_spare int, "
-                                        "own_empty int, low_empty int, sigs array<bigint>"), "sets")
+    grams = with_shingles(rows, n, F.col("text"), "grams")
+    sets = saved(grams.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), F.size("grams").cast("long").alias("n"),
+                              F.xxhash64("grams").alias("node"), F.xxhash64(F.lit("second"), "grams").alias("check")), "sets")
     classes = saved(sets.where("n > 0").groupBy("node").agg(
-        F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("doc_id").alias("first"), F.max("n").alias("n"),
-        *[F.max(c).alias(c) for c in ("own_spare", "low_spare", "own_empty", "low_empty")]), "classes")
+        F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
     if not classes.where("c0 <> c1").isEmpty():
         raise RuntimeError("two different n-gram sets share a 64-bit hash")
+    bands = Bands(percent, max(1, classes.agg(F.max("n")).first()[0] or 0))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 500):  # a few texts at a time
+                nodes = b["node"].to_numpy()[lo:lo + 500]
+                made = [signatures(np.asarray(g), bands) for g in b["grams"].iloc[lo:lo + 500]]
+                yield pd.DataFrame({"sig": np.concatenate([m[0] for m in made]), "node": np.repeat(nodes, [len(m[0]) for m in made]),
+                                    "spare": np.concatenate([m[1] for m in made])})
+
+    # the grams are computed again rather than kept: they are larger than the texts
+    entries = grams.select(F.xxhash64("grams").alias("node"), "grams").mapInPandas(sign, "sig long, node long, spare int")
     # buckets with more than one class; a hot bucket is sorted, not held
-    entries = sets.select("node", F.explode("sigs").alias("sig"))
     bucket = Window.partitionBy("sig")
     shared = entries.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket), "often": F.count("*").over(bucket)})
-    shared = saved(shared.where("lo <> hi").select("sig", "node", "often").distinct(), "shared")
-    # which of its bands a signature belongs to: the lowest bit is the band's
-    lows = F.array(*[F.lit(x) for x in bands.lo])
-    band = F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1
-    kept = shared.join(classes.select("node", "n", "own_spare", "low_spare"), "node")
-    kept = kept.withColumn("_own", F.col("sig").bitwiseAND(F.lit(1)) == band % 2)
-    order = Window.partitionBy("node", "_own").orderBy(F.col("often").desc(), "sig")
-    kept = kept.withColumns({"_rank": F.row_number().over(order), "weight": F.sum("often").over(Window.partitionBy("node"))}).where(
-        F.col("_rank") > F.when(F.col("_own"), F.col("own_spare")).otherwise(F.col("low_spare")))
-    kept = saved(kept.select("sig", "node", "weight"), "kept")
+    shared = saved(shared.where("lo <> hi").select("sig", "node", "spare", "often").distinct(), "shared")
+    # the lowest bit of a signature tells which of a class's two bands it belongs to
+    order = Window.partitionBy("node", F.col("sig").bitwiseAND(F.lit(1))).orderBy(F.col("often").desc(), "sig")
+    kept = shared.withColumns({"_rank": F.row_number().over(order), "weight": F.sum("often").over(Window.partitionBy("node"))})
+    kept = saved(kept.where(F.col("_rank") > F.col("spare")).select("sig", "node", "spare", "weight"), "kept")
     # first each class against the centre of its bucket
     centre = kept.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("c"), F.count("*").alias("f")).where("f > 1")
     star = (kept.join(centre.select("sig", F.col("c.node").alias("a")), "sig").where("node <> a")
@@ -185,7 +175,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: s
     spread = Window.partitionBy("sig")
     placed = saved(placed.withColumns({"c0": F.min("component").over(spread), "c1": F.max("component").over(spread)})
                    .where("c0 <> c1").drop("c0", "c1"), "placed")
-    extra = saved(verified(_across(placed, kept, shared, classes.withColumn("band", band), bands), grams, percent), "extra")
+    extra = saved(verified(_across(placed, kept, shared, classes, bands), grams, percent), "extra")
     if not extra.isEmpty():
         label = components(links.unionByName(extra))
     named = label.join(classes.select("node", "first"), "node")
@@ -198,23 +188,47 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: s
 
 
 def _across(placed: DataFrame, kept: DataFrame, shared: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
-    """(a, b): classes of a bucket in different components that have as many common segments as a
-    link implies, each pair at its smallest common signature only."""
+    """(a, b): classes of a bucket in different components whose sizes and common segments allow
+    a link. Each carries its smallest signatures, so that a pair that has one of them in common
+    is made at the smallest only, and for even and odd bands the 16-bit forms of its
+    signatures, how many of them fell together, and how many it may leave out."""
     nodes = placed.select("node").distinct()
-    lists = lambda t, c: t.join(nodes, "node").groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias(c))
-    info = lists(kept, "k").join(lists(shared, "s"), "node").join(classes.select("node", "n", "band", "own_empty", "low_empty"), "node")
-    full = placed.join(info, "node")
+    small = Window.partitionBy("node").orderBy("sig")
+    first = (kept.join(nodes, "node").withColumn("_n", F.row_number().over(small)).where(F.col("_n") <= FIRST)
+             .groupBy("node").agg(F.collect_list("sig").alias("k")))
+    odd = F.col("sig").bitwiseAND(F.lit(1))
+    short = F.shiftright("sig", 1).bitwiseAND(F.lit(0xFFFF)).cast("int") - 32768
+    sides = [c for i in (0, 1) for c in (F.collect_set(F.when(odd == i, short.cast("smallint"))).alias(f"t{i}"),
+                                         F.count(F.when(odd == i, 1)).alias(f"n{i}"), F.max(F.when(odd == i, F.col("spare"))).alias(f"s{i}"))]
+    forms = shared.join(nodes, "node").groupBy("node").agg(*sides)
+    band = F.size(F.filter(F.array(*[F.lit(x) for x in bands.lo]), lambda x: x <= F.col("n"))) - 1
+    info = first.join(forms, "node").join(classes.select("node", "n"), "node").withColumn("band", band)
+    full = placed.select("sig", "node", "component").join(info, "node")
     x, y = full.alias("x"), full.alias("y")
     low = F.least("x.band", "y.band")
-    m = F.get(F.array(*[F.lit(v) for v in bands.m]), low)
-    differ = F.floor((100 - bands.p) * (F.col("x.n") + F.col("y.n")) / (100 + bands.p))
-    empty = F.least(*[F.when(F.col(f"{t}.band") == low, F.col(f"{t}.own_empty")).otherwise(F.col(f"{t}.low_empty")) for t in "xy"])
-    need = F.when(F.get(F.array(*[F.lit(v) for v in bands.deletes]), low), F.lit(1)).otherwise(m - differ - empty)
-    common = F.size(F.filter(F.array_intersect("x.s", "y.s"), lambda v: v.bitwiseAND(F.lit(1)) == low % 2))
+    m, hi = [F.get(F.array(*[F.lit(v) for v in vs]), low) for vs in (bands.m, bands.hi)]
+    deletes = F.get(F.array(*[F.lit(v) for v in bands.deletes]), low)
+    p = bands.p
+
+    def differ(a: Column, b: Column) -> Column:
+        return F.floor((100 - p) * (a + b) / (100 + p))
+
+    def side(t: str, c: str) -> Column:
+        return F.when(low % 2 == 0, F.col(f"{t}.{c}0")).otherwise(F.col(f"{t}.{c}1"))
+
+    def empty(t: str) -> Column:
+        """At most so many empty segments has the class not signed."""
+        n = F.col(f"{t}.n")
+        h = F.when(F.col(f"{t}.band") == low, differ(n, F.floor(n * 100 / p))).otherwise(differ(n, F.least(n, hi)))
+        return m - 1 - h - side(t, "s")
+
+    fell = F.greatest(side("x", "n") - F.size(side("x", "t")), side("y", "n") - F.size(side("y", "t")))
+    need = m - differ(F.col("x.n"), F.col("y.n")) - F.least(empty("x"), empty("y")) - fell
+    enough = deletes | (F.size(F.array_intersect(side("x", "t"), side("y", "t"))) >= need)
+    earlier = F.exists(F.array_intersect("x.k", "y.k"), lambda v: v < F.col("x.sig"))
     cond = ((F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-            & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * bands.p)
-            & (F.array_min(F.array_intersect("x.k", "y.k")) == F.col("x.sig")) & (common >= need))
-    return x.join(y, cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * p) & ~earlier & F.coalesce(enough, F.lit(True)))
+    return x.join(y, cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _grams_of(docs: DataFrame, sets: DataFrame, shared: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
