@@ -28,11 +28,6 @@ from retentio.operators.common import order_aggregated
 
 CONTROL, TREATMENT = "control", "treatment"
 OLD_PAGE, NEW_PAGE = "old_page", "new_page"
-# Ordering key of "first row per user": (ts, event_id) packed into one DECIMAL(38,0).
-EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
-KEY_SHIFT = "CAST(1000000000000000000000 AS DECIMAL(38,0))"  # 1e21 > (event_id + offset) * 10 + arm
-EVENT_OFFSET = "CAST(9223372036854775808 AS DECIMAL(38,0))"  # 2^63: negative ids stay ordered
-
 # Check messages, verdicts and report texts.
 SPLIT_OK, SPLIT_WARNING = "OK", "WARNING — not 50/50!"
 CONTAMINATION_ACTION = "ACTION: These users should be removed before analysis."
@@ -145,8 +140,11 @@ def group_rates(expo: DataFrame) -> DataFrame:
 # Cleaning
 # ---------------------------------------------------------------------------
 
-def clean_exposures(expo: DataFrame, drop_contaminated: bool = False) -> DataFrame:
-    """Aligned rows only, then the first row per user by (ts, event_id).
+def clean_exposures(expo: DataFrame, drop_contaminated: bool = False,
+                    order_by: tuple[str, ...] | None = None) -> DataFrame:
+    """Aligned rows only, then the first row per user in the order of ``order_by``
+    (nulls last): by default ``ts`` and, where the table has it, ``event_id``. Rows
+    equal in these are told apart by arm, page and outcome, so reruns agree.
 
     ``drop_contaminated=True`` also removes users seen in both arms (the
     analysis recommends it; the original cleaning step does not do it).
@@ -155,28 +153,13 @@ def clean_exposures(expo: DataFrame, drop_contaminated: bool = False) -> DataFra
     if drop_contaminated:
         both = _arms_per_user(expo).where("arms > 1").select("user_id")
         rows = rows.join(both, "user_id", "left_anti")
-    # One DECIMAL(38,0) ordering key per row: microseconds since 1970 (time-zone
-    # free on TIMESTAMP_NTZ), then event_id, then the arm (one digit: after the
-    # alignment filter the arm is one bit). min(key) is the first row and already
-    # carries its event id and arm; only `converted` needs a min_by. All buffers
-    # are fixed-width, so this is a hash aggregate with map-side combine, and its
-    # shuffle carries one key instead of one per column.
-    key = (f"CAST(timestampdiff(MICROSECOND, {EPOCH_NTZ}, ts) AS DECIMAL(38,0)) * {KEY_SHIFT} "
-           f"+ (CAST(event_id AS DECIMAL(38,0)) + {EVENT_OFFSET}) * 10 "
-           f"+ CAST(grp = {sql_str(TREATMENT)} AS INT)")
-    first = (rows.withColumn("_k", F.expr(key))
-             .groupBy("user_id")
-             .agg(F.min("ts").alias("ts"), F.min("_k").alias("_k"),
-                  F.expr("min_by(converted, _k)").alias("converted")))
-    # low part of the key = (event_id + 2^63) * 10 + arm (pmod keeps it right for
-    # keys before 1970, which are negative)
-    low = f"pmod(_k, {KEY_SHIFT})"
-    return first.selectExpr(
-        "user_id", "ts",
-        f"CAST(({low} - pmod({low}, 10)) / 10 - {EVENT_OFFSET} AS BIGINT) AS event_id",
-        f"CASE pmod({low}, 10) WHEN 1 THEN {sql_str(TREATMENT)} ELSE {sql_str(CONTROL)} END AS grp",
-        f"CASE pmod({low}, 10) WHEN 1 THEN {sql_str(NEW_PAGE)} ELSE {sql_str(OLD_PAGE)} END AS landing_page",
-        "converted")
+    carried = [c for c in ("ts", "event_id", "grp", "landing_page", "converted") if c in expo.columns]
+    keys = [*(order_by or [c for c in ("ts", "event_id") if c in expo.columns]), "grp", "landing_page", "converted"]
+    # the row's own values are carried, never rebuilt from a key; partial aggregation
+    # leaves a hot user one row per task
+    order = F.struct(*[x for i, k in enumerate(keys) for x in (F.col(k).isNull().alias(f"n{i}"), F.col(k).alias(f"k{i}"))])
+    first = rows.groupBy("user_id").agg(F.min_by(F.struct(*carried), order).alias("_row"))
+    return first.select("user_id", "_row.*")
 
 
 def clean_counts(expo: DataFrame) -> DataFrame:

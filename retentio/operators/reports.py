@@ -52,7 +52,7 @@ def newest_customers(subs: DataFrame, max_months: int = 6, limit: int = 20) -> D
     return (subs.where(F.col("subscription_months") <= max_months)
             .select("customer_id", "plan_type", "subscription_months",
                     money_double("monthly_mrr").alias("monthly_mrr"), "churned")
-            .orderBy(F.asc("subscription_months"), F.desc("monthly_mrr"), F.asc("customer_id"))
+            .orderBy(F.asc("subscription_months"), F.desc_nulls_first("monthly_mrr"), F.asc("customer_id"))
             .limit(limit))
 
 
@@ -120,13 +120,13 @@ def high_value_churned(subs: DataFrame, limit: int = 25) -> DataFrame:
 def top_churned_by_plan(subs: DataFrame, top: int = 5) -> DataFrame:
     """Q8: RANK() of churned customers by MRR within each plan, rank <= top
     (ties can return more than ``top`` rows per plan)."""
-    w = Window.partitionBy("plan_type").orderBy(F.desc("monthly_mrr"))
+    w = Window.partitionBy("plan_type").orderBy(F.desc_nulls_first("monthly_mrr"))
     return (subs.where(F.col("churned") == YES)
             .select("customer_id", "plan_type", "subscription_months", "monthly_mrr",
                     F.rank().over(w).alias("mrr_rank_within_plan"))
             .where(F.col("mrr_rank_within_plan") <= top)
             .withColumn("monthly_mrr", money_double("monthly_mrr"))
-            .orderBy("plan_type", "mrr_rank_within_plan"))
+            .orderBy(F.asc_nulls_last("plan_type"), "mrr_rank_within_plan"))
 
 
 def ab_summary(expo: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ SELECT CAST(c.c_custkey AS STRING) AS customer_id,
  CASE WHEN a.last_any < TIMESTAMP '2000-08-01 00:00:00' OR a.last_any IS NULL THEN 'Yes' ELSE 'No' END AS churned
 FROM customer c
 LEFT JOIN (SELECT o_custkey, min(o_orderdate) first_f, max(o_orderdate) last_f,
-                  CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(14,2)) ltv
+                  CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(38,2)) ltv
            FROM orders WHERE o_orderstatus='F' GROUP BY o_custkey) f ON c.c_custkey=f.o_custkey
 LEFT JOIN (SELECT o_custkey, max(o_orderdate) last_any FROM orders GROUP BY o_custkey) a ON c.c_custkey=a.o_custkey
 )"""
@@ -103,7 +103,7 @@ FROM subscriptions GROUP BY plan_type ORDER BY total_mrr DESC""")
 ORACLE["newest_customers"] = subs("""
 SELECT customer_id, plan_type, subscription_months, CAST(monthly_mrr AS DOUBLE) AS monthly_mrr, churned
 FROM subscriptions WHERE subscription_months <= 6
-ORDER BY subscription_months ASC, monthly_mrr DESC, customer_id ASC LIMIT 20""")
+ORDER BY subscription_months ASC, monthly_mrr DESC NULLS FIRST, customer_id ASC LIMIT 20""")
 
 ORACLE["lifecycle_stage_rows"] = subs(f"""
 SELECT customer_id, subscription_months, CAST(monthly_mrr AS DOUBLE) AS monthly_mrr, churned,
@@ -142,7 +142,7 @@ SELECT customer_id, plan_type, subscription_months, CAST(monthly_mrr AS DOUBLE)
        mrr_rank_within_plan
 FROM ranked WHERE mrr_rank_within_plan <= 5 ORDER BY plan_type, mrr_rank_within_plan""",
     """ranked AS (SELECT customer_id, plan_type, subscription_months, monthly_mrr,
-       CAST(RANK() OVER (PARTITION BY plan_type ORDER BY monthly_mrr DESC) AS INTEGER) AS mrr_rank_within_plan
+       CAST(RANK() OVER (PARTITION BY plan_type ORDER BY monthly_mrr DESC NULLS FIRST) AS INTEGER) AS mrr_rank_within_plan
        FROM subscriptions WHERE churned = 'Yes')""")
 
 ORACLE["ab_summary"] = expo(f"""
@@ -447,7 +447,7 @@ ALIGNED_SQL = "((grp = 'control' AND landing_page = 'old_page') OR (grp = 'treat
 MISALIGNED_SQL = "((grp = 'control' AND landing_page = 'new_page') OR (grp = 'treatment' AND landing_page = 'old_page'))"
 CLEANED_CTE = f"""cleaned AS (
 SELECT user_id, ts, event_id, grp, landing_page, converted FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id NULLS LAST) AS rn
   FROM exposures WHERE {ALIGNED_SQL}) x WHERE rn = 1)"""
 ARMS_CTE = """arms AS (
 SELECT n_ctrl, conv_ctrl, n_treat, conv_treat,

@@ -64,6 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = sc.getCheckpointDir()
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="retentio-")
         sc.setCheckpointDir(conf_dir)
     elif not sc.getCheckpointDir():
@@ -78,27 +80,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in path or path.startswith("file:"):
         os.makedirs(os.path.dirname(path.removeprefix("file:")), exist_ok=True)
     return path
-
-
-def scale_conf(input_bytes: int, executor_cores_total: int | None = None,
-               target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
-    """Shuffle / split sizing for a given input size (e.g. 100 TB).
-
-    Scan splits of ``target_partition_bytes``; the initial shuffle partition count
-    is sized so a partition holds about that much data even for the few shuffles
-    that move whole rows (per-customer order facts, per-user first exposure,
-    (group, value) counts, global sorts) — AQE then coalesces the many small
-    post-aggregation partitions of the report queries and splits skewed ones.
-    """
-    parts = max(200, -(-input_bytes // target_partition_bytes))
-    if executor_cores_total:
-        # whole waves of tasks: a multiple of the cluster's cores
-        parts = -(-parts // executor_cores_total) * executor_cores_total
-    parts = min(parts, 500_000)
-    return {
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
-    }

@@ -42,7 +42,7 @@ def subscriptions(customer: DataFrame, orders: DataFrame) -> DataFrame:
         .agg(F.min(F.when(finished, F.col("o_orderdate"))).alias("first_f"),
              F.max(F.when(finished, F.col("o_orderdate"))).alias("last_f"),
              F.sum(F.when(finished, F.col("o_totalprice").cast("decimal(12,2)")))
-             .cast("decimal(14,2)").alias("ltv"),
+             .cast("decimal(38,2)").alias("ltv"),
              F.max("o_orderdate").alias("last_any"))
     )
 

@@ -101,14 +101,6 @@ def test_snake_case_rule():
         "payment_method", "internet_service", "streaming_tv", "senior_citizen", "gender", "customer_id"]
 
 
-def test_scale_conf_sizes_partitions():
-    from retentio.session import scale_conf
-    c = scale_conf(100 * 1024 ** 4, executor_cores_total=8000)
-    n = int(c["spark.sql.shuffle.partitions"])
-    assert n % 8000 == 0 and 100 * 1024 ** 4 / n <= 256 * 1024 ** 2
-    assert scale_conf(10 ** 6)["spark.sql.shuffle.partitions"] == "200"
-
-
 class _Conf:
     def __init__(self, value):
         self.value = value
@@ -145,6 +137,10 @@ def test_shared_dir_reads_setting_and_falls_back_only_when_unset():
     s = _Session(None, ckpt="s3a://bucket/ckpt/uuid")
     assert shared_dir(s) == "s3a://bucket/ckpt/uuid"
     s = _Session(None)
+    s.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        shared_dir(s)
+    s.sparkContext.master = "local[4]"
     local = shared_dir(s)
     assert local.startswith("/") and s.sparkContext.ckpt == local
 

@@ -10,10 +10,11 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF001, SF01
+from retentio.plans import registry
 from retentio.plans.catalog import RAW_TABLES
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = registry.oracle_sql()
 
 
 def _norm(v):
