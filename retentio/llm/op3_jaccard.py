@@ -189,21 +189,22 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: s
 
 def _across(placed: DataFrame, kept: DataFrame, shared: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
     """(a, b): classes of a bucket in different components whose sizes and common segments allow
-    a link. Each carries its smallest signatures, so that a pair that has one of them in common
-    is made at the smallest only, and for even and odd bands the 16-bit forms of its
-    signatures, how many of them fell together, and how many it may leave out."""
-    nodes = placed.select("node").distinct()
-    small = Window.partitionBy("node").orderBy("sig")
-    first = (kept.join(nodes, "node").withColumn("_n", F.row_number().over(small)).where(F.col("_n") <= FIRST)
-             .groupBy("node").agg(F.collect_list("sig").alias("k")))
-    odd = F.col("sig").bitwiseAND(F.lit(1))
+    a link. A pair is looked for in the lower of the two classes' bands only, and the lowest bit
+    of a signature tells a class's two bands apart; so a row carries of its own band alone the smallest
+    signatures (a pair that has one of them in common is made at the smallest only), the 16-bit
+    forms of all, how many of them fell together, and how many the class may leave out."""
+    odd = F.col("sig").bitwiseAND(F.lit(1)).alias("odd")
+    nodes = placed.select("node", odd).distinct()
+    small = Window.partitionBy("node", "odd").orderBy("sig")
+    first = (kept.withColumn("odd", odd).join(nodes, ["node", "odd"]).withColumn("_n", F.row_number().over(small)).where(F.col("_n") <= FIRST)
+             .groupBy("node", "odd").agg(F.collect_list("sig").alias("k")))
     short = F.shiftright("sig", 1).bitwiseAND(F.lit(0xFFFF)).cast("int") - 32768
-    sides = [c for i in (0, 1) for c in (F.collect_set(F.when(odd == i, short.cast("smallint"))).alias(f"t{i}"),
-                                         F.count(F.when(odd == i, 1)).alias(f"n{i}"), F.max(F.when(odd == i, F.col("spare"))).alias(f"s{i}"))]
-    forms = shared.join(nodes, "node").groupBy("node").agg(*sides)
+    forms = (shared.withColumn("odd", odd).join(nodes, ["node", "odd"]).groupBy("node", "odd")
+             .agg(F.collect_set(short.cast("smallint")).alias("t"), (F.count("*") - F.size(F.collect_set(short.cast("smallint")))).alias("fell"),
+                  F.max("spare").alias("s")))
     band = F.size(F.filter(F.array(*[F.lit(x) for x in bands.lo]), lambda x: x <= F.col("n"))) - 1
-    info = first.join(forms, "node").join(classes.select("node", "n"), "node").withColumn("band", band)
-    full = placed.select("sig", "node", "component").join(info, "node")
+    info = first.join(forms, ["node", "odd"]).join(classes.select("node", "n"), "node").withColumn("band", band)
+    full = placed.select("sig", "node", "component", odd).join(info, ["node", "odd"])
     x, y = full.alias("x"), full.alias("y")
     low = F.least("x.band", "y.band")
     m, hi = [F.get(F.array(*[F.lit(v) for v in vs]), low) for vs in (bands.m, bands.hi)]
@@ -213,21 +214,17 @@ def _across(placed: DataFrame, kept: DataFrame, shared: DataFrame, classes: Data
     def differ(a: Column, b: Column) -> Column:
         return F.floor((100 - p) * (a + b) / (100 + p))
 
-    def side(t: str, c: str) -> Column:
-        return F.when(low % 2 == 0, F.col(f"{t}.{c}0")).otherwise(F.col(f"{t}.{c}1"))
-
     def empty(t: str) -> Column:
         """At most so many empty segments has the class not signed."""
         n = F.col(f"{t}.n")
         h = F.when(F.col(f"{t}.band") == low, differ(n, F.floor(n * 100 / p))).otherwise(differ(n, F.least(n, hi)))
-        return m - 1 - h - side(t, "s")
+        return m - 1 - h - F.col(f"{t}.s")
 
-    fell = F.greatest(side("x", "n") - F.size(side("x", "t")), side("y", "n") - F.size(side("y", "t")))
-    need = m - differ(F.col("x.n"), F.col("y.n")) - F.least(empty("x"), empty("y")) - fell
-    enough = deletes | (F.size(F.array_intersect(side("x", "t"), side("y", "t"))) >= need)
+    need = m - differ(F.col("x.n"), F.col("y.n")) - F.least(empty("x"), empty("y")) - F.greatest("x.fell", "y.fell")
+    enough = deletes | (F.size(F.array_intersect("x.t", "y.t")) >= need)
     earlier = F.exists(F.array_intersect("x.k", "y.k"), lambda v: v < F.col("x.sig"))
-    cond = ((F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-            & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * p) & ~earlier & F.coalesce(enough, F.lit(True)))
+    cond = ((F.col("x.sig") == F.col("y.sig")) & (low % 2 == F.col("x.odd")) & (F.col("x.node") < F.col("y.node"))
+            & (F.col("x.component") != F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * p) & ~earlier & enough)
     return x.join(y, cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
