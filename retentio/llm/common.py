@@ -37,12 +37,21 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read back: the lineage is
-    cut and a lost executor only costs a re-read."""
+    cut and a lost executor only costs a re-read. The shuffle files of the write are
+    deleted when it ends rather than when the driver next collects garbage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
