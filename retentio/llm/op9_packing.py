@@ -16,7 +16,9 @@ gives an empty result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import string
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ LENGTH = 4096
 END_ID = 1
 SLACK = 4            # a bin with fewer free tokens is done
 GROUP_ITEMS = 40_000
-CACHE_WORDS = 400_000  # of a worker; a full cache starts anew
+CACHE_WORDS = 600_000  # of a worker
 
 PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,72 +45,44 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Ids of whole texts, equal to the tokenizer's own. White space always separates this
+class WordIds(dict):
+    """Chunk -> the bytes of its ids, equal to the tokenizer's own. White space always separates this
     tokenizer's words and its model works word by word, so the ids of a text are those of its
-    chunks between blanks and line ends; each distinct chunk is encoded once and kept as bytes."""
+    chunks between blanks and line ends. A full cache becomes the old one, whose chunks are taken
+    over when they come again, so that frequent words stay and memory is bounded."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+        super().__init__({"": b""})
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        ends = [i for s, i in self.tok.get_vocab().items() if s.endswith("</w>")]
-        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
-        self.ends[ends] = True
-        self.marks = {c: self._ids([c])[0] for c in ".,"}
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def learn(self, chunks: set[str]) -> None:
-        new = chunks - self.cache.keys()
-        if not new:
-            return
-        # a word of letters, with one final stop or comma: two words to the tokenizer
-        bare, ended, other = set(), [], []
-        for c in new:
-            if c.isalpha():
-                bare.add(c)
-            elif c[-1:] in self.marks and c[:-1].isalpha():
-                ended.append(c)
-                if c[:-1] not in self.cache:
-                    bare.add(c[:-1])
+        self.word = self.tok.model.tokenize
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        word = chunk.rstrip(string.punctuation)
+        latin = word.isalpha() and max(word) < "\u0250" and word.islower()
+        if latin and word != chunk:  # two words to the tokenizer
+            return self[word] + self[chunk[len(word):]]
+        ids = self.old.get(chunk)
+        if ids is None:
+            if latin:  # one word goes straight to the tokenizer's model
+                ids = array("I", [t.id for t in self.word(word if word.isascii() else self.as_bytes(word)[0][0])]).tobytes()
             else:
-                other.append(c)
-        todo = list(bare)
-        for at in range(0, len(todo), 2000):
-            some = todo[at:at + 2000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):  # a letter word that is not one word to the tokenizer
-                self.cache.update(zip(some, self._ids(some), strict=True))
-                continue
-            parts, begin = ids.tobytes(), 0
-            for w, end in zip(some, (cuts * 4).tolist(), strict=True):
-                self.cache[w] = parts[begin:end]
-                begin = end
-        for c in ended:
-            self.cache[c] = self.cache[c[:-1]] + self.marks[c[-1]]
-        self.cache.update(zip(other, self._ids(other), strict=True))
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        chunked, todo = [], set()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        for t in texts:
-            # lower case first saves cache entries; not where lower() could depend on context or
-            # turn a chunk into the name of a special token
-            if not ("Σ" in t or "İ" in t or "<|" in t):
-                t = t.lower()
-            chunks = t.replace("\n", " ").split(" ")
-            chunked.append(chunks)
-            todo.update(chunks)
-        todo.discard("")
-        self.learn(todo)
-        get = self.cache
-        get[""] = b""
-        for chunks in chunked:
-            yield b"".join([get[c] for c in chunks])
+                ids = array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
+
+    def of(self, text: str) -> bytes:
+        if len(self) > CACHE_WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+        # lower case first saves cache entries; not where lower() could depend on context or
+        # turn a chunk into the name of a special token
+        if not ("Σ" in text or "İ" in text or "<|" in text):
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID,
@@ -124,14 +98,11 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LE
         ids = _state.get(path) or _state.setdefault(path, WordIds(path))
         for b in batches:
             out = []
-            texts = [t or "" for t in b["text"]]
-            for lo in range(0, len(texts), 500):
-                part = slice(lo, lo + 500)
-                for d, r, raw in zip(b["doc_id"].iloc[part], b["row_id"].iloc[part], ids.batch(texts[part]), strict=True):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * length)):
-                        piece = raw[at:at + 4 * length]
-                        out.append((None if pd.isna(d) else int(d), r, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            for d, r, t in zip(b["doc_id"], b["row_id"], b["text"], strict=True):
+                raw = ids.of(t or "") + end
+                for k, at in enumerate(range(0, len(raw), 4 * length)):
+                    piece = raw[at:at + 4 * length]
+                    out.append((None if pd.isna(d) else int(d), r, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype(
                 {"doc_id": "Int64", "row_id": "int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
 

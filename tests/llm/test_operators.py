@@ -256,7 +256,7 @@ def test_packing_ids_places_and_fill(docs, texts):
 def test_word_ids_equal_the_tokenizer(text):
     from tokenizers import Tokenizer
     path = op9_packing.default_tokenizer()
-    ids = np.frombuffer(next(op9_packing.WordIds(path).batch([text])), "<u4").tolist()
+    ids = np.frombuffer(op9_packing.WordIds(path).of(text), "<u4").tolist()
     assert ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
