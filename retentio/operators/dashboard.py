@@ -38,17 +38,21 @@ def report_facts(subs: DataFrame) -> DataFrame:
                           "lifecycle_stage": lifecycle_stage("subscription_months", "half_open")}))
 
 
+def _sliced_facts(subs: DataFrame, plan_labels: Sequence[str] | None) -> tuple[DataFrame, dict | None]:
+    """Report facts and slicer of the plan-label slicer (none selected: all rows).
+    The dimension is a fixed table, so the label filter maps to plan types without
+    reading data; filtering the fact on them lets the scan skip data."""
+    if not plan_labels:
+        return report_facts(subs), None
+    types = [t for t, _, label in PLAN_DIMENSION if label in set(plan_labels)]
+    return report_facts(subs.where(F.col("plan_type").isin(types))), {"plan_label": list(plan_labels)}
+
+
 def kpi_cards(subs: DataFrame, plan_labels: Sequence[str] | None = None) -> DataFrame:
     """The six KPI cards plus the hidden all-customer MRR, one row; optionally
     under the plan-label slicer (filter on the dimension, propagated to the fact)."""
-    slicer = None
-    if plan_labels:
-        slicer = {"plan_label": list(plan_labels)}
-        # The dimension is a fixed table, so the label filter maps to plan types
-        # without reading data; filtering the fact on them lets the scan skip data.
-        types = [t for t, _, label in PLAN_DIMENSION if label in set(plan_labels)]
-        subs = subs.where(F.col("plan_type").isin(types))
-    return measure_query(report_facts(subs), list(CARD_MEASURES) + ["total_mrr_all"], (), slicer)
+    facts, slicer = _sliced_facts(subs, plan_labels)
+    return measure_query(facts, list(CARD_MEASURES) + ["total_mrr_all"], (), slicer)
 
 
 def measure_override_by_status(subs: DataFrame) -> DataFrame:
@@ -69,20 +73,25 @@ def _band_color(band: str) -> F.Column:
     return F.expr(f"CASE {band} {cases} END")
 
 
-def bars_mrr_by_label(subs: DataFrame) -> DataFrame:
+def bars_mrr_by_label(subs: DataFrame, plan_labels: Sequence[str] | None = None) -> DataFrame:
     """Total MRR per plan label (descending) with the tooltip's non-null count of
-    the dimension's ``plan_order`` and the measure's tooltip text."""
-    m = measure_query(report_facts(subs), ["total_mrr"], ("plan_label",))
-    dim = (plan_dimension(subs.sparkSession).groupBy("plan_label")
-           .agg(F.count("plan_order").alias("plan_order_count")))
-    return (dim.join(m, "plan_label", "left")
-            .withColumn("tooltip", F.lit(MEASURES["total_mrr"].tooltip))
+    the dimension's ``plan_order`` and the measure's tooltip text; optionally under
+    the plan-label slicer. Facts of an unknown or null plan are the blank label's bar."""
+    facts, slicer = _sliced_facts(subs, plan_labels)
+    m = measure_query(facts, ["total_mrr"], ("plan_label",), slicer).withColumnRenamed("plan_label", "_label")
+    dim = plan_dimension(subs.sparkSession)
+    if plan_labels:
+        dim = dim.where(F.col("plan_label").isin(list(plan_labels)))
+    dim = dim.groupBy("plan_label").agg(F.count("plan_order").alias("plan_order_count"))
+    return (dim.join(m, F.col("plan_label").eqNullSafe(F.col("_label")), "full")
+            .select(F.coalesce("plan_label", "_label").alias("plan_label"), "plan_order_count", "total_mrr",
+                    F.lit(MEASURES["total_mrr"].tooltip).alias("tooltip"))
             .transform(order_aggregated, F.desc_nulls_last("total_mrr")))
 
 
 def bars_churn_by(subs: DataFrame, category: str) -> DataFrame:
     """Churn Rate % per category (descending) with the report's colour band
-    (>= 0.30 high, >= 0.15 medium, >= 0 low)."""
+    (>= 0.30 high, >= 0.15 medium, >= 0 low); without churned rows no value and no band."""
     m = measure_query(report_facts(subs), ["churn_rate"], (category,))
     band = risk_band("churn_rate", REPORT_BAND_THRESHOLDS, inclusive=True)
     return (m.withColumn("band", band)
@@ -93,13 +102,14 @@ def bars_churn_by(subs: DataFrame, category: str) -> DataFrame:
 def stage_plan_matrix(subs: DataFrame) -> DataFrame:
     """Matrix: lifecycle stage rows x plan label columns of Churn Rate %, totals
     off. One pass: each cell is a conditional count pair (what a pivot with a
-    fixed value list does); an empty cell is null."""
+    fixed value list does); a cell without rows, or without churned ones, is null.
+    Rows of an unknown or null plan are in the column of the blank label."""
     f = report_facts(subs)
     cells = []
-    for _, _, label in PLAN_DIMENSION:
-        in_plan = f"plan_label = {sql_str(label)}"
-        cells.append(F.expr(mean_sql(f"count_if({in_plan} AND churned = 'Yes')", f"count_if({in_plan})"))
-                     .alias(label))
+    for label in [*(label for _, _, label in PLAN_DIMENSION), None]:
+        in_plan = f"plan_label = {sql_str(label)}" if label else "plan_label IS NULL"
+        cells.append(F.expr(mean_sql(f"nullif(count_if({in_plan} AND churned = 'Yes'), 0)", f"count_if({in_plan})"))
+                     .alias(label or "(Blank)"))
     return f.groupBy("lifecycle_stage").agg(*cells)
 
 
@@ -140,9 +150,11 @@ def kpi_cards_display(subs: DataFrame) -> DataFrame:
     return cards.selectExpr(f"inline(array({rows}))")
 
 
-def churn_gauge(subs: DataFrame) -> DataFrame:
-    """Churn Rate % on a 0-0.5 gauge with target 0.20; alert when >= target."""
-    m = measure_query(report_facts(subs), ["churn_rate"])
+def churn_gauge(subs: DataFrame, plan_labels: Sequence[str] | None = None) -> DataFrame:
+    """Churn Rate % on a 0-0.5 gauge with target 0.20; alert when >= target;
+    optionally under the plan-label slicer."""
+    facts, slicer = _sliced_facts(subs, plan_labels)
+    m = measure_query(facts, ["churn_rate"], (), slicer)
     return m.select(
         "churn_rate",
         F.lit(GAUGE_MIN).alias("gauge_min"), F.lit(GAUGE_MAX).alias("gauge_max"),

@@ -61,7 +61,8 @@ TOTAL_MRR = Measure(
 CHURN_RATE = Measure(
     "churn_rate", "Churn Rate %",
     {"yes": Part("count", None, CHURNED), "all": Part("count")},
-    lambda p: mean_sql(p["yes"], p["all"]), "0.00%",
+    # no churned row: a count of nothing is blank in the report, not 0
+    lambda p: mean_sql(f"nullif({p['yes']}, 0)", p["all"]), "0.00%",
     "% of all customers (active + churned) who have cancelled. Baseline health indicator.",
     "Core KPIs")
 AVG_LTV = Measure(

@@ -160,9 +160,15 @@ def div(a: str, b: str) -> str:
     return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
 
 
+def bi_churn(of: str = "TRUE") -> str:
+    """The report's churn rate of the rows ``of``: blank, not 0, where no row is churned."""
+    yes = f"COUNT(*) FILTER (WHERE {of} AND churned = 'Yes')"
+    return f"""CASE WHEN {yes} > 0 THEN {div(yes, f"COUNT(*) FILTER (WHERE {of})")} END"""
+
+
 CARD_SELECT = f"""
   CAST(SUM(monthly_mrr) FILTER (WHERE churned = 'No') AS DOUBLE) AS total_mrr,
-  {div("COUNT(*) FILTER (WHERE churned = 'Yes')", "COUNT(*)")} AS churn_rate,
+  {bi_churn()} AS churn_rate,
   {div("SUM(lifetime_value)", "COUNT(lifetime_value)")} AS avg_ltv,
   {div("SUM(subscription_months) FILTER (WHERE churned = 'No')",
        "COUNT(subscription_months) FILTER (WHERE churned = 'No')")} AS avg_tenure_months,
@@ -179,7 +185,7 @@ ORACLE["kpi_cards_sliced"] = report(f"SELECT {CARD_SELECT} FROM f WHERE plan_lab
 ORACLE["measure_override_by_status"] = report(f"""
 SELECT plan_label, churned,
   CAST(SUM(mrr_active) OVER (PARTITION BY plan_label) AS DOUBLE) AS total_mrr,
-  {div("n_yes", "n")} AS churn_rate,
+  CASE WHEN n_yes > 0 THEN {div("n_yes", "n")} END AS churn_rate,
   {div("ltv_s", "ltv_n")} AS avg_ltv,
   {div("SUM(ten_s) OVER (PARTITION BY plan_label)", "SUM(ten_n) OVER (PARTITION BY plan_label)")} AS avg_tenure_months,
   CAST(SUM(risk) OVER (PARTITION BY plan_label) AS DOUBLE) AS at_risk_mrr,
@@ -195,14 +201,24 @@ SELECT plan_label, churned,
   SUM(monthly_mrr) AS mrr_s, COUNT(monthly_mrr) AS mrr_n
 FROM f GROUP BY plan_label, churned)""")
 
-ORACLE["bars_mrr_by_label"] = report("""
-SELECT d.plan_label, d.plan_order_count, m.total_mrr,
+def _bars_mrr(where: str = "") -> str:
+    """A bar per label of the dimension, and one for facts without a label where there are any."""
+    mrr = "SELECT CAST(SUM(monthly_mrr) FILTER (WHERE churned = 'No') AS DOUBLE) FROM f WHERE"
+    return report(f"""
+SELECT plan_label, plan_order_count, total_mrr,
   'Active subscriber revenue only. Churned customers are excluded from this total.' AS tooltip
-FROM (SELECT plan_label, COUNT(plan_order) AS plan_order_count FROM dim_plan_type GROUP BY plan_label) d
-LEFT JOIN (SELECT plan_label, CAST(SUM(monthly_mrr) FILTER (WHERE churned = 'No') AS DOUBLE) AS total_mrr
-           FROM f GROUP BY plan_label) m ON d.plan_label = m.plan_label
+FROM (
+  SELECT d.plan_label, COUNT(d.plan_order) AS plan_order_count, ({mrr} f.plan_label = d.plan_label) AS total_mrr
+  FROM dim_plan_type d {where} GROUP BY d.plan_label
+  UNION ALL
+  SELECT NULL, NULL, ({mrr} f.plan_label IS NULL)
+  WHERE EXISTS (SELECT 1 FROM f WHERE plan_label IS NULL) AND {'FALSE' if where else 'TRUE'}) x
 ORDER BY total_mrr DESC NULLS LAST""")
 
+
+ORACLE["bars_mrr_by_label"] = _bars_mrr()
+ORACLE["bars_mrr_sliced"] = _bars_mrr("WHERE d.plan_label IN ('Starter', 'Enterprise')")
+
 BAND_SQL = ("CASE WHEN churn_rate >= 0.3::DOUBLE AND churn_rate <= 1 THEN 'high' "
             "WHEN churn_rate >= 0.15::DOUBLE AND churn_rate < 0.3::DOUBLE THEN 'medium' "
             "WHEN churn_rate >= 0 AND churn_rate < 0.15::DOUBLE THEN 'low' END")
@@ -214,9 +230,9 @@ def _bars_churn(category: str) -> str:
     return report(f"""
 SELECT {category}, churn_rate, band, {COLOR_SQL} AS color FROM (
   SELECT {category}, churn_rate, {BAND_SQL} AS band FROM (
-    SELECT {category}, {div("COUNT(*) FILTER (WHERE churned = 'Yes')", "COUNT(*)")} AS churn_rate
+    SELECT {category}, {bi_churn()} AS churn_rate
     FROM f GROUP BY {category}) x) y
-ORDER BY churn_rate DESC""")
+ORDER BY churn_rate DESC NULLS LAST""")
 
 
 ORACLE["bars_churn_by_stage_bi"] = _bars_churn("lifecycle_stage")
@@ -225,9 +241,10 @@ ORACLE["bars_churn_by_payment_bi"] = _bars_churn("payment_method")
 
 ORACLE["stage_plan_matrix"] = report(f"""
 SELECT lifecycle_stage,
-  {div("COUNT(*) FILTER (WHERE plan_label = 'Starter' AND churned = 'Yes')", "COUNT(*) FILTER (WHERE plan_label = 'Starter')")} AS "Starter",
-  {div("COUNT(*) FILTER (WHERE plan_label = 'Growth' AND churned = 'Yes')", "COUNT(*) FILTER (WHERE plan_label = 'Growth')")} AS "Growth",
-  {div("COUNT(*) FILTER (WHERE plan_label = 'Enterprise' AND churned = 'Yes')", "COUNT(*) FILTER (WHERE plan_label = 'Enterprise')")} AS "Enterprise"
+  {bi_churn("plan_label = 'Starter'")} AS "Starter",
+  {bi_churn("plan_label = 'Growth'")} AS "Growth",
+  {bi_churn("plan_label = 'Enterprise'")} AS "Enterprise",
+  {bi_churn("plan_label IS NULL")} AS "(Blank)"
 FROM f GROUP BY lifecycle_stage""")
 
 ORACLE["tenure_mrr_scatter"] = subs(f"""
@@ -235,11 +252,16 @@ SELECT subscription_months, churned, {div("SUM(monthly_mrr)", "COUNT(monthly_mrr
        COUNT(customer_id) AS customers
 FROM subscriptions GROUP BY subscription_months, churned""")
 
-ORACLE["churn_gauge"] = report(f"""
+def _gauge(where: str = "") -> str:
+    return report(f"""
 SELECT churn_rate, 0.0::DOUBLE AS gauge_min, 0.5::DOUBLE AS gauge_max, 0.2::DOUBLE AS target,
   CASE WHEN churn_rate >= 0.2::DOUBLE THEN 'alert' ELSE 'ok' END AS status,
   '% of all customers (active + churned) who have cancelled. Baseline health indicator.' AS tooltip
-FROM (SELECT {div("COUNT(*) FILTER (WHERE churned = 'Yes')", "COUNT(*)")} AS churn_rate FROM f) x""")
+FROM (SELECT {bi_churn()} AS churn_rate FROM f {where}) x""")
+
+
+ORACLE["churn_gauge"] = _gauge()
+ORACLE["churn_gauge_sliced"] = _gauge("WHERE plan_label IN ('Starter', 'Enterprise')")
 
 # --- workbook tables ----------------------------------------------------------
 

@@ -46,6 +46,8 @@ REGISTRY: dict[str, CatalogQuery] = {
     "stage_plan_matrix": lambda c: dashboard.stage_plan_matrix(c.subscriptions()),
     "tenure_mrr_scatter": lambda c: dashboard.tenure_mrr_scatter(c.subscriptions()),
     "churn_gauge": lambda c: dashboard.churn_gauge(c.subscriptions()),
+    "churn_gauge_sliced": lambda c: dashboard.churn_gauge(c.subscriptions(), SLICER_EXAMPLE),
+    "bars_mrr_sliced": lambda c: dashboard.bars_mrr_by_label(c.subscriptions(), SLICER_EXAMPLE),
     # workbook tables
     "workbook_raw_data": lambda c: workbook.raw_data(c.subscriptions()),
     "kpi_block": lambda c: workbook.kpi_block(c.subscriptions()),

@@ -29,7 +29,7 @@ def _brute(p, plan_label=None, churned=None):
     active = ctx[ctx.churned == "No"]
     return {
         "total_mrr": active.monthly_mrr.sum(),
-        "churn_rate": (grp.churned == "Yes").sum() / len(grp),
+        "churn_rate": (grp.churned == "Yes").mean() or None,  # blank without churned rows
         "avg_ltv": grp.lifetime_value.mean(),
         "avg_tenure_months": active.subscription_months.mean(),
         "at_risk_mrr": active[active.subscription_months < 6].monthly_mrr.sum(),
@@ -43,7 +43,7 @@ def test_override_by_status_matches_brute_force(spark, facts, pdf):
     for r in got:
         exp = _brute(pdf, r.plan_label, r.churned)
         for k, v in exp.items():
-            assert getattr(r, k) == pytest.approx(v, rel=1e-9), (r.plan_label, r.churned, k)
+            assert getattr(r, k) == (v if v is None else pytest.approx(v, rel=1e-9)), (r.plan_label, r.churned, k)
 
 
 def test_cards_and_slicer(spark, facts, pdf):
@@ -69,7 +69,24 @@ def test_groups_without_rows_are_hidden(spark):
         "customer_id string, plan_type string, payment_method string, subscription_months int, "
         "monthly_mrr double, lifetime_value double, churned string"))
     out = measure_query(df, ["churn_rate", "avg_ltv"], ("plan_label",)).collect()
-    assert [(r.plan_label, r.churn_rate, r.avg_ltv) for r in out] == [("Growth", 0.0, None)]
+    assert [(r.plan_label, r.churn_rate, r.avg_ltv) for r in out] == [("Growth", None, None)]
+
+
+def test_blank_label_and_blank_churn_in_visuals(spark):
+    cols = ("customer_id string, plan_type string, payment_method string, subscription_months int, "
+            "monthly_mrr double, lifetime_value double, churned string")
+    subs = spark.createDataFrame([("1", "One year", "x", 3, 10.0, 1.0, "No"), ("2", "Other", "x", 3, 7.0, 1.0, "No"),
+                                  ("3", None, "x", 3, 5.0, 1.0, "Yes"), ("4", None, "x", 3, 4.0, 1.0, "No")], cols)
+    bars = {r.plan_label: (r.plan_order_count, r.total_mrr) for r in dashboard.bars_mrr_by_label(subs).collect()}
+    assert bars == {"Starter": (1, None), "Growth": (1, 10.0), "Enterprise": (1, None), None: (None, 11.0)}
+    sliced = {r.plan_label: r.total_mrr for r in dashboard.bars_mrr_by_label(subs, ["Growth"]).collect()}
+    assert sliced == {"Growth": 10.0}
+    churn = {r.plan_label: (r.churn_rate, r.band) for r in dashboard.bars_churn_by(subs, "plan_label").collect()}
+    assert churn == {"Growth": (None, None), None: (1 / 3, "high")}
+    cell = dashboard.stage_plan_matrix(subs).collect()[0]
+    assert (cell["Starter"], cell["Growth"], cell["Enterprise"], cell["(Blank)"]) == (None, None, None, 1 / 3)
+    gauge = dashboard.churn_gauge(subs, ["Growth"]).collect()[0]
+    assert (gauge.churn_rate, gauge.status) == (None, "ok")
 
 
 def test_measure_query_plan_has_one_fact_scan(spark, facts):

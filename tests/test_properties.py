@@ -68,7 +68,7 @@ def _final(name, parts):
     if name in ("total_mrr", "at_risk_mrr", "total_mrr_all") or name.startswith("sum_"):
         return parts["s"]
     if name == "churn_rate":
-        return div(parts["yes"], parts["all"])
+        return div(parts["yes"] or None, parts["all"])
     if name in ("avg_ltv", "avg_tenure_months"):
         return div(parts["s"], parts["n"])
     if name == "ltv_mrr_ratio":
