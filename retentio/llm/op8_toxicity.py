@@ -169,9 +169,17 @@ def learn(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
     y = y.groupBy("id").agg(F.max("y").alias("y"))
     own = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h")).where(F.col(text).isNotNull())
     texts = own.join(y, "id").groupBy("h").agg(F.max("y").alias("y"), F.min("id").alias("id"), F.count("*").alias("n"))
-    shares = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    per_y = texts.groupBy("y").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()
+    shares = {r["y"]: r["n"] for r in per_y}
+    # the smallest hashes of a class are its examples: all above a bound that leaves twice as many go
+    # before the window, so that its task holds no more however many tasks read the labels
+    low = F.lit(True)
+    for r in per_y:
+        part = (2 * per_class + 100) / r["d"]
+        if part < 1:
+            low = low & ((F.col("y") != r["y"]) | (F.col("h") <= int(2 ** 64 * part) - 2 ** 63))
     order = Window.partitionBy("y").orderBy("h")
-    chosen = {r["id"]: r["y"] for r in texts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).collect()}
+    chosen = {r["id"]: r["y"] for r in texts.where(low).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).collect()}
     found: dict = {}
     if chosen:
         for r in docs.where(F.col(doc_id).isin(list(chosen))).select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("t is not null").collect():
