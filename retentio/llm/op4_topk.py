@@ -4,7 +4,9 @@ A binary code of B bits is cut into segments of about log2(number of codes) bits
 distance d agree in some segment up to floor(d / segments) bits, so after all segments have been
 searched at radius r every code nearer than segments * (r + 1) has been seen. Each round widens
 the radius by one, probing the index (segment, value) with the query's segment under every mask
-of r bits, and ends the queries whose k-th verified distance is covered.
+of r bits, and ends the queries whose k-th verified distance is covered. With the first a segments
+searched at radius r and the others at r - 1, every code nearer than segments * r + a has been
+seen; so a query whose k-th distance so far is d probes the first d - segments * r + 1 segments only.
 
 Rows with equal codes are one code: of each code the k + 1 smallest ids are kept (more cannot be
 in an answer), so large groups of equal vectors cost no more than one.
@@ -83,20 +85,21 @@ def top_k(rows: DataFrame, queries: Column, k: int = K, row_id: str = "vec_id",
     index = saved(codes.select("code_id", F.inline(parts)), "index")
     asked = saved(base.where(queries(F.col("id"))).select(F.col("code")).distinct().withColumn("query", F.xxhash64("code")), "asked")
     probes = asked.select("query", F.inline(parts))
-    pending, found = asked.select("query"), None
+    pending, found = asked.select("query", F.lit(None).cast("int").alias("kth")), None
     covered = []
     rounds = max(size for _, size in cuts)
     for r in range(rounds + 1):
         # all masks of r bits: at most C(16, r) for each segment size
         masks = [(size, sum(1 << b for b in bits)) for size in {s for _, s in cuts} if r <= size for bits in combinations(range(size), r)]
         mask = spark.createDataFrame(masks, "size int, mask long")
-        probe = probes.join(pending, "query").join(F.broadcast(mask), "size").select(
+        needed = F.col("kth").isNull() | (F.col("seg") <= F.col("kth") - len(cuts) * r)
+        probe = probes.join(pending, "query").where(needed).join(F.broadcast(mask), "size").select(
             "query", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         pairs = probe.join(index.select("code_id", "seg", "value"), ["seg", "value"]).select("query", "code_id").distinct()
         pairs = (pairs.join(asked.select("query", F.col("code").alias("_q")), "query")
                  .join(codes.select("code_id", "code", "ids"), "code_id")
                  .select("query", "code_id", hamming(F.col("_q"), F.col("code"), width).alias("distance"), F.size("ids").alias("n")))
-        found = saved((pairs if found is None else found.join(pending, "query").unionByName(pairs)).distinct(), "found")
+        found = saved((pairs if found is None else found.join(pending.select("query"), "query").unionByName(pairs)).distinct(), "found")
         # codes in order of distance; a query needs k + 1 rows (its own among them)
         near = Window.partitionBy("query").orderBy("distance", "code_id").rowsBetween(Window.unboundedPreceding, -1)
         reach = (found.withColumn("_before", F.coalesce(F.sum("n").over(near), F.lit(0)))
@@ -106,7 +109,8 @@ def top_k(rows: DataFrame, queries: Column, k: int = K, row_id: str = "vec_id",
             ends = reach
         ends = saved(ends.select("query", "kth"), "ends")
         covered.append(saved(found.join(ends, "query").where(F.col("distance") <= F.col("kth")).select("query", "code_id", "distance"), "covered"))
-        pending = saved(pending.join(ends, "query", "left_anti"), "pending")
+        so_far = reach.select("query", F.when(F.col("_all") > k, F.col("kth")).alias("kth"))
+        pending = saved(pending.select("query").join(ends, "query", "left_anti").join(so_far, "query", "left"), "pending")
         if pending.isEmpty():
             break
     hits = covered[0]
