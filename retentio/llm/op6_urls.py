@@ -6,7 +6,8 @@ to all its members, except those that an allow rule fits themselves.
 
 Nodes are URLs without fragment and scheme, host lower-cased: http and https forms are one
 node. Components are found by rounds of hooking every node to the smallest node in its
-neighbourhood and of pointer jumping, on written tables; only nodes with an edge take part.
+neighbourhood and of pointer jumping, on written tables and without a limit of rounds; only
+nodes with an edge take part.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule and no
 alias, and is allowed; null or empty HTML has no edges; repeated rows keep a row each;
@@ -84,29 +85,40 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
             .select("src", _target(F.col("src"), F.col("_l")).alias("dst")).where("dst is not null"))
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, component) for the nodes of the undirected ``edges`` (a, b): the smallest node
-    reachable. Each round hooks a node's label to the smallest label around it (a partially
-    aggregated minimum, so a hub node costs a row per task) and jumps to the label's label;
-    the labels are a written table, so rounds do not add lineage. Raises instead of
-    returning unfinished labels."""
-    both = saved(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("component"))
-    for _ in range(max_rounds):
-        label = saved(label, "labels")
-        around = (both.join(label.select(F.col("node").alias("b"), "component"), "b")
-                  .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m")))
-        hooked = label.join(around, "node", "left").select("node", "component", F.least("component", "m").alias("m"))
-        # the label's own label: the better of the hooks that any node with this label has found
-        jump = hooked.groupBy(F.col("component").alias("_c")).agg(F.min("m").alias("_m"))
-        step = hooked.join(jump, hooked["component"] == jump["_c"], "left").select(
-            "node", F.col("component").alias("old"), F.least("m", "_m").alias("component"))
-        step = saved(step, "step")
-        if step.where("old <> component").isEmpty():
-            return step.select("node", "component")
+def _rooted(label: DataFrame) -> DataFrame:
+    """(node, component) with every label replaced by its own label until all are roots: a tree of
+    depth d takes log2(d) looks. Every label is a node of ``label`` and none is above its node."""
+    while True:
+        up = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        step = saved(label.join(up, label["component"] == up["_n"]).select("node", F.col("component").alias("old"), F.col("_c").alias("component")), "labels")
         label = step.select("node", "component")
-    raise RuntimeError(f"components are not complete after {max_rounds} rounds")
+        if step.where("old <> component").isEmpty():
+            return label
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of the undirected ``edges`` (a, b): the smallest node
+    reachable. Each round hooks every node to its smallest neighbour (a partially aggregated
+    minimum, so a hub node costs a row per task), looks up the labels' labels until all are
+    roots, and goes on with the edges between different roots. A root that is alone after a round has a smaller
+    neighbour in the next, so two rounds at least halve the roots whatever the order of the ids; the rounds
+    end when no edge is left. Edges and labels are written tables, so rounds do not add lineage."""
+    both = lambda e: e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    left = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not rounds or not left.isEmpty():
+        near = both(left).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        label = _rooted(saved(near.select("node", F.least("node", "m").alias("component")), "labels"))
+        rounds.append(label)
+        at = [label.select(F.col("node").alias(k), F.col("component").alias(f"_{k}")) for k in ("a", "b")]
+        moved = left.join(at[0], "a").join(at[1], "b").where("_a <> _b")
+        left = saved(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+    # follow the rounds: a root of one is a node of the next if it had an edge left
+    label = rounds[0]
+    for later in rounds[1:]:
+        up = later.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        label = label.join(up, label["component"] == up["_n"], "left").select("node", F.coalesce("_c", "component").alias("component"))
+    return saved(label, "labels") if len(rounds) > 1 else label
 
 
 def filter_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, page_id: str = "page_id",

@@ -296,3 +296,29 @@ def test_warc_round_trip(spark, tmp_dir):
 def test_plain_text():
     html = "<html><head><title>T</title><style>p{}</style></head><body><p>a &amp; b<br>c</p><!-- x --><script>1<2</script><div>d  e</div></body>"
     assert op10_warc.plain_text(html) == "a & b\nc\nd e"
+
+
+def test_ascending_alias_chains_are_followed_to_their_end(spark):
+    canon = '<link rel="canonical" href="{}">'.format
+    url = "http://a.net/p/{:04d}".format
+    rows = [(i, url(i), canon(url(i + 1) if i < 400 else "http://m.example.org/es/1")) for i in range(401)] + [(999, "http://b.net/", "")]
+    got = {r.page_id: r for r in op6_urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i].verdict for i in range(401)} == {"block"} and got[999].verdict == "allow"
+    assert {got[i].component for i in range(401)} == {"a.net/p/0000"}
+
+
+def test_components_equal_union_find(spark):
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (700, 2))] + [(2000 + i, 2000 + (i + 1) % 300) for i in range(300)]
+    edges += [(3000 + i, 4000 + i) for i in range(80)] + [(3000 + i, 4001 + i) for i in range(79)] + [(5000, 4999 - i) for i in range(90)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r.node: r.component for r in op6_urls.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
