@@ -1,7 +1,11 @@
 """Licence scans: a trained paragraph classifier (DataFrame functions and Spark's own
 logistic regression; no Python code on the rows).
 
-Every paragraph (line) of every whole text is reduced to its distinct 2- and 3-word grams.
+Every line of every whole text is reduced to its distinct 2- and 3-word grams, and so is every run
+of consecutive lines (a hard-wrapped notice) in which grams of the model go over each line end; lines
+without words, as blank ones, end a run. A run is reported at its first line if it says more than any of its
+lines, or is confirmed for a family that none of them is confirmed for; it then takes the place of its
+lines of unknown or the same family that are not confirmed. All other lines stay.
 A multinomial logistic regression over the grams of the training paragraphs gives a score per
 licence family, for ``unknown`` (licence language of no known family) and for ``none``. The
 training paragraphs are statements made by rule from licence names, published notices, and at
@@ -30,6 +34,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retentio.llm.common import saved
+
+WORD_BREAK = r"[^\p{L}\p{N}]+"
 NEGATIVES = 1500
 SURE, CONFIRM = 0.6, 0.6
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)
@@ -92,16 +99,36 @@ def templates() -> list[tuple[str, str]]:
     return made + [(fam, t) for fam, ts in NOTICES.items() for t in ts]
 
 
-def with_grams(df: DataFrame, text: str, out: str = "grams") -> DataFrame:
-    """Add ``out``: the distinct hashed 2- and 3-word grams; words are runs of letters and digits."""
+def with_grams(df: DataFrame, text: str, out: str = "grams", ahead: str | None = None) -> DataFrame:
+    """Add ``out``: the distinct hashed 2- and 3-word grams; words are runs of letters and digits. With ``ahead``
+    (the next two words, as ``first_words`` gives them) also ``{out}_over``: (gram, reach) of the grams that begin in the text
+    and end in a line after it."""
     w = f"_{out}_w"
-    df = df.withColumn(w, F.transform(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    df = df.withColumn(w, F.transform(F.filter(F.split(F.lower(F.col(text)), WORD_BREAK), lambda x: x != ""), lambda x: F.xxhash64(x)))
     n = F.size(w)
 
     def runs(k: int) -> Column:
         return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - F.lit(k)), lambda i: F.xxhash64(*[F.get(F.col(w), i + F.lit(j)) for j in range(k)]))
                       ).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.array_distinct(F.concat(runs(2), runs(3)))).drop(w)
+    df = df.withColumn(out, F.array_distinct(F.concat(runs(2), runs(3))))
+    if ahead is None:
+        return df.drop(w)
+    back = [F.get(F.col(w), n - F.lit(j)) for j in (1, 2)]
+    to = [F.get(F.col(ahead), F.lit(j)) for j in (0, 1)]
+
+    def over(fits: Column, words: list[Column], reach: Column) -> Column:
+        return F.struct(F.when(fits, F.xxhash64(*words)).alias("gram"), reach.alias("reach"))
+    m = F.size(ahead)
+    all_ = F.array(over((n >= 1) & (m >= 1), [back[0], to[0]["word"]], to[0]["reach"]),
+                   over((n >= 2) & (m >= 1), [back[1], back[0], to[0]["word"]], to[0]["reach"]),
+                   over((n >= 1) & (m >= 2), [back[0], to[0]["word"], to[1]["word"]], to[1]["reach"]))
+    return df.withColumn(f"{out}_over", F.filter(all_, lambda x: x["gram"].isNotNull())).drop(w)
+
+
+def first_words(line: Column, reach: int) -> Column:
+    """At most the first two words of a line: (word hash, reach); the rest of the line is not split."""
+    some = F.slice(F.filter(F.split(F.coalesce(line, F.lit("")), WORD_BREAK, 4), lambda x: x != ""), 1, 2)
+    return F.transform(some, lambda x: F.struct(F.xxhash64(F.lower(x)).alias("word"), F.lit(reach).alias("reach")))
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,6 +138,31 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.where(F.trim("line") != "")
 
 
+def held_lines(docs: DataFrame, model: LicenceModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, paragraph, grams, over, end, block) of every line with grams of the model: those inside it, those
+    that go over its end, the last line they reach, and the number in its text of the run that it belongs to."""
+    key = ["doc_id", "text_hash", "paragraph"]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_t")).where("_t is not null")
+    rows = rows.select("doc_id", F.xxhash64("_t").alias("text_hash"), F.split("_t", "\\r?\\n").alias("_lines"))
+    near = F.transform("_lines", lambda x, i: F.struct(x.alias("line"), F.get("_lines", i + F.lit(1)).alias("n1"), F.get("_lines", i + F.lit(2)).alias("n2")))
+    rows = rows.select("doc_id", "text_hash", F.posexplode_outer(near).alias("paragraph", "_l"))
+    rows = rows.select("doc_id", "text_hash", "paragraph", "_l.*").where(F.trim("line") != "").withColumn("_a", first_words(F.col("n1"), 1))
+    # a line of one word lets a gram go on into the line after it
+    rows = rows.withColumn("_a", F.when(F.size("_a") == 1, F.slice(F.concat("_a", first_words(F.col("n2"), 2)), 1, 2)).otherwise(F.col("_a")))
+    rows = with_grams(rows.drop("n1", "n2"), "line", ahead="_a")
+    # outer: for a plain explode Spark infers a filter on the array and computes it once more below
+    grams = rows.select(*key, "grams_over", F.size("grams").alias("_n"), F.posexplode_outer(F.concat("grams", F.col("grams_over.gram"))).alias("_p", "gram"))
+    grams = grams.select(*key, "gram", F.when(F.col("_p") >= F.col("_n"), F.get(F.col("grams_over.reach"), F.col("_p") - F.col("_n"))).alias("reach"))
+    held = grams.join(F.broadcast(model.weights.select("gram")), "gram").groupBy(*key).agg(
+        F.collect_set(F.when(F.col("reach").isNull(), F.col("gram"))).alias("grams"),
+        F.collect_set(F.when(F.col("reach").isNotNull(), F.col("gram"))).alias("over"),
+        (F.col("paragraph") + F.coalesce(F.max("reach"), F.lit(0))).alias("end"))
+    w = Window.partitionBy("doc_id", "text_hash").orderBy("paragraph")
+    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    held = held.withColumn("_new", F.when(F.col("paragraph") <= reached, 0).otherwise(1))
+    return saved(held.withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new"), "licence-lines")
+
+
 class LicenceModel:
     """weights: (gram, w array<double>) by class; bias, classes, temperature; templates: (family,
     template, size, gram)."""
@@ -160,13 +212,15 @@ def train(docs: DataFrame, negatives: int = NEGATIVES, doc_id: str = "doc_id", t
 
 
 def scan(docs: DataFrame, model: LicenceModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, paragraph, family, probability, overlap, confirmed) of every paragraph that
-    is not ``none``; a family that the calibrated probability does not carry is ``unknown``."""
-    key = ["doc_id", "text_hash", "paragraph"]
-    # outer: for a plain explode Spark infers a filter on the array and computes it once more below
-    grams = with_grams(paragraphs(docs, doc_id, text), "line").select(*key, F.explode_outer("grams").alias("gram"))
-    held = grams.join(F.broadcast(model.weights.select("gram")), "gram").groupBy(*key).agg(
-        F.collect_set("gram").alias("grams"))
+    """(doc_id, text_hash, paragraph, last, family, probability, overlap, confirmed) of every line, or run
+    from line ``paragraph`` to ``last``, that is not ``none``; a family that the calibrated probability does not carry is ``unknown``."""
+    text_key = ["doc_id", "text_hash", "block"]
+    key = [*text_key, "paragraph", "last", "run"]
+    lines = held_lines(docs, model, doc_id, text)
+    runs = lines.groupBy(*text_key).agg(F.min("paragraph").alias("paragraph"), F.max("end").alias("last"), F.lit(True).alias("run"),
+                                        F.array_distinct(F.flatten(F.collect_list(F.concat("grams", "over")))).alias("grams"))
+    held = lines.where(F.size("grams") > 0).select(*text_key, "paragraph", F.col("paragraph").alias("last"), F.lit(False).alias("run"), "grams").unionByName(
+        runs.where(F.col("last") > F.col("paragraph")))
     k = len(model.classes)
     zeros = F.array(*[F.lit(0.0)] * k)
     sums = (held.select(*key, "grams", F.explode("grams").alias("gram")).join(F.broadcast(model.weights), "gram")
@@ -181,22 +235,34 @@ def scan(docs: DataFrame, model: LicenceModel, doc_id: str = "doc_id", text: str
     hits = (sums.select(*key, "family", F.explode("grams").alias("gram")).join(F.broadcast(model.templates), ["family", "gram"])
             .groupBy(*key, "template").agg((F.count("*") / F.max("size")).alias("share"))
             .groupBy(*key).agg(F.max("share").alias("overlap")))
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"h.{c}")) for c in key]
-    out = sums.alias("s").join(hits.alias("h"), same[0] & same[1] & same[2], "left")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"h.{c}"))
+    out = sums.alias("s").join(hits.alias("h"), same, "left")
     overlap = F.coalesce("h.overlap", F.lit(0.0))
     sure = F.col("s.probability") >= SURE
     family = F.when(sure, F.col("s.family")).otherwise(F.lit(UNKNOWN))
-    return out.select("s.doc_id", "s.text_hash", F.col("s.paragraph").cast("int").alias("paragraph"), family.alias("family"),
-                      F.round("s.probability", 4).alias("probability"), F.round(overlap, 4).alias("overlap"),
-                      (sure & (F.col("s.family") != UNKNOWN) & (overlap >= CONFIRM)).alias("confirmed"))
+    out = out.select(*[f"s.{c}" for c in key], family.alias("family"), F.round("s.probability", 4).alias("probability"), F.round(overlap, 4).alias("overlap"),
+                     (sure & (F.col("s.family") != UNKNOWN) & (overlap >= CONFIRM)).alias("confirmed"))
+    # a run and its lines: what says more stays
+    out = out.withColumn("_r", F.when(F.col("confirmed"), 2).when(F.col("family") != UNKNOWN, 1).otherwise(0))
+    w = Window.partitionBy(*text_key)
+    out = out.withColumns({"_best": F.coalesce(F.max(F.when(~F.col("run"), F.col("_r"))).over(w), F.lit(-1)), "_run": F.max(F.when(F.col("run"), F.col("_r"))).over(w),
+                           "_of": F.max(F.when(F.col("run"), F.col("family"))).over(w),
+                           "_said": F.collect_set(F.when(~F.col("run") & F.col("confirmed"), F.col("family"))).over(w)})
+    tells = F.coalesce((F.col("_run") > F.col("_best")) | ((F.col("_run") == 2) & ~F.array_contains("_said", F.col("_of"))), F.lit(False))
+    stays = F.when(F.col("run"), tells).otherwise(F.col("confirmed") | ~tells | ~F.col("family").isin(UNKNOWN) & (F.col("family") != F.col("_of")))
+    return out.where(stays).select("doc_id", "text_hash", F.col("paragraph").cast("int").alias("paragraph"), F.col("last").cast("int").alias("last"),
+                                   "family", "probability", "overlap", "confirmed")
 
 
 def with_lines(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The found paragraphs with their text."""
+    """The found lines and runs with their text."""
     lines = paragraphs(docs, doc_id, text).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h", "paragraph": "_p"}).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("paragraph") == F.col("_p"))
-    return found.join(lines, same).drop("_d", "_h", "_p")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & F.col("_p").between(F.col("paragraph"), F.col("last"))
+    rows = found.join(lines, same).groupBy(*found.columns).agg(F.array_sort(F.collect_list(F.struct("_p", "line"))).alias("_l"))
+    return rows.withColumn("line", F.array_join(F.col("_l.line"), "\n")).drop("_l")
 
 
 def op1_query(docs: DataFrame) -> DataFrame:
-    return scan(docs, train(docs)).drop("text_hash")
+    return scan(docs, train(docs)).drop("text_hash", "last")

@@ -322,3 +322,29 @@ def test_components_equal_union_find(spark):
         parent[b] = a
     got = {r.node: r.component for r in op6_urls.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_licences_in_hard_wrapped_notices(spark, docs):
+    import textwrap
+    said = [(f, t) for f, ts in op1_licenses.NOTICES.items() for t in ts if f != op1_licenses.UNKNOWN and len(t) > 60]
+    said += [("Apache", "This software is distributed under the terms of the Apache License, Version 2.0."),
+             ("CC-BY-NC", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.")]
+    rows = [(i, "\n".join(["some words stand here", "", *textwrap.wrap(t, 34 if len(t) < 130 else 72, initial_indent="# ", subsequent_indent="# "), "", "and after"]))
+            for i, (_, t) in enumerate(said)]
+    rows += [(100, "License: MIT\nLicense: Apache-2.0"), (103, "License: MIT\n\nLicense: Apache-2.0"), (101, "Licensed under the Apache\r\nLicense, Version 2.0."),
+             (102, "This work is licensed under the GNU\nGeneral\nPublic License, version 3.")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op1_licenses.scan(made, op1_licenses.train(docs))
+    got = defaultdict(list)
+    for r in op1_licenses.with_lines(found, made).collect():
+        got[r.doc_id].append((r.paragraph, r.family, r.confirmed, len(r.line.split("\n"))))
+    whole = 0
+    for i, (fam, t) in enumerate(said):
+        # once, at the notice's first line unless one line of it is confirmed alone
+        n, sure = len(rows[i][1].split("\n")), [x for x in got[i] if x[2]]
+        assert n > 5 and [x[1] for x in sure] == [fam] and {x[1] for x in got[i]} <= {fam, op1_licenses.UNKNOWN}, (fam, t, got[i])
+        assert sure[0][3] == 1 or (sure == got[i] and (sure[0][0], sure[0][3]) == (2, n - 4))
+        whole += sure[0][3] > 1
+    assert whole >= len(said) // 2
+    assert sorted(x[1:3] for x in got[100]) == sorted(x[1:3] for x in got[103])
+    assert [x[1] for x in got[101] if x[2]] == ["Apache"] and [x[1] for x in got[102] if x[2]] == ["GPL"]
