@@ -6,8 +6,12 @@ property of the k-mer alone, so the same words give the same anchors wherever th
 and an edit only touches the anchors that overlap it. The fingerprint lists the anchors'
 32-bit hashes in order of their place.
 
+Texts of fewer than ``FEW_WORDS`` words (short ones, and those without blanks of any length) are sequences
+of code points instead, their words joined by one blank each. Texts of fewer than twice as many
+words have the anchors of both, so that texts on either side of a bound can still be alike.
+
 Defined results: null text counts as empty; an empty text has the empty fingerprint; a text
-with fewer than k words has one anchor, all its words; where no k-mer qualifies, the k-mer
+with fewer than k code points has one anchor, all of it; where no k-mer qualifies, the k-mer
 with the smallest hash is the anchor. Long texts are taken whole. Repeated rows are kept and
 ordered by (doc_id descending, nulls last; text). Columns other than the id and the text are
 not read, so their names cannot clash.
@@ -21,33 +25,46 @@ from pyspark.sql import functions as F
 from retentio.llm.common import sliced
 
 K, S = 6, 2
+FEW_WORDS = 24  # below, anchors are of code points; from here to twice as many words, of both
 
 
-def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
-    """Add ``out``: array<int> of closed-syncmer anchors of column ``text`` in text order."""
-    w, h, m = f"_{out}_w", f"_{out}_h", f"_{out}_m"
+def _syncmers(df: DataFrame, units: str, out: str, k: int, s: int) -> DataFrame:
+    """Add ``out``: array<int> of closed-syncmer anchors of the hashed ``units``, in order."""
+    m, c = f"_{out}_m", f"_{out}_c"
     spans = k - s + 1  # inner substrings of a k-mer
-    n = F.size(h)
+    n = F.size(units)
 
     def at(arr: str, i: Column, step: int) -> Column:
         return F.get(F.col(arr), i + F.lit(step))
 
     def kmer(i: Column) -> Column:
-        # inner substrings at distance s, and the last one: together they hold all k words
+        # inner substrings at distance s, and the last one: together they hold all k units
         places = sorted({*range(0, spans, s), spans - 1})
         return F.hash(*[at(m, i, p) for p in places])
 
     places = F.when(n >= k, F.sequence(F.lit(0), n - F.lit(k))).otherwise(F.array().cast("array<int>"))
     chosen = F.filter(places, lambda i: F.least(*[at(m, i, j) for j in range(spans)]).isin(at(m, i, 0), at(m, i, spans - 1)))
-    df = df.withColumn(w, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\\s+"), lambda x: x != ""))
-    df = df.withColumn(h, F.transform(F.col(w), lambda x: F.xxhash64(x))).drop(w)
     df = df.withColumn(m, F.when(n >= s, F.transform(F.sequence(F.lit(0), n - F.lit(s)),
-                                                     lambda i: F.xxhash64(*[at(h, i, j) for j in range(s)]))))
-    df = df.withColumn(f"_{out}_c", chosen)
-    found = F.transform(F.col(f"_{out}_c"), kmer)
-    few = F.when(n == 0, F.array().cast("array<int>")).when(n < k, F.array(F.hash(F.col(h)))).otherwise(
+                                                     lambda i: F.xxhash64(*[at(units, i, j) for j in range(s)]))))
+    df = df.withColumn(c, chosen)
+    found = F.transform(F.col(c), kmer)
+    few = F.when(n == 0, F.array().cast("array<int>")).when(n < k, F.array(F.hash(F.col(units)))).otherwise(
         F.array(F.array_min(F.transform(places, kmer))))
-    return df.withColumn(out, F.when(F.size(f"_{out}_c") > 0, found).otherwise(few)).drop(h, m, f"_{out}_c")
+    return df.withColumn(out, F.when(F.size(c) > 0, found).otherwise(few)).drop(m, c)
+
+
+def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
+    """Add ``out``: array<int> of closed-syncmer anchors of column ``text`` in text order, those of words before
+    those of code points where a text has both."""
+    w, h, p = f"_{out}_w", f"_{out}_h", f"_{out}_p"
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn(w, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\\s+"), lambda x: x != ""))
+    n = F.size(w)
+    points = F.filter(F.split(F.array_join(w, " "), ""), lambda x: x != "")
+    df = df.withColumns({h: F.when(n >= FEW_WORDS, F.transform(F.col(w), lambda x: F.xxhash64(x))).otherwise(none),
+                         p: F.when(n < 2 * FEW_WORDS, F.transform(points, lambda x: F.xxhash64(x))).otherwise(none)}).drop(w)
+    df = _syncmers(_syncmers(df, h, f"_{out}_by_word", k, s), p, f"_{out}_by_point", k, s)
+    return df.withColumn(out, F.concat(f"_{out}_by_word", f"_{out}_by_point")).drop(h, p, f"_{out}_by_word", f"_{out}_by_point")
 
 
 def fingerprint_text(anchors: Column) -> Column:

@@ -348,3 +348,17 @@ def test_licences_in_hard_wrapped_notices(spark, docs):
     assert whole >= len(said) // 2
     assert sorted(x[1:3] for x in got[100]) == sorted(x[1:3] for x in got[103])
     assert [x[1] for x in got[101] if x[2]] == ["Apache"] and [x[1] for x in got[102] if x[2]] == ["GPL"]
+
+
+def test_syncmers_of_short_and_unspaced_texts(spark):
+    rng = np.random.default_rng(4)
+    han = lambda n: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, n))
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 6))
+    rows = [han(300), "the quick brown fox jumps over it", "".join(word() for _ in range(60)), "Sphinx of black quartz judge my vow", han(90),
+            " ".join(word() for _ in range(23)), " ".join("abcdef"[:2] + str(i) for i in range(46)), "🙂🙃" + han(30)]
+    got = op2_syncmers.op2_query(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    for r in got:
+        assert len(set(r.fingerprint.split())) > 5 and r.near_edited > 0.3 > 0.1 > r.near_next, r
+    pair = [("w" + " w".join(map(str, range(n)))) for n in (20, 26, 47, 50)]
+    sets = [set(r.anchors) for r in op2_syncmers.fingerprints(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(len(a & b) > 5 for a, b in zip(sets, sets[1:], strict=False))
