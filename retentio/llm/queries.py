@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import op1_licenses, op2_syncmers, op3_jaccard, op4_topk, op5_mixing, op6_urls, op7_language, op8_toxicity, op9_packing, op10_warc
+from retentio.llm import (op1_licenses, op2_syncmers, op3_jaccard, op4_topk, op5_mixing, op6_urls, op7_language, op8_toxicity,
+                          op9_packing, op10_warc, op11_trie, op12_vectors, op13_divergence)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +25,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": lambda s, d: op8_toxicity.op8_query(_t(s, d, "documents"), _t(s, d, "labels")),
     "op9_packing": lambda s, d: op9_packing.op9_query(_t(s, d, "documents")),
     "op10_warc": lambda s, d: op10_warc.op10_query(_t(s, d, "pages")),
+    "op11_trie": lambda s, d: op11_trie.op11_query(_t(s, d, "conversations")),
+    "op12_vectors": lambda s, d: op12_vectors.op12_query(_t(s, d, "embeddings")),
+    "op13_divergence": lambda s, d: op13_divergence.op13_query(_t(s, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {
     "op4_topk": op4_topk.ORACLE_SQL,
+    "op11_trie": op11_trie.ORACLE_SQL,
+    "op12_vectors": op12_vectors.ORACLE_SQL,
+    "op13_divergence": op13_divergence.ORACLE_SQL,
 }
