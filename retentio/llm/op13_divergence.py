@@ -29,6 +29,7 @@ from retentio.llm.common import saved
 MIN_DOCS = 3          # a term is kept if so many documents of its language hold it
 TOP_TERMS = 200       # rows of part `term` per group
 BLOCK = 65_536        # term ids per block, on average
+SALTS = 64            # copies of a language's size, so that its terms are joined in as many tasks
 HELD_TERMS = 400_000  # (group, term) entries a task holds before it hands them on
 SLICE = 1 << 20       # bytes of a text that are split at once
 UNIT = 1_000_000_000  # prices are parts of this
@@ -97,7 +98,10 @@ def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS, block: int = BLOCK)
     kept = saved(counts.where("term is not null").groupBy("lang", "term")
                  .agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("_d")).where(F.col("_d") >= min_docs).drop("_d"), "terms")
     sizes = kept.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
-    kept = kept.join(sizes, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("_blocks")).cast("int")).drop("_blocks")
+    # a language may have most terms: its size is looked up in SALTS copies
+    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kept = kept.withColumn("_salt", F.pmod(F.xxhash64("term", F.lit(7)), F.lit(SALTS)).cast("int")).join(sizes, ["lang", "_salt"])
+    kept = kept.withColumn("block", F.pmod(F.xxhash64("term"), F.col("_blocks")).cast("int")).drop("_blocks", "_salt")
     in_block = Window.partitionBy("lang", "block").orderBy("term")
     return kept.withColumn("id", (F.row_number().over(in_block) - 1).cast("int"))
 
