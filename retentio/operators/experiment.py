@@ -6,13 +6,13 @@ statistic (power, pooled z-test, p-value, Cohen's h, intervals, revenue impact,
 verdict) is a column expression on that row — nothing is collected.
 
 Scale notes:
-* "first row per user" is ``min(key)`` grouped by user over one DECIMAL key
-  of (ts, event_id, arm) (plus ``min_by`` for the outcome) — a hash aggregate
-  with a map-side partial step, so a user with a third of all rows is reduced
-  to one row per task before the shuffle (a row_number window would sort all
-  of that user's rows in one task);
-* users in both arms: distinct arms per user (hash aggregates keyed by
-  (user, arm) then user, both partial), then a global count.
+* "first row per user" is ``min_by`` of the row itself over its order key — an
+  aggregate with a map-side partial step (Spark sorts each task's rows for it,
+  as the carried row has no fixed width), so a user with a third of all rows is
+  reduced to one row per task before the shuffle (a row_number window would
+  sort all of that user's rows in one task);
+* users in both arms: smallest and largest digest of the user's arms in one
+  fixed-width hash aggregate keyed by user, then a global count.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from retentio.functions.expr import mean_sql, rate, round_half_away_sql, round_half_even, sql_num, sql_str
 from retentio.functions.stats import normal_quantile, two_sided_p_sql
-from retentio.operators.common import order_aggregated
+from retentio.operators.common import order_aggregated, pivot_present
+from retentio.schemas import FILE_ORDER
 
 CONTROL, TREATMENT = "control", "treatment"
 OLD_PAGE, NEW_PAGE = "old_page", "new_page"
@@ -80,18 +81,21 @@ def misaligned() -> Column:
 # ---------------------------------------------------------------------------
 
 def _arms_per_user(expo: DataFrame) -> DataFrame:
-    """Distinct arms per user. A distinct count plans as hash aggregates keyed by
-    (user, arm) then user, each with a map-side partial step, so a user holding
-    a third of all rows still leaves at most one row per arm per task."""
-    return (expo.where("grp IS NOT NULL").groupBy("user_id")
-            .agg(F.count_distinct("grp").alias("arms")))
+    """(user_id, both): whether a user has more than one arm. The smallest and the
+    largest 64-bit digest of the arm are two fixed-width buffers of one hash
+    aggregate: one shuffle keyed by user, to which each task sends one row per
+    user. (Two arm names of equal digest would count as one arm; their chance is 2^-64.)"""
+    arm = F.xxhash64("grp")
+    return (expo.where("grp IS NOT NULL").groupBy("user_id").agg(F.min(arm).alias("_lo"), F.max(arm).alias("_hi"))
+            .select("user_id", (F.col("_lo") != F.col("_hi")).alias("both")))
 
 
 def split_check(expo: DataFrame, params: ExperimentParams = ExperimentParams()) -> DataFrame:
-    """Rows and share per arm; OK when the share is within tolerance of 50 %."""
+    """Rows and share per arm; OK when the share is within tolerance of 50 %. The share is of all
+    rows, those without an arm included; they have no row of their own."""
     counts = expo.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    # share over the arm rows (a window over the aggregated rows only)
-    return (counts.withColumn("share", rate("n", "sum(n) OVER ()"))
+    # share of all rows (a window over the aggregated rows only)
+    return (counts.withColumn("share", rate("n", "sum(n) OVER ()")).where("grp IS NOT NULL")
             .withColumn("status", F.expr(f"CASE WHEN abs(share - 0.5D) < {sql_num(params.split_tolerance)} "
                                          f"THEN {sql_str(SPLIT_OK)} ELSE {sql_str(SPLIT_WARNING)} END"))
             .transform(order_aggregated, "grp"))
@@ -101,18 +105,17 @@ def contamination_check(expo: DataFrame) -> DataFrame:
     """Users seen in more than one arm."""
     per_user = _arms_per_user(expo)
     return (per_user.agg(F.count(F.lit(1)).alias("users"),
-                         F.expr("count_if(arms > 1)").alias("contaminated_users"))
+                         F.expr("count_if(both)").alias("contaminated_users"))
             .withColumn("status", F.when(F.col("contaminated_users") > 0, CONTAMINATION_ACTION)
                         .otherwise(CONTAMINATION_OK)))
 
 
 def alignment_crosstab(expo: DataFrame) -> DataFrame:
-    """Arm x page row counts, 0 for an empty cell: a pivot over the fixed page
-    list written as conditional counts (one aggregation, one shuffle)."""
-    return (expo.where("grp IS NOT NULL AND landing_page IS NOT NULL")
-            .groupBy("grp")
-            .agg(*[F.expr(f"count_if(landing_page = {sql_str(p)})").alias(p) for p in (NEW_PAGE, OLD_PAGE)])
-            .transform(order_aggregated, "grp"))
+    """Arm x page row counts, 0 for an empty cell: every page that occurs has a
+    column (the two of the experiment always); rows without arm or page are left out."""
+    rows = expo.where("grp IS NOT NULL AND landing_page IS NOT NULL")
+    return pivot_present(rows, ["grp"], "landing_page", (NEW_PAGE, OLD_PAGE),
+                         lambda cell: F.expr(f"count_if({cell})")).transform(order_aggregated, "grp")
 
 
 def misaligned_summary(expo: DataFrame) -> DataFrame:
@@ -129,8 +132,9 @@ def misaligned_breakdown(expo: DataFrame) -> DataFrame:
 
 
 def group_rates(expo: DataFrame) -> DataFrame:
-    """Per (arm, page): rows, conversions and conversion rate (4 dp, numpy rounding)."""
-    return (expo.groupBy("grp", "landing_page")
+    """Per (arm, page): rows, conversions and conversion rate (4 dp, numpy rounding); rows without
+    arm or page are in no group."""
+    return (expo.where("grp IS NOT NULL AND landing_page IS NOT NULL").groupBy("grp", "landing_page")
             .agg(F.count("user_id").alias("users"), F.sum("converted").cast("long").alias("conversions"))
             .withColumn("rate", round_half_even(mean_sql("conversions", "users"), 4))
             .transform(order_aggregated, "grp", "landing_page"))
@@ -140,25 +144,32 @@ def group_rates(expo: DataFrame) -> DataFrame:
 # Cleaning
 # ---------------------------------------------------------------------------
 
+def first_row_order(expo: DataFrame, order_by: tuple[str, ...] | None = None) -> Column:
+    """Order in which a user's first row is looked for: ``order_by``, else the place in the source
+    file where the reader recorded it, else ``ts`` and ``event_id`` as far as the table has them; nulls last.
+    Rows equal in these are told apart by a digest of the whole row, which favours no arm, and
+    then by its values, so reruns agree."""
+    row = [c for c in ("user_id", "ts", "event_id", "grp", "landing_page", "converted") if c in expo.columns]
+    given = order_by or ((FILE_ORDER,) if FILE_ORDER in expo.columns else tuple(c for c in ("ts", "event_id") if c in expo.columns))
+    keys = [*[F.col(c) for c in given], F.xxhash64(*row), *[F.col(c) for c in row if c != "user_id"]]
+    return F.struct(*[x for i, k in enumerate(keys) for x in (k.isNull().alias(f"n{i}"), k.alias(f"k{i}"))])
+
+
 def clean_exposures(expo: DataFrame, drop_contaminated: bool = False,
                     order_by: tuple[str, ...] | None = None) -> DataFrame:
-    """Aligned rows only, then the first row per user in the order of ``order_by``
-    (nulls last): by default ``ts`` and, where the table has it, ``event_id``. Rows
-    equal in these are told apart by arm, page and outcome, so reruns agree.
+    """Aligned rows only, then the first row per user in the order of ``first_row_order``: as in the
+    source file for a table that ``read_ab_csv(..., file_order=True)`` has read.
 
     ``drop_contaminated=True`` also removes users seen in both arms (the
     analysis recommends it; the original cleaning step does not do it).
     """
     rows = expo.where(ALIGNED)
     if drop_contaminated:
-        both = _arms_per_user(expo).where("arms > 1").select("user_id")
-        rows = rows.join(both, "user_id", "left_anti")
+        rows = rows.join(_arms_per_user(expo).where("both").select("user_id"), "user_id", "left_anti")
     carried = [c for c in ("ts", "event_id", "grp", "landing_page", "converted") if c in expo.columns]
-    keys = [*(order_by or [c for c in ("ts", "event_id") if c in expo.columns]), "grp", "landing_page", "converted"]
     # the row's own values are carried, never rebuilt from a key; partial aggregation
     # leaves a hot user one row per task
-    order = F.struct(*[x for i, k in enumerate(keys) for x in (F.col(k).isNull().alias(f"n{i}"), F.col(k).alias(f"k{i}"))])
-    first = rows.groupBy("user_id").agg(F.min_by(F.struct(*carried), order).alias("_row"))
+    first = rows.groupBy("user_id").agg(F.min_by(F.struct(*carried), first_row_order(expo, order_by)).alias("_row"))
     return first.select("user_id", "_row.*")
 
 

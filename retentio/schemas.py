@@ -116,3 +116,6 @@ DATA_DICTIONARY_SCHEMA = T.StructType([
 
 # Expected source row counts of the original files (download gate).
 EXPECTED_SOURCE_ROWS = {"customers": 7043, "ab_test": 294478}
+
+# Column that a reader adds on demand: the place of a row in its source files, as a sortable struct.
+FILE_ORDER = "file_order"

@@ -15,13 +15,13 @@ Every reader declares its schema; nothing is inferred.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentio.functions.expr import blank_to_null, lifecycle_stage, to_snake, yes_flag
 from retentio.schemas import (
-    AB_CSV_HEADER, AB_RENAMES, AB_TEST_SCHEMA, CUSTOMER_CSV_HEADER, CUSTOMER_RENAMES, CUSTOMERS_SCHEMA,
+    AB_CSV_HEADER, AB_RENAMES, AB_TEST_SCHEMA, CUSTOMER_CSV_HEADER, CUSTOMER_RENAMES, CUSTOMERS_SCHEMA, FILE_ORDER,
 )
 
 
@@ -58,10 +58,24 @@ def read_customers_renamed(spark: SparkSession, path: str) -> DataFrame:
     return typed.withColumn("lifecycle_stage", lifecycle_stage("subscription_months", "notebook"))
 
 
-def read_ab_csv(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("header", True).option("enforceSchema", True)
-            .option("nullValue", "").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-            .schema(AB_TEST_SCHEMA).csv(path))
+def row_place() -> Column:
+    """Sortable place of a row in its source files: folder, number of the part file (0 for other names), file
+    name, start of the split in the file, and a number that rises along the split. A split is read by
+    one task from its start to its end, so the order is that of the file however many tasks read it."""
+    name = F.col("_metadata.file_name")
+    return F.struct(
+        F.regexp_replace(F.col("_metadata.file_path"), "[^/]*$", "").alias("folder"),
+        F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.lit(0)).alias("part"), name.alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_ab_csv(spark: SparkSession, path: str, file_order: bool = False) -> DataFrame:
+    """The experiment table; ``file_order=True`` adds the column ``FILE_ORDER`` (``row_place``), by which
+    "first row" means the first in the file."""
+    df = (spark.read.option("header", True).option("enforceSchema", True)
+          .option("nullValue", "").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+          .schema(AB_TEST_SCHEMA).csv(path))
+    return df.select("*", row_place().alias(FILE_ORDER)) if file_order else df
 
 
 def write_customers_csv(subs: DataFrame, path: str) -> None:
