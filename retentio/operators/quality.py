@@ -11,9 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from retentio.functions.expr import mean_sql, round_half_even, sql_str
-from retentio.operators.stats import exact_percentiles
+from retentio.functions.expr import round_half_even, sql_str
+from retentio.operators.stats import exact_percentiles, profile_counts, value_counts
+from retentio.sources.literals import literal_table
 
 DESCRIBE_COLUMNS = ("subscription_months", "monthly_mrr", "lifetime_value")
 QUARTILES = (0.25, 0.5, 0.75)
@@ -22,25 +24,22 @@ QUARTILES = (0.25, 0.5, 0.75)
 def numeric_describe(df: DataFrame, columns: Sequence[str] = DESCRIBE_COLUMNS,
                      method: str = "exact") -> DataFrame:
     """count, mean, std, min, 25/50/75 % (linear interpolation), max per column,
-    rounded to 2 dp (numpy rounding); one row per column."""
-    aggs = []
-    for c in columns:
-        v = f"CAST({c} AS DOUBLE)"
-        aggs += [F.expr(f"count({c})").alias(f"{c}__count"), F.expr(f"sum({c})").alias(f"{c}__sum"),
-                 F.expr(f"stddev_samp({v})").alias(f"{c}__std"), F.expr(f"min({v})").alias(f"{c}__min"),
-                 F.expr(f"max({v})").alias(f"{c}__max")]
-    moments = df.agg(*aggs)
-    # Quartiles of all columns from one long (column, value) frame, grouped by column.
+    rounded to 2 dp (numpy rounding); one row per column, also for a column without values.
+
+    The columns become (column, value) rows in one pass and are counted per value once; all
+    figures follow from those counts. Whole numbers and decimals are added up exactly."""
+    types = dict(df.dtypes)
+    exact = all(types[c].startswith(("decimal", "tinyint", "smallint", "int", "bigint")) for c in columns)
+    typ = "DECIMAL(38,6)" if exact else "DOUBLE"
     long = df.selectExpr("inline(array(" + ", ".join(
-        f"struct({sql_str(c)} AS field, CAST({c} AS DOUBLE) AS value)" for c in columns) + "))")
-    quart = exact_percentiles(long, "value", ["field"], QUARTILES, method=method)
-    stats = moments.selectExpr("inline(array(" + ", ".join(
-        f"struct({sql_str(c)} AS field, {c}__count AS count, "
-        f"{mean_sql(c + '__sum', c + '__count')} AS mean, {c}__std AS std, {c}__min AS min, {c}__max AS max)"
-        for c in columns) + "))")
+        f"struct({sql_str(c)} AS field, CAST(`{c}` AS {typ}) AS value)" for c in columns) + "))")
+    stats = profile_counts(value_counts(long, "value", ["field"]), ["field"], QUARTILES)
+    if method != "exact":
+        stats = stats.drop("p25", "p50", "p75").join(exact_percentiles(long, "value", ["field"], QUARTILES, method=method), "field")
+    fields = literal_table(df.sparkSession, [(c,) for c in columns], T.StructType([T.StructField("field", T.StringType())]))
     r = lambda name: round_half_even(name, 2).alias(name)
-    return (stats.join(quart, "field", "left")
-            .select("field", "count", r("mean"), r("std"), r("min"), r("p25"), r("p50"), r("p75"), r("max")))
+    return (fields.join(stats, "field", "left")
+            .select("field", F.coalesce("n", F.lit(0)).alias("count"), r("mean"), r("std"), r("min"), r("p25"), r("p50"), r("p75"), r("max")))
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

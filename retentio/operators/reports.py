@@ -5,10 +5,10 @@ Plan notes (checked with ``explain``):
 * every GROUP BY is a partial + final hash aggregate on a low-cardinality key,
   so the shuffle carries a handful of rows per map task;
 * ORDER BY ... LIMIT becomes ``TakeOrderedAndProject`` (top-k per task, no full sort);
-* RANK() <= 5 becomes a partial ``WindowGroupLimit`` before the shuffle, so only
-  the per-task top ranks of each plan are exchanged;
-* the overall averages are uncorrelated scalar subqueries, computed once and
-  broadcast as a literal (no cross join);
+* ranks follow from counts per (plan, price); a partial ``WindowGroupLimit`` keeps the
+  top prices of each plan, and no customer row is sorted to be ranked;
+* the overall average LTV is a total over the stages' rows; the overall average MRR
+  is an uncorrelated scalar subquery, computed once and broadcast as a literal (no cross join);
 * means and percentages are rounded like SQL ``ROUND(numeric)``: exact integer
   ratios (money in cents) rounded half away from zero.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from retentio.functions.expr import cents, lifecycle_stage, money_double, round_ratio_sql
 from retentio.operators.common import order_aggregated
+from retentio.operators.stats import null_safe_join
 
 YES = "Yes"
 
@@ -78,23 +79,15 @@ def churn_by_lifecycle(subs: DataFrame) -> DataFrame:
             .transform(order_aggregated, F.desc("churn_rate_pct")))
 
 
-def _ltv_totals_scalars(subs: DataFrame):
-    """Overall LTV sum (in cents) and count over non-null rows, as scalar subqueries."""
-    totals = subs.where(F.col("lifetime_value").isNotNull())
-    return (totals.select(F.expr(cents("sum(lifetime_value)"))).scalar(),
-            totals.select(F.count("lifetime_value")).scalar())
-
-
 def ltv_by_lifecycle_vs_overall(subs: DataFrame) -> DataFrame:
     """Q6: average LTV per stage against the overall average; the delta is
     rounded after the subtraction. Everything is rounded exactly from integer
-    cents: the delta S/n - T/m is the ratio (S*m - T*n) / (n*m). The overall
-    sum and count are scalar subqueries, bound to columns once."""
-    total_cents, total_n = _ltv_totals_scalars(subs)
+    cents: the delta S/n - T/m is the ratio (S*m - T*n) / (n*m). The overall sum T and
+    count m are totals of the stages' rows (a window over at most three rows), so the source is read once."""
     staged = subs.where(F.col("lifetime_value").isNotNull())
     return (staged.groupBy(lifecycle_stage("subscription_months", "closed").alias("stage"))
             .agg(F.count(F.lit(1)).alias("customers"), F.expr(cents("sum(lifetime_value)")).alias("_s"))
-            .select("stage", "customers", "_s", total_cents.alias("_t"), total_n.alias("_m"))
+            .selectExpr("stage", "customers", "_s", "sum(_s) OVER () AS _t", "sum(customers) OVER () AS _m")
             .select("stage", "customers",
                     F.expr(round_ratio_sql("_s", "customers * 100", 2)).alias("avg_ltv"),
                     F.expr(round_ratio_sql("_t", "_m * 100", 2)).alias("overall_avg_ltv"),
@@ -117,16 +110,28 @@ def high_value_churned(subs: DataFrame, limit: int = 25) -> DataFrame:
             .limit(limit))
 
 
+def top_ranked(rows: DataFrame, by: str, value: str, top: int, out: str) -> DataFrame:
+    """``rows`` whose RANK() by descending ``value`` within ``by`` is at most ``top``, with the rank as ``out``.
+
+    No rows are sorted: a rank is one more than the number of rows with a higher value, so it follows
+    from the counts per (group, value). Of these at most ``top`` values of a group can matter
+    (each counts for one row or more), and their running counts are joined back to the rows. A value that
+    millions of rows share is one count, and its rows stay in the tasks that read them."""
+    first = Window.partitionBy(by).orderBy(F.desc_nulls_first(value))
+    ranks = (rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
+             .withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= top)
+             .withColumn(out, (F.sum("_c").over(first.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c") + 1).cast("int"))
+             .where(F.col(out) <= top).select(by, value, out))
+    return null_safe_join(rows, ranks, [by, value])
+
+
 def top_churned_by_plan(subs: DataFrame, top: int = 5) -> DataFrame:
-    """Q8: RANK() of churned customers by MRR within each plan, rank <= top
-    (ties can return more than ``top`` rows per plan)."""
-    w = Window.partitionBy("plan_type").orderBy(F.desc_nulls_first("monthly_mrr"))
-    return (subs.where(F.col("churned") == YES)
-            .select("customer_id", "plan_type", "subscription_months", "monthly_mrr",
-                    F.rank().over(w).alias("mrr_rank_within_plan"))
-            .where(F.col("mrr_rank_within_plan") <= top)
-            .withColumn("monthly_mrr", money_double("monthly_mrr"))
-            .orderBy(F.asc_nulls_last("plan_type"), "mrr_rank_within_plan"))
+    """Q8: rank of churned customers by MRR within each plan, rank <= top
+    (ties can return more than ``top`` rows per plan; the id spreads them over the sort's tasks)."""
+    churned = subs.where(F.col("churned") == YES).select("customer_id", "plan_type", "subscription_months", "monthly_mrr")
+    return (top_ranked(churned, "plan_type", "monthly_mrr", top, "mrr_rank_within_plan")
+            .select("customer_id", "plan_type", "subscription_months", money_double("monthly_mrr").alias("monthly_mrr"), "mrr_rank_within_plan")
+            .orderBy(F.asc_nulls_last("plan_type"), "mrr_rank_within_plan", "customer_id"))
 
 
 def ab_summary(expo: DataFrame) -> DataFrame:

@@ -29,6 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, null equal to null; the keys stay once, from ``left``."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 BUCKETS_PER_DOUBLING = 64      # coarse buckets: ~1.1 % wide
 FINE_SPLIT = 65536             # fine buckets per coarse bucket: ~1.7e-7 relative width
 
@@ -37,6 +44,31 @@ def _name(p: float) -> str:
     return "p" + f"{p * 100:g}".replace(".", "_")
 
 
+def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """(group, ``value``, ``_v``, ``_c``): how often each non-null value occurs, ``_v`` as a double. Moments,
+    extremes and percentiles all follow from these rows, so the source is read and shuffled once."""
+    return (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_v", F.col("_x").cast("double")))
+
+
+def profile_counts(freq: DataFrame, by: Sequence[str], probs: Sequence[float], few_groups: bool = True) -> DataFrame:
+    """Per group of ``value_counts`` rows: n, total (exact for whole numbers and decimals), mean, std (sample),
+    min, max and the percentiles ``p...``. A null group is a group like any other.
+
+    The squared distances are taken from the group's mean (a row per group joined back), so a
+    large mean costs no digits. ``few_groups`` as in ``exact_percentiles``."""
+    by = list(by)
+    if not by:
+        raise ValueError("profile_counts needs a grouping column")
+    hint = F.broadcast if few_groups else (lambda d: d)
+    sums = freq.groupBy(*by).agg(F.sum("_c").alias("n"), F.expr("sum(_x * _c)").alias("total"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    sums = sums.withColumn("mean", F.col("total").cast("double") / F.col("n").cast("double"))
+    far = (null_safe_join(freq, hint(sums.select(*by, F.col("mean").alias("_m"))), by)
+           .groupBy(*by).agg(F.expr("sum(_c * (_v - _m) * (_v - _m))").alias("_ss")))
+    out = null_safe_join(sums, far, by).withColumn("std", F.expr("CASE WHEN n > 1 THEN sqrt(_ss / (n - 1)) END")).drop("_ss")
+    return null_safe_join(out, _of_counts(freq, by, list(probs), few_groups), by)
+
+
 def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
                       method: str = "exact", accuracy: int = 100_000, few_groups: bool = True) -> DataFrame:
     """Percentiles of ``value`` per group of ``by`` (linear interpolation).
@@ -72,6 +104,11 @@ def _bucket_sql(v: str, per_doubling: int) -> str:
 
 
 def _distributed(base: DataFrame, by: list[str], probs: list[float], few_groups: bool) -> DataFrame:
+    key = list(by)
+    return _of_counts(base.groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c")), by, probs, few_groups)
+
+
+def _of_counts(freq: DataFrame, by: list[str], probs: list[float], few_groups: bool) -> DataFrame:
     key = list(by)
     keys = [f"`{k}`" for k in key]
 
@@ -79,7 +116,6 @@ def _distributed(base: DataFrame, by: list[str], probs: list[float], few_groups:
         part = f"PARTITION BY {', '.join(keys + list(cols))}" if keys or cols else ""
         return f"OVER ({part}{' ORDER BY ' + order if order else ''})"
 
-    freq = base.groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
     tagged = freq.withColumns({"_b": F.expr(_bucket_sql("_v", BUCKETS_PER_DOUBLING)),
                                "_f": F.expr(_bucket_sql("_v", BUCKETS_PER_DOUBLING * FINE_SPLIT))})
 
@@ -102,7 +138,7 @@ def _distributed(base: DataFrame, by: list[str], probs: list[float], few_groups:
     # Level 2: the rows of each target coarse bucket (joined once per target,
     # <= 2 x probs copies), counted per fine bucket (at most FINE_SPLIT per
     # coarse bucket); running counts locate the fine bucket of each target rank.
-    inner = tagged.join(F.broadcast(tg) if few_groups else tg, key + ["_b"])
+    inner = null_safe_join(tagged, F.broadcast(tg) if few_groups else tg, key + ["_b"])
     fine = (inner.groupBy(*key, "_b", "_pi", "_side", "_f")
             .agg(F.sum("_c").alias("_fc"), F.max("_before").alias("_before"), F.max("_r").alias("_r"))
             .withColumn("_before2", F.expr(f"_before + sum(_fc) {over('_b', '_pi', '_side', order='_f')} - _fc"))
@@ -111,7 +147,7 @@ def _distributed(base: DataFrame, by: list[str], probs: list[float], few_groups:
 
     # Rank only the values of the target fine buckets: a window per (group,
     # target, fine bucket), never a whole group or a whole coarse bucket.
-    picked = (inner.join(fine, key + ["_b", "_pi", "_side", "_f"])
+    picked = (null_safe_join(inner, fine, key + ["_b", "_pi", "_side", "_f"])
               .withColumn("_upto", F.expr(f"sum(_c) {over('_b', '_pi', '_side', '_f', order='_v')}"))
               .where("_r >= _before2 + _upto - _c AND _r < _before2 + _upto")
               .select(*key, "_pi", "_side", "_h", "_v"))

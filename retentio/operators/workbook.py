@@ -113,10 +113,10 @@ def ltv_distribution(subs: DataFrame, edges: Sequence[float] = LTV_EDGES_REFEREN
 
 
 def plan_dimension_usage(subs: DataFrame) -> DataFrame:
-    """Plan dimension with the number of fact rows per plan (dense: a plan with no
-    customers shows 0)."""
-    counts = subs.groupBy("plan_type").agg(F.count(F.lit(1)).alias("customers"))
-    return (plan_dimension(subs.sparkSession).join(counts, "plan_type", "left")
-            .select("plan_type", "plan_order", "plan_label",
+    """Plan dimension with the number of fact rows per plan (dense: a plan with no customers shows 0), and
+    the plans of the facts that the dimension lacks, null included, without order and label, at the end."""
+    counts = subs.groupBy("plan_type").agg(F.count(F.lit(1)).alias("customers")).withColumnRenamed("plan_type", "_plan")
+    return (plan_dimension(subs.sparkSession).join(counts, F.col("plan_type") == F.col("_plan"), "full")
+            .select(F.coalesce("plan_type", "_plan").alias("plan_type"), "plan_order", "plan_label",
                     F.coalesce("customers", F.lit(0)).alias("customers"))
-            .transform(order_aggregated, "plan_order"))
+            .transform(order_aggregated, F.asc_nulls_last("plan_order"), F.asc_nulls_last("plan_type")))

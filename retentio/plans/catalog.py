@@ -51,6 +51,12 @@ class Catalog:
             self._frames["exposures"] = adapters.exposures(self.raw("events"))
         return self._frames["exposures"]
 
+    def subscriptions_with_gaps(self) -> DataFrame:
+        return adapters.with_subscription_gaps(self.subscriptions())
+
+    def exposures_with_gaps(self) -> DataFrame:
+        return adapters.with_exposure_gaps(self.exposures())
+
     def load(self, target_dir: str) -> "Catalog":
         """Write both derived tables once and return a catalog that reads them.
 

@@ -118,16 +118,13 @@ FROM (SELECT {STAGE_CLOSED} AS lifecycle_stage, churned FROM subscriptions) s
 GROUP BY lifecycle_stage ORDER BY churn_rate_pct DESC""")
 
 ORACLE["ltv_by_lifecycle_vs_overall"] = subs(f"""
-SELECT l.stage, COUNT(*) AS customers,
-       {rratio("CAST(SUM(l.lifetime_value) * 100 AS HUGEINT)", "COUNT(*) * 100", 2)} AS avg_ltv,
-       {rratio("o.t", "o.m * 100", 2)} AS overall_avg_ltv,
-       {rratio("CAST(SUM(l.lifetime_value) * 100 AS HUGEINT) * o.m - o.t * COUNT(*)", "COUNT(*) * o.m * 100", 2)} AS delta_vs_overall
-FROM lifecycle l CROSS JOIN overall_avg o
-GROUP BY l.stage, o.t, o.m ORDER BY avg_ltv DESC""",
-    f"""lifecycle AS (SELECT customer_id, lifetime_value, {STAGE_CLOSED} AS stage
-                  FROM subscriptions WHERE lifetime_value IS NOT NULL)""",
-    """overall_avg AS (SELECT CAST(SUM(lifetime_value) * 100 AS HUGEINT) AS t, COUNT(lifetime_value) AS m
-                    FROM subscriptions WHERE lifetime_value IS NOT NULL)""")
+SELECT stage, customers, {rratio("s", "customers * 100", 2)} AS avg_ltv, {rratio("t", "m * 100", 2)} AS overall_avg_ltv,
+       {rratio("s * m - t * customers", "customers * m * 100", 2)} AS delta_vs_overall
+FROM (SELECT stage, customers, s, CAST(SUM(s) OVER () AS HUGEINT) AS t, CAST(SUM(customers) OVER () AS HUGEINT) AS m
+      FROM (SELECT {STAGE_CLOSED} AS stage, COUNT(lifetime_value) AS customers,
+                   CAST(SUM(lifetime_value) * 100 AS HUGEINT) AS s
+            FROM subscriptions WHERE lifetime_value IS NOT NULL GROUP BY 1) per_stage) with_totals
+ORDER BY avg_ltv DESC""")
 
 ORACLE["high_value_churned"] = subs("""
 SELECT customer_id, plan_type, subscription_months, CAST(monthly_mrr AS DOUBLE) AS monthly_mrr,
@@ -137,13 +134,16 @@ WHERE churned = 'Yes'
   AND monthly_mrr * (SELECT COUNT(monthly_mrr) FROM subscriptions) > (SELECT SUM(monthly_mrr) FROM subscriptions)
 ORDER BY monthly_mrr DESC, customer_id LIMIT 25""")
 
-ORACLE["top_churned_by_plan"] = subs("""
-SELECT customer_id, plan_type, subscription_months, CAST(monthly_mrr AS DOUBLE) AS monthly_mrr,
-       mrr_rank_within_plan
-FROM ranked WHERE mrr_rank_within_plan <= 5 ORDER BY plan_type, mrr_rank_within_plan""",
-    """ranked AS (SELECT customer_id, plan_type, subscription_months, monthly_mrr,
-       CAST(RANK() OVER (PARTITION BY plan_type ORDER BY monthly_mrr DESC NULLS FIRST) AS INTEGER) AS mrr_rank_within_plan
-       FROM subscriptions WHERE churned = 'Yes')""")
+# A customer's rank is one more than the number of churned customers of the plan who pay more (a null
+# price is above all, as PostgreSQL sorts it).
+_TOP_CHURNED = """
+SELECT c.customer_id, c.plan_type, c.subscription_months, CAST(c.monthly_mrr AS DOUBLE) AS monthly_mrr,
+       CAST(1 + (SELECT COUNT(*) FROM subscriptions o
+                 WHERE o.churned = 'Yes' AND o.plan_type IS NOT DISTINCT FROM c.plan_type
+                   AND (o.monthly_mrr > c.monthly_mrr OR (o.monthly_mrr IS NULL AND c.monthly_mrr IS NOT NULL))) AS INTEGER)
+         AS mrr_rank_within_plan
+FROM subscriptions c WHERE c.churned = 'Yes' AND mrr_rank_within_plan <= 5"""
+ORACLE["top_churned_by_plan"] = subs(_TOP_CHURNED)
 
 ORACLE["ab_summary"] = expo(f"""
 SELECT grp AS test_group, landing_page, COUNT(*) AS users,
@@ -680,3 +680,110 @@ ORACLE["implicit_sums_by_label"] = report("""
 SELECT plan_label, CAST(SUM(subscription_months) AS BIGINT) AS sum_subscription_months,
        CAST(SUM(monthly_mrr) AS DOUBLE) AS sum_monthly_mrr, CAST(SUM(lifetime_value) AS DOUBLE) AS sum_lifetime_value
 FROM f GROUP BY plan_label ORDER BY plan_label""")
+
+# --- every bin of every plan -----------------------------------------------------
+
+ORACLE["ltv_histogram_dense"] = subs("""
+SELECT r.plan_type, CAST(k AS INTEGER) AS bin, lo + (hi - lo) * (k - 1) / 40.0 AS bin_start, lo + (hi - lo) * k / 40.0 AS bin_end,
+       (SELECT COUNT(*) FROM subscriptions s WHERE s.plan_type = r.plan_type AND s.lifetime_value IS NOT NULL
+          AND least(40, floor((CAST(s.lifetime_value AS DOUBLE) - r.lo) * 40.0 / (r.hi - r.lo)) + 1) = k) AS customers
+FROM r, range(1, 41) AS n(k)""",
+    """r AS (SELECT plan_type, CASE WHEN mx = mn THEN mn - 0.5 ELSE mn END AS lo, CASE WHEN mx = mn THEN mx + 0.5 ELSE mx END AS hi
+      FROM (SELECT plan_type, min(CAST(lifetime_value AS DOUBLE)) AS mn, max(CAST(lifetime_value AS DOUBLE)) AS mx
+            FROM subscriptions WHERE lifetime_value IS NOT NULL GROUP BY plan_type) x)""")
+
+# --- tables with null and unlisted values -----------------------------------------
+
+_GAPPY_SUBS = SUBSCRIPTIONS_CTE.replace("subscriptions AS (", "base AS (", 1) + """,
+subscriptions AS (
+SELECT customer_id,
+       CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN 'Weekly' ELSE plan_type END AS plan_type,
+       CASE WHEN id % 17 <> 0 THEN payment_method END AS payment_method,
+       CASE WHEN id % 23 = 0 THEN 1200 ELSE subscription_months END AS subscription_months,
+       monthly_mrr, lifetime_value, CASE WHEN id % 19 <> 0 THEN churned END AS churned
+FROM (SELECT *, CAST(customer_id AS BIGINT) AS id FROM base) b)"""
+_GAPPY_EXPO = EXPOSURES_CTE.replace("exposures AS (", "base AS (", 1) + """,
+exposures AS (
+SELECT user_id, ts, event_id, CASE WHEN event_id % 29 <> 0 THEN grp END AS grp,
+       CASE WHEN event_id % 37 = 0 THEN NULL WHEN event_id % 31 = 0 THEN 'third_page' ELSE landing_page END AS landing_page, converted
+FROM base)"""
+
+
+def gappy_subs(sql: str, *extra: str) -> str:
+    return with_ctes(sql, _GAPPY_SUBS, *extra)
+
+
+def gappy_expo(sql: str, *extra: str) -> str:
+    return with_ctes(sql, _GAPPY_EXPO, *extra)
+
+
+_YES = "COUNT(*) FILTER (WHERE churned = 'Yes')"
+
+ORACLE["gaps_mrr_by_plan_nb"] = gappy_subs(f"""
+SELECT plan_type, COUNT(customer_id) AS customers, CAST(SUM(monthly_mrr) AS DOUBLE) AS total_mrr,
+       {div("SUM(monthly_mrr)", "COUNT(monthly_mrr)")} AS avg_mrr
+FROM subscriptions WHERE plan_type IS NOT NULL GROUP BY plan_type""")
+
+
+def _gaps_banded(key: str, high: str, medium: str) -> str:
+    return gappy_subs(f"""
+SELECT {key}, churned, total, churn_rate, CASE WHEN churn_rate > {high} THEN 'high' WHEN churn_rate > {medium} THEN 'medium' ELSE 'low' END AS risk_band
+FROM (SELECT {key}, {_YES} AS churned, COUNT(*) AS total, {div(_YES, "COUNT(*)")} AS churn_rate
+      FROM subscriptions WHERE {key} IS NOT NULL GROUP BY {key}) x""")
+
+
+ORACLE["gaps_churn_by_plan_banded"] = _gaps_banded("plan_type", "0.30", "0.15")
+ORACLE["gaps_churn_by_payment_banded"] = _gaps_banded("payment_method", "0.30", "0.20")
+
+ORACLE["gaps_class_balance"] = gappy_subs(f"""
+SELECT churned, COUNT(*) AS customers, {div("COUNT(*)", "(SELECT COUNT(*) FROM subscriptions)")} AS share
+FROM subscriptions WHERE churned IS NOT NULL GROUP BY churned""")
+
+ORACLE["gaps_cohort_retention_long"] = gappy_subs(f"""
+SELECT tenure_bucket, bucket_order, plan_type, churn_pct, 100.0::DOUBLE - churn_pct AS retention_pct
+FROM (SELECT tenure_bucket, bucket_order, plan_type, {_pct(_YES, "COUNT(*)")} AS churn_pct
+      FROM bucketed WHERE plan_type IS NOT NULL GROUP BY ALL) x""", BUCKETED_CTE)
+
+ORACLE["gaps_cohort_churn_matrix"] = gappy_subs("SELECT tenure_bucket, bucket_order, " + ", ".join(
+    f"""{_pct(f"{_YES[:-1]} AND plan_type = '{p}')", f"COUNT(*) FILTER (WHERE plan_type = '{p}')")} AS "{p}" """
+    for p in ("Month-to-month", "One year", "Two year", "Weekly"))
+    + " FROM bucketed WHERE plan_type IS NOT NULL GROUP BY tenure_bucket, bucket_order", BUCKETED_CTE)
+
+ORACLE["gaps_ltv_stats_by_plan"] = gappy_subs(f"""
+SELECT plan_type, {rhe("quantile_cont(CAST(lifetime_value AS DOUBLE), 0.5)", 2)} AS median,
+  {rhe(div("SUM(lifetime_value)", "COUNT(lifetime_value)"), 2)} AS mean,
+  {rhe("stddev_samp(CAST(lifetime_value AS DOUBLE))", 2)} AS std, COUNT(lifetime_value) AS count
+FROM subscriptions WHERE lifetime_value IS NOT NULL GROUP BY plan_type""")
+
+ORACLE["gaps_top_churned_by_plan"] = gappy_subs(_TOP_CHURNED)
+
+ORACLE["gaps_plan_dimension_usage"] = gappy_subs("""
+SELECT plan_type, plan_order, plan_label, (SELECT COUNT(*) FROM subscriptions s WHERE s.plan_type = d.plan_type) AS customers FROM dim_plan_type d
+UNION ALL
+SELECT plan_type, NULL, NULL, COUNT(*) FROM subscriptions
+WHERE plan_type IS NULL OR plan_type NOT IN (SELECT plan_type FROM dim_plan_type) GROUP BY plan_type""", PLAN_DIM_CTE)
+
+ORACLE["gaps_ab_group_rates"] = gappy_expo(f"""
+SELECT grp, landing_page, COUNT(user_id) AS users, CAST(SUM(converted) AS BIGINT) AS conversions,
+       {rhe(div("SUM(converted)", "COUNT(user_id)"), 4)} AS rate
+FROM exposures WHERE grp IS NOT NULL AND landing_page IS NOT NULL GROUP BY grp, landing_page""")
+
+ORACLE["gaps_split_check"] = gappy_expo(f"""
+SELECT grp, n, share, CASE WHEN abs(share - 0.5) < 0.01 THEN 'OK' ELSE 'WARNING — not 50/50!' END AS status
+FROM (SELECT grp, COUNT(*) AS n, {div("COUNT(*)", "(SELECT COUNT(*) FROM exposures)")} AS share
+      FROM exposures WHERE grp IS NOT NULL GROUP BY grp) x""")
+
+ORACLE["gaps_alignment_crosstab"] = gappy_expo("SELECT grp, " + ", ".join(
+    f"COUNT(*) FILTER (WHERE landing_page = '{p}') AS {p}" for p in ("new_page", "old_page", "third_page"))
+    + " FROM exposures WHERE grp IS NOT NULL AND landing_page IS NOT NULL GROUP BY grp")
+
+ORACLE["gaps_contamination_check"] = gappy_expo("""
+SELECT COUNT(*) AS users, COUNT(*) FILTER (WHERE arms > 1) AS contaminated_users,
+  CASE WHEN COUNT(*) FILTER (WHERE arms > 1) > 0 THEN 'ACTION: These users should be removed before analysis.'
+       ELSE 'Status: OK — no cross-group contamination' END AS status
+FROM (SELECT user_id, COUNT(DISTINCT grp) AS arms FROM exposures WHERE grp IS NOT NULL GROUP BY user_id) u""")
+
+ORACLE["gaps_ab_clean_summary"] = gappy_expo(f"""
+SELECT grp, COUNT(converted) AS n, CAST(SUM(converted) AS BIGINT) AS conversions,
+       {rhe(div("SUM(converted)", "COUNT(converted)"), 4)} AS rate
+FROM cleaned GROUP BY grp""", CLEANED_CTE)

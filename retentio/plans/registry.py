@@ -65,6 +65,7 @@ REGISTRY: dict[str, CatalogQuery] = {
     "cohort_retention_matrix": lambda c: cohorts.cohort_retention_matrix(c.subscriptions()),
     "ltv_stats_by_plan": lambda c: cohorts.ltv_stats_by_plan(c.subscriptions()),
     "ltv_histogram_by_plan": lambda c: cohorts.ltv_histogram_by_plan(c.subscriptions()),
+    "ltv_histogram_dense": lambda c: cohorts.ltv_histogram_by_plan(c.subscriptions(), dense=True),
     "class_balance": lambda c: cohorts.class_balance(c.subscriptions()),
     "numeric_describe": lambda c: quality.numeric_describe(c.subscriptions()),
     "missing_counts": lambda c: quality.missing_counts(c.subscriptions()),
@@ -81,6 +82,21 @@ REGISTRY: dict[str, CatalogQuery] = {
     "ab_clean_summary": lambda c: experiment.clean_summary(c.exposures()),
     "ab_test_stats": lambda c: experiment.experiment_stats(c.exposures()),
     "ab_report_rows": lambda c: experiment.report_rows(c.exposures()),
+    # the same operators on tables with null and unlisted values
+    "gaps_mrr_by_plan_nb": lambda c: cohorts.mrr_by_plan_nb(c.subscriptions_with_gaps()),
+    "gaps_churn_by_plan_banded": lambda c: cohorts.churn_by_plan_banded(c.subscriptions_with_gaps()),
+    "gaps_churn_by_payment_banded": lambda c: cohorts.churn_by_payment_banded(c.subscriptions_with_gaps()),
+    "gaps_class_balance": lambda c: cohorts.class_balance(c.subscriptions_with_gaps()),
+    "gaps_cohort_retention_long": lambda c: cohorts.cohort_retention_long(c.subscriptions_with_gaps()),
+    "gaps_cohort_churn_matrix": lambda c: cohorts.cohort_churn_matrix(c.subscriptions_with_gaps()),
+    "gaps_ltv_stats_by_plan": lambda c: cohorts.ltv_stats_by_plan(c.subscriptions_with_gaps(), null_plan=True),
+    "gaps_top_churned_by_plan": lambda c: reports.top_churned_by_plan(c.subscriptions_with_gaps()),
+    "gaps_plan_dimension_usage": lambda c: workbook.plan_dimension_usage(c.subscriptions_with_gaps()),
+    "gaps_ab_group_rates": lambda c: experiment.group_rates(c.exposures_with_gaps()),
+    "gaps_split_check": lambda c: experiment.split_check(c.exposures_with_gaps()),
+    "gaps_alignment_crosstab": lambda c: experiment.alignment_crosstab(c.exposures_with_gaps()),
+    "gaps_contamination_check": lambda c: experiment.contamination_check(c.exposures_with_gaps()),
+    "gaps_ab_clean_summary": lambda c: experiment.clean_summary(c.exposures_with_gaps()),
     # load path and load checks
     "load_roundtrip_customers": loading.roundtrip_customers,
     "load_roundtrip_customers_renamed": loading.roundtrip_customers_renamed,

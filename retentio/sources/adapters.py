@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 MONTH_TO_MONTH_SEGMENTS = ("BUILDING", "FURNITURE")
 ONE_YEAR_SEGMENTS = ("HOUSEHOLD", "MACHINERY")
 PAYMENT_METHODS = ("Bank transfer", "Credit card", "Electronic check", "Mailed check")
+# Every so manieth id of the tables with gaps lacks a value or has one that no dimension lists.
+GAP_EVERY = {"null_plan": 11, "other_plan": 13, "null_payment": 17, "null_status": 19, "long_tenure": 23,
+             "null_arm": 29, "other_page": 31, "null_page": 37}
+OTHER_PLAN, OTHER_PAGE, LONG_TENURE = "Weekly", "third_page", 1200
 CHURN_CUTOFF = "2000-08-01 00:00:00"  # no order since -> churned
 FINISHED = "F"
 
@@ -84,3 +88,24 @@ def exposures(events: DataFrame) -> DataFrame:
         F.when(old_page, "old_page").otherwise("new_page").alias("landing_page"),
         (F.col("event_type") == "purchase").cast("int").alias("converted"),
     )
+
+
+def with_subscription_gaps(subs: DataFrame) -> DataFrame:
+    """``subscriptions`` with null plans, payment methods and statuses, a plan that the dimension does not
+    list and tenures above the last edge, by customer id."""
+    every = lambda k: F.col("customer_id").cast("long") % GAP_EVERY[k] == 0
+    return subs.withColumns({
+        "plan_type": F.when(every("null_plan"), F.lit(None)).when(every("other_plan"), OTHER_PLAN).otherwise(F.col("plan_type")),
+        "payment_method": F.when(~every("null_payment"), F.col("payment_method")),
+        "churned": F.when(~every("null_status"), F.col("churned")),
+        "subscription_months": F.when(every("long_tenure"), LONG_TENURE).otherwise(F.col("subscription_months")),
+    })
+
+
+def with_exposure_gaps(expo: DataFrame) -> DataFrame:
+    """``exposures`` with null arms and pages and a third page, by event id."""
+    every = lambda k: F.col("event_id") % GAP_EVERY[k] == 0
+    return expo.withColumns({
+        "grp": F.when(~every("null_arm"), F.col("grp")),
+        "landing_page": F.when(every("null_page"), F.lit(None)).when(every("other_page"), OTHER_PAGE).otherwise(F.col("landing_page")),
+    })

@@ -18,7 +18,7 @@ ORACLE = registry.oracle_sql()
 
 
 def _norm(v):
-    if v is None:
+    if v is None or type(v).__name__ == "NAType":
         return None
     if hasattr(v, "item"):
         v = v.item()

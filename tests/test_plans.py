@@ -31,7 +31,7 @@ def test_plan_hygiene(cat, name):
     assert "ExistingRDD" not in text
     # every aggregation is hash-based (fixed-width buffers), with a map-side partial step; the first
     # row per user carries the row itself, for which Spark sorts locally
-    if name not in ("ab_clean_summary", "ab_test_stats", "ab_report_rows"):
+    if name not in ("ab_clean_summary", "ab_test_stats", "ab_report_rows", "gaps_ab_clean_summary"):
         assert "SortAggregate" not in text
     assert "ObjectHashAggregate" not in text
 
@@ -54,10 +54,29 @@ def test_rank_uses_group_limit_before_shuffle(cat):
 
 
 def test_scalar_subquery_not_join(cat):
-    text = _plan(REGISTRY["ltv_by_lifecycle_vs_overall"](cat))
+    text = _plan(REGISTRY["high_value_churned"](cat))
     assert "Subquery" in text and "Join" not in text
 
 
+def test_overall_average_reads_the_source_once(spark):
+    text = _plan(REGISTRY["ltv_by_lifecycle_vs_overall"](Catalog(spark, SF01)))
+    assert "Subquery" not in text and text.count("FileScan") == 2        # customer and orders, once each
+
+
+@pytest.mark.parametrize("name", ["ltv_stats_by_plan", "numeric_describe", "ltv_histogram_by_plan", "ltv_histogram_dense"])
+def test_profiles_read_the_source_once(spark, name):
+    df = REGISTRY[name](Catalog(spark, SF01))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet", final)) == 2, final
+
+
+def test_ranking_sorts_no_customer_rows(cat):
+    text = _plan(REGISTRY["top_churned_by_plan"](cat))
+    window = text[text.index("Window ["):]
+    assert "partial_count" in window and "customer_id" not in window.split("Scan")[0]
+
+
 def test_filter_pushed_to_scan(cat):
     text = _plan(REGISTRY["newest_customers"](cat))
     assert "PushedFilters: [IsNotNull(subscription_months), LessThanOrEqual(subscription_months,6)]" in text \

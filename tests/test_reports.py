@@ -97,3 +97,20 @@ def test_reports_come_back_in_their_order(spark):
     assert buckets == sorted(buckets)
     newest = [(r.subscription_months, -r.monthly_mrr, r.customer_id) for r in rows("newest_customers")]
     assert newest == sorted(newest)
+
+
+def test_rank_of_a_plan_where_all_pay_the_same(spark):
+    """The rows of a hot price are not gathered: they meet the few ranks by a broadcast, and the sort goes on to the id."""
+    from pyspark.sql import functions as F
+    subs = spark.range(30_000).select(
+        F.col("id").cast("string").alias("customer_id"), F.when(F.col("id") % 3 > 0, "One year").when(F.col("id") % 2 == 0, "Two year").alias("plan_type"),
+        F.lit(3).alias("subscription_months"), F.when(F.col("id") % 3 > 0, 9).otherwise(F.col("id") % 7).cast("decimal(8,2)").alias("monthly_mrr"),
+        F.lit("Yes").alias("churned"))
+    out = reports.top_churned_by_plan(subs)
+    got = {(r.plan_type, r.monthly_mrr, r.mrr_rank_within_plan): r.n for r in out.groupBy("plan_type", "monthly_mrr", "mrr_rank_within_plan").agg(F.count("*").alias("n")).collect()}
+    top = [sum(1 for i in range(0, 30_000, 3) if i % 7 == 6 and (i % 2 == 0) is even) for even in (True, False)]
+    assert got == {("One year", 9.0, 1): 20_000, ("Two year", 6.0, 1): top[0], (None, 6.0, 1): top[1]}
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in final
+    assert "customer_id#" in final[final.index("rangepartitioning("):].split(")")[0]
