@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from retentio.sources import adapters
-from retentio.sources.sinks import write_completed
+from retentio.sources.sinks import load_once
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
               "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -60,17 +60,16 @@ class Catalog:
     def load(self, target_dir: str) -> "Catalog":
         """Write both derived tables once and return a catalog that reads them.
 
-        A table whose folder holds a completed write (``_SUCCESS``) is kept, so a
-        re-run does not load twice; a folder left by an interrupted write is
-        overwritten. ``target_dir`` should be a folder every executor can read.
+        A table that an earlier load of the same files filled is kept, so a re-run does
+        not load twice; an empty table and a folder left by an interrupted write are
+        overwritten, and a table of other files is refused (``load_once``).
+        ``target_dir`` should be a folder every executor can read.
         """
         target_dir = target_dir.rstrip("/")
         # Rows are clustered by plan inside each written file (a per-task sort, no
         # shuffle), so a plan filter can skip parquet row groups by their statistics.
         subs = self.subscriptions().sortWithinPartitions("plan_type")
         for name, df in (("subscriptions", subs), ("exposures", self.exposures())):
-            path = f"{target_dir}/{name}"
-            if not write_completed(self.spark, path):
-                df.write.mode("overwrite").parquet(path)
+            load_once(df, f"{target_dir}/{name}", name)
         return Catalog(self.spark, self.sf_dir, target_dir)
 

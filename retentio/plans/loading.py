@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentio.functions.expr import money_double
+from retentio.operators import experiment, reports
 from retentio.plans.catalog import Catalog
+from retentio.schemas import CUSTOMER_CSV_HEADER
 from retentio.session import scratch_path
-from retentio.sources import checks, csv_io
+from retentio.sources import checks, csv_io, sinks
 
 
 def roundtrip_customers(cat: Catalog) -> DataFrame:
     """Customer table through the positional CSV reader (blank LTV -> null)."""
     path = scratch_path(cat.spark, "customers-csv")
     csv_io.write_customers_csv(cat.subscriptions(), path)
-    df = csv_io.read_customers_csv(cat.spark, path)
+    df = csv_io.read_customers_csv(cat.spark, path, on_error="fail")
     return df.select("customer_id", "plan_type", "payment_method", "subscription_months",
                      money_double("monthly_mrr").alias("monthly_mrr"),
                      money_double("lifetime_value").alias("lifetime_value"), "churned")
@@ -68,3 +70,78 @@ def verify_customers(cat: Catalog) -> DataFrame:
 
 def verify_exposures(cat: Catalog) -> DataFrame:
     return checks.verify_exposures(cat.exposures())
+
+
+def clean_summary_file_order(cat: Catalog) -> DataFrame:
+    """The cleaned experiment of a file whose lines stand in descending event order: the first line of a
+    user is the latest event, whatever its time says."""
+    path = scratch_path(cat.spark, "ab-csv-order")
+    csv_io.write_ab_csv(cat.exposures().orderBy(F.desc("event_id")), path)
+    return experiment.clean_summary(csv_io.read_ab_csv(cat.spark, path, file_order=True))
+
+
+def damaged_customer_lines(subs: DataFrame) -> DataFrame:
+    """``value``: the customer file's lines without header, some damaged by customer id: an extra field, one too
+    few, a tenure or a lifetime value that is no number."""
+    at = {c: i for i, c in enumerate(CUSTOMER_CSV_HEADER)}
+    cells = [F.lit("")] * len(at)
+    for name, c in (("customerID", "customer_id"), ("tenure", "subscription_months"), ("Contract", "plan_type"),
+                    ("PaymentMethod", "payment_method"), ("MonthlyCharges", "monthly_mrr"), ("TotalCharges", "lifetime_value"), ("Churn", "churned")):
+        cells[at[name]] = F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    every = lambda k: F.col("customer_id").cast("long") % k == 0
+    cells[at["tenure"]] = F.when(every(47), "twelve").otherwise(cells[at["tenure"]])
+    cells[at["TotalCharges"]] = F.when(every(43), "1.2.3").otherwise(cells[at["TotalCharges"]])
+    line, short = F.concat_ws(",", *cells), F.concat_ws(",", *cells[:-1])
+    return subs.select(F.when(every(59), F.concat(line, F.lit(",x"))).when(every(61), short).otherwise(line).alias("value"))
+
+
+def load_rejects(cat: Catalog) -> DataFrame:
+    """Damaged lines of the customer file that the load keeps out, with the reason."""
+    path = scratch_path(cat.spark, "customers-damaged")
+    damaged_customer_lines(cat.subscriptions()).write.text(path)
+    return csv_io.rejected_customers(cat.spark, path, header=False).select("customer_id", "reject_reason")
+
+
+def load_accepted(cat: Catalog) -> DataFrame:
+    """Post-load verification of the sound lines of the same file."""
+    path = scratch_path(cat.spark, "customers-damaged")
+    damaged_customer_lines(cat.subscriptions()).write.text(path)
+    return checks.verify_customers(csv_io.read_customers_csv(cat.spark, path, on_error="reject", header=False))
+
+
+def file_line_gate(cat: Catalog) -> DataFrame:
+    """The gate on written source files: as many rows as expected, nine lines off and ten lines off."""
+    customers, ab = (scratch_path(cat.spark, n) for n in ("gate-customers", "gate-ab"))
+    csv_io.write_customers_csv(cat.subscriptions(), customers)
+    csv_io.write_ab_csv(cat.exposures(), ab)
+    rows = cat.raw("customer").select(F.count(F.lit(1)))
+    return checks.file_line_gate(cat.spark, {"customers": customers, "nine off": customers, "ten off": customers, "ab_test": ab},
+                                 {"customers": rows.scalar(), "nine off": cat.raw("customer").select(F.count(F.lit(1)) - 8).scalar(),
+                                  "ten off": cat.raw("customer").select(F.count(F.lit(1)) - 9).scalar(), "ab_test": None})
+
+
+def load_once_readback(cat: Catalog) -> DataFrame:
+    """The experiment table, loaded twice: one load writes, the other finds it there."""
+    path = scratch_path(cat.spark, "load-once")
+    wrote = sum(sinks.load_once(cat.exposures(), path, "exposures") for _ in range(2))
+    return checks.verify_exposures(cat.spark.read.parquet(path)).withColumn("loads", F.lit(wrote))
+
+
+def result_csv_readback(cat: Catalog) -> DataFrame:
+    """A result that the CSV sink wrote, and how many rows the sink left of an empty one."""
+    path = scratch_path(cat.spark, "results")
+    sinks.write_result_csv(reports.customers_by_plan(cat.subscriptions()), f"{path}/customers_by_plan")
+    wrote, _ = sinks.write_result_csv(checks.duplicate_keys(cat.subscriptions(), "customer_id"), f"{path}/duplicates")
+    back = cat.spark.read.option("header", True).schema("plan_type string, customer_count long").csv(f"{path}/customers_by_plan")
+    return back.withColumn("empty_written", F.lit(wrote or sinks.path_exists(cat.spark, f"{path}/duplicates")))
+
+
+def report_tables_readback(cat: Catalog) -> DataFrame:
+    """Rows of the workbook's written tables."""
+    path = scratch_path(cat.spark, "workbook")
+    names = sinks.write_report_tables(cat.subscriptions(), path)
+    counts = [cat.spark.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n in names]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out

@@ -787,3 +787,45 @@ ORACLE["gaps_ab_clean_summary"] = gappy_expo(f"""
 SELECT grp, COUNT(converted) AS n, CAST(SUM(converted) AS BIGINT) AS conversions,
        {rhe(div("SUM(converted)", "COUNT(converted)"), 4)} AS rate
 FROM cleaned GROUP BY grp""", CLEANED_CTE)
+
+# --- source files, sinks and loads --------------------------------------------------
+
+ORACLE["ab_clean_summary_file_order"] = expo(f"""
+SELECT grp, COUNT(converted) AS n, CAST(SUM(converted) AS BIGINT) AS conversions,
+       {rhe(div("SUM(converted)", "COUNT(converted)"), 4)} AS rate
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM exposures WHERE {ALIGNED_SQL}) x
+WHERE rn = 1 GROUP BY grp""")
+
+_DAMAGE_CTE = """lines AS (
+SELECT *, CASE WHEN id % 59 = 0 OR id % 61 = 0 THEN 'wrong number of fields'
+               WHEN id % 47 = 0 AND id % 43 = 0 THEN 'bad subscription_months, bad lifetime_value'
+               WHEN id % 47 = 0 THEN 'bad subscription_months' WHEN id % 43 = 0 THEN 'bad lifetime_value' END AS reject_reason
+FROM (SELECT *, CAST(customer_id AS BIGINT) AS id FROM subscriptions) s)"""
+
+ORACLE["load_rejects_customers"] = subs("SELECT customer_id, reject_reason FROM lines WHERE reject_reason IS NOT NULL", _DAMAGE_CTE)
+
+ORACLE["load_accepted_customers"] = subs(f"""
+SELECT COUNT(*) AS customers, COUNT(*) FILTER (WHERE churned = 'No') AS active, {_YES} AS churned,
+       {rha(div(_YES, "COUNT(*)") + " * 100.0", 1)} AS churn_pct,
+       {rha(div("SUM(monthly_mrr)", "COUNT(monthly_mrr)"), 2)} AS avg_mrr,
+       CAST(ROUND(SUM(monthly_mrr), 0) AS DOUBLE) AS total_mrr
+FROM lines WHERE reject_reason IS NULL""", _DAMAGE_CTE)
+
+ORACLE["file_line_gate"] = """
+SELECT 'customers' AS file_name, COUNT(*) AS expected_rows, COUNT(*) + 1 AS lines, 'OK' AS status FROM customer
+UNION ALL SELECT 'nine off', COUNT(*) - 8, COUNT(*) + 1, 'OK' FROM customer
+UNION ALL SELECT 'ten off', COUNT(*) - 9, COUNT(*) + 1, 'UNEXPECTED COUNT' FROM customer
+UNION ALL SELECT 'ab_test', NULL, COUNT(*) + 1, 'OK' FROM events"""
+
+ORACLE["load_once_readback"] = expo(f"""
+SELECT grp, COUNT(*) AS users, {rha(div("SUM(converted)", "COUNT(converted)"), 4)} AS conversion_rate, 1 AS loads
+FROM exposures GROUP BY grp""")
+
+ORACLE["result_csv_readback"] = subs("SELECT plan_type, COUNT(*) AS customer_count, false AS empty_written FROM subscriptions GROUP BY plan_type")
+
+ORACLE["report_tables_readback"] = subs("""
+SELECT 'raw_data' AS table_name, COUNT(*) AS rows FROM subscriptions
+UNION ALL SELECT 'kpis', 6
+UNION ALL SELECT 'mrr_by_plan', COUNT(DISTINCT plan_type) FROM subscriptions WHERE churned = 'No'
+UNION ALL SELECT 'churn_by_plan', COUNT(DISTINCT plan_type) FROM subscriptions
+UNION ALL SELECT 'ltv_distribution', 6""")

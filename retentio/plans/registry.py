@@ -106,7 +106,14 @@ REGISTRY: dict[str, CatalogQuery] = {
     "row_count_gate": loading.row_count_gate,
     "load_verification_customers": loading.verify_customers,
     "load_verification_ab": loading.verify_exposures,
-    # churn drivers (model; no SQL oracle)
+    "ab_clean_summary_file_order": loading.clean_summary_file_order,
+    "load_rejects_customers": loading.load_rejects,
+    "load_accepted_customers": loading.load_accepted,
+    "file_line_gate": loading.file_line_gate,
+    "load_once_readback": loading.load_once_readback,
+    "result_csv_readback": loading.result_csv_readback,
+    "report_tables_readback": loading.report_tables_readback,
+    # churn drivers
     "churn_drivers": lambda c: drivers.churn_drivers(c.subscriptions()),
 }
 

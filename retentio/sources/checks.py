@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentio.functions.expr import mean_sql, round_half_away
 from retentio.operators.common import order_aggregated
+from retentio.schemas import EXPECTED_SOURCE_ROWS
 
 # Row-count gate rule (tolerance in lines) and its status texts.
 GATE_TOLERANCE = 10
@@ -80,16 +81,26 @@ def verify_exposures(expo: DataFrame) -> DataFrame:
             .transform(order_aggregated, "grp"))
 
 
-def file_line_gate(spark, files: Mapping[str, str],
-                   expected: Mapping[str, int | None] | None = None) -> DataFrame:
-    """Row-count gate on source files: lines of each file (header included)
-    against the expected row count (default: the original files' counts).
-    One line-count job per file."""
-    from retentio.schemas import EXPECTED_SOURCE_ROWS
+def newline_counts(spark: SparkSession, path: str) -> DataFrame:
+    """One row (lines, files): newline bytes of a file, or of a folder's part files with all headers but one
+    taken off. Splits are counted in parallel. A last line without a newline is no line, as for any count of newline bytes: it shows
+    as the byte by which lines and their ends exceed the file's size."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    per_file = (text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("n"))
+                .groupBy("file", "size").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("n") + 1).alias("bytes")))
+    return per_file.agg(F.coalesce(F.sum(F.col("lines") - (F.col("bytes") - F.col("size"))), F.lit(0)).alias("_lines"), F.count(F.lit(1)).alias("files")).select(
+        (F.col("_lines") - F.greatest(F.col("files") - 1, F.lit(0))).alias("lines"), "files")
+
+
+def file_line_gate(spark: SparkSession, files: Mapping[str, str],
+                   expected: Mapping[str, Column | int | None] | None = None) -> DataFrame:
+    """Row-count gate on source files: newline bytes of each file (header included)
+    against the expected row count (default: the original files' counts;
+    literals or scalar-subquery columns)."""
     exp = dict(EXPECTED_SOURCE_ROWS if expected is None else expected)
-    parts = [spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"))
-             .select(F.lit(name).alias("file_name"), F.lit(exp.get(name)).cast("long").alias("expected_rows"),
-                     "lines")
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    parts = [newline_counts(spark, path)
+             .select(F.lit(name).alias("file_name"), as_column(exp.get(name)).cast("long").alias("expected_rows"), "lines")
              for name, path in files.items()]
     out = parts[0]
     for p in parts[1:]:

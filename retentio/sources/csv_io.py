@@ -1,8 +1,8 @@
 """CSV load path of the two source files.
 
 * ``read_customers_csv`` — header skipped, columns mapped by POSITION onto the
-  21 table names, whitespace-only lifetime value -> null, text -> typed with
-  ``try_cast`` (ANSI mode would raise on bad text with a plain cast);
+  21 table names, whitespace-only lifetime value -> null; damaged lines become
+  nulls, fail the load or go to a table of rejects;
 * ``read_customers_renamed`` — the notebook path: header names, explicit rename
   map, CamelCase -> snake_case for the rest (schema only, no data pass),
   numeric coercion (bad text -> null), churn flag and notebook stage;
@@ -29,19 +29,55 @@ def _all_strings(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
+REJECT_FIELDS = "wrong number of fields"
+DAMAGED = "_damaged"
+
+
+def scan_customers_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Every line of the customer file, by position: the 21 typed columns, ``line`` (the text) and
+    ``reject_reason``: null for a sound line, else what is wrong with it (number of fields, or the columns whose text is no
+    number of the column's type). A blank lifetime value is sound."""
     names = [f.name for f in CUSTOMERS_SCHEMA.fields]
-    raw = (spark.read.option("header", True).option("enforceSchema", True)
-           .schema(_all_strings(names)).csv(path))
-    cols = []
+    # the reader keeps the text of lines with too few or too many fields in the extra column; it would not
+    # count fields if it left out columns that the query does not use
+    raw = (spark.read.option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnPruning", False)
+           .option("columnNameOfCorruptRecord", DAMAGED).schema(_all_strings([*names, DAMAGED])).csv(path))
+    cols, bad = [], []
     for f in CUSTOMERS_SCHEMA.fields:
-        c = F.col(f.name)
-        if f.name == "lifetime_value":
-            c = blank_to_null(c)
-        if not isinstance(f.dataType, T.StringType):
-            c = c.try_cast(f.dataType)
-        cols.append(c.alias(f.name))
-    return raw.select(*cols)
+        text = blank_to_null(F.col(f.name)) if f.name == "lifetime_value" else F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            cols.append(text.alias(f.name))
+        else:
+            cols.append(text.try_cast(f.dataType).alias(f.name))
+            bad.append(F.when(text.isNotNull() & text.try_cast(f.dataType).isNull(), F.lit(f"bad {f.name}")))
+    reason = F.when(F.col(DAMAGED).isNotNull(), REJECT_FIELDS).otherwise(F.nullif(F.concat_ws(", ", *bad), F.lit("")))
+    return raw.select(*cols, F.coalesce(F.col(DAMAGED), F.to_csv(F.struct(*names))).alias("line"), reason.alias("reject_reason"))
+
+
+def read_customers_csv(spark: SparkSession, path: str, on_error: str = "null", header: bool = True) -> DataFrame:
+    """The customer table. ``on_error`` says what a damaged line does:
+
+    * ``"null"``: bad numbers and missing fields become null (the notebook's coercion);
+    * ``"fail"``: the load fails and names the line, like a bulk load that takes a file whole or not at all;
+    * ``"reject"``: the line is left out; ``rejected_customers`` has it, with the reason.
+    """
+    rows = scan_customers_csv(spark, path, header)
+    names = [f.name for f in CUSTOMERS_SCHEMA.fields]
+    if on_error == "reject":
+        rows = rows.where("reject_reason IS NULL")
+    elif on_error == "fail":
+        # as a filter, so that it is evaluated whichever columns are read
+        broken = F.raise_error(F.concat(F.lit("damaged line: "), F.col("reject_reason"), F.lit(": "), F.col("line")))
+        rows = rows.where(F.when(F.col("reject_reason").isNull(), F.lit(True)).otherwise(broken.cast("boolean")))
+    elif on_error != "null":
+        raise ValueError(f"unknown on_error {on_error!r}")
+    return rows.select(*names)
+
+
+def rejected_customers(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """(customer_id, reject_reason, line) of the damaged lines."""
+    return (scan_customers_csv(spark, path, header).where("reject_reason IS NOT NULL")
+            .select("customer_id", "reject_reason", "line"))
 
 
 def read_customers_renamed(spark: SparkSession, path: str) -> DataFrame:
