@@ -95,7 +95,7 @@ def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: Seque
     return out.select(*by, *[F.col("_q")[i].alias(_name(p)) for i, p in enumerate(probs)])
 
 
-def _bucket_sql(v: str, per_doubling: int) -> str:
+def bucket_sql(v: str, per_doubling: int) -> str:
     """Monotone log-scale bucket of a value: a pure function of the value, so no
     per-group range has to be joined back."""
     k = f"{float(per_doubling)!r}D"
@@ -116,8 +116,8 @@ def _of_counts(freq: DataFrame, by: list[str], probs: list[float], few_groups: b
         part = f"PARTITION BY {', '.join(keys + list(cols))}" if keys or cols else ""
         return f"OVER ({part}{' ORDER BY ' + order if order else ''})"
 
-    tagged = freq.withColumns({"_b": F.expr(_bucket_sql("_v", BUCKETS_PER_DOUBLING)),
-                               "_f": F.expr(_bucket_sql("_v", BUCKETS_PER_DOUBLING * FINE_SPLIT))})
+    tagged = freq.withColumns({"_b": F.expr(bucket_sql("_v", BUCKETS_PER_DOUBLING)),
+                               "_f": F.expr(bucket_sql("_v", BUCKETS_PER_DOUBLING * FINE_SPLIT))})
 
     # Level 1: running counts over coarse buckets (a few thousand rows per group).
     bcount = (tagged.groupBy(*key, "_b").agg(F.sum("_c").alias("_bc"))

@@ -54,6 +54,10 @@ class Catalog:
     def subscriptions_with_gaps(self) -> DataFrame:
         return adapters.with_subscription_gaps(self.subscriptions())
 
+    def source_customers(self) -> DataFrame:
+        """The customer table with the service columns of the source file."""
+        return adapters.with_services(self.subscriptions())
+
     def exposures_with_gaps(self) -> DataFrame:
         return adapters.with_exposure_gaps(self.exposures())
 

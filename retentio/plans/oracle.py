@@ -829,3 +829,59 @@ UNION ALL SELECT 'kpis', 6
 UNION ALL SELECT 'mrr_by_plan', COUNT(DISTINCT plan_type) FROM subscriptions WHERE churned = 'No'
 UNION ALL SELECT 'churn_by_plan', COUNT(DISTINCT plan_type) FROM subscriptions
 UNION ALL SELECT 'ltv_distribution', 6""")
+
+# --- the drivers' tree, level by level ----------------------------------------------
+
+
+def _gini(n: str, pos: str) -> str:
+    p = f"(CAST({pos} AS DOUBLE) / CAST({n} AS DOUBLE))"
+    return f"(1.0 - {p} * {p} - (1.0 - {p}) * (1.0 - {p}))"
+
+
+def _tree(features: tuple[str, ...], text: set[str], depth: int = 4) -> str:
+    """CTEs up to ``splits`` (node, f, v, n, pos, cl, sl, gain); texts are coded in alphabetical order."""
+    value = {c: f"DENSE_RANK() OVER (ORDER BY {c}) - 1" if c in text else f"CAST({c} AS DOUBLE)" for c in features}
+    ctes = [f"train AS (SELECT {', '.join(f'{value[c]} AS x{i}, {c} AS y{i}' for i, c in enumerate(features))}, "
+            f"CASE WHEN churned = 'Yes' THEN 1 ELSE 0 END AS label, 1 AS node FROM customers WHERE {' AND '.join(f'{c} IS NOT NULL' for c in features)})"]
+    rows = "train"
+    gain = (f"{_gini('n', 'pos')} - (CAST(cl AS DOUBLE) / CAST(n AS DOUBLE)) * {_gini('cl', 'sl')} "
+            f"- (CAST(n - cl AS DOUBLE) / CAST(n AS DOUBLE)) * {_gini('(n - cl)', '(pos - sl)')}")
+    for level in range(depth):
+        per = "\nUNION ALL ".join(
+            f"SELECT node, {i} AS f, x{i} AS v, CAST(min(y{i}) AS VARCHAR) AS shown, COUNT(*) AS c, SUM(label) AS s FROM {rows} GROUP BY node, x{i}" for i in range(len(features)))
+        ctes += [f"count{level} AS ({per})",
+                 f"""run{level} AS (SELECT node, f, v, shown, SUM(c) OVER w AS cl, SUM(s) OVER w AS sl,
+       SUM(c) OVER (PARTITION BY node, f) AS n, SUM(s) OVER (PARTITION BY node, f) AS pos FROM count{level} WINDOW w AS (PARTITION BY node, f ORDER BY v))""",
+                 f"""split{level} AS (SELECT *, {gain} AS gain FROM run{level} WHERE cl < n AND pos > 0 AND pos < n
+       QUALIFY ROW_NUMBER() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1)"""]
+        chosen = "CASE s.f " + " ".join(f"WHEN {i} THEN r.x{i}" for i in range(len(features))) + " END"
+        ctes.append(f"rows{level} AS (SELECT r.* REPLACE (2 * r.node + CASE WHEN {chosen} <= s.v THEN 0 ELSE 1 END AS node) FROM {rows} r JOIN split{level} s ON r.node = s.node)")
+        rows = f"rows{level}"
+    ctes.append("splits AS (" + " UNION ALL ".join(f"SELECT * FROM split{k}" for k in range(depth)) + ")")
+    ctes.append("features AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(features)) + ") AS t(f, feature))")
+    return ",\n".join(ctes)
+
+
+_RANKING = """
+SELECT feature, importance, CAST(ROW_NUMBER() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank
+FROM (SELECT feature, round(coalesce(sum(n * gain), 0) / (SELECT sum(n * gain) FROM splits), 9) AS importance
+      FROM features LEFT JOIN splits USING (f) GROUP BY feature) x"""
+_FOUR = _tree(("subscription_months", "monthly_mrr", "plan_type", "payment_method"), {"plan_type", "payment_method"})
+
+ORACLE["churn_drivers"] = subs(_RANKING, "customers AS (SELECT * FROM subscriptions)", _FOUR)
+
+ORACLE["churn_tree"] = subs("""
+SELECT CAST(node AS INTEGER) AS node, feature, CASE WHEN f < 2 THEN format('{:.2f}', v) ELSE shown END AS split_after,
+       CAST(n AS BIGINT) AS rows, CAST(cl AS BIGINT) AS rows_left, round(gain, 9) AS gain
+FROM splits JOIN features USING (f)""", "customers AS (SELECT * FROM subscriptions)", _FOUR)
+
+ORACLE["top_churn_drivers"] = subs(_RANKING + " QUALIFY rank <= 5", """customers AS (
+SELECT *, CASE WHEN i % 5 = 0 THEN 'No' WHEN i % 3 = 0 THEN 'DSL' ELSE 'Fiber optic' END AS internet_service,
+       CASE WHEN i % 53 <> 0 THEN CASE WHEN i % 4 = 1 THEN 'Yes' ELSE 'No' END END AS online_security,
+       CASE WHEN (i + subscription_months) % 3 = 0 THEN 'Yes' ELSE 'No' END AS tech_support,
+       CASE WHEN i % 2 = 0 THEN 'Yes' ELSE 'No' END AS paperless_billing, CASE WHEN i % 6 = 0 THEN 1 ELSE 0 END AS senior_citizen,
+       CASE WHEN subscription_months % 7 > 3 THEN 'Yes' ELSE 'No' END AS partner, CASE WHEN i % 10 < 3 THEN 'Yes' ELSE 'No' END AS dependents
+FROM (SELECT *, CAST(customer_id AS BIGINT) AS i FROM subscriptions) s)""",
+    _tree(("subscription_months", "monthly_mrr", "plan_type", "internet_service", "online_security", "tech_support", "payment_method",
+           "paperless_billing", "senior_citizen", "partner", "dependents"),
+          {"plan_type", "internet_service", "online_security", "tech_support", "payment_method", "paperless_billing", "partner", "dependents"}))

@@ -115,6 +115,8 @@ REGISTRY: dict[str, CatalogQuery] = {
     "report_tables_readback": loading.report_tables_readback,
     # churn drivers
     "churn_drivers": lambda c: drivers.churn_drivers(c.subscriptions()),
+    "churn_tree": lambda c: drivers.churn_tree(c.subscriptions()),
+    "top_churn_drivers": lambda c: drivers.churn_drivers(c.source_customers(), top=5),
 }
 
 FLAGSHIP = "churn_by_lifecycle"

@@ -109,3 +109,18 @@ def with_exposure_gaps(expo: DataFrame) -> DataFrame:
         "grp": F.when(~every("null_arm"), F.col("grp")),
         "landing_page": F.when(every("null_page"), F.lit(None)).when(every("other_page"), OTHER_PAGE).otherwise(F.col("landing_page")),
     })
+
+
+def with_services(subs: DataFrame) -> DataFrame:
+    """``subscriptions`` with the service columns of the source file, by customer id and tenure; a few are null."""
+    i = F.col("customer_id").cast("long")
+    yes = lambda c: F.when(c, "Yes").otherwise("No")
+    return subs.withColumns({
+        "internet_service": F.when(i % 5 == 0, "No").when(i % 3 == 0, "DSL").otherwise("Fiber optic"),
+        "online_security": F.when(i % 53 != 0, yes(i % 4 == 1)),
+        "tech_support": yes((i + F.col("subscription_months")) % 3 == 0),
+        "paperless_billing": yes(i % 2 == 0),
+        "senior_citizen": (i % 6 == 0).cast("int"),
+        "partner": yes(F.col("subscription_months") % 7 > 3),
+        "dependents": yes(i % 10 < 3),
+    })
