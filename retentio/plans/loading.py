@@ -5,13 +5,16 @@ per call)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentio.functions.expr import money_double
-from retentio.operators import experiment, reports
+from retentio.operators import reports
 from retentio.plans.catalog import Catalog
-from retentio.schemas import CUSTOMER_CSV_HEADER
+from retentio.schemas import AB_TEST_SCHEMA, CUSTOMER_CSV_HEADER
 from retentio.session import scratch_path
 from retentio.sources import checks, csv_io, sinks
 
@@ -72,12 +75,30 @@ def verify_exposures(cat: Catalog) -> DataFrame:
     return checks.verify_exposures(cat.exposures())
 
 
-def clean_summary_file_order(cat: Catalog) -> DataFrame:
-    """The cleaned experiment of a file whose lines stand in descending event order: the first line of a
+def exposures_in_file_order(cat: Catalog) -> DataFrame:
+    """The experiment table from a file whose lines stand in descending event order: the first line of a
     user is the latest event, whatever its time says."""
     path = scratch_path(cat.spark, "ab-csv-order")
     csv_io.write_ab_csv(cat.exposures().orderBy(F.desc("event_id")), path)
-    return experiment.clean_summary(csv_io.read_ab_csv(cat.spark, path, file_order=True))
+    return csv_io.read_ab_csv(cat.spark, path, file_order=True)
+
+
+def fixed_schema_table(cat: Catalog) -> DataFrame:
+    """The experiment table created by its fixed schema (twice: the second is no error), filled and read back by name."""
+    name, path = f"ab_test_{uuid.uuid4().hex[:12]}", scratch_path(cat.spark, "ab-table")
+    for _ in range(2):
+        sinks.create_table_if_not_exists(cat.spark, name, AB_TEST_SCHEMA, path)
+    cat.exposures().select(*AB_TEST_SCHEMA.names).write.insertInto(name)
+    return checks.verify_exposures(cat.spark.table(name))
+
+
+def result_preview(cat: Catalog) -> DataFrame:
+    """The first rows of a written result, in its order, as the batch run shows them."""
+    path = scratch_path(cat.spark, "preview")
+    shown = reports.newest_customers(cat.subscriptions())
+    _, rows = sinks.write_result_csv(shown, path, preview=5)
+    return cat.spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)],
+                                     T.StructType([T.StructField("position", T.IntegerType()), *shown.schema.fields]))
 
 
 def damaged_customer_lines(subs: DataFrame) -> DataFrame:

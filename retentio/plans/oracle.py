@@ -790,11 +790,21 @@ FROM cleaned GROUP BY grp""", CLEANED_CTE)
 
 # --- source files, sinks and loads --------------------------------------------------
 
-ORACLE["ab_clean_summary_file_order"] = expo(f"""
-SELECT grp, COUNT(converted) AS n, CAST(SUM(converted) AS BIGINT) AS conversions,
-       {rhe(div("SUM(converted)", "COUNT(converted)"), 4)} AS rate
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM exposures WHERE {ALIGNED_SQL}) x
-WHERE rn = 1 GROUP BY grp""")
+# The file's lines stand in descending event order, so a user's first aligned line is the latest such event.
+_LAST_EVENT_CTE = f"""cleaned AS (
+SELECT e.* FROM exposures e WHERE {ALIGNED_SQL}
+  AND event_id = (SELECT max(o.event_id) FROM exposures o WHERE o.user_id = e.user_id AND {ALIGNED_SQL.replace('grp', 'o.grp').replace('landing_page', 'o.landing_page')}))"""
+for _name in ("ab_clean_summary", "ab_test_stats", "ab_report_rows"):
+    ORACLE[f"{_name}_file_order"] = ORACLE[_name].replace(CLEANED_CTE, _LAST_EVENT_CTE)
+
+ORACLE["fixed_schema_table"] = ORACLE["load_verification_ab"]
+ORACLE["result_preview"] = subs("""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY subscription_months, monthly_mrr DESC, customer_id) AS INTEGER) AS position, customer_id, plan_type,
+       subscription_months, CAST(monthly_mrr AS DOUBLE) AS monthly_mrr, churned
+FROM subscriptions WHERE subscription_months <= 6 QUALIFY position <= 5""")
+ORACLE["gaps_cohort_retention_matrix"] = gappy_subs("SELECT plan_type, " + ", ".join(
+    f"""100.0::DOUBLE - {_pct(f"{_YES[:-1]} AND tenure_bucket = '{lab}')", f"COUNT(*) FILTER (WHERE tenure_bucket = '{lab}')")} AS "{lab}" """
+    for lab, _, _ in TENURE_SQL) + " FROM bucketed WHERE plan_type IS NOT NULL GROUP BY plan_type", BUCKETED_CTE)
 
 _DAMAGE_CTE = """lines AS (
 SELECT *, CASE WHEN id % 59 = 0 OR id % 61 = 0 THEN 'wrong number of fields'

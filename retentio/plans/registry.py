@@ -106,7 +106,12 @@ REGISTRY: dict[str, CatalogQuery] = {
     "row_count_gate": loading.row_count_gate,
     "load_verification_customers": loading.verify_customers,
     "load_verification_ab": loading.verify_exposures,
-    "ab_clean_summary_file_order": loading.clean_summary_file_order,
+    "ab_clean_summary_file_order": lambda c: experiment.clean_summary(loading.exposures_in_file_order(c)),
+    "ab_test_stats_file_order": lambda c: experiment.experiment_stats(loading.exposures_in_file_order(c)),
+    "ab_report_rows_file_order": lambda c: experiment.report_rows(loading.exposures_in_file_order(c)),
+    "fixed_schema_table": loading.fixed_schema_table,
+    "result_preview": loading.result_preview,
+    "gaps_cohort_retention_matrix": lambda c: cohorts.cohort_retention_matrix(c.subscriptions_with_gaps()),
     "load_rejects_customers": loading.load_rejects,
     "load_accepted_customers": loading.load_accepted,
     "file_line_gate": loading.file_line_gate,

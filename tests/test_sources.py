@@ -1,14 +1,11 @@
 import os
 
-from pyspark.sql import functions as F
-
 from conftest import SF001, make_subs
 from retentio.plans.catalog import Catalog
 from retentio.plans.runner import run_all
 from retentio.schemas import CUSTOMER_CSV_HEADER
 from retentio.sources import checks, csv_io, sinks
 from retentio.sources.literals import data_dictionary, plan_dimension
-from retentio.streaming import ingest_files
 
 
 def _write_text(path, lines):
@@ -111,22 +108,6 @@ def test_runner_isolates_errors(spark, tmp_dir, monkeypatch):
     assert res["duplicate_customer_ids"].status == "empty"
 
 
-def test_streaming_ingest_is_exactly_once(spark, tmp_dir):
-    from retentio.schemas import AB_TEST_SCHEMA
-    src = f"{tmp_dir}/incoming"
-    _write_text(f"{src}/a.csv", ["user_id,timestamp,group,landing_page,converted",
-                                 "1,2017-01-01 00:00:00,control,old_page,0"])
-    opts = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
-    ck, out = f"{tmp_dir}/ck", f"{tmp_dir}/ab_table"
-    assert ingest_files(spark, src, AB_TEST_SCHEMA, out, ck, options=opts) == 1
-    assert ingest_files(spark, src, AB_TEST_SCHEMA, out, ck, options=opts) == 0  # nothing new
-    _write_text(f"{src}/b.csv", ["user_id,timestamp,group,landing_page,converted",
-                                 "2,2017-01-02 00:00:00,treatment,new_page,1",
-                                 "3,2017-01-02 00:00:01,treatment,new_page,0"])
-    assert ingest_files(spark, src, AB_TEST_SCHEMA, out, ck, options=opts) == 2
-    assert spark.read.parquet(out).agg(F.count("*")).collect()[0][0] == 3
-
-
 def test_file_line_gate_counts_header_line(spark, tmp_dir):
     _write_text(f"{tmp_dir}/f1.csv", ["h"] + [str(i) for i in range(100)])        # 101 lines
     _write_text(f"{tmp_dir}/f2.csv", ["h"] + [str(i) for i in range(89)])         # 90 lines
