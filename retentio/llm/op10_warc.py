@@ -64,7 +64,7 @@ def _headers(kind: str, rid: str, uri: str, date: str, ctype: str, block: bytes,
 
 def responses(pages: DataFrame, date: str = DATE, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One response record per page row: an HTTP 200 message with the HTML as payload."""
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    rows = pages.select(F.col(page_id).cast("long").cast("string").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = rows.withColumn("_h", F.xxhash64("url", "html"))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "_h").orderBy(F.lit(0)))).drop("_h")
 
@@ -72,7 +72,7 @@ def responses(pages: DataFrame, date: str = DATE, page_id: str = "page_id", url:
         for b in batches:
             out = []
             for pid, u, h, n in zip(b["page_id"], b["url"], b["html"], b["_n"], strict=True):
-                pid, uri, body = None if pd.isna(pid) else int(pid), u or "", (h or "")
+                uri, body = u or "", (h or "")
                 payload = body.encode()
                 msg = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n{body}"
                 block, pd_ = msg.encode(), digest(payload)
@@ -82,12 +82,18 @@ def responses(pages: DataFrame, date: str = DATE, page_id: str = "page_id", url:
                 out.append((pid, "response", rid, None, uri, date, ctype, digest(block), pd_, len(block), head, msg))
             yield _frame(out)
 
-    return rows.mapInPandas(make, RECORD)
+    return _made(rows, make)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     f = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
-    return f.astype({"page_id": "Int64", "content_length": "int64"})
+    return f.astype({"content_length": "int64"})
+
+
+def _made(rows: DataFrame, make) -> DataFrame:
+    """Records by ``make``. Page ids travel as text: pandas would make floats of the ids beside a null one."""
+    in_python = RECORD.replace("page_id long", "page_id string")
+    return rows.mapInPandas(make, in_python).withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -96,7 +102,6 @@ def derive(records: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                pid = None if pd.isna(r.page_id) else int(r.page_id)
                 http, _, body = r.block.partition("\r\n\r\n")
                 text = plain_text(body)
                 conv, meta = record_id(f"conversion:{r.record_id}"), record_id(f"metadata:{r.record_id}")
@@ -115,10 +120,10 @@ def derive(records: DataFrame) -> DataFrame:
                         ("conversion", conv, "text/plain; charset=utf-8", text, source)):
                     raw = data.encode()
                     head = _headers(kind, rid, r.target_uri, r.warc_date, ctype, raw, [*extra, ("WARC-Payload-Digest", digest(raw))])
-                    out.append((pid, kind, rid, r.record_id, r.target_uri, r.warc_date, ctype, digest(raw), digest(raw), len(raw), head, data))
+                    out.append((r.page_id, kind, rid, r.record_id, r.target_uri, r.warc_date, ctype, digest(raw), digest(raw), len(raw), head, data))
             yield _frame(out)
 
-    return records.where("record_type = 'response'").mapInPandas(make, RECORD)
+    return _made(records.where("record_type = 'response'").withColumn("page_id", F.col("page_id").cast("string")), make)
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
