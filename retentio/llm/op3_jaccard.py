@@ -34,14 +34,14 @@ different sets share their class hash (told by a second hash), the join raises.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentio.llm.common import ascii_lower, saved, words
+from retentio.llm.common import ascii_lower, discard, saved, words
 from retentio.llm.op6_urls import components
 
 BAND_RATIO = 1.5
@@ -75,7 +75,8 @@ class Bands:
             half = -(-(h + 1) // 2)
             empty = exact * math.exp(-lo / exact)  # expected empty segments of the band's smallest sets
             spare = exact - 1 - self.differ(lo, lo * 100 // percent)
-            short = 1 - sum(math.exp(-empty) * empty ** i / math.factorial(i) for i in range(min(spare, 60) + 1))
+            # chance that such a set has more empty segments than it can spare (Poisson)
+            short = 1 - sum(math.exp(i * math.log(empty) - empty - math.lgamma(i + 1)) for i in range(spare + 1)) if empty > 0 else 0.0
             deletes = h > 0 and hi + half < exact + SHORT_COST * max(0.0, short)
             self.lo.append(lo)
             self.hi.append(hi)
@@ -133,16 +134,31 @@ def signatures(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out).view(np.int64), np.concatenate(spare)
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _key(first: Column, second: Column, drawn: list[list[int]]) -> Column:
+    """The class key: the first hash, drawn anew from both where different sets shared it."""
+    key = first
+    for i, taken in enumerate(drawn):
+        key = F.when(key.isin(taken), F.xxhash64(F.lit(i), first, second)).otherwise(key)
+    return key
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text",
+                       class_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, text_hash, n_shingles, class_id, component_id) of every row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     grams = with_shingles(rows, n, F.col("text"), "grams")
-    sets = saved(grams.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), F.size("grams").cast("long").alias("n"),
-                              F.xxhash64("grams").alias("node"), F.xxhash64(F.lit("second"), "grams").alias("check")), "sets")
-    classes = saved(sets.where("n > 0").groupBy("node").agg(
-        F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
-    if not classes.where("c0 <> c1").isEmpty():
-        raise RuntimeError("two different n-gram sets share a 64-bit hash")
+    first, second = class_hash(F.col("grams")), F.xxhash64(F.lit("second"), "grams")
+    drawn: list[list[int]] = []       # per round, the keys that different sets shared
+    while True:
+        sets = saved(grams.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), F.size("grams").cast("long").alias("n"),
+                                  _key(first, second, drawn).alias("node"), second.alias("check")), "sets")
+        classes = saved(sets.where("n > 0").groupBy("node").agg(
+            F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
+        shared_keys = [r["node"] for r in classes.where("c0 <> c1").select("node").collect()]
+        if not shared_keys:
+            break
+        drawn.append(shared_keys)
+        discard(sets, classes)
     bands = Bands(percent, max(1, classes.agg(F.max("n")).first()[0] or 0))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +170,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: s
                                     "spare": np.concatenate([m[1] for m in made])})
 
     # the grams are computed again rather than kept: they are larger than the texts
-    entries = grams.select(F.xxhash64("grams").alias("node"), "grams").mapInPandas(sign, "sig long, node long, spare int")
+    entries = grams.select(_key(first, second, drawn).alias("node"), "grams").mapInPandas(sign, "sig long, node long, spare int")
     # buckets with more than one class; a hot bucket is sorted, not held
     bucket = Window.partitionBy("sig")
     shared = entries.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket), "often": F.count("*").over(bucket)})
@@ -176,8 +192,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: s
     placed = saved(placed.withColumns({"c0": F.min("component").over(spread), "c1": F.max("component").over(spread)})
                    .where("c0 <> c1").drop("c0", "c1"), "placed")
     extra = saved(verified(_across(placed, kept, shared, classes, bands), grams, percent), "extra")
+    discard(shared, kept, placed, grams)
     if not extra.isEmpty():
         label = components(links.unionByName(extra))
+    discard(links, extra)
     named = label.join(classes.select("node", "first"), "node")
     smallest = named.groupBy("component").agg(F.min("first").alias("name"))
     named = named.join(smallest, "component").select("node", "name")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm.common import ascii_lower, saved
+from retentio.llm.common import ascii_lower, discard, saved
 
 # The rules of the registered query (host, path, verdict).
 RULES = (
@@ -85,15 +85,18 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
             .select("src", _target(F.col("src"), F.col("_l")).alias("dst")).where("dst is not null"))
 
 
-def _rooted(label: DataFrame) -> DataFrame:
-    """(node, component) with every label replaced by its own label until all are roots: a tree of
+def _rooted(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) and the written table that holds it, with every label replaced by its own label until all are roots: a tree of
     depth d takes log2(d) looks. Every label is a node of ``label`` and none is above its node."""
+    tables, label = [table], table
     while True:
         up = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         step = saved(label.join(up, label["component"] == up["_n"]).select("node", F.col("component").alias("old"), F.col("_c").alias("component")), "labels")
-        label = step.select("node", "component")
-        if step.where("old <> component").isEmpty():
-            return label
+        done = step.where("old <> component").isEmpty()
+        discard(tables[0])
+        tables, label = [step], step.select("node", "component")
+        if done:
+            return label, step
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -106,19 +109,26 @@ def components(edges: DataFrame) -> DataFrame:
     both = lambda e: e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     rounds: list[DataFrame] = []
+    tables: list[DataFrame] = []
     while not rounds or not left.isEmpty():
         near = both(left).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        label = _rooted(saved(near.select("node", F.least("node", "m").alias("component")), "labels"))
+        label, table = _rooted(saved(near.select("node", F.least("node", "m").alias("component")), "labels"))
         rounds.append(label)
+        tables.append(table)
         at = [label.select(F.col("node").alias(k), F.col("component").alias(f"_{k}")) for k in ("a", "b")]
         moved = left.join(at[0], "a").join(at[1], "b").where("_a <> _b")
-        left = saved(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+        before, left = left, saved(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+        discard(before)
     # follow the rounds: a root of one is a node of the next if it had an edge left
     label = rounds[0]
     for later in rounds[1:]:
         up = later.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         label = label.join(up, label["component"] == up["_n"], "left").select("node", F.coalesce("_c", "component").alias("component"))
-    return saved(label, "labels") if len(rounds) > 1 else label
+    discard(left)
+    if len(rounds) > 1:
+        label = saved(label, "labels")
+        discard(*tables)
+    return label
 
 
 def filter_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, page_id: str = "page_id",

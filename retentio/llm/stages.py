@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from retentio.llm import op3_jaccard, op5_mixing, op7_language, op8_toxicity, op9_packing
 from retentio.llm.common import saved
 
-MIN_LANGUAGE_SCORE = 0.5
-
 
 def boxed(docs: DataFrame, *needed: str) -> DataFrame:
     """The row as one column and the columns a stage reads: no other name can clash."""
@@ -24,10 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those whose best language has less than half of the score, go."""
+    """Documents without a language (null texts, texts without letters) go. How sure the prediction is does not
+    matter: a short text that several languages explain equally well is still a text of one of them."""
     model = op7_language.learn(docs)
-    return op7_language.with_language(boxed(docs, "text"), model).where(
-        (F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("_row.*")
+    return op7_language.with_language(boxed(docs, "text"), model).where(F.col("lang_pred") != "und").select("_row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
