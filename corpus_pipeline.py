@@ -20,8 +20,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", stages.pack),
 ]
 
-# Stages that learn, search neighbours or pack are not expressible in SQL; tests hold each
-# against a brute-force version.
+# Stages that learn, search neighbours or pack are not expressible in SQL; their operators are tested
+# against brute force, the stages themselves on small tables.
 ORACLE_SQL = None
 
 
