@@ -1,15 +1,18 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 A bounded set of labelled texts (``PER_CLASS`` distinct texts a class, chosen by a hash) is held in
-an inverted index: per word its (example, weight) postings, cut into blocks of ``BLOCK``
-examples with the largest weight of each block. A text's similarity to a block cannot exceed
-the sum of its word weights times the block maxima; blocks are opened in descending order of
-that bound until no closed block can reach the k-th best similarity, so the k neighbours are
-exact. Their votes, weighted by squared similarity, become a probability by isotonic regression
-on the examples' leave-one-out votes, weighted to the classes' shares among all labelled rows.
-
-Weights are (1 + ln tf) * ln(1 + N / df) over the words that two or more examples have; df and N
-are counted over all documents. Words are runs of letters, lower-cased, of the whole text.
+an inverted index: words of few examples as postings, words of many examples cut into blocks of
+``BLOCK`` examples alike with the largest weight of each block. A text's similarity to the examples
+of a block cannot exceed what the words of few examples give one of them plus the sum of the other
+word weights times the block maxima; blocks are opened in descending order of that bound until no
+closed block can reach the k-th best similarity, so the k neighbours are exact. Their number is the
+square root of the number of examples. Their votes, weighted by the inverse of the cosine distance,
+become a probability by isotonic regression on the examples' leave-one-out votes, weighted to the
+classes' shares among all labelled rows.
+
+Weights are (1 + ln tf) * ln(1 + N / df) over all words of the examples; df and N are counted over
+all documents. A text's words that no example has would lengthen it against every example alike:
+they are left out of its length. Words are runs of letters, lower-cased, of the whole text.
 
 Defined results: texts that share no word with the index (null, empty) get the share of toxic
 labels; without any label the score is 0; null labels are not learned, a document with several
@@ -19,9 +22,11 @@ rows are scored each. Scoring adds columns by name and reads the text only.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,8 +36,7 @@ from pyspark.sql import functions as F
 from retentio.llm.op7_language import held_out
 
 PER_CLASS = 1000
-NEIGHBOURS = 30
-BLOCK = 64
+BLOCK = 16
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -53,28 +57,71 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
+def alike_blocks(rows: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """The block of each example: examples are halved along the direction in which a signed
+    256-column sketch of their vectors varies most, until at most ``size`` are left, so that a
+    block holds examples alike and the maxima of its words say much about each of them."""
+    sketch = np.zeros((len(rows), 256))
+    for i, (term, w) in enumerate(rows):
+        np.add.at(sketch[i], term % 256, np.where(term // 256 % 2, w, -w))
+    block = np.zeros(len(rows), np.int64)
+    todo, made = [np.arange(len(rows))], 0
+    while todo:
+        some = todo.pop()
+        if len(some) <= size:
+            block[some] = made
+            made += 1
+            continue
+        part = sketch[some] - sketch[some].mean(axis=0)
+        along = part @ np.linalg.eigh(part.T @ part)[1][:, -1]
+        some = some[np.argsort(along, kind="stable")]
+        half = -(-len(some) // size) // 2 * size
+        todo += [some[half:], some[:half]]
+    return block
+
+
+def spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges begin .. end - 1, one after the other, and the range of each."""
+    size = end - begin
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (begin - np.cumsum(size) + size)[of], of
+
+
 class ExampleIndex:
     """Block-max inverted index over labelled examples, and the calibrated vote."""
 
-    def __init__(self, ids: list, texts: list[str], labels: list[int], df: dict[str, int], n_docs: int, base: float, k: int = NEIGHBOURS):
-        self.ids, self.labels, self.base, self.k = list(ids), np.array(labels, float), base, k
+    def __init__(self, ids: list, texts: list[str], labels: list[int], df: dict[str, int], n_docs: int, base: float,
+                 k: int | None = None):
+        self.ids, self.labels, self.base = list(ids), np.array(labels, float), base
+        self.k = k or max(1, round(math.sqrt(len(self.ids))))
         counts = [term_counts(t) for t in texts]
-        held = Counter(w for c in counts for w in c)
-        vocab = sorted(w for w, n in held.items() if n >= 2)
+        vocab = sorted(set().union(*counts))
         self.terms = {w: i for i, w in enumerate(vocab)}
         self.idf = np.log1p(n_docs / np.array([max(1, df.get(w, 1)) for w in vocab], float))
-        self.blocks = max(1, -(-len(texts) // BLOCK))
         rows = [self.vector(c) for c in counts]
+        block = alike_blocks(rows, BLOCK)
+        self.blocks = int(block.max(initial=0)) + 1
         term = np.concatenate([r[0] for r in rows] or [np.zeros(0, np.int64)])
-        self.example = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        example = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
         weight = np.concatenate([r[1] for r in rows] or [np.zeros(0)])
-        order = np.lexsort((self.example, term))
-        term, self.example, self.weight = term[order], self.example[order], weight[order]
-        cell = term * self.blocks + self.example // BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(vocab) * self.blocks + 1))
-        self.most = np.zeros(len(vocab) * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(vocab), self.blocks)
+        # place of an example: its block's number times BLOCK, plus its number in the block
+        self.place = np.empty(len(rows), np.int64)
+        for b in range(self.blocks):
+            self.place[block == b] = b * BLOCK + np.arange((block == b).sum())
+        place = self.place[example]
+        # words of many examples: a full row of weights each, so that a block is a slice of it
+        held = np.bincount(term, minlength=len(vocab))
+        often = np.flatnonzero(held >= max(2, len(rows) / 16))
+        self.row = np.full(len(vocab), -1)
+        self.row[often] = np.arange(len(often))
+        self.full = np.zeros((len(often), self.blocks, BLOCK))
+        some = self.row[term] >= 0
+        self.full[self.row[term[some]], place[some] // BLOCK, place[some] % BLOCK] = weight[some]
+        self.full_most = self.full.max(axis=2)
+        # other words: postings
+        order = np.lexsort((place[~some], term[~some]))
+        self.at, self.weight = place[~some][order], weight[~some][order]
+        self.first = np.searchsorted(term[~some][order], np.arange(len(vocab) + 1))
         votes = np.array([self.vote(*self.nearest(*r, skip=i)) for i, r in enumerate(rows)])
         if len(rows):
             share = np.where(self.labels == 1, base / max(1, (self.labels == 1).sum()), (1 - base) / max(1, (self.labels == 0).sum()))
@@ -82,43 +129,43 @@ class ExampleIndex:
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Sorted terms of the vocabulary and their weights at length 1."""
-        found = [(self.terms[w], n) for w, n in counts.items() if w in self.terms]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        term, tf = np.array(found, np.int64).T
+        term = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        tf = np.fromiter(counts.values(), float, len(counts))[term >= 0]
+        term = term[term >= 0]
         w = (1 + np.log(tf)) * self.idf[term]
-        return term, w / np.sqrt((w * w).sum())
-
-    def _open(self, term: np.ndarray, q: np.ndarray, blocks: np.ndarray, sums: np.ndarray) -> None:
-        cell = (term[:, None] * self.blocks + blocks).ravel()
-        begin = self.start[cell]
-        size = self.start[cell + 1] - begin
-        total = int(size.sum())
-        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(total)
-        sums += np.bincount(self.example[at], np.repeat(np.repeat(q, len(blocks)), size) * self.weight[at], len(sums))
+        return term, w / max(np.sqrt((w * w).sum()), 1e-300)
 
     def nearest(self, term: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples (without ``skip``) and their cosines, largest first."""
         n = len(self.ids)
+        self.opened = 0
         if not len(term) or not n:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = q @ self.most[term]
+        row = self.row[term]
+        often, q_often = row[row >= 0], q[row >= 0]
+        # the words of few examples first, in full: what they give is a floor of every similarity
+        at, of = spread(self.first[term], self.first[term + 1])
+        sums = np.bincount(self.at[at], q[of] * self.weight[at], self.blocks * BLOCK).astype(float)
+        grid = sums.reshape(-1, BLOCK)
+        if skip >= 0:
+            sums[self.place[skip]] = -1
+        bound = grid.max(axis=1) + q_often @ self.full_most[often]
         order = np.argsort(-bound, kind="stable")
-        sums, done, step = np.zeros(n), 0, max(1, -(-(self.k + 1) // BLOCK))
-        while True:
-            some = order[done:done + step]
-            self._open(term, q, some, sums)
-            done += len(some)
+        order = order[bound[order] > 0]
+        step = 1 + self.k // BLOCK
+        while len(order):
+            some = order[:step]
+            grid[some] += (q_often @ self.full[often[:, None], some].reshape(len(often), len(some) * BLOCK)).reshape(-1, BLOCK)
+            self.opened += len(some)
             if skip >= 0:
-                sums[skip] = 0
+                sums[self.place[skip]] = -1
+            # a closed block's sums lack the frequent words, so the k-th best so far is a lower
+            # bound; a hair of slack keeps rounding from closing a block that could tie
             kth = np.partition(sums, -self.k)[-self.k] if n >= self.k else 0.0
-            # closed blocks hold zeros, so the k-th best so far is a lower bound; a hair of
-            # slack keeps rounding from closing a block that could tie
-            rest = order[done:]
-            rest = rest[bound[rest] * (1 + 1e-9) >= kth]
-            if not len(rest) or not bound[rest[0]]:
-                break
-            order, done, step = rest, 0, max(4, len(rest) // 2)
+            order = order[step:]
+            order = order[bound[order] * (1 + 1e-9) >= kth]
+            step = max(4, len(order) // 2)
+        sums = sums[self.place]
         best = np.lexsort((np.arange(n), -sums))[:self.k] if n <= self.k else self._top(sums)
         best = best[sums[best] > 0]
         return best, sums[best]
@@ -129,7 +176,8 @@ class ExampleIndex:
         return some[np.lexsort((some, -sums[some]))][:self.k]
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
-        w = cosine * cosine
+        """Share of toxic ones among the neighbours, each counted by the inverse of its distance plus 0.1."""
+        w = 1 / (1.1 - np.minimum(cosine, 1))
         return float((w * self.labels[best]).sum() / w.sum()) if len(best) else self.base
 
     def score(self, text: str | None) -> tuple[float, list[str]]:
@@ -150,7 +198,7 @@ def document_frequencies(docs: DataFrame, vocab: set[str], text: str = "text") -
         for b in batches:
             n += len(b)
             for t in b["t"]:
-                got.update(shared.value.intersection(_WORD.findall((t or "").lower())))
+                got.update(shared.value.intersection(set(_WORD.findall((t or "").lower()))))
         yield pd.DataFrame([*got.items(), ("", n)], columns=["w", "n"])
 
     rows = (docs.select(F.col(text).cast("string").alias("t")).mapInPandas(count, "w string, n long")
@@ -179,16 +227,19 @@ def learn(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
         if part < 1:
             low = low & ((F.col("y") != r["y"]) | (F.col("h") <= int(2 ** 64 * part) - 2 ** 63))
     order = Window.partitionBy("y").orderBy("h")
-    chosen = {r["id"]: r["y"] for r in texts.where(low).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).collect()}
+    chosen = {r["h"]: r for r in texts.where(low).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).collect()}
     found: dict = {}
     if chosen:
-        for r in docs.where(F.col(doc_id).isin(list(chosen))).select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("t is not null").collect():
-            found[r["id"]] = max(found.get(r["id"], ""), r["t"])
-    ids = sorted(found)
-    held = Counter(w for i in ids for w in term_counts(found[i]))
-    df, n = document_frequencies(docs, {w for w, c in held.items() if c >= 2}, text) if ids else ({}, 0)
+        # by hash, a row for each text: an id that stands on several texts brings none but those labelled
+        wanted = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("t")).where(
+            F.col("h").isin(list(chosen)) & F.col("t").isNotNull())
+        found = {r["h"]: r["t"] for r in wanted.groupBy("h").agg(F.min("t").alias("t")).collect()}
+    picked = sorted(found, key=lambda h: (chosen[h]["id"], h))
+    texts_found = [found[h] for h in picked]
+    vocab = {w for t in texts_found for w in term_counts(t)}
+    df, n = document_frequencies(docs, vocab, text) if picked else ({}, 0)
     base = shares.get(1, 0) / max(1, sum(shares.values()))
-    return ExampleIndex(ids, [found[i] for i in ids], [chosen[i] for i in ids], df, n, base)
+    return ExampleIndex([chosen[h]["id"] for h in picked], texts_found, [chosen[h]["y"] for h in picked], df, n, base)
 
 
 def with_toxicity(docs: DataFrame, index: ExampleIndex, text: str = "text", score: str = "score", evidence: str = "evidence") -> DataFrame:

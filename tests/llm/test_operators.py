@@ -362,3 +362,35 @@ def test_syncmers_of_short_and_unspaced_texts(spark):
     pair = [("w" + " w".join(map(str, range(n)))) for n in (20, 26, 47, 50)]
     sets = [set(r.anchors) for r in op2_syncmers.fingerprints(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert all(len(a & b) > 5 for a, b in zip(sets, sets[1:], strict=False))
+
+
+def test_toxicity_neighbours_equal_brute_force_over_every_word(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    index = op8_toxicity.learn(docs, labels, op8_toxicity.learnable)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    df = Counter(w for t in texts.values() for w in op8_toxicity.term_counts(t).keys() & index.terms.keys())
+    assert index.terms.keys() == set().union(*(op8_toxicity.term_counts(texts[i]) for i in index.ids))
+
+    def weights(t):
+        w = {x: (1 + math.log(n)) * math.log1p(len(texts) / df[x]) for x, n in op8_toxicity.term_counts(t).items() if x in index.terms}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / size for x, v in w.items()}
+
+    examples = [weights(texts[i]) for i in index.ids]
+    opened = []
+    for t in [texts[i] for i in sorted(texts)[:120]]:
+        q = weights(t)
+        cosine = [sum(v * e[x] for x, v in q.items() if x in e) for e in examples]
+        best, found = index.nearest(*index.vector(op8_toxicity.term_counts(t)))
+        opened.append(index.opened / index.blocks)
+        want = sorted((c for c in cosine if c > 0), reverse=True)[:index.k]
+        assert np.allclose(found, want) and np.allclose([cosine[i] for i in best], want)
+    assert np.mean(opened) < 0.8
+
+
+def test_toxicity_label_goes_with_its_text_where_an_id_repeats(spark):
+    docs = spark.createDataFrame([(1, "you idiot scum"), (1, "zzz zzz"), (2, "nice calm day")], "doc_id long, text string")
+    index = op8_toxicity.learn(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert sorted(zip(index.ids, index.labels.tolist())) == [(1, 1.0), (1, 1.0), (2, 0.0)]
+    assert {"idiot", "zzz", "calm"} <= index.terms.keys()
