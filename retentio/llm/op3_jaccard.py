@@ -293,3 +293,35 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def op3_query(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs, 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+# Shared shingles are counted for pairs whose sizes allow a link; components are the closure over the links.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM w
+), n AS (
+  SELECT doc_id, len(s)::BIGINT AS n_shingles, unnest(s) AS g FROM s
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, any_value(a.n_shingles) AS nx, any_value(b.n_shingles) AS ny
+  FROM n a JOIN n b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n_shingles, b.n_shingles) >= 85 * greatest(a.n_shingles, b.n_shingles) GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common WHERE 100 * shared >= 85 * (nx + ny - shared)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, e.y FROM reach r JOIN edges e ON r.b = e.x
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least.component_id
+FROM s JOIN least ON least.a = s.doc_id
+"""

@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_jaccard": op3_jaccard.ORACLE_SQL,
     "op4_topk": op4_topk.ORACLE_SQL,
     "op11_trie": op11_trie.ORACLE_SQL,
     "op12_vectors": op12_vectors.ORACLE_SQL,

@@ -394,3 +394,11 @@ def test_toxicity_label_goes_with_its_text_where_an_id_repeats(spark):
     index = op8_toxicity.learn(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
     assert sorted(zip(index.ids, index.labels.tolist())) == [(1, 1.0), (1, 1.0), (2, 0.0)]
     assert {"idiot", "zzz", "calm"} <= index.terms.keys()
+
+
+def test_jaccard_equals_its_sql(spark, docs):
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        want = sorted(con.sql(op3_jaccard.ORACLE_SQL).fetchall())
+    got = sorted(tuple(r) for r in op3_jaccard.op3_query(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == want and any(c != i for i, _, c in got)
