@@ -6,12 +6,15 @@ nowhere is a phrase of its own). The language with the fewest normalised phrases
 phrases * log2(training length) / letters, wins: that is the Ziv-Merhav estimate of the cross
 entropy in bits a letter.
 
-The automata are turned into one transition table (state, letter) -> (next state, phrase ends),
-so that tasks parse many texts at once with numpy. Texts are parsed whole, in blocks of
-``BLOCK`` letters; a phrase ends at the end of a block.
+The transitions of all automata lie in one array by row displacement: those of a state at its place
+plus the letter, each with its owner, the rows of different states fitted into each other's gaps. Its
+size goes with the number of transitions (at most three a training letter), not with states times
+letters, so many languages and large scripts stay small. Tasks parse many whole texts at once with
+numpy, letter by letter, at most ``TOGETHER`` letters (or one longer text) at a time.
 
 Learning uses a bounded sample: at most ``TRAIN_ROWS`` rows a language, chosen by a hash of
-doc_id, each with at most ``ROW_LETTERS`` letters, ``TRAIN_LETTERS`` in all.
+doc_id, each with at most ``ROW_LETTERS`` letters, ``TRAIN_LETTERS`` in all. The rows are chosen by
+hashes alone; the texts of the chosen ones are fetched after. Equal rows among them are learned once.
 
 Defined results: null text or text without letters gives ``und`` and score 0; without any
 learned language every text is ``und``; equal rates go to the first language in code-point
@@ -29,10 +32,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retentio.llm.common import discard, saved
+
 TRAIN_ROWS = 60
 ROW_LETTERS = 400
 TRAIN_LETTERS = 16_000
-BLOCK = 2048
+TOGETHER = 4_000_000
 SHARPNESS = 6.0   # of the score: logistic in the difference of the rates
 
 
@@ -90,54 +95,93 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def displaced(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row displacement of sparse rows with columns below ``width``: (place of each row, array of
+    owner << 32 | value, owner -1 where nothing lies). ``place[row] + column`` is always in the array."""
+    total = sum(map(len, rows))
+    used = bytearray(2 * total + 2 * width + 1)
+    place = np.zeros(len(rows), np.int64)
+    first: dict[int, int] = {}   # where the search for a row of so many columns goes on
+    free = width
+    for row in sorted(range(len(rows)), key=lambda r: (-len(rows[r]), r)):
+        columns = sorted(rows[row])
+        if not columns:
+            continue
+        if len(columns) == 1:   # any gap will do
+            at = free - columns[0]
+        else:
+            at = first.get(len(columns), 0)
+        while True:
+            if at + width >= len(used):
+                used.extend(bytes(len(used)))
+            if not any(used[at + c] for c in columns):
+                break
+            at += 1
+        if len(columns) == 1:
+            free = at + columns[0] + 1
+        else:
+            first[len(columns)] = at
+        place[row] = at
+        for c in columns:
+            used[at + c] = 1
+    cells = np.full(int(place.max(initial=0)) + width + 1, -1 << 32, np.int64)
+    for row, values in enumerate(rows):
+        for c, v in values.items():
+            cells[place[row] + c] = row << 32 | v
+    return place, cells
+
+
 class CrossParser:
-    """The transition table of all languages, and the parsing of texts with it."""
+    """The transitions of all languages, and the parsing of texts with them."""
 
     def __init__(self, samples: dict[str, list[int]]):
         self.langs = sorted(samples)
-        letters = sorted({c for s in samples.values() for c in s})
-        self.width = len(letters) + 1  # the last code: letters never seen
-        self.lookup = np.full(0x110000, len(letters), np.uint16)
-        self.lookup[letters] = np.arange(len(letters))
-        tables, roots, base = [], [], 0
-        for lang in self.langs:
-            nxt = suffix_automaton(self.lookup[np.array(samples[lang], np.int64)].tolist())
-            # no transition: the phrase ends, and the letter begins the next one
-            start = np.full(self.width, base * 2 + 1, np.int32)
-            for c, s in nxt[0].items():
-                start[c] = (base + s) * 2 + 1
-            table = np.tile(start, (len(nxt), 1))
-            for i, to in enumerate(nxt):
-                for c, s in to.items():
-                    table[i, c] = (base + s) * 2
-            tables.append(table)
-            roots.append(base)
-            base += len(nxt)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.letters = np.array(sorted({c for s in samples.values() for c in s}), np.int64)
+        self.width = len(self.letters) + 1  # the last code: letters never seen
+        rows: list[dict[int, int]] = []
+        roots = []
+        self.start = np.zeros((len(self.langs), self.width), np.int64)
+        for i, lang in enumerate(self.langs):
+            root = len(rows)
+            rows += [{c: root + s for c, s in to.items()} for to in suffix_automaton(self.coded(np.array(samples[lang], np.int64)).tolist())]
+            # no transition: the letter begins the next phrase, or is one of its own where no phrase begins with it
+            self.start[i] = [rows[root].get(c, root) for c in range(self.width)]
+            roots.append(root)
+        self.place, self.cells = displaced(rows, self.width)
         self.roots = np.array(roots, np.int64)
         self.bits = np.array([math.log2(max(2, len(samples[x]))) for x in self.langs])
 
+    def coded(self, codes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.letters, codes)
+        known = self.letters[np.minimum(at, len(self.letters) - 1)] == codes if len(self.letters) else np.zeros(len(codes), bool)
+        return np.where(known, at, len(self.letters))
+
+    def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
+        """The number of greedy phrases of each text for each language: an array (languages, texts)."""
+        sizes = np.array([len(c) for c in codes], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        count = np.zeros((len(self.langs), len(codes)), np.int64)
+        if not len(codes) or not self.langs or not sizes.max():
+            return count
+        flat = self.coded(np.concatenate([codes[i] for i in order]))
+        begin = np.cumsum(sizes[order]) - sizes[order]
+        active = np.searchsorted(-sizes[order], -np.arange(sizes.max()), "left")  # texts longer than t
+        root = self.roots[:, None]
+        state = np.repeat(root, len(codes), 1)
+        for t, k in enumerate(active.tolist()):
+            letter, now = flat[begin[:k] + t], state[:, :k]
+            cell = self.cells[self.place[now] + letter]
+            fits = cell >> 32 == now
+            # a phrase begins at each letter that the open phrase cannot take, or where none is open
+            count[:, :k] += ~fits | (now == root)
+            state[:, :k] = np.where(fits, cell & 0xFFFFFFFF, self.start[:, letter])
+        out = np.empty_like(count)
+        out[:, order] = count
+        return out
+
     def rates(self, codes: list[np.ndarray]) -> np.ndarray:
         """Normalised phrases of each text for each language: an array (texts, languages)."""
-        blocks = [(i, c[k:k + BLOCK]) for i, c in enumerate(codes) for k in range(0, len(c), BLOCK)]
-        blocks.sort(key=lambda x: -len(x[1]))
-        out = np.zeros((len(codes), len(self.langs)))
-        if not blocks or not self.langs:
-            return out
-        owner = np.array([i for i, _ in blocks])
-        sizes = np.array([len(b) for _, b in blocks])
-        grid = np.zeros((sizes[0], len(blocks)), np.uint16)
-        for j, (_, b) in enumerate(blocks):
-            grid[:len(b), j] = self.lookup[b]
-        state = np.repeat(self.roots[:, None], len(blocks), 1)
-        count = np.ones((len(self.langs), len(blocks)), np.int64)  # the last phrase of a block
-        active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # blocks longer than t
-        for t, k in enumerate(active.tolist()):
-            v = self.table[state[:, :k] * self.width + grid[t, :k]]
-            count[:, :k] += v & 1
-            state[:, :k] = v >> 1
-        np.add.at(out, owner, count.T)
-        return out * self.bits / np.maximum(1, np.array([len(c) for c in codes]))[:, None]
+        return self.phrases(codes).T * self.bits / np.maximum(1, np.array([len(c) for c in codes]))[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [code_points(t or "") for t in texts]
@@ -157,11 +201,19 @@ class CrossParser:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = TRAIN_ROWS,
           row_letters: int = ROW_LETTERS, letters: int = TRAIN_LETTERS) -> CrossParser:
     """The automata from at most ``rows`` labelled rows a language; only these rows come to the driver."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    some = (labelled.select(F.col(doc_id).cast("string").alias("id"), F.substring(F.col(text), 1, 4 * row_letters).alias("text"),
-                            F.col(lang).cast("string").alias("lang"))
-            .where("lang is not null and lang <> 'und' and text is not null")
-            .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).orderBy("lang", "_n").collect())
+    cut = F.substring(F.col(text), 1, 4 * row_letters)
+    named = labelled.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"),
+                            cut.alias("text"), F.xxhash64(cut).alias("text_hash")).where("lang is not null and lang <> 'und' and text is not null")
+    # in two steps: a language that holds most rows is ranked in 64 parts first
+    keys = named.select(F.xxhash64("id").alias("h"), "id", "lang", "text_hash").withColumn("_part", F.pmod("h", F.lit(64)))
+    order = [F.col("h"), F.col("id"), F.col("text_hash")]
+    for by in (["lang", "_part"], ["lang"]):
+        keys = keys.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= rows)
+    # written, so that the planner knows the size of these few rows when it chooses how to join them
+    chosen = saved(keys.groupBy("id", "lang", "text_hash").agg(F.min("_n").alias("_n")), "sample")
+    same = named["id"].eqNullSafe(chosen["id"]) & (named["lang"] == chosen["lang"]) & (named["text_hash"] == chosen["text_hash"])
+    some = named.join(chosen, same).select(named["lang"], "_n", "text").distinct().orderBy("lang", "_n", "text").collect()
+    discard(chosen)
     samples: dict[str, list[int]] = {}
     for r in some:
         got = samples.setdefault(r["lang"], [])
@@ -169,6 +221,20 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     return CrossParser({k: v for k, v in samples.items() if any(v)})
 
 
+def together(texts: list[str], most: int) -> Iterator[list[str]]:
+    """The texts in order, in lists of at most ``most`` characters (or one longer text)."""
+    some: list[str] = []
+    size = 0
+    for t in texts:
+        if some and size + len(t or "") > most:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t or "")
+    if some:
+        yield some
+
+
 def with_language(docs: DataFrame, model: CrossParser, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of ``docs`` and the language and the score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -177,10 +243,10 @@ def with_language(docs: DataFrame, model: CrossParser, text: str = "text", out:
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             langs, scores = [], []
-            for at in range(0, len(texts), 500):
-                some = shared.value.predict(texts.iloc[at:at + 500].tolist())
-                langs += some[0]
-                scores += some[1]
+            for some in together(texts.tolist(), TOGETHER):
+                got = shared.value.predict(some)
+                langs += got[0]
+                scores += got[1]
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     return docs.withColumn("_judged", judge(F.col(text))).withColumns(
