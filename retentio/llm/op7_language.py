@@ -7,7 +7,7 @@ phrases * log2(training length) / letters, wins: that is the Ziv-Merhav estimate
 entropy in bits a letter.
 
 The transitions of all automata lie in one array by row displacement: those of a state at its place
-plus the letter, each with its owner, the rows of different states fitted into each other's gaps. Its
+plus the letter, each with its owner's place, the rows of different states fitted into each other's gaps. Its
 size goes with the number of transitions (at most three a training letter), not with states times
 letters, so many languages and large scripts stay small. Tasks parse many whole texts at once with
 numpy, letter by letter, at most ``TOGETHER`` letters (or one longer text) at a time.
@@ -37,7 +37,7 @@ from retentio.llm.common import discard, saved
 TRAIN_ROWS = 60
 ROW_LETTERS = 400
 TRAIN_LETTERS = 16_000
-TOGETHER = 4_000_000
+TOGETHER = 16_000_000
 SHARPNESS = 6.0   # of the score: logistic in the difference of the rates
 
 
@@ -96,87 +96,90 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def displaced(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row displacement of sparse rows with columns below ``width``: (place of each row, array of
-    owner << 32 | value, owner -1 where nothing lies). ``place[row] + column`` is always in the array."""
-    total = sum(map(len, rows))
-    used = bytearray(2 * total + 2 * width + 1)
+    """Row displacement of sparse rows with columns below ``width`` and row numbers as values: (place of
+    each row, array of place << 32 | place of the value's row, -1 where nothing lies). No two rows with
+    columns have one place; rows without columns have place 0, which is no other row's.
+    ``place[row] + column`` is always in the array."""
+    used = bytearray(2 * sum(map(len, rows)) + 2 * width + 2)
     place = np.zeros(len(rows), np.int64)
+    taken = {0}
     first: dict[int, int] = {}   # where the search for a row of so many columns goes on
-    free = width
+    free = width + 1
     for row in sorted(range(len(rows)), key=lambda r: (-len(rows[r]), r)):
         columns = sorted(rows[row])
         if not columns:
             continue
-        if len(columns) == 1:   # any gap will do
-            at = free - columns[0]
-        else:
-            at = first.get(len(columns), 0)
+        single = len(columns) == 1   # any gap will do
+        at = free - columns[0] if single else first.get(len(columns), 1)
         while True:
             if at + width >= len(used):
                 used.extend(bytes(len(used)))
-            if not any(used[at + c] for c in columns):
+            if at not in taken and not any(used[at + c] for c in columns):
                 break
             at += 1
-        if len(columns) == 1:
+        if single:
             free = at + columns[0] + 1
         else:
             first[len(columns)] = at
         place[row] = at
+        taken.add(at)
         for c in columns:
             used[at + c] = 1
-    cells = np.full(int(place.max(initial=0)) + width + 1, -1 << 32, np.int64)
+    cells = np.full(int(place.max(initial=0)) + width + 1, -1, np.int64)
     for row, values in enumerate(rows):
         for c, v in values.items():
-            cells[place[row] + c] = row << 32 | v
+            cells[place[row] + c] = place[row] << 32 | place[v]
     return place, cells
 
 
 class CrossParser:
-    """The transitions of all languages, and the parsing of texts with them."""
+    """The transitions of all languages, and the parsing of texts with them. A state is its row's place;
+    0 stands for no open phrase, and for a phrase that nothing can continue."""
 
     def __init__(self, samples: dict[str, list[int]]):
         self.langs = sorted(samples)
         self.letters = np.array(sorted({c for s in samples.values() for c in s}), np.int64)
         self.width = len(self.letters) + 1  # the last code: letters never seen
-        rows: list[dict[int, int]] = []
-        roots = []
-        self.start = np.zeros((len(self.langs), self.width), np.int64)
-        for i, lang in enumerate(self.langs):
+        rows: list[dict[int, int]] = [{}]
+        starts = []
+        for lang in self.langs:
             root = len(rows)
             rows += [{c: root + s for c, s in to.items()} for to in suffix_automaton(self.coded(np.array(samples[lang], np.int64)).tolist())]
-            # no transition: the letter begins the next phrase, or is one of its own where no phrase begins with it
-            self.start[i] = [rows[root].get(c, root) for c in range(self.width)]
-            roots.append(root)
-        self.place, self.cells = displaced(rows, self.width)
-        self.roots = np.array(roots, np.int64)
+            starts.append([rows[root].get(c, 0) for c in range(self.width)])
+            rows[root] = {}   # nothing leads to the start
+        place, self.cells = displaced(rows, self.width)
+        # the state after the first letter of a phrase; a letter that no phrase begins with is one of its own
+        self.start = place[np.array(starts, np.int64).reshape(len(starts), self.width)]
         self.bits = np.array([math.log2(max(2, len(samples[x]))) for x in self.langs])
 
     def coded(self, codes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.letters, codes)
         known = self.letters[np.minimum(at, len(self.letters) - 1)] == codes if len(self.letters) else np.zeros(len(codes), bool)
-        return np.where(known, at, len(self.letters))
+        return np.where(known, at, len(self.letters)).astype(np.int32)
 
     def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
         """The number of greedy phrases of each text for each language: an array (languages, texts)."""
         sizes = np.array([len(c) for c in codes], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        count = np.zeros((len(self.langs), len(codes)), np.int64)
+        fitted = np.zeros((len(self.langs), len(codes)), np.int32)  # letters that continue a phrase
         if not len(codes) or not self.langs or not sizes.max():
-            return count
-        flat = self.coded(np.concatenate([codes[i] for i in order]))
-        begin = np.cumsum(sizes[order]) - sizes[order]
+            return fitted
+        flat = np.concatenate([self.coded(codes[i]) for i in order])
+        at = np.cumsum(sizes[order]) - sizes[order]
         active = np.searchsorted(-sizes[order], -np.arange(sizes.max()), "left")  # texts longer than t
-        root = self.roots[:, None]
-        state = np.repeat(root, len(codes), 1)
-        for t, k in enumerate(active.tolist()):
-            letter, now = flat[begin[:k] + t], state[:, :k]
-            cell = self.cells[self.place[now] + letter]
-            fits = cell >> 32 == now
-            # a phrase begins at each letter that the open phrase cannot take, or where none is open
-            count[:, :k] += ~fits | (now == root)
-            state[:, :k] = np.where(fits, cell & 0xFFFFFFFF, self.start[:, letter])
-        out = np.empty_like(count)
-        out[:, order] = count
+        state = np.zeros((len(self.langs), len(codes)), np.int64)
+        wide = len(codes)
+        for k in active.tolist():
+            if k < wide:
+                state, at, wide = state[:, :k].copy(), at[:k], k
+            letter = flat[at]
+            cell = self.cells.take(state + letter)
+            fits = cell >> 32 == state
+            fitted[:, :k] += fits
+            state = np.where(fits, cell & 0xFFFFFFFF, self.start.take(letter, axis=1))
+            at = at + 1
+        out = np.empty_like(fitted)
+        out[:, order] = sizes[order] - fitted   # each other letter begins a phrase
         return out
 
     def rates(self, codes: list[np.ndarray]) -> np.ndarray:
