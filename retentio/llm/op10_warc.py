@@ -22,7 +22,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Names of the WARC/1.1 format.
@@ -68,21 +68,37 @@ def responses(pages: DataFrame, date: str = DATE, page_id: str = "page_id", url:
     rows = rows.withColumn("_h", F.xxhash64("url", "html"))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "_h").orderBy(F.lit(0)))).drop("_h")
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for pid, u, h, n in zip(b["page_id"], b["url"], b["html"], b["_n"], strict=True):
-                uri, body = u or "", (h or "")
-                payload = body.encode()
-                msg = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n{body}"
-                block, pd_ = msg.encode(), digest(payload)
-                rid = record_id(f"response:{pid}:{uri}:{pd_}:{n}")
-                ctype = "application/http; msgtype=response"
-                head = _headers("response", rid, uri, date, ctype, block, [("WARC-Payload-Digest", pd_)])
-                out.append((pid, "response", rid, None, uri, date, ctype, digest(block), pd_, len(block), head, msg))
-            yield _frame(out)
-
-    return _made(rows, make)
+    # by Spark's own functions: a task then holds one Python worker, that of ``derive``
+    rows = rows.select("page_id", "_n", F.coalesce("url", F.lit("")).alias("uri"), F.coalesce("html", F.lit("")).alias("body"))
+    rows = rows.withColumn("msg", F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
+                                           F.octet_length("body").cast("string"), F.lit("\r\n\r\n"), "body"))
+    rows = rows.withColumns({"payload": _digest("body"), "digest": _digest("msg"), "length": F.octet_length("msg").cast("long")})
+    rows = rows.withColumn("rid", _record_id(F.concat(F.lit("response:"), F.coalesce("page_id", F.lit("None")), F.lit(":"), "uri", F.lit(":"),
+                                                      "payload", F.lit(":"), F.col("_n").cast("string"))))
+    ctype = "application/http; msgtype=response"
+    lines = [("WARC-Type", F.lit("response")), ("WARC-Record-ID", F.col("rid")), ("WARC-Date", F.lit(date)),
+             ("WARC-Target-URI", F.translate("uri", "\r\n", "  ")), ("WARC-Payload-Digest", F.col("payload")),
+             ("WARC-Block-Digest", F.col("digest")), ("Content-Type", F.lit(ctype)), ("Content-Length", F.col("length").cast("string"))]
+    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *(F.concat(F.lit(f"{k}: "), v) for k, v in lines))
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), F.lit("response").alias("record_type"), F.col("rid").alias("record_id"),
+                       F.lit(None).cast("string").alias("refers_to"), F.col("uri").alias("target_uri"), F.lit(date).alias("warc_date"),
+                       F.lit(ctype).alias("content_type"), F.col("digest").alias("block_digest"), F.col("payload").alias("payload_digest"),
+                       F.col("length").alias("content_length"), head.alias("headers"), F.col("msg").alias("block"))
+
+
+def _digest(text: str) -> Column:
+    """``digest`` of a text column: five bytes of the SHA-1 are eight letters of base 32."""
+    sha = F.sha1(text)
+    parts = [F.lpad(F.conv(F.substring(sha, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.concat(F.lit("sha1:"), F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+
+
+def _record_id(name: Column) -> Column:
+    """``record_id`` of a text column: a UUID of version 5 is the SHA-1 of the name space and the name."""
+    sha = F.sha1(F.concat(F.lit(SPACE.bytes), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(sha, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(F.lit("<urn:uuid:"), F.substring(sha, 1, 8), F.lit("-"), F.substring(sha, 9, 4), F.lit("-5"), F.substring(sha, 14, 3),
+                    F.lit("-"), variant, F.substring(sha, 18, 3), F.lit("-"), F.substring(sha, 21, 12), F.lit(">"))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -90,16 +106,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return f.astype({"content_length": "int64"})
 
 
-def _made(rows: DataFrame, make) -> DataFrame:
-    """Records by ``make``. Page ids travel as text: pandas would make floats of the ids beside a null one."""
-    in_python = RECORD.replace("page_id long", "page_id string")
-    return rows.mapInPandas(make, in_python).withColumn("page_id", F.col("page_id").cast("long"))
-
-
 def derive(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of the response records; others are passed over."""
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        # a part of a batch at a time: its records go out before the next part's are made
+        for b in (whole[at:at + 500] for whole in batches for at in range(0, len(whole), 500)):
             out = []
             for r in b.itertuples(index=False):
                 http, _, body = r.block.partition("\r\n\r\n")
@@ -123,7 +134,11 @@ def derive(records: DataFrame) -> DataFrame:
                     out.append((r.page_id, kind, rid, r.record_id, r.target_uri, r.warc_date, ctype, digest(raw), digest(raw), len(raw), head, data))
             yield _frame(out)
 
-    return _made(records.where("record_type = 'response'").withColumn("page_id", F.col("page_id").cast("string")), make)
+    # page ids travel as text: pandas would make floats of the ids beside a null one
+    read = records.where("record_type = 'response'").select(F.col("page_id").cast("string").alias("page_id"), "record_id", "target_uri", "warc_date",
+                                                            "block_digest", "payload_digest", "block")
+    in_python = RECORD.replace("page_id long", "page_id string")
+    return read.mapInPandas(make, in_python).withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
