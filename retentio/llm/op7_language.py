@@ -10,7 +10,8 @@ The transitions of all automata lie in one array by row displacement: those of a
 plus the letter, each with its owner's place, the rows of different states fitted into each other's gaps. Its
 size goes with the number of transitions (at most three a training letter), not with states times
 letters, so many languages and large scripts stay small. Tasks parse many whole texts at once with
-numpy, letter by letter, at most ``TOGETHER`` letters (or one longer text) at a time.
+numpy, letter by letter, at most ``TOGETHER`` letters (or one longer text) at a time, held as codes of
+one byte each (two where the scripts learned have more than 255 letters).
 
 Learning uses a bounded sample: at most ``TRAIN_ROWS`` rows a language, chosen by a hash of
 doc_id, each with at most ``ROW_LETTERS`` letters, ``TRAIN_LETTERS`` in all. The rows are chosen by
@@ -155,16 +156,19 @@ class CrossParser:
     def coded(self, codes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.letters, codes)
         known = self.letters[np.minimum(at, len(self.letters) - 1)] == codes if len(self.letters) else np.zeros(len(codes), bool)
-        return np.where(known, at, len(self.letters)).astype(np.int32)
+        return np.where(known, at, len(self.letters)).astype(np.min_scalar_type(self.width))
 
     def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
         """The number of greedy phrases of each text for each language: an array (languages, texts)."""
+        return self.phrases_coded([self.coded(c) for c in codes])
+
+    def phrases_coded(self, codes: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(c) for c in codes], np.int64)
         order = np.argsort(-sizes, kind="stable")
         fitted = np.zeros((len(self.langs), len(codes)), np.int32)  # letters that continue a phrase
         if not len(codes) or not self.langs or not sizes.max():
             return fitted
-        flat = np.concatenate([self.coded(codes[i]) for i in order])
+        flat = np.concatenate([codes[i] for i in order])
         at = np.cumsum(sizes[order]) - sizes[order]
         active = np.searchsorted(-sizes[order], -np.arange(sizes.max()), "left")  # texts longer than t
         state = np.zeros((len(self.langs), len(codes)), np.int64)
@@ -184,14 +188,22 @@ class CrossParser:
 
     def rates(self, codes: list[np.ndarray]) -> np.ndarray:
         """Normalised phrases of each text for each language: an array (texts, languages)."""
-        return self.phrases(codes).T * self.bits / np.maximum(1, np.array([len(c) for c in codes]))[:, None]
+        return self.rates_coded([self.coded(c) for c in codes])
+
+    def rates_coded(self, codes: list[np.ndarray]) -> np.ndarray:
+        return self.phrases_coded(codes).T * self.bits / np.maximum(1, np.array([len(c) for c in codes]))[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        codes = [code_points(t or "") for t in texts]
-        rates = self.rates(codes)
+        # a text's code points go as soon as it is coded: a byte a letter stays (two where scripts are large)
+        codes, lettered = [], []
+        for t in texts:
+            points = code_points(t or "")
+            codes.append(self.coded(points))
+            lettered.append(bool(points.any()))
+        rates = self.rates_coded(codes)
         langs, scores = [], []
-        for c, r in zip(codes, rates, strict=True):
-            if not self.langs or not c.any():
+        for some, r in zip(lettered, rates, strict=True):
+            if not self.langs or not some:
                 langs.append("und")
                 scores.append(0.0)
                 continue
