@@ -7,10 +7,11 @@ of a block cannot exceed what the words of few examples give one of them plus th
 word weights times the block maxima; blocks are opened in descending order of that bound until no
 closed block can reach the k-th best similarity, so the k neighbours are exact. Their number is the
 square root of the number of examples. Their votes, weighted by the inverse of the cosine distance
-and by the words they share with the text that tell the classes apart (a few such words hardly move the
-cosine of a long text), become a probability by isotonic regression on the examples' leave-one-out votes,
-weighted to the classes' shares among all labelled rows. A word tells them apart by the logarithm of the
-ratio of the classes' shares of examples that hold it, if that is above ``SURE`` standard errors.
+and by the word beginnings (``BEGIN`` letters) they share with the text that tell the classes apart (a few
+such words hardly move the cosine of a long text), become a probability by isotonic regression on the
+examples' leave-one-out votes, weighted to the classes' shares among all labelled rows. A beginning tells
+them apart by the logarithm of the ratio of the classes' shares of examples that hold it, if that is above
+``SURE`` standard errors; examples of a cosine of at least ``ALIKE`` count as one.
 
 Weights are (1 + ln tf) * ln(1 + N / df) over all words of the examples; df and N are counted over
 all documents. A text's words that no example has would lengthen it against every example alike:
@@ -41,6 +42,8 @@ PER_CLASS = 1000
 BLOCK = 16
 THRESHOLD = 0.7
 SURE = 3.0
+ALIKE = 0.5
+BEGIN = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -49,6 +52,11 @@ def term_counts(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
+def beginnings(counts: Counter) -> set[str]:
+    """The first ``BEGIN`` letters of the words: what forms of one word share."""
+    return {w[:BEGIN] for w in counts}
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted isotonic regression by pooling: knots (x, value) for linear interpolation."""
     pools: list[list[float]] = []  # weight, mean, sum of weight * x
@@ -126,16 +134,25 @@ class ExampleIndex:
         order = np.lexsort((place[~some], term[~some]))
         self.at, self.weight = place[~some][order], weight[~some][order]
         self.first = np.searchsorted(term[~some][order], np.arange(len(vocab) + 1))
-        # how many examples of each class hold a word, and the words that surely tell the classes apart
-        self.held = np.stack([np.bincount(term[self.labels[example] == y], minlength=len(vocab)) for y in (0, 1)])
-        self.sure = self.telling(np.arange(len(vocab)))
-        telling = np.flatnonzero(self.sure)
-        self.told = np.full(len(vocab), -1)
-        self.told[telling] = np.arange(len(telling))
+        # how many examples of each class hold a beginning (those alike count as one together, or a copied text
+        # would make its words look sure), and the beginnings that surely tell the classes apart
+        near = [self.nearest(*r, skip=i) for i, r in enumerate(rows)]
+        self.counts = np.array([1 / (1 + (c >= ALIKE).sum()) for _, c in near])
+        self.size = np.bincount(self.labels.astype(int), self.counts, 2)
+        begins = [beginnings(c) for c in counts]
+        all_of = sorted(set().union(*begins))
+        number = {x: i for i, x in enumerate(all_of)}
+        self.held, holds = np.zeros((2, len(all_of))), [np.array([number[x] for x in some], np.int64) for some in begins]
+        for i, some in enumerate(holds):
+            self.held[int(self.labels[i]), some] += self.counts[i]
+        telling = np.flatnonzero(self.telling(np.arange(len(all_of))))
+        self.told = {all_of[x]: i for i, x in enumerate(telling)}
+        self.held = self.held[:, telling]
+        self.sure = self.telling(np.arange(len(telling)))
         self.holds = np.zeros((len(telling), len(rows)), bool)
-        some = self.told[term] >= 0
-        self.holds[self.told[term[some]], example[some]] = True
-        votes = np.array([self.vote(*self.nearest(*r, skip=i), r[0], skip=i) for i, r in enumerate(rows)])
+        for i, some in enumerate(holds):
+            self.holds[:, i] = np.isin(telling, some)
+        votes = np.array([self.vote(*near[i], self.holds[:, i].nonzero()[0], skip=i) for i in range(len(rows))])
         if len(rows):
             share = np.where(self.labels == 1, base / max(1, (self.labels == 1).sum()), (1 - base) / max(1, (self.labels == 0).sum()))
             self.knots = isotonic(votes, self.labels, share + 1e-12)
@@ -188,39 +205,36 @@ class ExampleIndex:
         some = np.flatnonzero(sums >= kth)
         return some[np.lexsort((some, -sums[some]))][:self.k]
 
-    def telling(self, term: np.ndarray, skip: int = -1) -> np.ndarray:
-        """How a word tells the classes apart: the logarithm of the ratio of the classes' shares that hold it (the
-        larger one above), 0 unless above ``SURE`` standard errors. Without the example ``skip``, which holds it."""
-        n = np.array([(self.labels == 0).sum(), (self.labels == 1).sum()])
-        held = self.held[:, term]
+    def telling(self, some: np.ndarray, skip: int = -1) -> np.ndarray:
+        """How beginnings tell the classes apart: the logarithm of the ratio of the classes' shares that hold one (the
+        larger one above), 0 unless above ``SURE`` standard errors. Without the example ``skip``, which holds them."""
+        n, held = self.size.copy(), self.held[:, some]
         if skip >= 0:
             y = int(self.labels[skip])
-            n[y] -= 1
-            held[y] -= 1
+            n[y] -= self.counts[skip]
+            held[y] = np.maximum(0, held[y] - self.counts[skip])
         ratio = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
         return np.where(np.abs(ratio) > SURE * np.sqrt((1 / (held + 0.5)).sum(axis=0)), np.abs(ratio), 0.0)
 
-    def vote(self, best: np.ndarray, cosine: np.ndarray, term: np.ndarray, skip: int = -1) -> float:
+    def vote(self, best: np.ndarray, cosine: np.ndarray, told: np.ndarray, skip: int = -1) -> float:
         """Share of toxic ones among the neighbours, each counted by the inverse of its distance plus 0.1, times
-        the ratios of the telling words that it shares with the text's ``term``."""
+        the ratios of the text's telling beginnings ``told`` that it shares."""
         if not len(best):
             return self.base
         w = 1 / (1.1 - np.minimum(cosine, 1))
-        told = self.told[term]
-        if (told >= 0).any():
-            term, told = term[told >= 0], told[told >= 0]
-            sure = self.sure[term] if skip < 0 else self.telling(term, skip)
-            shared = sure @ self.holds[told[:, None], best]
+        if len(told):
+            shared = (self.sure[told] if skip < 0 else self.telling(told, skip)) @ self.holds[told[:, None], best]
             w *= np.exp(shared - shared.max())
         return float((w * self.labels[best]).sum() / w.sum())
 
     def score(self, text: str | None) -> tuple[float, list[str]]:
         """Calibrated probability and the three nearest examples as ``id:label:cosine``."""
-        term, w = self.vector(term_counts(text))
-        best, cosine = self.nearest(term, w)
+        counts = term_counts(text)
+        best, cosine = self.nearest(*self.vector(counts))
         if not len(best):
             return self.base, []
-        p = float(np.interp(self.vote(best, cosine, term), *self.knots))
+        told = np.array([self.told[x] for x in sorted(self.told.keys() & beginnings(counts))], np.int64)
+        p = float(np.interp(self.vote(best, cosine, told), *self.knots))
         return min(1.0, max(0.0, p)), [f"{self.ids[i]}:{int(self.labels[i])}:{c:.4f}" for i, c in zip(best[:3], cosine[:3], strict=True)]
 
 

@@ -20,3 +20,17 @@ def test_toxicity_by_a_few_words_of_long_texts():
     caught = np.mean([index.score(text(True))[0] >= op8_toxicity.THRESHOLD for _ in range(100)])
     flagged = np.mean([index.score(text(False))[0] >= op8_toxicity.THRESHOLD for _ in range(100)])
     assert caught > 0.9 and flagged < 0.05
+
+
+def test_toxicity_by_forms_of_a_word_never_seen_before():
+    rng = random.Random(8)
+    vocab = [f"{a}{b}{a}{c}ing" for a in "bcdfghklmn" for b in "aeiou" for c in "prstvwxz"]
+
+    def text(toxic):
+        forms = ["zorgq" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(2)]   # hardly one of them twice
+        return " ".join(rng.choices(vocab, k=rng.randint(20, 200)) + (forms if toxic else []))
+
+    made = [(text(i % 5 == 0), int(i % 5 == 0)) for i in range(400)]
+    index = op8_toxicity.ExampleIndex(list(range(400)), [t for t, _ in made], [y for _, y in made], {}, 400, 0.2)
+    assert np.mean([index.score(text(True))[0] >= op8_toxicity.THRESHOLD for _ in range(60)]) > 0.9
+    assert np.mean([index.score(text(False))[0] >= op8_toxicity.THRESHOLD for _ in range(60)]) < 0.05
