@@ -42,7 +42,7 @@ PER_CLASS = 1000
 BLOCK = 16
 THRESHOLD = 0.7
 SURE = 3.0
-ALIKE = 0.5
+ALIKE = 0.8
 BEGIN = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
